@@ -54,8 +54,8 @@ class Powers:
         return self.up, self.down
 
 
-_BYTE_POWERS = Powers(_BASE)
-_WORD_POWERS = Powers(0xD1342543DE82EF95)
+BYTE_POWERS = Powers(_BASE)
+WORD_POWERS = Powers(0xD1342543DE82EF95)
 
 
 def prefix_sums(x: np.ndarray, powers: Powers) -> np.ndarray:
@@ -81,8 +81,8 @@ class Chunk:
     def grams(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Hashes of word sequences start..end-1 (positions in ``hashes``)."""
         if self._sums is None:
-            self._sums = prefix_sums(self.hashes, _WORD_POWERS)
-        return spans_hash(self._sums, start, end, _WORD_POWERS)
+            self._sums = prefix_sums(self.hashes, WORD_POWERS)
+        return spans_hash(self._sums, start, end, WORD_POWERS)
 
     def starts_of(self, n: int) -> np.ndarray:
         """Positions at which n words of one text start."""
@@ -125,8 +125,8 @@ def chunks(col: pa.Array, lower: bool, is_word: np.ndarray = IS_WORD_SPACE) -> I
         border[offsets[at : to + 1] - lo] = True
         starts = np.flatnonzero(after & (~before | border))
         ends = np.flatnonzero(before & (~after | border))
-        sums = prefix_sums(own.astype(U64) + U64(1), _BYTE_POWERS)
-        hashes = spans_hash(sums, starts, ends, _BYTE_POWERS)
+        sums = prefix_sums(own.astype(U64) + U64(1), BYTE_POWERS)
+        hashes = spans_hash(sums, starts, ends, BYTE_POWERS)
         first = np.searchsorted(starts, offsets[at : to + 1] - lo)
         yield Chunk(slice(at, to), hashes, first, starts, ends, own)
         at = to
