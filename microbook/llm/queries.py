@@ -1,8 +1,8 @@
 """The queries of this subpackage, by name, and their SQL where SQL can express them."""
 
-from . import decontaminate, exact_dedup, jaccard_join, mixing, substring_dedup, toxicity, url_filter
+from . import decontaminate, exact_dedup, jaccard_join, mixing, substring_dedup, toxicity, url_filter, warc
 
-MODULES = [decontaminate, jaccard_join, substring_dedup, mixing, url_filter, toxicity, exact_dedup]
+MODULES = [decontaminate, jaccard_join, substring_dedup, mixing, url_filter, toxicity, warc, exact_dedup]
 
 QUERIES = {k: v for m in MODULES for k, v in vars(m).items() if k.startswith("op") and k[2].isdigit()}
 ORACLE_SQL = {k: v for m in MODULES for k, v in getattr(m, "ORACLE", {}).items()}
