@@ -5,14 +5,15 @@ class, which its smallest doc_id stands for. Two classes link when ``den * |A n
 The join returns the connected components of all links; links inside a component need not be listed.
 
 1. Grouping. Similar documents share the smallest hash of their set with a probability that is their
-   similarity. For three hash orders, each class is verified against the smallest class with the same
-   minimum; the components of these links are the groups. A large family of near copies so becomes one
+   similarity. For four hash orders, each class finds the smallest class with the same minimum; it is
+   verified against one that two orders name. The components of these links are the groups. A large family of near copies so becomes one
    group by a number of comparisons that is linear in its size.
 2. Matrix. For each group the matrix holds the union of its members' probe tokens (of a set of n those
    rarest n - ceil(t n) + 1) and marks the index tokens among them (the rarest n - ceil(2t/(1+t) n) + 1).
    Of two linked sets the smaller one's index tokens and the larger one's probe tokens meet, so no link
-   between groups is lost. A matrix column that a single group fills is dropped. Rarity
-   comes from all documents: tokens that are frequent in some stretch of the corpus come last.
+   between groups is lost. A matrix column that a single group fills is dropped. Rarity comes from all
+   documents: tokens that are frequent in some stretch of the corpus come last, and tokens whose column
+   turns out wide are moved there as well. Prefix places bound the overlap of two single documents.
 3. Bound and open. For groups that meet in the matrix, the members of the smaller one are queries. A
    query's overlap with the token union of a block of the other group's members bounds its overlap with
    each of them; only where the bound qualifies is the block opened and the query compared with members.
@@ -30,39 +31,53 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, lookup_left, parts, stored, table
-from .textkit import chunks, list_array, mix
+from .textkit import chunks, list_array, mix, unmix
 from .url_filter import build_bloom
 
-SIGNATURES = 3
-#: A token that this many different documents of one stretch share is frequent and ordered last.
-FREQUENT = 12
+SIGNATURES = 4
+#: Signatures that two documents must share to be compared in step 1.
+AGREE = 2
+#: A token that this many different documents of one stretch (of about STRETCH tokens) share is frequent and ordered last.
+FREQUENT, STRETCH = 4, 5_000_000
 #: Frequent tokens whose order is broadcast: those with the most documents. Others keep their place in the hash order, which costs time but no link.
 MAX_FREQUENT = 1_000_000
+#: A matrix column that more groups fill makes its token frequent, and the matrix is built again (at most ROUNDS times).
+WIDE, ROUNDS = 256, 3
 #: Members of a group that share a token union; queries of a block that one task takes.
 BLOCK, QUERIES = 256, 1024
 
 
 def doc_sets(ch, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted distinct shingle hashes of all texts of the chunk, number per text)."""
-    n = len(ch.first) - 1
-    at = ch.starts_of(shingle)
-    values, owner = ch.grams(at, at + shingle), np.searchsorted(ch.first, at, "right") - 1
+    """(distinct shingle hashes of all texts of the chunk, sorted within each text; number per text)."""
     words = np.diff(ch.first)
-    short = np.flatnonzero((words > 0) & (words < shingle))
-    if len(short):
-        a = ch.first[short]
-        values = np.concatenate([values, ch.grams(a, a + words[short])])
-        owner = np.concatenate([owner, short])
-    order = np.lexsort((values, owner))
-    values, owner = values[order], owner[order]
+    at = ch.starts_of(shingle)
+    counts = np.where(words >= shingle, words - shingle + 1, np.minimum(words, 1))
+    ends = np.cumsum(counts)
+    values = np.empty(int(ends[-1]) if len(ends) else 0, np.uint64)
+    short = (words > 0) & (words < shingle)
+    place = ends[short] - 1
+    values[place] = ch.grams(ch.first[:-1][short], ch.first[1:][short])
+    rest = np.ones(len(values), bool)
+    rest[place] = False
+    values[rest] = ch.grams(at, at + shingle)
+    sort_within(values, counts)
+    owner = np.repeat(np.arange(len(counts)), counts)
     keep = np.ones(len(values), bool)
     keep[1:] = (values[1:] != values[:-1]) | (owner[1:] != owner[:-1])
-    values, owner = values[keep], owner[keep]
-    return values, np.bincount(owner, minlength=n)
+    return values[keep], np.bincount(owner[keep], minlength=len(counts))
+
+
+def sort_within(values: np.ndarray, sizes: np.ndarray) -> None:
+    """Sort each run of the given sizes in place."""
+    at = 0
+    for n in sizes.tolist():
+        if n > 1:
+            values[at : at + n].sort()
+        at += n
 
 
 def _digests(values: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -77,8 +92,11 @@ def _at_least(x: np.ndarray, num: int, den: int) -> np.ndarray:
     return -((-x * num) // den)
 
 
-def frequent_tokens(docs: DataFrame, shingle: int) -> DataFrame:
-    """(token, n): tokens that FREQUENT differing documents of some stretch of up to 8 MB text share; every document is counted."""
+def described(docs: DataFrame, shingle: int) -> DataFrame:
+    """One pass that gives two kinds of rows: (doc_id, n, d1, d2, sigs) of every document, and (token, freq) of the tokens that
+    FREQUENT differing documents of a stretch of the corpus share; every document is counted."""
+    names = ["doc_id", "n", "d1", "d2", "sigs", "token", "freq"]
+    none = pa.nulls
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, seen, n = [], [], 0
@@ -86,81 +104,121 @@ def frequent_tokens(docs: DataFrame, shingle: int) -> DataFrame:
         def counted():
             tokens, counts = np.unique(np.concatenate(held), return_counts=True)
             often = counts >= FREQUENT
-            return pa.RecordBatch.from_arrays([pa.array(tokens[often].view(np.int64)), pa.array(counts[often])], ["token", "n"])
+            k = int(often.sum())
+            return pa.RecordBatch.from_arrays(
+                [none(k, pa.int64()), none(k, pa.int64()), none(k, pa.int64()), none(k, pa.int64()), none(k, pa.list_(pa.int64())), pa.array(tokens[often].view(np.int64)), pa.array(counts[often])], names
+            )
 
         for batch in batches:
             for ch in chunks(batch.column("text"), True):
                 values, sizes = doc_sets(ch, shingle)
-                digest = _digests(values, sizes)[0]
-                new = np.zeros(len(digest), bool)
-                new[np.unique(digest, return_index=True)[1]] = True
-                new &= ~np.isin(digest, np.concatenate(seen)) if seen else True
-                seen.append(digest)
+                d1, d2 = _digests(values, sizes)
+                full = np.flatnonzero(sizes)
+                begin = np.cumsum(sizes) - sizes
+                sigs = np.zeros((SIGNATURES, len(sizes)), np.uint64)
+                for k in range(SIGNATURES if len(full) else 0):
+                    sigs[k, full] = np.minimum.reduceat(mix(values ^ np.uint64(0x1F123BB5 * (k + 1))), begin[full])
+                new = np.zeros(len(sizes), bool)
+                new[np.unique(d1, return_index=True)[1]] = True
+                new &= ~np.isin(d1, np.concatenate(seen)) if seen else True
+                seen.append(d1)
                 held.append(values[np.repeat(new, sizes)])
                 n += len(values)
-                if n >= 1_500_000:
+                if n >= STRETCH:
                     yield counted()
                     held, seen, n = [], [], 0
+                k = len(sizes)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("doc_id").slice(ch.rows.start, k),
+                        pa.array(sizes),
+                        pa.array(d1.view(np.int64)),
+                        pa.array(d2.view(np.int64)),
+                        list_array(sigs.T.reshape(-1).view(np.int64), np.full(k, SIGNATURES), pa.int64()),
+                        none(k, pa.int64()),
+                        none(k, pa.int64()),
+                    ],
+                    names,
+                )
         if held:
             yield counted()
 
-    found = docs.select("text").mapInArrow(run, "token bigint, n bigint")
-    return found.groupBy("token").agg(F.sum("n").alias("n"))
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n bigint, d1 bigint, d2 bigint, sigs array<bigint>, token bigint, freq bigint")
 
 
 class Order:
-    """Places tokens: infrequent ones first, by hash; then frequent ones, the rarer first."""
+    """A key for each token, in whose order sets are read: infrequent ones first, by hash; then frequent ones, the rarer first.
+
+    The key stands for the token in the matrix. Two tokens with one key (62 bits) would make a group a
+    candidate that is none; they cannot lose one.
+    """
 
     def __init__(self, tokens: np.ndarray, counts: np.ndarray):
         by = np.argsort(tokens)
-        self.tokens, self.counts = tokens[by], counts[by]
+        self.tokens, self.counts = tokens[by], np.minimum(counts[by], (1 << 22) - 1).astype(np.uint64)
 
-    def rank(self, values: np.ndarray) -> np.ndarray:
-        """Number of documents of frequent tokens, 0 for others."""
-        if not len(self.tokens):
-            return np.zeros(len(values), np.int64)
-        at = np.minimum(np.searchsorted(self.tokens, values), len(self.tokens) - 1)
-        return np.where(self.tokens[at] == values, self.counts[at], 0)
+    def keys(self, values: np.ndarray) -> np.ndarray:
+        h = mix(values)
+        out = h >> np.uint64(2)
+        if len(self.tokens) and len(values):
+            at = np.minimum(np.searchsorted(self.tokens, values), len(self.tokens) - 1)
+            often = np.flatnonzero(self.tokens[at] == values)
+            out[often] = np.uint64(1 << 62) | (self.counts[at[often]] << np.uint64(40)) | (h[often] >> np.uint64(24))
+        return out
 
 
-def set_table(docs: DataFrame, order, shingle: int, num: int, den: int) -> DataFrame:
-    """(doc_id, n, d1, d2, sigs, probe, n_index) of every row; ``probe``: the rarest tokens, of which the first n_index are index tokens."""
-    names = ["doc_id", "n", "d1", "d2", "sigs", "probe", "n_index"]
+def prefixes(docs: DataFrame, order, shingle: int, num: int, den: int) -> DataFrame:
+    """(doc_id, d1, n, probe, n_index) of every row; ``probe``: the keys of the rarest tokens in order, of which the first n_index are index tokens."""
+    names = ["doc_id", "d1", "n", "probe", "n_index"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id")
             for ch in chunks(batch.column("text"), True):
                 values, sizes = doc_sets(ch, shingle)
-                d1, d2 = _digests(values, sizes)
-                full = np.flatnonzero(sizes)
-                begin = np.cumsum(sizes) - sizes
-                sigs = np.zeros((SIGNATURES, len(sizes)), np.uint64)
-                for k in range(SIGNATURES if len(full) else 0):
-                    sigs[k, full] = np.minimum.reduceat(mix(values ^ np.uint64(0x1F123BB5 * (k + 1))), begin[full])
-                owner = np.repeat(np.arange(len(sizes)), sizes)
-                by = np.lexsort((mix(values), order.value.rank(values), owner))
+                d1 = _digests(values, sizes)[0]
+                keys = order.value.keys(values)
+                sort_within(keys, sizes)
                 n_probe = np.where(sizes > 0, sizes - _at_least(sizes, num, den) + 1, 0)
                 n_index = np.where(sizes > 0, sizes - _at_least(sizes, 2 * num, num + den) + 1, 0)
-                first = by[np.arange(len(values)) - np.repeat(begin, sizes) < np.repeat(n_probe, sizes)]
+                first = np.arange(len(keys)) - np.repeat(np.cumsum(sizes) - sizes, sizes) < np.repeat(n_probe, sizes)
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        ids.slice(ch.rows.start, len(sizes)),
-                        pa.array(sizes),
-                        pa.array(d1.view(np.int64)),
-                        pa.array(d2.view(np.int64)),
-                        list_array(sigs.T.reshape(-1).view(np.int64), np.full(len(sizes), SIGNATURES), pa.int64()),
-                        list_array(values[first].view(np.int64), n_probe, pa.int64()),
-                        pa.array(n_index.astype(np.int32)),
-                    ],
-                    names,
+                    [batch.column("doc_id").slice(ch.rows.start, len(sizes)), pa.array(d1.view(np.int64)), pa.array(sizes), list_array(keys[first].view(np.int64), n_probe, pa.int64()), pa.array(n_index.astype(np.int32))], names
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n bigint, d1 bigint, d2 bigint, sigs array<bigint>, probe array<bigint>, n_index int")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, d1 bigint, n bigint, probe array<bigint>, n_index int")
+
+
+def _cells(members: DataFrame) -> DataFrame:
+    """(key, comp, pos, is_index) of ``members(comp, single, probe, n_index)``; pos is the place in the prefix of a group's only member, else -1.
+
+    The rows of one batch that repeat a group's key are joined before anything moves, so a key of a large
+    group makes few rows.
+    """
+    names = ["key", "comp", "pos", "is_index"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            probe = batch.column("probe")
+            sizes = np.diff(probe.offsets.to_numpy())
+            key = probe.flatten().to_numpy()
+            pos = (np.arange(len(key)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
+            comp, single, n_index = (np.repeat(batch.column(c).to_numpy(zero_copy_only=False), sizes) for c in ("comp", "single", "n_index"))
+            is_index = pos < n_index
+            pos[~single] = -1
+            many = np.flatnonzero(~single)
+            if len(many):
+                by = many[np.lexsort((~is_index[many], comp[many], key[many]))]
+                first = np.ones(len(by), bool)
+                first[1:] = (key[by[1:]] != key[by[:-1]]) | (comp[by[1:]] != comp[by[:-1]])
+                at = np.concatenate([np.flatnonzero(single), by[first]])
+                key, comp, pos, is_index = key[at], comp[at], pos[at], is_index[at]
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(comp), pa.array(pos), pa.array(is_index)], names)
+
+    return members.select("comp", "single", "probe", "n_index").mapInArrow(run, "key bigint, comp bigint, pos int, is_index boolean")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, tokens) of the wanted (doc_id, d1): a Bloom filter drops nearly all others before anything moves."""
+    """(doc_id, d1, tokens) of all rows that may be among the wanted (doc_id, d1): a Bloom filter drops nearly all others before anything moves."""
     n = wanted.count()
     bloom = docs.sparkSession.sparkContext.broadcast(build_bloom(wanted.select(F.col("doc_id").bitwiseXOR(F.col("d1")).alias("k")), n))
 
@@ -177,9 +235,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
                     ["doc_id", "d1", "tokens"],
                 )
 
-    sets = docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, d1 bigint, tokens array<bigint>")
-    # several rows of one class may carry the smallest doc_id
-    return sets.join(wanted, ["doc_id", "d1"], "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "tokens")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, d1 bigint, tokens array<bigint>")
 
 
 def _linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
@@ -207,20 +263,24 @@ def open_groups(queries: pd.DataFrame, members: pd.DataFrame, num: int, den: int
     return out
 
 
-def verify(queries: DataFrame, members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def verify(docs: DataFrame, queries: DataFrame, members: DataFrame, digests: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
     """Links (u, v) for ``queries(g, doc_id)`` against ``members(g, doc_id)``: at most one for each query and group g.
 
-    A group with many queries is copied for each QUERIES of them, so no task takes an unbounded number.
+    ``digests(doc_id, d1)`` tells the texts of the documents. A group with many queries is copied for each
+    QUERIES of them, so no task takes an unbounded number; a document's groups travel with its row, so a
+    full set moves once to meet its groups and once to each of them.
     """
-    spark = sets.sparkSession
+    spark = docs.sparkSession
     sizes = queries.groupBy("g").agg(F.ceil(F.count("*") / QUERIES).alias("salts"), F.count("*").alias("n_rows"))
-    q = lookup_left(queries, sizes.select("g", "salts"), ["g"], sizes.select("g", "n_rows")).withColumn("salt", F.pmod(F.xxhash64("doc_id", F.lit(3)), "salts")).select("g", "salt", "doc_id", F.lit(True).alias("q"))
-    m = members.join(sizes.select("g", "salts"), "g").select("g", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), "doc_id", F.lit(False).alias("q"))
-    both = q.unionByName(m)
-    per_doc = both.groupBy("doc_id").agg(F.count("*").alias("n_rows"))
-    rows = lookup_left(both, sets, ["doc_id"], per_doc).filter(F.col("tokens").isNotNull())
-    buckets = 16 * parts(spark)
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("g", "salt"), F.lit(buckets)).cast("int"))
+    sizes = stored(sizes, "asked")
+    q = lookup_left(queries, sizes.select("g", "salts"), ["g"], sizes.select("g", "n_rows"))
+    q = q.select("doc_id", F.struct("g", F.pmod(F.xxhash64("doc_id", F.lit(3)), "salts").alias("salt"), F.lit(True).alias("q")).alias("a"))
+    m = members.join(sizes.select("g", "salts"), "g")
+    m = m.select("doc_id", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1), lambda k: F.struct(F.col("g"), k.alias("salt"), F.lit(False).alias("q")))).alias("a"))
+    places = stored(q.unionByName(m).join(digests, "doc_id"), "places")
+    sets = full_sets(docs, places.select("doc_id", "d1").distinct(), shingle)
+    rows = sets.join(places, ["doc_id", "d1"]).select("doc_id", "tokens", "a.*")
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("g", "salt"), F.lit(16 * parts(spark))).cast("int"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -233,62 +293,84 @@ def verify(queries: DataFrame, members: DataFrame, sets: DataFrame, num: int, de
     return rows.groupBy("bucket").applyInPandas(run, "u bigint, v bigint")
 
 
+def matrix_pairs(docs: DataFrame, facts: DataFrame, often: pd.DataFrame, shingle: int, num: int, den: int) -> DataFrame:
+    """(a, b), a < b: pairs of groups that meet in the matrix and that no bound rules out.
+
+    ``facts`` has doc_id, d1, comp, single of the class representatives. The key order is total, so keys of
+    one prefix that lie before a shared key and are not shared are missing in the other set; for two
+    single documents this bounds their overlap.
+    """
+    spark = docs.sparkSession
+    for round_ in range(ROUNDS):
+        order = spark.sparkContext.broadcast(Order(often["token"].to_numpy(np.int64).view(np.uint64), often["freq"].to_numpy(np.int64)))
+        members = prefixes(docs, order, shingle, num, den).join(facts, ["doc_id", "d1"])
+        cells = _cells(members).repartition(parts(spark), "key")
+        column = Window.partitionBy("key")
+        cells = cells.withColumns({"low": F.min("comp").over(column), "high": F.max("comp").over(column), "width": F.count("*").over(column)})
+        shared = stored(cells.filter("low < high").drop("low", "high"), "matrix")
+        wide = shared.filter((F.col("width") > WIDE) & (F.col("key") < 1 << 62)).groupBy("key").agg(F.max("width").alias("freq"))
+        if round_ == ROUNDS - 1 or not wide.take(1):
+            break
+        # a key of an infrequent token is its mixed hash without the last two bits: four tokens have it
+        more = wide.orderBy(F.desc("freq"), "key").limit(MAX_FREQUENT).toPandas()
+        mixed = (more["key"].to_numpy(np.int64).view(np.uint64)[:, None] << np.uint64(2)) | np.arange(4, dtype=np.uint64)
+        more = pd.DataFrame({"token": unmix(mixed.reshape(-1)).view(np.int64), "freq": np.repeat(more["freq"].to_numpy(), 4)})
+        often = pd.concat([often, more], ignore_index=True)
+    left, right = (shared.select("key", F.col("comp").alias(c), F.col("pos").alias(f"{c}_pos"), F.col("is_index").alias(f"{c}_index")) for c in "ab")
+    met = left.join(right, "key").filter("a < b").groupBy("a", "b").agg(
+        F.count("*").alias("both"), F.max("a_pos").alias("a_pos"), F.max("b_pos").alias("b_pos"), F.max(F.col("a_index") | F.col("b_index")).alias("indexed")
+    )
+    met = met.filter("indexed")
+    sizes = facts.groupBy("comp").agg(F.max("single").alias("single"), F.min("n").alias("low"), F.max("n").alias("high"), F.count("*").alias("size"))
+    for c in "ab":
+        met = met.join(sizes.select(F.col("comp").alias(c), *[F.col(x).alias(f"{c}_{x}") for x in ("single", "low", "high", "size")]), c)
+    fits = (F.col("a_high") * den >= F.col("b_low") * num) & (F.col("b_high") * den >= F.col("a_low") * num)
+    need = F.col("a_low") + F.col("b_low")  # of two single documents: overlap * (num + den) >= num * (n_a + n_b)
+    most = F.least(*[F.col(f"{c}_low") - (F.col(f"{c}_pos") + 1 - F.col("both")) for c in "ab"])
+    bound = ~(F.col("a_single") & F.col("b_single")) | (most * (num + den) >= need * num)
+    return met.filter(fits & bound).select("a", "b", "a_size", "b_size")
+
+
 def jaccard_components(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs``."""
-    spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    often = frequent_tokens(docs, shingle).orderBy(F.desc("n"), "token").limit(MAX_FREQUENT).toPandas()
-    order = spark.sparkContext.broadcast(Order(often["token"].to_numpy(np.int64).view(np.uint64), often["n"].to_numpy(np.int64)))
-    rows = stored(set_table(docs, order, shingle, num, den), "sets")
+    found = stored(described(docs, shingle), "described")
+    often = found.filter("token is not null").groupBy("token").agg(F.sum("freq").alias("freq")).orderBy(F.desc("freq"), "token").limit(MAX_FREQUENT).toPandas()
+    rows = found.filter("token is null").drop("token", "freq")
     # classes of equal sets; the smallest doc_id stands for each
     some = rows.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    classes = some.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("node"), F.count("*").alias("n_rows"), F.min_by(F.struct("sigs", "probe", "n_index"), "doc_id").alias("x"))
-    classes = stored(classes.select("d1", "d2", "n", "node", "n_rows", "x.*"), "classes")
+    classes = some.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("node"), F.count("*").alias("n_rows"), F.any_value("sigs").alias("sigs"))
+    classes = stored(classes, "classes")
+    digests = classes.select(F.col("node").alias("doc_id"), "d1")
     # 1. groups
     signs = classes.select("node", F.posexplode("sigs").alias("k", "sig"))
-    lead = signs.groupBy("k", "sig").agg(F.min("node").alias("g"), F.count("*").alias("n_rows")).filter("n_rows > 1")
-    asks = lookup_left(signs, lead.select("k", "sig", "g"), ["k", "sig"], lead.select("k", "sig", "n_rows")).filter("g < node").select("g", F.col("node").alias("doc_id")).distinct()
-    asks = stored(asks, "asks")
+    lead = stored(signs.groupBy("k", "sig").agg(F.min("node").alias("g"), F.count("*").alias("n_rows")).filter("n_rows > 1"), "leaders")
+    asks = lookup_left(signs, lead.select("k", "sig", "g"), ["k", "sig"], lead.select("k", "sig", "n_rows")).filter("g < node")
+    asks = stored(asks.groupBy("g", F.col("node").alias("doc_id")).agg(F.count("*").alias("agree")).filter(F.col("agree") >= AGREE).select("g", "doc_id"), "asks")
     leaders = asks.select("g").distinct().select("g", F.col("g").alias("doc_id"))
-    ids = classes.select(F.col("node").alias("doc_id"), "d1", "n")
-    used = asks.select("doc_id").unionByName(leaders.select("doc_id")).distinct()
-    sets = stored(full_sets(docs, ids.join(used, "doc_id", "left_semi").select("doc_id", "d1"), shingle), "full")
-    links = stored(verify(asks, leaders, sets, num, den), "links")
+    links = stored(verify(docs, asks, leaders, digests, shingle, num, den), "links")
     comps = stored(components(links), "groups")
     # 2. matrix
-    members = classes.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    members = stored(members.select("node", "n", "d1", "comp", "probe", "n_index"), "members")
-    cells = members.select("comp", "n", "n_index", F.posexplode("probe").alias("k", "token"))
-    cells = cells.groupBy("token", "comp").agg(F.max(F.col("k") < F.col("n_index")).alias("is_index"), F.min("n").alias("low"), F.max("n").alias("high"))
-    cells = stored(cells, "cells")
-    columns = cells.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.max("is_index").alias("any_index"))
-    columns = columns.filter("a < b and any_index").select("token")
-    shared = stored(cells.join(columns, "token", "left_semi"), "matrix")
-    left = shared.select("token", F.col("comp").alias("a"), F.col("low").alias("a_low"), F.col("high").alias("a_high"))
-    right = shared.filter("is_index").select("token", F.col("comp").alias("b"), F.col("low").alias("b_low"), F.col("high").alias("b_high"))
-    fits = (F.col("a") != F.col("b")) & (F.col("a_high") * den >= F.col("b_low") * num) & (F.col("b_high") * den >= F.col("a_low") * num)
-    pairs = left.join(right, "token").filter(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    alone = classes.select("node", "d1", "n").join(comps, "node", "left")
+    facts = alone.select(F.col("node").alias("doc_id"), "d1", "n", F.coalesce("comp", "node").alias("comp"), F.col("comp").isNull().alias("single"))
+    facts = stored(facts, "facts")
+    pairs = matrix_pairs(docs, facts, often, shingle, num, den)
     # 3. bound and open: the members of the smaller group are the queries
-    sizes = members.groupBy("comp").agg(F.count("*").alias("size"))
-    pairs = pairs.join(sizes.select(F.col("comp").alias("a"), F.col("size").alias("a_size")), "a").join(sizes.select(F.col("comp").alias("b"), F.col("size").alias("b_size")), "b")
     swap = F.col("a_size") > F.col("b_size")
     pairs = stored(pairs.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("small"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("large"), F.greatest("a_size", "b_size").alias("size")), "pairs")
     if pairs.take(1):
         blocks = F.ceil(F.col("size") / BLOCK)
         opened = pairs.groupBy("large").agg(F.max("size").alias("size"))
-        place = F.pmod(F.xxhash64("node"), blocks)
         group = F.xxhash64("large", "block").alias("g")
-        targets = members.select("node", F.col("comp").alias("large")).join(opened, "large").withColumn("block", place).select(group, F.col("node").alias("doc_id"))
-        asks = pairs.join(members.select("node", F.col("comp").alias("small")), "small").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))).select(group, F.col("node").alias("doc_id"))
-        asks, targets = stored(asks, "asks2"), stored(targets, "targets")
-        used = asks.select("doc_id").unionByName(targets.select("doc_id")).distinct()
-        sets = stored(full_sets(docs, ids.join(used, "doc_id", "left_semi").select("doc_id", "d1"), shingle), "full2")
-        more = stored(verify(asks, targets, sets, num, den), "links2")
+        members = facts.select("doc_id", "comp")
+        targets = members.withColumnRenamed("comp", "large").join(opened, "large").withColumn("block", F.pmod(F.xxhash64("doc_id"), blocks)).select(group, "doc_id")
+        asks = pairs.join(members.withColumnRenamed("comp", "small"), "small").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))).select(group, "doc_id")
+        more = stored(verify(docs, stored(asks, "asks"), stored(targets, "targets"), digests, shingle, num, den), "links")
         if more.take(1):
-            comps = stored(components(links.unionByName(more)), "groups2")
-    facts = classes.select("d1", "d2", "n", "node", "n_rows").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    facts = stored(facts, "facts")
-    out = lookup_left(rows.select("doc_id", "n", "d1", "d2"), facts.select("d1", "d2", "n", "comp"), ["d1", "d2", "n"], facts.select("d1", "d2", "n", "n_rows"))
+            comps = stored(components(links.unionByName(more)), "groups")
+    final = classes.select("d1", "d2", "n", "node", "n_rows").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    final = stored(final, "final")
+    out = lookup_left(rows.select("doc_id", "n", "d1", "d2"), final.select("d1", "d2", "n", "comp"), ["d1", "d2", "n"], final.select("d1", "d2", "n", "n_rows"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id")).alias("component_id"))
 
 
