@@ -28,7 +28,7 @@ from .common import table
 
 GRAMS = (4, 5, 6)
 BITS = 20
-MAX_TOXIC, MAX_CLEAN = 1_500, 2_500
+MAX_TOXIC, MAX_CLEAN = 1_200, 1_800
 #: Slots whose log-count ratio is nearer to 0 tell nothing and get no weight.
 LEAST_RATIO = 1.5
 #: A text's features are divided by this power of their number, so long texts do not outweigh short ones.
@@ -77,20 +77,24 @@ def fit(texts: list[str | None], labels: np.ndarray, rounds: int = 80, l2: float
     labels = np.asarray(labels, np.float64)
     if not len(labels) or labels.min() == labels.max():
         return np.zeros(1 << BITS, np.float32), -np.inf
-    distinct = _Distinct()
-    rows = [distinct(slots(t)) for t in texts]
-    size = np.array([len(r) for r in rows])
-    col = np.concatenate(rows)
-    row = np.repeat(np.arange(len(rows), dtype=np.int32), size)
-    del rows
-    width = 1 << BITS
-    count = np.bincount(col, minlength=width)
-    toxic = np.bincount(col, weights=labels[row], minlength=width)
-    p, q = 1 + toxic, 1 + count - toxic
+    distinct, width = _Distinct(), 1 << BITS
+    count, toxic = np.zeros(width, np.int32), np.zeros(width, np.int32)
+    size = np.zeros(len(texts))
+    for i, text in enumerate(texts):
+        idx = distinct(slots(text))
+        size[i] = len(idx)
+        count[idx] += 1
+        toxic[idx] += int(labels[i])
+    p, q = 1.0 + toxic, 1.0 + count - toxic
     ratio = np.log((p / p.sum()) / (q / q.sum()))
     ratio[(count < 3) | (np.abs(ratio) < LEAST_RATIO)] = 0.0
-    used = ratio[col] != 0
-    col, row = col[used], row[used]
+    # the texts are hashed a second time, so only telling slots are held
+    rows = []
+    for text in texts:
+        idx = distinct(slots(text))
+        rows.append(idx[ratio[idx] != 0])
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
+    col = np.concatenate(rows)
     value = (ratio[col] * (np.maximum(size, 1.0) ** -LENGTH_POWER)[row]).astype(np.float32)
     weight_of = np.where(labels == 1, 0.5 / labels.mean(), 0.5 / (1 - labels.mean()))
     w, bias = np.zeros(width), 0.0
