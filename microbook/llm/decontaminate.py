@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import table
-from .textkit import BYTE_POWERS, IS_WORD_ALNUM, LOWER, chunks, prefix_sums, spans_hash
+from .textkit import BYTE_POWERS, IS_WORD_ALNUM, LOWER, chunks, prefix_sums, spans_hash, tidy
 
 WINDOW = 10
 #: Words of the items of one automaton.
@@ -269,7 +269,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
                 columns.append(pa.array([cut.get(i, x) for i, x in enumerate(col.to_pylist())], pa.string()) if cut else col)
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(tidy(run), schema)
 
 
 def _text_starts(col: pa.Array, rows: slice) -> list[int]:

@@ -14,8 +14,6 @@ other; rows of one text with the same doc_id all carry it as ``keep_id`` and all
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -23,6 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import lookup_left, parts, stored, table
 from .textkit import mix
+from .url_filter import split_by
 
 DIGESTS_PER_SHARD = 50_000
 #: Bits per key of a level; keys whose bit is taken by another go to the next level.
@@ -165,12 +164,19 @@ def exact_dedup(docs: DataFrame, history_share: float = 0.5) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay; of fully equal rows (same doc_id and text) one stays."""
+    """The rows of ``docs`` that stay; of fully equal rows (same doc_id and text) one stays.
+
+    Only rows that may have to go (a Bloom filter of fixed size tells) are shuffled.
+    """
     cols = docs.columns
-    verdict = exact_dedup(docs).filter("kept").select("doc_id", F.col("text_sha256").alias("__sha")).distinct()
+    verdict = stored(exact_dedup(docs).select("doc_id", "text_sha256", "kept"), "verdicts")
+    gone = verdict.filter("not kept").select("doc_id", "text_sha256")
+    again = verdict.filter("kept").groupBy("doc_id", "text_sha256").count().filter("count > 1").select("doc_id", "text_sha256")
+    gone, again = stored(gone.distinct(), "gone"), stored(again, "again")
     marked = docs.withColumn("__sha", F.sha2(F.encode(normalised(), "UTF-8"), 256))
-    kept = marked.join(verdict.withColumnRenamed("doc_id", "__id").withColumnRenamed("__sha", "__sha2"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("__sha2")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "__sha"]).select(*cols)
+    stay, asks = split_by(marked, [F.col("doc_id"), F.col("__sha")], gone.unionByName(again))
+    asks = asks.alias("a").join(gone.alias("g"), F.col("a.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("a.__sha") == F.col("g.text_sha256")), "left_anti")
+    return stay.unionByName(asks.dropDuplicates(["doc_id", "__sha"])).select(*cols)
 
 
 def op9_exact_dedup(spark, sf_dir):

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import table
+from .textkit import give_back
 
 WINDOW = 3
 #: Characters of a window at which the text surges.
@@ -168,8 +169,11 @@ def extract_text(pages: DataFrame, html_column: str = "html") -> DataFrame:
 
     @F.pandas_udf("string")
     def text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for htmls in batches:
-            yield pd.Series([main_text(x) for x in htmls], dtype=object)
+        try:
+            for htmls in batches:
+                yield pd.Series([main_text(x) for x in htmls], dtype=object)
+        finally:
+            give_back()
 
     return pages.withColumn("text", text(html_column))
 

@@ -35,18 +35,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, lookup_left, parts, stored, table
-from .textkit import chunks, list_array, mix, unmix
-from .url_filter import build_bloom
+from .textkit import chunks, list_array, mix, unmix, tidy
+from .url_filter import build_bloom, split_by
 
 SIGNATURES = 4
 #: Signatures that two documents must share to be compared in step 1.
 AGREE = 2
 #: A token that this many different documents of one stretch (of about STRETCH tokens) share is frequent and ordered last.
-FREQUENT, STRETCH = 4, 5_000_000
+FREQUENT, STRETCH = 4, 3_000_000
 #: Frequent tokens whose order is broadcast: those with the most documents. Others keep their place in the hash order, which costs time but no link.
 MAX_FREQUENT = 1_000_000
 #: A matrix column that more groups fill makes its token frequent, and the matrix is built again (at most ROUNDS times).
-WIDE, ROUNDS = 256, 3
+WIDE, ROUNDS = 32, 3
 #: Members of a group that share a token union; queries of a block that one task takes.
 BLOCK, QUERIES = 256, 1024
 
@@ -143,7 +143,7 @@ def described(docs: DataFrame, shingle: int) -> DataFrame:
         if held:
             yield counted()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n bigint, d1 bigint, d2 bigint, sigs array<bigint>, token bigint, freq bigint")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id bigint, n bigint, d1 bigint, d2 bigint, sigs array<bigint>, token bigint, freq bigint")
 
 
 class Order:
@@ -185,7 +185,7 @@ def prefixes(docs: DataFrame, order, shingle: int, num: int, den: int) -> DataFr
                     [batch.column("doc_id").slice(ch.rows.start, len(sizes)), pa.array(d1.view(np.int64)), pa.array(sizes), list_array(keys[first].view(np.int64), n_probe, pa.int64()), pa.array(n_index.astype(np.int32))], names
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, d1 bigint, n bigint, probe array<bigint>, n_index int")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id bigint, d1 bigint, n bigint, probe array<bigint>, n_index int")
 
 
 def _cells(members: DataFrame) -> DataFrame:
@@ -214,7 +214,7 @@ def _cells(members: DataFrame) -> DataFrame:
                 key, comp, pos, is_index = key[at], comp[at], pos[at], is_index[at]
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(comp), pa.array(pos), pa.array(is_index)], names)
 
-    return members.select("comp", "single", "probe", "n_index").mapInArrow(run, "key bigint, comp bigint, pos int, is_index boolean")
+    return members.select("comp", "single", "probe", "n_index").mapInArrow(tidy(run), "key bigint, comp bigint, pos int, is_index boolean")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
@@ -235,7 +235,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
                     ["doc_id", "d1", "tokens"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, d1 bigint, tokens array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id bigint, d1 bigint, tokens array<bigint>")
 
 
 def _linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
@@ -343,10 +343,11 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, num: int = 80, den: in
     classes = stored(classes, "classes")
     digests = classes.select(F.col("node").alias("doc_id"), "d1")
     # 1. groups
-    signs = classes.select("node", F.posexplode("sigs").alias("k", "sig"))
-    lead = stored(signs.groupBy("k", "sig").agg(F.min("node").alias("g"), F.count("*").alias("n_rows")).filter("n_rows > 1"), "leaders")
-    asks = lookup_left(signs, lead.select("k", "sig", "g"), ["k", "sig"], lead.select("k", "sig", "n_rows")).filter("g < node")
-    asks = stored(asks.groupBy("g", F.col("node").alias("doc_id")).agg(F.count("*").alias("agree")).filter(F.col("agree") >= AGREE).select("g", "doc_id"), "asks")
+    signs = classes.select("node", "n", F.posexplode("sigs").alias("k", "sig"))
+    lead = stored(signs.groupBy("k", "sig").agg(F.min(F.struct("node", "n")).alias("g"), F.count("*").alias("n_rows")).filter("n_rows > 1"), "leaders")
+    asks = lookup_left(signs, lead.select("k", "sig", "g"), ["k", "sig"], lead.select("k", "sig", "n_rows"))
+    near = (F.least("n", "g.n") * den >= F.greatest("n", "g.n") * num) & (F.col("g.node") < F.col("node"))
+    asks = stored(asks.filter(near).groupBy(F.col("g.node").alias("g"), F.col("node").alias("doc_id")).agg(F.count("*").alias("agree")).filter(F.col("agree") >= AGREE).select("g", "doc_id"), "asks")
     leaders = asks.select("g").distinct().select("g", F.col("g").alias("doc_id"))
     links = stored(verify(docs, asks, leaders, digests, shingle, num, den), "links")
     comps = stored(components(links), "groups")
@@ -379,10 +380,11 @@ def op2_jaccard_join(spark, sf_dir):
 
 
 def one_of_each(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The document with the smallest doc_id of each component; a row with a null doc_id stays."""
-    cols = docs.columns
-    found = jaccard_components(docs, shingle, num, den).filter("component_id < doc_id").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*cols)
+    """The document with the smallest doc_id of each component; a row with a null doc_id stays. Only rows that may have to go are shuffled."""
+    gone = jaccard_components(docs, shingle, num, den).filter("component_id < doc_id").select("doc_id").distinct()
+    gone = stored(gone, "gone")
+    stay, asks = split_by(docs, [F.col("doc_id")], gone)
+    return stay.unionByName(asks.join(gone, "doc_id", "left_anti").select(*docs.columns))
 
 
 ORACLE = {

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import lookup_left, stored, table
-from .textkit import chunks, list_array
+from .textkit import chunks, list_array, tidy
 from .url_filter import BlockedBloom, build_bloom
 
 WINDOW = 50
@@ -78,7 +78,7 @@ def _phrase_rows(docs: DataFrame, window: int, anchor: int) -> DataFrame:
                     [pa.array(a.view(np.int64)), pa.array(d.view(np.int64)), ids.take(take), rows.take(take), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32))], names
                 )
 
-    return docs.mapInArrow(run, "anchor bigint, digest bigint, doc_id bigint, row bigint, first int, n int")
+    return docs.mapInArrow(tidy(run), "anchor bigint, digest bigint, doc_id bigint, row bigint, first int, n int")
 
 
 def _window_rows(docs: DataFrame, window: int, anchor: int, wanted) -> DataFrame:
@@ -100,7 +100,7 @@ def _window_rows(docs: DataFrame, window: int, anchor: int, wanted) -> DataFrame
                     names,
                 )
 
-    return docs.mapInArrow(run, "anchor bigint, digest bigint, doc_id bigint, row bigint, first int, windows array<bigint>")
+    return docs.mapInArrow(tidy(run), "anchor bigint, digest bigint, doc_id bigint, row bigint, first int, windows array<bigint>")
 
 
 def _filter_key(anchor: np.ndarray, digest: np.ndarray, doc_id: np.ndarray) -> np.ndarray:
@@ -171,7 +171,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
                 kept.append(b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g]))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept_text"])
 
-    return rows.mapInArrow(run, "doc_id bigint, n_words bigint, n_removed bigint, kept_text string")
+    return rows.mapInArrow(tidy(run), "doc_id bigint, n_words bigint, n_removed bigint, kept_text string")
 
 
 def op3_substring_dedup(spark, sf_dir):

@@ -7,6 +7,8 @@ an n-gram's hash is the same over its words' hashes.
 
 from __future__ import annotations
 
+import ctypes
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -100,8 +102,8 @@ class Chunk:
         return at + np.arange(len(at))
 
 
-def column_bytes(col: pa.Array, lower: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, offsets) of a string column; nulls are empty."""
+def column_view(col: pa.Array) -> tuple[memoryview, np.ndarray]:
+    """(bytes, offsets) of a string column, not copied; nulls are empty."""
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
     if col.null_count:
@@ -109,21 +111,18 @@ def column_bytes(col: pa.Array, lower: bool) -> tuple[np.ndarray, np.ndarray]:
     wide = pa.types.is_large_string(col.type)
     buffers = col.buffers()
     offsets = np.frombuffer(buffers[1], np.int64 if wide else np.int32)[col.offset : col.offset + len(col) + 1].astype(np.int64)
-    raw = memoryview(buffers[2])[offsets[0] : offsets[-1]] if buffers[2] is not None else b""
-    data = bytes(raw)
-    if lower:
-        data = data.translate(LOWER)
-    return np.frombuffer(data, np.uint8), offsets - offsets[0]
+    return memoryview(buffers[2]) if buffers[2] is not None else memoryview(b""), offsets
 
 
 def chunks(col: pa.Array, lower: bool, is_word: np.ndarray = IS_WORD_SPACE) -> Iterator[Chunk]:
     """Hash the words of a string column, about CHUNK_BYTES at a time (a longer text makes a chunk of its own)."""
-    data, offsets = column_bytes(col, lower)
+    view, offsets = column_view(col)
     n, at = len(offsets) - 1, 0
     while at < n:
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + CHUNK_BYTES, "right")) - 1)
         lo, hi = offsets[at], offsets[to]
-        own = data[lo:hi]
+        raw = view[lo:hi]
+        own = np.frombuffer(bytes(raw).translate(LOWER) if lower else raw, np.uint8)
         word = is_word[own]
         # edge[i]: a word starts or ends before byte i; a text's border always separates
         before = np.empty(len(own) + 1, bool)
@@ -141,6 +140,28 @@ def chunks(col: pa.Array, lower: bool, is_word: np.ndarray = IS_WORD_SPACE) -> I
         at = to
 
 
+def give_back() -> None:
+    """Return freed memory to the system: workers are reused, and what one function held at its peak would stay."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def tidy(run):
+    """Wrap a function over batches so that its worker gives memory back when it ends."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
+
+
 def list_array(values: np.ndarray, lengths: np.ndarray, kind: pa.DataType) -> pa.ListArray:
     offsets = np.zeros(len(lengths) + 1, np.int32)
     np.cumsum(lengths, out=offsets[1:])

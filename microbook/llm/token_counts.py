@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import table
+from .textkit import tidy
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # fixed value: the pre-tokenisation pattern of this vocabulary
@@ -119,7 +120,7 @@ def count_tokens(docs: DataFrame, key: str = "doc_id", rule: str = "start", voca
             yield out if rule == "split" else out.astype({"n_tokens": "int64"})
 
     schema = f"`{key}` {kind}, section int, start bigint, stop bigint, n_tokens {number}"
-    return docs.select(key, "text").mapInPandas(run, schema)
+    return docs.select(key, "text").mapInPandas(tidy(run), schema)
 
 
 def count_field_tokens(rows: DataFrame, key: str, fields: list[str], joint: str = "\n", rule: str = "start", vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
@@ -142,7 +143,7 @@ def count_field_tokens(rows: DataFrame, key: str, fields: list[str], joint: str
                 out += [(name, f, n) for f, n in zip(fields, attribute(tokens.ends(text), edges[:-1], edges[1:], rule).tolist(), strict=True)]
             yield pd.DataFrame(out, columns=[key, "field", "n_tokens"])
 
-    return packed.mapInPandas(run, f"`{key}` {kind}, field string, n_tokens double")
+    return packed.mapInPandas(tidy(run), f"`{key}` {kind}, field string, n_tokens double")
 
 
 def op10_token_counts(spark, sf_dir):

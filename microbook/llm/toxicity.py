@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import table
+from .textkit import give_back
 
 GRAMS = (4, 5, 6)
 BITS = 20
@@ -151,8 +152,11 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         weights, bias = held.value
         distinct = _Distinct()
-        for texts in batches:
-            yield pd.Series(score_texts(texts.tolist(), weights, bias, distinct))
+        try:
+            for texts in batches:
+                yield pd.Series(score_texts(texts, weights, bias, distinct))
+        finally:
+            give_back()
 
     return docs.withColumn("score", score("text"))
 

@@ -82,6 +82,26 @@ def build_bloom(keys: DataFrame, n: int, max_bytes: int = MAX_BYTES) -> BlockedB
     return empty
 
 
+def maybe_in(bloom, key: Column) -> Column:
+    """Whether a 64-bit hash may be in a broadcast filter."""
+
+    @F.pandas_udf("boolean")
+    def maybe(keys: pd.Series) -> pd.Series:
+        return pd.Series(bloom.value.maybe(keys.to_numpy(np.int64).view(np.uint64)))
+
+    return maybe(key)
+
+
+def split_by(rows: DataFrame, keys: list[Column], listed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows`` in two: those surely not listed, which need not move, and those that may be. ``listed`` has the keys as its only columns."""
+    n = listed.count()
+    if not n:
+        return rows, rows.limit(0)
+    bloom = rows.sparkSession.sparkContext.broadcast(build_bloom(listed.select(F.xxhash64(*listed.columns).alias("k")), n))
+    marked = rows.withColumn("__maybe", maybe_in(bloom, F.xxhash64(*keys)))
+    return marked.filter("not __maybe").drop("__maybe"), marked.filter("__maybe").drop("__maybe")
+
+
 def host_of(url: Column) -> Column:
     host = F.regexp_extract(url, r"^(?s:.*?)://([^/?#]*)", 1)
     return F.coalesce(F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(""))

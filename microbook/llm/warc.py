@@ -19,13 +19,11 @@ page_id loses against any other. An empty table makes an archive without records
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import fresh_path, lookup_left, stored, table
-from .url_filter import build_bloom
+from .url_filter import split_by
 
 MAGIC = "WARC/1.1\r\n"
 END = "\r\n\r\n"
@@ -68,22 +66,10 @@ def write_warc(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
     html = F.coalesce("html", F.lit(""))
     rows = pages.select("page_id", "url", html.alias("html"), base32_sha1(html.cast("binary")).alias("digest"), F.octet_length(html).alias("bytes"))
     revisits = stored(record_types(pages, min_bytes).filter("record_type = 'revisit'").select("page_id", "digest", "refers_to").distinct(), "revisits")
-    n = revisits.count()
-    if n:
-        key = F.xxhash64("page_id", "digest")
-        bloom = pages.sparkSession.sparkContext.broadcast(build_bloom(revisits.select(key.alias("k")), n))
-
-        @F.pandas_udf("boolean")
-        def maybe(keys: pd.Series) -> pd.Series:
-            return pd.Series(bloom.value.maybe(keys.to_numpy(np.int64).view(np.uint64)))
-
-        marked = rows.withColumn("maybe", maybe(key))
-        asks = marked.filter("maybe").drop("maybe").alias("a")
-        found = revisits.alias("r")
-        asks = asks.join(found, F.col("a.page_id").eqNullSafe(F.col("r.page_id")) & (F.col("a.digest") == F.col("r.digest")), "left").select("a.*", "r.refers_to", F.col("r.digest").isNotNull().alias("again"))
-        rows = marked.filter("not maybe").drop("maybe").withColumns({"refers_to": F.lit(None).cast("long"), "again": F.lit(False)}).unionByName(asks)
-    else:
-        rows = rows.withColumns({"refers_to": F.lit(None).cast("long"), "again": F.lit(False)})
+    plain, asks = split_by(rows, [F.col("page_id"), F.col("digest")], revisits.select("page_id", "digest"))
+    same = F.col("a.page_id").eqNullSafe(F.col("r.page_id")) & (F.col("a.digest") == F.col("r.digest"))
+    asks = asks.alias("a").join(revisits.alias("r"), same, "left").select("a.*", "r.refers_to", F.col("r.digest").isNotNull().alias("again"))
+    rows = plain.withColumns({"refers_to": F.lit(None).cast("long"), "again": F.lit(False)}).unionByName(asks)
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\nContent-Length: "), F.col("bytes").cast("string"), F.lit(END))
     block = F.concat(http, F.when(F.col("again"), "").otherwise(F.col("html")))
     url = F.replace(F.replace(_text("url"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
