@@ -11,9 +11,8 @@ The join returns the connected components of all links; links inside a component
 2. Matrix. For each group the matrix holds the union of its members' probe tokens (of a set of n those
    rarest n - ceil(t n) + 1) and marks the index tokens among them (the rarest n - ceil(2t/(1+t) n) + 1).
    Of two linked sets the smaller one's index tokens and the larger one's probe tokens meet, so no link
-   between groups is lost. A matrix column that a single group fills is dropped. Rarity comes from all
-   documents: tokens that are frequent in some stretch of the corpus come last, and tokens whose column
-   turns out wide are moved there as well. Prefix places bound the overlap of two single documents.
+   between groups is lost. A matrix column that a single group fills is dropped. Rarity is counted over
+   all documents; frequent tokens come last. Prefix places bound the overlap of two single documents.
 3. Bound and open. For groups that meet in the matrix, the members of the smaller one are queries. A
    query's overlap with the token union of a block of the other group's members bounds its overlap with
    each of them; only where the bound qualifies is the block opened and the query compared with members.
@@ -35,18 +34,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, lookup_left, parts, stored, table
-from .textkit import chunks, list_array, mix, unmix, tidy
+from .textkit import chunks, list_array, mix, tidy
 from .url_filter import build_bloom, split_by
 
 SIGNATURES = 4
 #: Signatures that two documents must share to be compared in step 1.
 AGREE = 2
-#: A token that this many different documents of one stretch (of about STRETCH tokens) share is frequent and ordered last.
-FREQUENT, STRETCH = 4, 3_000_000
+#: A token of more documents than this is frequent and ordered last. Exact for tokens with hashes in the lowest
+#: quarter, where prefixes lie; a token with any hash counts as far as LOCAL documents of one stretch (of about
+#: STRETCH tokens) share it.
+WIDE, LOCAL, STRETCH = 16, 4, 3_000_000
+QUARTER = np.uint64(1 << 62)
 #: Frequent tokens whose order is broadcast: those with the most documents. Others keep their place in the hash order, which costs time but no link.
 MAX_FREQUENT = 1_000_000
-#: A matrix column that more groups fill makes its token frequent, and the matrix is built again (at most ROUNDS times).
-WIDE, ROUNDS = 32, 3
 #: Members of a group that share a token union; queries of a block that one task takes.
 BLOCK, QUERIES = 256, 1024
 
@@ -93,57 +93,49 @@ def _at_least(x: np.ndarray, num: int, den: int) -> np.ndarray:
 
 
 def described(docs: DataFrame, shingle: int) -> DataFrame:
-    """One pass that gives two kinds of rows: (doc_id, n, d1, d2, sigs) of every document, and (token, freq) of the tokens that
-    FREQUENT differing documents of a stretch of the corpus share; every document is counted."""
-    names = ["doc_id", "n", "d1", "d2", "sigs", "token", "freq"]
-    none = pa.nulls
+    """(doc_id, n, d1, d2, sigs) of every document."""
+    names = ["doc_id", "n", "d1", "d2", "sigs"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, seen, n = [], [], 0
-
-        def counted():
-            tokens, counts = np.unique(np.concatenate(held), return_counts=True)
-            often = counts >= FREQUENT
-            k = int(often.sum())
-            return pa.RecordBatch.from_arrays(
-                [none(k, pa.int64()), none(k, pa.int64()), none(k, pa.int64()), none(k, pa.int64()), none(k, pa.list_(pa.int64())), pa.array(tokens[often].view(np.int64)), pa.array(counts[often])], names
-            )
-
         for batch in batches:
             for ch in chunks(batch.column("text"), True):
                 values, sizes = doc_sets(ch, shingle)
                 d1, d2 = _digests(values, sizes)
-                full = np.flatnonzero(sizes)
+                full, k = np.flatnonzero(sizes), len(sizes)
                 begin = np.cumsum(sizes) - sizes
-                sigs = np.zeros((SIGNATURES, len(sizes)), np.uint64)
-                for k in range(SIGNATURES if len(full) else 0):
-                    sigs[k, full] = np.minimum.reduceat(mix(values ^ np.uint64(0x1F123BB5 * (k + 1))), begin[full])
-                new = np.zeros(len(sizes), bool)
-                new[np.unique(d1, return_index=True)[1]] = True
-                new &= ~np.isin(d1, np.concatenate(seen)) if seen else True
-                seen.append(d1)
-                held.append(values[np.repeat(new, sizes)])
+                sigs = np.zeros((SIGNATURES, k), np.uint64)
+                for j in range(SIGNATURES if len(full) else 0):
+                    sigs[j, full] = np.minimum.reduceat(mix(values ^ np.uint64(0x1F123BB5 * (j + 1))), begin[full])
+                own = [batch.column("doc_id").slice(ch.rows.start, k), pa.array(sizes), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64))]
+                yield pa.RecordBatch.from_arrays([*own, list_array(sigs.T.reshape(-1).view(np.int64), np.full(k, SIGNATURES), pa.int64())], names)
+
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id bigint, n bigint, d1 bigint, d2 bigint, sigs array<bigint>")
+
+
+def frequent_tokens(docs: DataFrame, shingle: int) -> DataFrame:
+    """(token, freq) of the frequent tokens, over all documents; counts are combined by stretches before they move."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def counted() -> pa.RecordBatch:
+            tokens, counts = np.unique(np.concatenate(held), return_counts=True)
+            told = (counts >= LOCAL) | (mix(tokens) < QUARTER)
+            return pa.RecordBatch.from_arrays([pa.array(tokens[told].view(np.int64)), pa.array(counts[told])], ["token", "freq"])
+
+        for batch in batches:
+            for ch in chunks(batch.column("text"), True):
+                values, _ = doc_sets(ch, shingle)
+                held.append(values)
                 n += len(values)
                 if n >= STRETCH:
                     yield counted()
-                    held, seen, n = [], [], 0
-                k = len(sizes)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("doc_id").slice(ch.rows.start, k),
-                        pa.array(sizes),
-                        pa.array(d1.view(np.int64)),
-                        pa.array(d2.view(np.int64)),
-                        list_array(sigs.T.reshape(-1).view(np.int64), np.full(k, SIGNATURES), pa.int64()),
-                        none(k, pa.int64()),
-                        none(k, pa.int64()),
-                    ],
-                    names,
-                )
+                    held, n = [], 0
         if held:
             yield counted()
 
-    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id bigint, n bigint, d1 bigint, d2 bigint, sigs array<bigint>, token bigint, freq bigint")
+    found = docs.select("text").mapInArrow(tidy(run), "token bigint, freq bigint")
+    return found.groupBy("token").agg(F.sum("freq").alias("freq")).filter(F.col("freq") > WIDE)
 
 
 class Order:
@@ -189,12 +181,13 @@ def prefixes(docs: DataFrame, order, shingle: int, num: int, den: int) -> DataFr
 
 
 def _cells(members: DataFrame) -> DataFrame:
-    """(key, comp, pos, is_index) of ``members(comp, single, probe, n_index)``; pos is the place in the prefix of a group's only member, else -1.
+    """(key, comp, pos, n, is_index) of ``members(comp, single, n, probe, n_index)``; pos and n are the place in the prefix and the
+    size of a group's only member, else -1 and null.
 
     The rows of one batch that repeat a group's key are joined before anything moves, so a key of a large
     group makes few rows.
     """
-    names = ["key", "comp", "pos", "is_index"]
+    names = ["key", "comp", "pos", "n", "is_index"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -202,7 +195,7 @@ def _cells(members: DataFrame) -> DataFrame:
             sizes = np.diff(probe.offsets.to_numpy())
             key = probe.flatten().to_numpy()
             pos = (np.arange(len(key)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
-            comp, single, n_index = (np.repeat(batch.column(c).to_numpy(zero_copy_only=False), sizes) for c in ("comp", "single", "n_index"))
+            comp, single, n, n_index = (np.repeat(batch.column(c).to_numpy(zero_copy_only=False), sizes) for c in ("comp", "single", "n", "n_index"))
             is_index = pos < n_index
             pos[~single] = -1
             many = np.flatnonzero(~single)
@@ -211,10 +204,11 @@ def _cells(members: DataFrame) -> DataFrame:
                 first = np.ones(len(by), bool)
                 first[1:] = (key[by[1:]] != key[by[:-1]]) | (comp[by[1:]] != comp[by[:-1]])
                 at = np.concatenate([np.flatnonzero(single), by[first]])
-                key, comp, pos, is_index = key[at], comp[at], pos[at], is_index[at]
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(comp), pa.array(pos), pa.array(is_index)], names)
+                key, comp, pos, n, is_index = key[at], comp[at], pos[at], n[at], is_index[at]
+            size = pa.array(n.astype(np.int32), mask=pos < 0)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(comp), pa.array(pos), size, pa.array(is_index)], names)
 
-    return members.select("comp", "single", "probe", "n_index").mapInArrow(tidy(run), "key bigint, comp bigint, pos int, is_index boolean")
+    return members.select("comp", "single", "n", "probe", "n_index").mapInArrow(tidy(run), "key bigint, comp bigint, pos int, n int, is_index boolean")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
@@ -300,24 +294,19 @@ def matrix_pairs(docs: DataFrame, facts: DataFrame, often: pd.DataFrame, shingle
     one prefix that lie before a shared key and are not shared are missing in the other set; for two
     single documents this bounds their overlap.
     """
-    spark = docs.sparkSession
-    for round_ in range(ROUNDS):
-        order = spark.sparkContext.broadcast(Order(often["token"].to_numpy(np.int64).view(np.uint64), often["freq"].to_numpy(np.int64)))
-        members = prefixes(docs, order, shingle, num, den).join(facts, ["doc_id", "d1"])
-        cells = _cells(members).repartition(parts(spark), "key")
-        column = Window.partitionBy("key")
-        cells = cells.withColumns({"low": F.min("comp").over(column), "high": F.max("comp").over(column), "width": F.count("*").over(column)})
-        shared = stored(cells.filter("low < high").drop("low", "high"), "matrix")
-        wide = shared.filter((F.col("width") > WIDE) & (F.col("key") < 1 << 62)).groupBy("key").agg(F.max("width").alias("freq"))
-        if round_ == ROUNDS - 1 or not wide.take(1):
-            break
-        # a key of an infrequent token is its mixed hash without the last two bits: four tokens have it
-        more = wide.orderBy(F.desc("freq"), "key").limit(MAX_FREQUENT).toPandas()
-        mixed = (more["key"].to_numpy(np.int64).view(np.uint64)[:, None] << np.uint64(2)) | np.arange(4, dtype=np.uint64)
-        more = pd.DataFrame({"token": unmix(mixed.reshape(-1)).view(np.int64), "freq": np.repeat(more["freq"].to_numpy(), 4)})
-        often = pd.concat([often, more], ignore_index=True)
-    left, right = (shared.select("key", F.col("comp").alias(c), F.col("pos").alias(f"{c}_pos"), F.col("is_index").alias(f"{c}_index")) for c in "ab")
-    met = left.join(right, "key").filter("a < b").groupBy("a", "b").agg(
+    order = docs.sparkSession.sparkContext.broadcast(Order(often["token"].to_numpy(np.int64).view(np.uint64), often["freq"].to_numpy(np.int64)))
+    members = prefixes(docs, order, shingle, num, den).join(facts.drop("n"), ["doc_id", "d1"])
+    cells = _cells(members).repartition(parts(docs.sparkSession), "key")
+    column = Window.partitionBy("key")
+    cells = cells.withColumns({"low": F.min("comp").over(column), "high": F.max("comp").over(column)})
+    shared = stored(cells.filter("low < high").drop("low", "high"), "matrix")
+    left, right = (shared.select("key", F.col("comp").alias(c), F.col("pos").alias(f"{c}_pos"), F.col("n").alias(f"{c}_n"), F.col("is_index").alias(f"{c}_index")) for c in "ab")
+    # two single documents need this overlap, and so a shared key among the first n - need + 1 of either; all shared
+    # keys before the last such key are such keys as well, so counting those loses nothing
+    need = F.ceil(num * (F.col("a_n") + F.col("b_n")) / (num + den))
+    early = (F.col("a_pos") <= F.col("a_n") - need) & (F.col("b_pos") <= F.col("b_n") - need)
+    near = (F.least("a_n", "b_n") * den >= F.greatest("a_n", "b_n") * num) & early
+    met = left.join(right, (left["key"] == right["key"]) & (F.col("a") < F.col("b")) & F.coalesce(near, F.lit(True))).groupBy("a", "b").agg(
         F.count("*").alias("both"), F.max("a_pos").alias("a_pos"), F.max("b_pos").alias("b_pos"), F.max(F.col("a_index") | F.col("b_index")).alias("indexed")
     )
     met = met.filter("indexed")
@@ -334,9 +323,8 @@ def matrix_pairs(docs: DataFrame, facts: DataFrame, often: pd.DataFrame, shingle
 def jaccard_components(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs``."""
     docs = docs.select("doc_id", "text")
-    found = stored(described(docs, shingle), "described")
-    often = found.filter("token is not null").groupBy("token").agg(F.sum("freq").alias("freq")).orderBy(F.desc("freq"), "token").limit(MAX_FREQUENT).toPandas()
-    rows = found.filter("token is null").drop("token", "freq")
+    often = frequent_tokens(docs, shingle).orderBy(F.desc("freq"), "token").limit(MAX_FREQUENT).toPandas()
+    rows = stored(described(docs, shingle), "described")
     # classes of equal sets; the smallest doc_id stands for each
     some = rows.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
     classes = some.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("node"), F.count("*").alias("n_rows"), F.any_value("sigs").alias("sigs"))

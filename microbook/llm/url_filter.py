@@ -65,7 +65,9 @@ class BlockedBloom:
 def build_bloom(keys: DataFrame, n: int, max_bytes: int = MAX_BYTES) -> BlockedBloom:
     """Filter of a DataFrame's only column (64-bit hashes). Tasks fill partial filters of the final size,
     which meet two by two on the executors; the driver gets one of at most ``max_bytes``."""
-    empty = BlockedBloom(n, max_bytes)
+    out = BlockedBloom(n, max_bytes)
+    if not n:
+        return out
 
     def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = BlockedBloom(n, max_bytes)
@@ -78,8 +80,8 @@ def build_bloom(keys: DataFrame, n: int, max_bytes: int = MAX_BYTES) -> BlockedB
 
     tasks = max(1, min(64, -(-n // 500_000)))
     partial = keys.repartition(tasks).mapInPandas(fill, "words binary").rdd.map(lambda r: bytes(r[0]))
-    empty.words = np.frombuffer(partial.treeReduce(join), np.uint64).reshape(-1, BLOCK_WORDS).copy()
-    return empty
+    out.words = np.frombuffer(partial.treeReduce(join), np.uint64).reshape(-1, BLOCK_WORDS).copy()
+    return out
 
 
 def maybe_in(bloom, key: Column) -> Column:
