@@ -1,8 +1,8 @@
 """Benchmark decontamination with a generalised suffix automaton.
 
 The normalised test items are the strings of one suffix automaton per block of items (a block holds at
-most ``block_words`` words, which bounds what is broadcast; a larger benchmark makes more blocks, each
-streamed over all documents). A document's words are streamed through the automaton, which tracks the
+most ``block_words`` words or one item, which bounds what is broadcast and what a worker holds; a larger
+benchmark makes more blocks, and each is streamed over all documents in a pass of its own). A document's words are streamed through the automaton, which tracks the
 length of the longest item passage that ends at each word. Where that length reaches the window (10
 words, or a whole shorter item), the window's words are hit, and the state that stands for the window
 names the items it occurs in.
@@ -23,12 +23,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import stored, table
 from .textkit import BYTE_POWERS, IS_WORD_ALNUM, LOWER, chunks, prefix_sums, spans_hash, tidy
 
 WINDOW = 10
 #: Words of the items of one automaton.
-BLOCK_WORDS = 1_000_000
+BLOCK_WORDS = 150_000
 #: In the pipeline a document with a larger share of hit words goes; 0: any hit.
 COVERAGE_LIMIT = 0.0
 
@@ -208,68 +208,81 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     """``docs`` with n_words, n_hit, items (ids of the items found), spans (hit words, from..to) and clean_text.
 
     ``clean_text`` is the text without the hit words; ``clean=False`` returns neither it nor the text.
-    One pass over the documents, without a shuffle; all blocks of items are streamed in that pass, one
-    broadcast automaton each. Columns of ``docs`` that are named like a result give way to it.
+    No shuffle; a benchmark of one block takes one pass, each further block another, between which the
+    documents and what was found so far are stored. Columns of ``docs`` that are named like a result give
+    way to it.
     """
-    spark = docs.sparkSession
-    automata = [spark.sparkContext.broadcast(Automaton(block, window)) for block in item_blocks(benchmark, block_words)]
-    kept = docs.select(*[c for c in docs.columns if c not in ("n_words", "n_hit", "items", "spans", "clean_text")])
-    passed = [f for f in kept.schema.fields if clean or f.name != "text"]
-    names = [f.name for f in passed] + ["n_words", "n_hit", "items", "spans"] + ["clean_text"] * clean
-    added = "n_words bigint, n_hit bigint, items array<bigint>, spans array<struct<start:bigint,stop:bigint>>" + ", clean_text string" * clean
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in passed) + added
+    out = docs.select(*[c for c in docs.columns if c not in (*RESULTS, "clean_text")])
+    blocks = item_blocks(benchmark, block_words)
+    block, first = next(blocks, []), True
+    while True:
+        following = next(blocks, None)
+        last = following is None
+        out = _pass(out, Automaton(block, window), first, with_text=clean or not last, with_clean=clean and last)
+        if last:
+            return out
+        out, block, first = stored(out, "passes"), following, False
+
+
+RESULTS = ("n_words", "n_hit", "items", "spans")
+_ADDED = "n_words bigint, n_hit bigint, items array<bigint>, spans array<struct<start:bigint,stop:bigint>>"
+
+
+def _pass(docs: DataFrame, automaton: Automaton, first: bool, with_text: bool, with_clean: bool) -> DataFrame:
+    """Stream one automaton over all documents and add to what earlier passes found."""
+    held = docs.sparkSession.sparkContext.broadcast(automaton)
+    passed = [f for f in docs.schema.fields if f.name not in RESULTS and (with_text or f.name != "text")]
+    names = [f.name for f in passed] + list(RESULTS) + ["clean_text"] * with_clean
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in passed) + _ADDED + ", clean_text string" * with_clean
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = [a.value for a in automata]
+        own = held.value
         for batch in batches:
             col = batch.column("text")
+            earlier = None if first else (batch.column("items"), batch.column("spans"))
             n_words, n_hit, items, spans, cut = [], [], [], [], {}
             for ch in chunks(col, True, IS_WORD_ALNUM):
-                first = ch.first.tolist()
+                at = ch.first.tolist()
                 found: dict[int, tuple[list, set]] = {}
-                for a in own:
-                    codes = a.codes(ch.hashes)
-                    known = codes >= 0
-                    # a run ends where its text ends
-                    for lo, hi in _runs(known, a.shortest):
-                        doc = int(np.searchsorted(ch.first, lo, "right")) - 1
-                        while lo < hi:
-                            to = min(hi, first[doc + 1])
-                            if to - lo >= a.shortest:
-                                s, it = a.stream(codes[lo:to].tolist())
-                                if s:
-                                    have = found.setdefault(doc, ([], set()))
-                                    have[0].extend((x + lo - first[doc], y + lo - first[doc]) for x, y in s)
-                                    have[1].update(it)
-                            lo, doc = to, doc + 1
+                codes = own.codes(ch.hashes)
+                for lo, hi in _runs(codes >= 0, own.shortest):
+                    doc = int(np.searchsorted(ch.first, lo, "right")) - 1
+                    while lo < hi:  # a run ends where its text ends
+                        to = min(hi, at[doc + 1])
+                        if to - lo >= own.shortest:
+                            s, it = own.stream(codes[lo:to].tolist())
+                            if s:
+                                have = found.setdefault(doc, ([], set()))
+                                have[0].extend((x + lo - at[doc], y + lo - at[doc]) for x, y in s)
+                                have[1].update(it)
+                        lo, doc = to, doc + 1
                 byte_first = None
-                for doc in range(len(first) - 1):
-                    n_words.append(first[doc + 1] - first[doc])
-                    if doc in found:
-                        own_spans = _merged(found[doc][0])
-                        if clean:
-                            row, a0, b0 = ch.rows.start + doc, first[doc], first[doc + 1]
-                            byte_first = byte_first or _text_starts(col, ch.rows)
-                            places = np.stack([ch.starts[a0:b0], ch.ends[a0:b0]]) - byte_first[doc]
-                            cut[row] = _cut(col[row].as_py(), own_spans, places)
-                        spans.append([{"start": x, "stop": y} for x, y in own_spans])
-                        n_hit.append(sum(y - x for x, y in own_spans))
-                        items.append(sorted((x for x in found[doc][1] if x is not None), key=str))
-                    else:
-                        spans.append([])
-                        n_hit.append(0)
-                        items.append([])
+                for doc in range(len(at) - 1):
+                    row = ch.rows.start + doc
+                    new_spans, new_items = found.get(doc, ((), ()))
+                    if earlier:
+                        new_items = {*new_items, *earlier[0][row].as_py()}
+                        new_spans = [*new_spans, *((x["start"], x["stop"]) for x in earlier[1][row].as_py())]
+                    own_spans = _merged(new_spans) if new_spans else []
+                    n_words.append(at[doc + 1] - at[doc])
+                    n_hit.append(sum(y - x for x, y in own_spans))
+                    items.append(sorted((x for x in new_items if x is not None), key=str) if new_items else [])
+                    spans.append([{"start": x, "stop": y} for x, y in own_spans])
+                    if with_clean and own_spans:
+                        byte_first = byte_first or _text_starts(col, ch.rows)
+                        places = np.stack([ch.starts[at[doc] : at[doc + 1]], ch.ends[at[doc] : at[doc + 1]]]) - byte_first[doc]
+                        cut[row] = _cut(col[row].as_py(), own_spans, places)
             columns = [batch.column(f.name) for f in passed] + [
                 pa.array(n_words, pa.int64()),
                 pa.array(n_hit, pa.int64()),
                 pa.array(items, pa.list_(pa.int64())),
                 pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))),
             ]
-            if clean:
+            if with_clean:
                 columns.append(pa.array([cut.get(i, x) for i, x in enumerate(col.to_pylist())], pa.string()) if cut else col)
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return kept.mapInArrow(tidy(run), schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def _text_starts(col: pa.Array, rows: slice) -> list[int]:
