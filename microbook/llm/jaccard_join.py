@@ -6,8 +6,9 @@ The join returns the connected components of all links; links inside a component
 
 1. Grouping. Similar documents share the smallest hash of their set with a probability that is their
    similarity. For four hash orders, each class finds the smallest class with the same minimum; it is
-   verified against one that two orders name. The components of these links are the groups. A large family of near copies so becomes one
-   group by a number of comparisons that is linear in its size.
+   verified against one that two orders name, and against a few pivots of those that found the same one.
+   The components of these links are the groups. A large family of near copies so becomes one group by a
+   number of comparisons that is linear in its size.
 2. Matrix. For each group the matrix holds the union of its members' probe tokens (of a set of n those
    rarest n - ceil(t n) + 1) and marks the index tokens among them (the rarest n - ceil(2t/(1+t) n) + 1).
    Of two linked sets the smaller one's index tokens and the larger one's probe tokens meet, so no link
@@ -49,6 +50,8 @@ QUARTER = np.uint64(1 << 62)
 MAX_FREQUENT = 1_000_000
 #: Members of a group that share a token union; queries of a block that one task takes.
 BLOCK, QUERIES = 256, 1024
+#: Documents of a block that the others are compared with in step 1.
+PIVOTS = 8
 
 
 def doc_sets(ch, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -257,9 +260,37 @@ def open_groups(queries: pd.DataFrame, members: pd.DataFrame, num: int, den: int
     return out
 
 
-def verify(docs: DataFrame, queries: DataFrame, members: DataFrame, digests: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
+def gather(block: pd.DataFrame, num: int, den: int) -> list[tuple[int, int]]:
+    """Links among the documents of one block, found by comparing them with a few pivots.
+
+    The pivots are the block's leader, the two documents whose tokens are the most common in the block (the
+    text that others are copies of), and then the most central of those that are not linked yet.
+    """
+    sets = [np.asarray(t, np.int64) for t in block["tokens"]]
+    ids, sizes = block["doc_id"].tolist(), np.array([len(t) for t in sets])
+    _, place, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    central = np.add.reduceat(counts[place].astype(float), np.cumsum(sizes) - sizes) / sizes
+    order = np.lexsort((ids, -central)).tolist()
+    linked, out, used = np.zeros(len(sets), bool), [], set()
+    leader = int(np.flatnonzero(~block["q"].to_numpy(bool))[0])
+    for k in range(PIVOTS):
+        pivot = leader if k == 0 else next((i for i in order if i not in used and (k < 3 or not linked[i])), None)
+        if pivot is None:
+            break
+        used.add(pivot)
+        for i in range(len(sets)):
+            low, high = sorted((sizes[i], sizes[pivot]))
+            if i not in used and (k < 3 or not linked[i]) and ids[i] != ids[pivot] and den * low >= num * high and _linked(sets[i], sets[pivot], num, den):
+                linked[i] = linked[pivot] = True
+                out.append((ids[i], ids[pivot]))
+    return out
+
+
+def verify(docs: DataFrame, queries: DataFrame, members: DataFrame, digests: DataFrame, shingle: int, num: int, den: int, among: bool = False) -> DataFrame:
     """Links (u, v) for ``queries(g, doc_id)`` against ``members(g, doc_id)``: at most one for each query and group g.
 
+    With ``among``, queries of a group may link with each other as well, by way of pivots.
+
     ``digests(doc_id, d1)`` tells the texts of the documents. A group with many queries is copied for each
     QUERIES of them, so no task takes an unbounded number; a document's groups travel with its row, so a
     full set moves once to meet its groups and once to each of them.
@@ -281,7 +312,7 @@ def verify(docs: DataFrame, queries: DataFrame, members: DataFrame, digests: Dat
         for _, block in pdf.groupby(["g", "salt"], sort=False):
             asks = block["q"].to_numpy(bool)
             if asks.any() and not asks.all():
-                out += open_groups(block[asks], block[~asks], num, den)
+                out += gather(block, num, den) if among else open_groups(block[asks], block[~asks], num, den)
         return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
 
     return rows.groupBy("bucket").applyInPandas(run, "u bigint, v bigint")
@@ -337,7 +368,7 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, num: int = 80, den: in
     near = (F.least("n", "g.n") * den >= F.greatest("n", "g.n") * num) & (F.col("g.node") < F.col("node"))
     asks = stored(asks.filter(near).groupBy(F.col("g.node").alias("g"), F.col("node").alias("doc_id")).agg(F.count("*").alias("agree")).filter(F.col("agree") >= AGREE).select("g", "doc_id"), "asks")
     leaders = asks.select("g").distinct().select("g", F.col("g").alias("doc_id"))
-    links = stored(verify(docs, asks, leaders, digests, shingle, num, den), "links")
+    links = stored(verify(docs, asks, leaders, digests, shingle, num, den, among=True), "links")
     comps = stored(components(links), "groups")
     # 2. matrix
     alone = classes.select("node", "d1", "n").join(comps, "node", "left")
