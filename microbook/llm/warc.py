@@ -95,10 +95,11 @@ def _content_length() -> Column:
 def pieces(spark: SparkSession, path: str) -> DataFrame:
     """(file, block, no, piece, h) of what follows each magic up to the next (and, with no magic, precedes the first).
 
-    ``block`` and ``no`` order the pieces of one scan; ``h``, a hash of the piece, finds it again in another.
+    ``file`` is a hash of the file's path, so offsets travel without it; ``block`` and ``no`` order the pieces
+    of one scan; ``h``, a hash of the piece, finds it again in another.
     """
     return spark.read.option("lineSep", MAGIC).text(path).select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("no"), F.col("value").alias("piece"), F.xxhash64("value", F.octet_length("value")).alias("h"),
     )
 
