@@ -318,14 +318,14 @@ def verify(docs: DataFrame, queries: DataFrame, members: DataFrame, digests: Dat
     return rows.groupBy("bucket").applyInPandas(run, "u bigint, v bigint")
 
 
-def matrix_pairs(docs: DataFrame, facts: DataFrame, often: pd.DataFrame, shingle: int, num: int, den: int) -> DataFrame:
+def matrix_pairs(docs: DataFrame, facts: DataFrame, often: pa.Table, shingle: int, num: int, den: int) -> DataFrame:
     """(a, b), a < b: pairs of groups that meet in the matrix and that no bound rules out.
 
     ``facts`` has doc_id, d1, comp, single of the class representatives. The key order is total, so keys of
     one prefix that lie before a shared key and are not shared are missing in the other set; for two
     single documents this bounds their overlap.
     """
-    order = docs.sparkSession.sparkContext.broadcast(Order(often["token"].to_numpy(np.int64).view(np.uint64), often["freq"].to_numpy(np.int64)))
+    order = docs.sparkSession.sparkContext.broadcast(Order(often["token"].to_numpy().astype(np.int64).view(np.uint64), often["freq"].to_numpy()))
     members = prefixes(docs, order, shingle, num, den).join(facts.drop("n"), ["doc_id", "d1"])
     cells = _cells(members).repartition(parts(docs.sparkSession), "key")
     column = Window.partitionBy("key")
@@ -354,7 +354,7 @@ def matrix_pairs(docs: DataFrame, facts: DataFrame, often: pd.DataFrame, shingle
 def jaccard_components(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs``."""
     docs = docs.select("doc_id", "text")
-    often = frequent_tokens(docs, shingle).orderBy(F.desc("freq"), "token").limit(MAX_FREQUENT).toPandas()
+    often = frequent_tokens(docs, shingle).orderBy(F.desc("freq"), "token").limit(MAX_FREQUENT).toArrow()
     rows = stored(described(docs, shingle), "described")
     # classes of equal sets; the smallest doc_id stands for each
     some = rows.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())

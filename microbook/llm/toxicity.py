@@ -136,7 +136,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic")
     # a doc_id that is repeated does not widen the sample
     rows = rows.orderBy(order, "doc_id", F.xxhash64("text")).limit(max_toxic + max_clean)
-    return rows.select("text", "toxic").toPandas()
+    return rows.select("text", "toxic").toArrow().to_pandas()
 
 
 def train(docs: DataFrame, labels: DataFrame, **bounds) -> tuple[np.ndarray, float]:
