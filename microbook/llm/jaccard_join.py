@@ -44,7 +44,7 @@ AGREE = 2
 #: A token of more documents than this is frequent and ordered last. Exact for tokens with hashes in the lowest
 #: quarter, where prefixes lie; a token with any hash counts as far as LOCAL documents of one stretch (of about
 #: STRETCH tokens) share it.
-WIDE, LOCAL, STRETCH = 16, 4, 3_000_000
+WIDE, LOCAL, STRETCH = 16, 2, 3_000_000
 QUARTER = np.uint64(1 << 62)
 #: Frequent tokens whose order is broadcast: those with the most documents. Others keep their place in the hash order, which costs time but no link.
 MAX_FREQUENT = 1_000_000
@@ -326,7 +326,7 @@ def matrix_pairs(docs: DataFrame, facts: DataFrame, often: pa.Table, shingle: in
     single documents this bounds their overlap.
     """
     order = docs.sparkSession.sparkContext.broadcast(Order(often["token"].to_numpy().astype(np.int64).view(np.uint64), often["freq"].to_numpy()))
-    members = prefixes(docs, order, shingle, num, den).join(facts.drop("n"), ["doc_id", "d1"])
+    members = stored(prefixes(docs, order, shingle, num, den).join(facts.drop("n"), ["doc_id", "d1"]).select("comp", "single", "n", "probe", "n_index"), "members")
     cells = _cells(members).repartition(parts(docs.sparkSession), "key")
     column = Window.partitionBy("key")
     cells = cells.withColumns({"low": F.min("comp").over(column), "high": F.max("comp").over(column)})
@@ -347,8 +347,24 @@ def matrix_pairs(docs: DataFrame, facts: DataFrame, often: pa.Table, shingle: in
     fits = (F.col("a_high") * den >= F.col("b_low") * num) & (F.col("b_high") * den >= F.col("a_low") * num)
     need = F.col("a_low") + F.col("b_low")  # of two single documents: overlap * (num + den) >= num * (n_a + n_b)
     most = F.least(*[F.col(f"{c}_low") - (F.col(f"{c}_pos") + 1 - F.col("both")) for c in "ab"])
-    bound = ~(F.col("a_single") & F.col("b_single")) | (most * (num + den) >= need * num)
-    return met.filter(fits & bound).select("a", "b", "a_size", "b_size")
+    both_single = F.col("a_single") & F.col("b_single")
+    met = stored(met.filter(fits & (~both_single | (most * (num + den) >= need * num))), "met")
+    return met.filter(~both_single).unionByName(_by_prefixes(met.filter(both_single), members, num, den)).select("a", "b", "a_size", "b_size")
+
+
+def _by_prefixes(met: DataFrame, members: DataFrame, num: int, den: int) -> DataFrame:
+    """Of pairs of single documents those whose whole prefixes leave room for the overlap they need.
+
+    Up to the smaller one of their last keys both prefixes are complete, so keys that are not shared there are
+    missing; beyond, at most the rest of the smaller set can be shared.
+    """
+    heads = members.filter("single").select("comp", "n", "probe")
+    for c in "ab":
+        met = met.join(heads.select(F.col("comp").alias(c), F.col("n").alias(f"{c}_all"), F.col("probe").alias(f"{c}_probe")), c)
+    last = F.least(F.element_at("a_probe", -1), F.element_at("b_probe", -1))
+    rest = [F.col(f"{c}_all") - F.size(F.filter(f"{c}_probe", lambda k: k <= last)) for c in "ab"]
+    most = F.size(F.array_intersect("a_probe", "b_probe")) + F.least(*rest)
+    return met.filter(most * (num + den) >= (F.col("a_all") + F.col("b_all")) * num).drop("a_all", "b_all", "a_probe", "b_probe")
 
 
 def jaccard_components(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
