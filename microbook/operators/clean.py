@@ -76,7 +76,10 @@ def on_book_days(trades: DataFrame, book: DataFrame) -> DataFrame:
 
 
 def assert_unique_times(bars: DataFrame) -> DataFrame:
-    """Fails at run time where a stock has two bars at one time; otherwise the same rows."""
-    n = F.count("*").over(Window.partitionBy("stock_id", "t"))
+    """Fails at run time where a stock has two bars at one time; otherwise the same rows.
+
+    A time lies in one day, so the day is among the keys and the bars' partitioning serves.
+    """
+    n = F.count("*").over(Window.partitionBy(*DAY, "t"))
     checked = F.when(n > 1, F.raise_error(F.concat(F.lit("duplicate bar of stock "), F.col("stock_id"), F.lit(" at "), F.col("t").cast("string")))).otherwise(F.lit(True))
     return bars.withColumn("__one", checked).filter("__one").drop("__one")
