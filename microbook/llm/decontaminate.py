@@ -204,10 +204,11 @@ def _cut(text: str, spans: list[tuple[int, int]], words: np.ndarray) -> str:
     return b"".join(out).decode("utf-8", "replace")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, clean: bool = True) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, clean: bool = True, keep_text: bool = False) -> DataFrame:
     """``docs`` with n_words, n_hit, items (ids of the items found), spans (hit words, from..to) and clean_text.
 
-    ``clean_text`` is the text without the hit words; ``clean=False`` returns neither it nor the text.
+    ``clean_text`` is the text without the hit words; ``clean=False`` returns neither it nor (but
+    with ``keep_text``) the text.
     No shuffle; a benchmark of one block takes one pass, each further block another, between which the
     documents and what was found so far are stored. Columns of ``docs`` that are named like a result give
     way to it.
@@ -218,7 +219,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     while True:
         following = next(blocks, None)
         last = following is None
-        out = _pass(out, Automaton(block, window), first, with_text=clean or not last, with_clean=clean and last)
+        out = _pass(out, Automaton(block, window), first, with_text=clean or keep_text or not last, with_clean=clean and last)
         if last:
             return out
         out, block, first = stored(out, "passes"), following, False
@@ -240,8 +241,8 @@ def _pass(docs: DataFrame, automaton: Automaton, first: bool, with_text: bool, w
         for batch in batches:
             col = batch.column("text")
             earlier = None if first else (batch.column("items"), batch.column("spans"))
-            n_words, n_hit, items, spans, cut = [], [], [], [], {}
             for ch in chunks(col, True, IS_WORD_ALNUM):
+                n_words, n_hit, items, spans, cut = [], [], [], [], {}
                 at = ch.first.tolist()
                 found: dict[int, tuple[list, set]] = {}
                 codes = own.codes(ch.hashes)
@@ -271,16 +272,19 @@ def _pass(docs: DataFrame, automaton: Automaton, first: bool, with_text: bool, w
                     if with_clean and own_spans:
                         byte_first = byte_first or _text_starts(col, ch.rows)
                         places = np.stack([ch.starts[at[doc] : at[doc + 1]], ch.ends[at[doc] : at[doc + 1]]]) - byte_first[doc]
-                        cut[row] = _cut(col[row].as_py(), own_spans, places)
-            columns = [batch.column(f.name) for f in passed] + [
-                pa.array(n_words, pa.int64()),
-                pa.array(n_hit, pa.int64()),
-                pa.array(items, pa.list_(pa.int64())),
-                pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))),
-            ]
-            if with_clean:
-                columns.append(pa.array([cut.get(i, x) for i, x in enumerate(col.to_pylist())], pa.string()) if cut else col)
-            yield pa.RecordBatch.from_arrays(columns, names)
+                        cut[doc] = _cut(col[row].as_py(), own_spans, places)
+                # results leave chunk by chunk, so little is held beside the batch that came in
+                own_rows = batch.slice(ch.rows.start, len(n_words))
+                columns = [own_rows.column(f.name) for f in passed] + [
+                    pa.array(n_words, pa.int64()),
+                    pa.array(n_hit, pa.int64()),
+                    pa.array(items, pa.list_(pa.int64())),
+                    pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))),
+                ]
+                if with_clean:
+                    texts = own_rows.column("text")
+                    columns.append(pa.array([cut.get(i, x) for i, x in enumerate(texts.to_pylist())], pa.string()) if cut else texts)
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     return docs.mapInArrow(tidy(run), schema)
 
@@ -309,6 +313,8 @@ def op1_decontaminate(spark, sf_dir):
 def clean_documents(docs: DataFrame, benchmark: DataFrame, coverage_limit: float = COVERAGE_LIMIT) -> DataFrame:
     """Documents up to the coverage limit, without their hit spans; the others go."""
     cols = docs.columns
+    if coverage_limit <= 0:  # what stays has no span to cut
+        return decontaminate(docs, benchmark, clean=False, keep_text=True).filter("n_hit = 0").select(*cols)
     found = decontaminate(docs, benchmark)
     kept = found.filter(F.col("n_hit") <= F.col("n_words") * F.lit(coverage_limit))
     return kept.withColumn("text", F.col("clean_text")).select(*cols)
