@@ -1,11 +1,11 @@
 """Main-text extraction by line-block distribution.
 
 Markup is stripped to lines, one per block element; inline elements and line breaks do not end a line.
-Lines of menus, headers, footers, sidebars, notices, adverts, forms and reader comments (by element,
-role, class or id), and lines that are mostly links, count as empty. Over the lines, the text lengths of
+Menus, headers, footers, sidebars, notices, adverts, forms and reader comments (by element, role, class
+or id) give no lines; lines that are mostly links count as empty. Over the lines, the text lengths of
 sliding windows of three lines are summed. The text surges where a window holds more than a threshold
-and dives where one holds nothing; of the stretches between a surge and the next dive the one with the
-most text is the main text. Where the page marks its article, the stretch lies within the article that
+and dives where one holds nothing; all stretches that surge, from their first to their last line that is
+not mostly links, are the main text, in page order. Where nothing surges all stretches are. Where the page marks its article, the stretch lies within the article that
 holds the most text and reaches from its first to its last line, so short first and last lines stay.
 
 Rows: a null or empty html, or one without text, gives an empty text. Unclosed and stray tags are
@@ -76,7 +76,7 @@ def _drops(tag: str, attrs: str, in_article: bool) -> bool:
 
 
 def lines(page: str) -> list[tuple[str, int, float]]:
-    """(text, article, share of links) of each line in page order; article 0 is outside of any; dropped lines are empty."""
+    """(text, article, share of links) of each line in page order; article 0 is outside of any; dropped elements give no lines."""
     out: list[tuple[str, int, float]] = []
     stack: list[tuple[str, bool, int]] = []  # element, dropped, article
     text: list[str] = []
@@ -85,8 +85,8 @@ def lines(page: str) -> list[tuple[str, int, float]]:
     def end_line() -> None:
         nonlocal linked
         s = " ".join(html.unescape("".join(text)).split())
-        if s or dropped:
-            out.append(("" if dropped else s, article, linked / max(1, len(s))))
+        if s:
+            out.append((s, article, linked / len(s)))
         text.clear()
         linked = 0
 
@@ -136,28 +136,33 @@ def lines(page: str) -> list[tuple[str, int, float]]:
 
 
 def main_lines(found: list[tuple[str, int, float]]) -> list[str]:
-    """The lines between the surge and the dive of the stretch with the most text."""
+    """The lines of the stretches that surge, or of the article with the most text."""
     weight: dict[int, int] = {}
     for s, a, _ in found:
         if a:
             weight[a] = weight.get(a, 0) + len(s)
     best = max(weight, key=weight.get) if weight and max(weight.values()) else 0
     if best:
-        return [s for s, a, _ in found if a == best and s]
+        return [s for s, a, _ in found if a == best]
     sizes = [0 if share > LINKS else len(s) for s, _, share in found]
+    spans = stretches(sizes)
+    surging = [x for x in spans if x[0]]
+    return [s for _, a, b in surging or spans for s, _, _ in found[a:b]]
+
+
+def stretches(sizes: list[int]) -> list[tuple[bool, int, int]]:
+    """(surges, first, end) of the stretches between dives, without empty lines at their edges."""
     sums = [sum(sizes[i : i + WINDOW]) for i in range(len(sizes))]
-    stretches, start, surged = [], None, False
+    out, start, surged = [], None, False
     for i, n in enumerate([*sums, 0]):
         if n and start is None:
             start, surged = i, False
         surged |= n > SURGE
         if not n and start is not None:
-            stretches.append((surged, sum(sizes[start:i]), start, i))
+            full = [k for k in range(start, i) if sizes[k]]
+            out.append((surged, full[0], full[-1] + 1))
             start = None
-    if not stretches:
-        return []
-    _, _, a, b = max(stretches, key=lambda x: (x[0], x[1], -x[2]))
-    return [s for (s, _, _), n in zip(found[a:b], sizes[a:b], strict=True) if n]
+    return out
 
 
 def main_text(page: str | None) -> str:

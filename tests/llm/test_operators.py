@@ -250,6 +250,14 @@ def test_main_text_without_an_article_surges_and_dives():
     assert html_text.main_text(page) == f"{long}\n\nShort.\n\n{long}"
 
 
+@pytest.mark.parametrize("advert", ['<div class="ad"><p>x</p></div>', "<aside><p>x</p><p>y</p></aside>", "<ul><li><a>x</a></li><li><a>y</a></li><li><a>z</a></li></ul>"])
+def test_main_text_goes_on_behind_an_advert(advert):
+    a, b = ("A paragraph that is long enough to let the sum of the window surge above its threshold, with words to spare. " * k for k in (1, 2))
+    page = f"<div><p>{a}</p>{advert}<p>{b}</p><p><a>A line that is a link</a></p><p>Short.</p></div>{advert}<p><a>Imprint</a></p>"
+    assert html_text.main_text(page) == f"{a.strip()}\n\n{b.strip()}\n\nA line that is a link\n\nShort."
+    assert html_text.main_text(f"<p>a</p>{advert}<p>b</p>") == "a\n\nb"
+
+
 @pytest.mark.parametrize("page,want", [(None, ""), ("", ""), ("plain", "plain"), ("<p>a < b</p>", "a < b"), ("<script>x", ""), ("<p>a<!-- b", "a"), ("<p", ""), ("</p></div>x<p>y", "x\n\ny"), ("<nav>x</nav>", "")])
 def test_main_text_of_odd_pages(page, want):
     assert html_text.main_text(page) == want
