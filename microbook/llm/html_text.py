@@ -5,8 +5,9 @@ Menus, headers, footers, sidebars, notices, adverts, forms and reader comments (
 or id) give no lines; lines that are mostly links count as empty. Over the lines, the text lengths of
 sliding windows of three lines are summed. The text surges where a window holds more than a threshold
 and dives where one holds nothing; all stretches that surge, from their first to their last line that is
-not mostly links, are the main text, in page order. Where nothing surges all stretches are. Where the page marks its article, the stretch lies within the article that
-holds the most text and reaches from its first to its last line, so short first and last lines stay.
+not mostly links, are the main text, in page order. Where nothing surges all stretches are. Where the page marks
+articles, the distribution is taken within each, and the article in which the most text surges (or else
+which has the most text) is the main text, widened to its first and last line, so its short lines stay.
 
 Rows: a null or empty html, or one without text, gives an empty text. Unclosed and stray tags are
 tolerated; a ``<`` that opens no tag is text; an unclosed script, style or comment ends with the page.
@@ -136,20 +137,28 @@ def lines(page: str) -> list[tuple[str, int, float]]:
 
 
 def main_lines(found: list[tuple[str, int, float]]) -> list[str]:
-    """The lines of the stretches that surge, or of the article with the most text."""
-    weight: dict[int, int] = {}
-    for s, a, _ in found:
-        if a:
-            weight[a] = weight.get(a, 0) + len(s)
-    best = max(weight, key=weight.get) if weight and max(weight.values()) else 0
-    if best:
-        return [s for s, a, _ in found if a == best]
-    sizes = [0 if share > LINKS else len(s) for s, _, share in found]
-    spans = stretches(sizes)
+    """The lines of the stretches that surge, or of the article in which the most text surges."""
+    articles: dict[int, list] = {}
+    for line in found:
+        if line[1]:
+            articles.setdefault(line[1], []).append(line)
+    best, most = [], (0, 0)
+    for own in articles.values():
+        sizes = _sizes(own)
+        weight = sum(sum(sizes[a:b]) for surged, a, b in stretches(sizes) if surged), sum(len(s) for s, _, _ in own)
+        if weight > most:
+            best, most = own, weight
+    if best:  # short lines at or between the stretches of an article are its text
+        return [s for s, _, _ in best]
+    spans = stretches(_sizes(found))
     surging = [x for x in spans if x[0]]
     return [s for _, a, b in surging or spans for s, _, _ in found[a:b]]
 
 
+def _sizes(found: list[tuple[str, int, float]]) -> list[int]:
+    return [0 if share > LINKS else len(s) for s, _, share in found]
+
+
 def stretches(sizes: list[int]) -> list[tuple[bool, int, int]]:
     """(surges, first, end) of the stretches between dives, without empty lines at their edges."""
     sums = [sum(sizes[i : i + WINDOW]) for i in range(len(sizes))]

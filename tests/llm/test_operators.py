@@ -258,6 +258,14 @@ def test_main_text_goes_on_behind_an_advert(advert):
     assert html_text.main_text(f"<p>a</p>{advert}<p>b</p>") == "a\n\nb"
 
 
+def test_main_text_is_the_article_that_surges():
+    long = "A paragraph that is long enough to let the sum of the window surge above its threshold, with words to spare."
+    teasers = "".join(f"<p><a href=t{i}>{long} {i}</a></p>" for i in range(5))
+    page = f"<body><article>{teasers}</article><article><p>Short.</p><p>{long}</p><ul><li><a>x</a></li><li><a>y</a></li><li><a>z</a></li></ul><p>End.</p></article></body>"
+    assert html_text.main_text(page) == f"Short.\n\n{long}\n\nx\n\ny\n\nz\n\nEnd."
+    assert html_text.main_text("<article><p>a</p></article><article><p>bc</p></article>") == "bc"
+
+
 @pytest.mark.parametrize("page,want", [(None, ""), ("", ""), ("plain", "plain"), ("<p>a < b</p>", "a < b"), ("<script>x", ""), ("<p>a<!-- b", "a"), ("<p", ""), ("</p></div>x<p>y", "x\n\ny"), ("<nav>x</nav>", "")])
 def test_main_text_of_odd_pages(page, want):
     assert html_text.main_text(page) == want
