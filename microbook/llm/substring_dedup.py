@@ -1,4 +1,4 @@
-"""Substring deduplication by relative Lempel-Ziv parsing against content-defined reference blocks.
+"""Substring deduplication by content-defined phrases that are joined by hash (no Lempel-Ziv factoring).
 
 Reference. Every text is cut into phrases by its content: of the 12-word sequences of a 50-word window
 the one with the smallest hash is the window's anchor, and a phrase is a run of windows with the same
@@ -6,12 +6,10 @@ anchor (41 at most). Equal windows have equal anchors wherever they stand, so th
 whole corpus into reference blocks: the block of an anchor holds the distinct phrases around it, each
 with the smallest doc_id it occurs in. No document is left out of the reference.
 
-Parsing. A document is parsed greedily into phrases; a phrase that its anchor's block holds from an
-earlier document is one factor of 50 words or more, and neighbouring factors join. Where a factor
-ends, a window may still run on into another reference, so the phrases at factor boundaries (those whose
-block holds several phrases from several documents) are checked window by window against the block's
-other phrases. Only one copy of each distinct phrase is checked; its other copies are factors as a whole.
-The covered words become duplicate spans.
+Matching. A phrase that its anchor's block holds from an earlier document is duplicate as a whole. A
+window of another phrase may still be held, so where a block holds several phrases from several documents
+all their windows are joined by hash. Only one copy of each distinct phrase is checked by window; its other
+copies are duplicate as a whole. The covered words become duplicate spans.
 
 Rows: a null text has no words. A null doc_id is no reference and loses nothing. Rows that share a
 doc_id are no reference for each other. Order or repetition of rows changes nothing.
@@ -127,7 +125,7 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     repeated = shared.filter("last > origin").select("anchor", "digest", "origin", "n_rows")
     whole = lookup_left(found, repeated.drop("n_rows"), ["anchor", "digest"], held.select("anchor", "digest", "n_rows"))
     whole = whole.filter("origin < doc_id").select("doc_id", "row", "first", F.col("n").alias("count"))
-    # 2. at factor boundaries: the first copy of each phrase whose block holds other phrases, window by window
+    # 2. the first copy of each phrase whose block holds other phrases, window by window
     edges = shared.filter("held > 1").select("anchor", "digest", F.col("origin").alias("doc_id"))
     n_edges = edges.count()
     if n_edges:
