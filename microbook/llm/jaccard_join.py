@@ -388,7 +388,11 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, num: int = 80, den: in
     comps = stored(components(links), "groups")
     # 2. matrix
     alone = classes.select("node", "d1", "n").join(comps, "node", "left")
-    facts = alone.select(F.col("node").alias("doc_id"), "d1", "n", F.coalesce("comp", "node").alias("comp"), F.col("comp").isNull().alias("single"))
+    # the bounds of single documents hold for one set; a doc_id with several texts stands for several
+    several = stored(classes.groupBy("node").agg(F.count("*").alias("n_rows")).filter("n_rows > 1"), "several")
+    alone = lookup_left(alone, several.select("node", F.lit(True).alias("several")), ["node"], several)
+    single = F.col("comp").isNull() & F.col("several").isNull()
+    facts = alone.select(F.col("node").alias("doc_id"), "d1", "n", F.coalesce("comp", "node").alias("comp"), single.alias("single"))
     facts = stored(facts, "facts")
     pairs = matrix_pairs(docs, facts, often, shingle, num, den)
     # 3. bound and open: the members of the smaller group are the queries

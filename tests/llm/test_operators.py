@@ -168,6 +168,16 @@ def test_jaccard_edge_rows(spark):
     assert {r.doc_id for r in kept.collect()} == {0, 2, 3} and kept.columns == SCHEMA.replace(" long", "").replace(" string", "").split(", ")
 
 
+def test_a_doc_id_with_several_texts_keeps_its_links(spark):
+    rng, texts, ids = random.Random(4), [], []
+    for i in range(150):  # few of the linked pairs agree in fewer than two signatures and are left to the matrix
+        long = [f"x{i}_{k}" for k in range(90)]
+        texts += [" ".join(f"s{i}_{k}" for k in range(10)), " ".join(long), " ".join(long[:-10] + [f"y{i}_{rng.random()}" for _ in range(10)])]
+        ids += [i, i, 1000 + i]
+    got = jaccard_join.jaccard_components(docs(spark, texts, ids=ids), 1, 80, 100).collect()
+    assert len(got) == 450 and {(r.doc_id, r.component_id) for r in got} == {(i, i % 1000) for i in ids}
+
+
 @pytest.mark.parametrize("wide", [2, 10**9])
 def test_the_order_of_tokens_decides_no_link(spark, monkeypatch, wide):
     monkeypatch.setattr(jaccard_join, "WIDE", wide)
