@@ -411,6 +411,12 @@ def test_labels_of_held_out_rows_are_not_read(spark):
     assert len(toxicity.training_rows(d, labels)) == 0
 
 
+def test_the_fit_reads_its_whole_sample(spark):
+    labels = spark.range(4_300).selectExpr("id as doc_id", "cast(id < 1900 as int) as toxic").unionByName(spark.range(10_000, 11_500).selectExpr("id as doc_id", "0 as toxic"))
+    rows = toxicity.training_rows(labels.selectExpr("doc_id", "'a' as text"), labels)
+    assert rows["toxic"].value_counts().to_dict() == {1: 1_500, 0: 2_500}
+
+
 # 8
 
 
