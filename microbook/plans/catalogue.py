@@ -511,9 +511,9 @@ def walk_forward_trials(spark, d):
 
 @query("mock_trades")
 def mock_trades(spark, d):
-    return fixtures.mock_trades(spark, stocks=2, days=3)
+    return fixtures.mock_trades(spark)
 
 
 @query("mock_book")
 def mock_book(spark, d):
-    return fixtures.mock_book(spark, stocks=2, days=3)
+    return fixtures.mock_book(spark)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from microbook.functions import book as B
 from microbook.models import scoring
 from microbook.operators import dataset, metrics
-from microbook.plans import market
+from microbook.plans import catalogue, market
 from microbook.sources import fixtures
 from microbook.streaming.bars import stream_bars
 
@@ -60,3 +60,8 @@ def test_entry_points():
 
     names = entry.queries()
     assert len(names) >= 55 and set(entry.oracle_sql()) <= set(names)
+
+
+def test_mock_queries_generate_the_reference_market(spark):
+    for name in ("mock_trades", "mock_book"):
+        assert catalogue.QUERIES[name](spark, "").select("stock_id", "date").distinct().count() == 10 * 60
