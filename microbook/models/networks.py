@@ -1,7 +1,7 @@
 """Forward passes of the sequence classifiers in NumPy: x is (samples, steps, features), the result a logit per sample.
 
-Every model ends in one linear head over its encoding and, where it has exogenous inputs, z. Dropout is
-inactive at scoring time. Weights are plain arrays in a dict, so a model is broadcast as data.
+Every model ends in one linear head over its encoding and, where it has exogenous inputs, z. Dropout
+(of the encoding, and of the transformer's attention and sub-layers) acts where an ``rng`` is given, in training only. Weights are plain arrays in a dict, so a model is broadcast as data.
 """
 
 from __future__ import annotations
@@ -35,6 +35,8 @@ def build(family: str, features: int, sequence: int, exogenous: int = 0, seed: i
     """A model with freshly drawn weights (uniform within 1 / sqrt(inputs))."""
     if family not in FAMILIES:
         raise ValueError(f"unknown family {family}")
+    if not 0 <= p.get("dropout", 0) < 1 or (family == "linear" and p.get("dropout")):
+        raise ValueError("dropout must be in [0, 1), and the linear model has none")
     rng = np.random.default_rng(seed)
 
     def draw(*shape: int, fan: int) -> np.ndarray:
@@ -97,18 +99,24 @@ def _norm(x: np.ndarray, w: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (x - mean) / np.sqrt(var + 1e-5) * w + b
 
 
-def _attention(x: np.ndarray, w: dict, at: str, heads: int) -> np.ndarray:
+def _drop(x: np.ndarray, share: float, rng: np.random.Generator | None) -> np.ndarray:
+    """x with a share of its values at 0 and the others scaled up; without ``rng`` x itself."""
+    return x if rng is None or not share else x * (rng.random(x.shape) >= share) / (1 - share)
+
+
+def _attention(x: np.ndarray, w: dict, at: str, heads: int, share: float = 0, rng: np.random.Generator | None = None) -> np.ndarray:
     n, steps, e = x.shape
     q, k, v = (y.reshape(n, steps, heads, e // heads).transpose(0, 2, 1, 3) for y in np.split(x @ w[f"{at}.qkv.w"].T + w[f"{at}.qkv.b"], 3, axis=2))
     score = q @ k.transpose(0, 1, 3, 2) / np.sqrt(e // heads)
     score = np.exp(score - score.max(-1, keepdims=True))
-    mixed = (score / score.sum(-1, keepdims=True)) @ v
+    mixed = _drop(score / score.sum(-1, keepdims=True), share, rng) @ v
     return mixed.transpose(0, 2, 1, 3).reshape(n, steps, e) @ w[f"{at}.out.w"].T + w[f"{at}.out.b"]
 
 
-def encode(model: dict, x: np.ndarray) -> np.ndarray:
-    """What the head reads of x, without z."""
+def encode(model: dict, x: np.ndarray, rng: np.random.Generator | None = None) -> np.ndarray:
+    """What the head reads of x, without z; with dropout where ``rng`` is given."""
     spec, w = model["spec"], model["weights"]
+    share = spec.get("dropout", 0)
     if x.ndim == 2:  # a single sample
         x = x[None]
     family = spec["family"]
@@ -118,22 +126,22 @@ def encode(model: dict, x: np.ndarray) -> np.ndarray:
         x = x.transpose(0, 2, 1)
         for i in range(len(as_list(spec["conv_channels"]))):
             x = np.maximum(_conv(x, w[f"conv{i}.w"], w[f"conv{i}.b"], spec.get("stride", 1), spec.get("padding", 0), spec.get("dilation", 1)), 0)
-        return x.reshape(len(x), -1)
+        return _drop(x.reshape(len(x), -1), share, rng)
     if family == "lstm":
         for i in range(spec["lstm_size"]):
             x = _lstm(x, w[f"lstm{i}.x"], w[f"lstm{i}.h"], w[f"lstm{i}.b"])
-        return x[:, -1]
+        return _drop(x[:, -1], share, rng)
     x = x @ w["embed.w"].T + w["embed.b"] + w["place"]
     for i in range(spec["num_layers"]):
         at = f"enc{i}"
-        x = _norm(x + _attention(x, w, at, spec["num_heads"]), w[f"{at}.n1.w"], w[f"{at}.n1.b"])
-        up = np.maximum(x @ w[f"{at}.up.w"].T + w[f"{at}.up.b"], 0)
-        x = _norm(x + up @ w[f"{at}.down.w"].T + w[f"{at}.down.b"], w[f"{at}.n2.w"], w[f"{at}.n2.b"])
-    return x[:, -1]
+        x = _norm(x + _drop(_attention(x, w, at, spec["num_heads"], share, rng), share, rng), w[f"{at}.n1.w"], w[f"{at}.n1.b"])
+        up = _drop(np.maximum(x @ w[f"{at}.up.w"].T + w[f"{at}.up.b"], 0), share, rng)
+        x = _norm(x + _drop(up @ w[f"{at}.down.w"].T + w[f"{at}.down.b"], share, rng), w[f"{at}.n2.w"], w[f"{at}.n2.b"])
+    return _drop(x[:, -1], share, rng)
 
 
-def logits(model: dict, x: np.ndarray, z: np.ndarray | None = None) -> np.ndarray:
-    h = encode(model, np.asarray(x, np.float64))
+def logits(model: dict, x: np.ndarray, z: np.ndarray | None = None, rng: np.random.Generator | None = None) -> np.ndarray:
+    h = encode(model, np.asarray(x, np.float64), rng)
     if model["spec"]["exogenous"]:
         h = np.concatenate([h, np.asarray(z, np.float64).reshape(len(h), -1)], axis=1)
     return h @ model["weights"]["head.w"] + model["weights"]["head.b"][0]

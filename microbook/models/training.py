@@ -27,7 +27,13 @@ class Adam:
 
 
 def gradients(model: dict, x: np.ndarray, z: np.ndarray | None, target: np.ndarray, rng: np.random.Generator) -> dict:
-    h = networks.encode(model, x)
+    # one draw of dropout holds for the head and for both sides of the perturbation
+    seed = rng.integers(1 << 62) if model["spec"].get("dropout") else None
+
+    def masks() -> np.random.Generator | None:
+        return None if seed is None else np.random.default_rng(seed)
+
+    h = networks.encode(model, x, masks())
     if model["spec"]["exogenous"]:
         h = np.concatenate([h, z.reshape(len(h), -1)], axis=1)
     w = model["weights"]
@@ -39,7 +45,7 @@ def gradients(model: dict, x: np.ndarray, z: np.ndarray | None, target: np.ndarr
         size, values = 1e-4, []
         for s in (1, -1):
             moved = {"spec": model["spec"], "weights": {**w, **{k: w[k] + s * size * sign[k] for k in inner}}}
-            values.append(networks.loss_of(networks.logits(moved, x, z), target))
+            values.append(networks.loss_of(networks.logits(moved, x, z, masks()), target))
         slope = (values[0] - values[1]) / (2 * size)
         out |= {k: slope * sign[k] for k in inner}
     return out

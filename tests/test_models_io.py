@@ -75,6 +75,19 @@ def test_mock_rows_do_not_depend_on_partitions(spark):
     assert a == fixtures.mock_trades(spark, 2, 3).repartition(5).orderBy("stock_id", "date", "ord").collect()
 
 
+@pytest.mark.parametrize("family,p", [("cnn", {"conv_channels": [3], "kernel_size": [3]}), ("lstm", {"hidden_size": 4, "lstm_size": 1}), ("transformer", {"embedding_size": 6, "num_heads": 2, "dim_feedforward": 8, "num_layers": 1})])
+def test_dropout_acts_in_training_only(family, p):
+    rng = np.random.default_rng(3)
+    x, y = rng.standard_normal((400, 5, 3)), rng.integers(0, 2, 400).astype(float)
+    plain, dropped = (networks.build(family, 3, 5, seed=1, **p, dropout=d) for d in (0, 0.5))
+    assert np.array_equal(networks.logits(plain, x), networks.logits(dropped, x))
+    assert abs((networks.encode(dropped, x, np.random.default_rng(0)) == 0).mean() - (networks.encode(plain, x) == 0).mean()) > 0.15
+    a, b, c = (training.train(m, [(x, None, y)], [(x, None, y)], 3, 0.01)[0]["weights"] for m in (plain, dropped, dropped))
+    assert all(np.array_equal(b[k], c[k]) for k in b) and not np.array_equal(a["head.w"], b["head.w"])
+    with pytest.raises(ValueError, match="dropout"):
+        networks.build("linear", 3, 5, dropout=0.5)
+
+
 @pytest.mark.parametrize("family,p", [("linear", {}), ("cnn", {"conv_channels": [3, 2], "kernel_size": [3, 2]}), ("lstm", {"hidden_size": 4, "lstm_size": 2}), ("transformer", {"embedding_size": 6, "num_heads": 2, "dim_feedforward": 8, "num_layers": 1})])
 @pytest.mark.parametrize("exogenous", [0, 2])
 def test_networks_score_samples_alike_in_any_batch(family, p, exogenous):
