@@ -29,7 +29,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a ten-word passage of a ``benchmark`` item (or a shorter item as a whole) go."""
+    """Ten-word passages of ``benchmark`` items (and shorter items as a whole) are cut; documents that would lose over a tenth of their words go."""
     return decontaminate.clean_documents(docs, table(spark, sf_dir, "benchmark"))
 
 

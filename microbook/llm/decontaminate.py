@@ -29,8 +29,8 @@ from .textkit import BYTE_POWERS, IS_WORD_ALNUM, LOWER, chunks, prefix_sums, spa
 WINDOW = 10
 #: Words of the items of one automaton.
 BLOCK_WORDS = 150_000
-#: In the pipeline a document with a larger share of hit words goes; 0: any hit.
-COVERAGE_LIMIT = 0.0
+#: In the pipeline a document with a larger share of hit words goes, the others lose these words; 0: any hit.
+COVERAGE_LIMIT = 0.1
 
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -311,13 +311,30 @@ def op1_decontaminate(spark, sf_dir):
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, coverage_limit: float = COVERAGE_LIMIT) -> DataFrame:
-    """Documents up to the coverage limit, without their hit spans; the others go."""
+    """Documents up to the coverage limit, without their hit spans; the others go.
+
+    What is left around a cut may make up a new passage, so documents that were cut are searched again until
+    none is hit. The limit holds for all words that a document loses. ``n_chars`` of a cut document is that of its text.
+    """
     cols = docs.columns
     if coverage_limit <= 0:  # what stays has no span to cut
         return decontaminate(docs, benchmark, clean=False, keep_text=True).filter("n_hit = 0").select(*cols)
-    found = decontaminate(docs, benchmark)
-    kept = found.filter(F.col("n_hit") <= F.col("n_words") * F.lit(coverage_limit))
-    return kept.withColumn("text", F.col("clean_text")).select(*cols)
+    rest = F.struct(*[F.col(c) for c in cols if c != "text"])
+    none = F.struct(F.lit(0).cast("long").alias("lost"), F.lit(None).cast("long").alias("words"))
+    taken = F.struct((F.col("cut.lost") + F.col("n_hit")).alias("lost"), F.coalesce("cut.words", "n_words").alias("words"))
+    todo, clean = docs.select("text", rest.alias("rest"), none.alias("cut")), []
+    while True:
+        found = decontaminate(todo, benchmark).select(F.col("clean_text").alias("text"), "rest", taken.alias("cut"), (F.col("n_hit") > 0).alias("hit"))
+        found = stored(found.filter(F.col("cut.lost") <= F.col("cut.words") * F.lit(coverage_limit)), "cut")
+        clean.append(found.filter("not hit"))
+        todo = found.filter("hit").drop("hit")
+        if not todo.take(1):
+            break
+    out = clean[0]
+    for more in clean[1:]:
+        out = out.unionByName(more)
+    length = {"n_chars": F.when(F.col("cut.lost") > 0, F.char_length("text")).otherwise(F.col("rest.n_chars")).cast("long")} if "n_chars" in cols else {}
+    return out.select(*[F.col("text") if c == "text" else length.get(c, F.col(f"rest.`{c}`")).alias(c) for c in cols])
 
 
 _WINDOWS_SQL = r"""

@@ -44,6 +44,16 @@ def test_pipeline_catches_what_is_planted_and_keeps_the_rest(spark, tmp_path):
         assert abs(sum(r.taken for r in own) - own[0].target) <= 90
 
 
+def test_a_long_document_loses_a_leak_and_stays(spark, tmp_path):
+    planted(tmp_path, spark)
+    item, own = [f"q{i}" for i in range(30)], [f"w{i}" for i in range(300)]
+    # the second cut's words are only side by side when the first is gone
+    texts = [" ".join(x) for x in (own[:100] + item[5:16] + own[100:], own[:150] + item[3:9] + item[12:24] + item[9:15] + own[150:], own, own[:90] + item[5:16])]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r for r in dict(pipeline.STAGES)["decontamination"](spark, docs, str(tmp_path)).collect()}
+    assert set(got) == {0, 1, 2} and all(r.text.split() == own and r.n_chars == len(r.text) for r in got.values())
+
+
 def test_stages_return_the_columns_of_documents(spark, tmp_path):
     planted(tmp_path, spark)
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
