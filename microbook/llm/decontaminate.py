@@ -1,15 +1,19 @@
 """Benchmark decontamination with a generalised suffix automaton.
 
-The normalised test items are the strings of one suffix automaton per block of items (a block holds at
-most ``block_words`` words or one item, which bounds what is broadcast and what a worker holds; a larger
-benchmark makes more blocks, and each is streamed over all documents in a pass of its own). A document's words are streamed through the automaton, which tracks the
-length of the longest item passage that ends at each word. Where that length reaches the window (10
-words, or a whole shorter item), the window's words are hit, and the state that stands for the window
-names the items it occurs in.
+The normalised test items are the strings of one suffix automaton per block of items (a block holds at most
+``block_words`` words, which bounds what is broadcast and what a worker holds; an item that is longer is
+cut into pieces that overlap by all but one word of a window). A document's words are streamed through the
+automaton, which tracks the length of the longest item passage that ends at each word. Where that length
+reaches the window (10 words, or a whole shorter item), the window's words are hit, and the state that
+stands for the window names the items it occurs in. Words meet by hash; the words of a hit are compared
+byte by byte, so no text is hit by a collision.
+
+A benchmark of several blocks takes one pass over all documents, in which a Bloom filter of all items'
+windows finds the documents that may be hit, and then one pass a block over these alone.
 
 Rows: a null or wordless text has no words and no hits. Repeated documents each get their row.
 Items without words occur nowhere; an item with a null id marks words but is not counted or listed;
-rows that repeat an item id count as one item. An empty benchmark contaminates nothing.
+rows that repeat an item id count as one item. Ids may be of any type. An empty benchmark contaminates nothing.
 """
 
 from __future__ import annotations
@@ -22,9 +26,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import stored, table
-from .textkit import BYTE_POWERS, IS_WORD_ALNUM, LOWER, chunks, prefix_sums, spans_hash, tidy
+from .textkit import IS_WORD_ALNUM, LOWER, chunks, hash_words, run_key, tidy
+from .url_filter import build_bloom
 
 WINDOW = 10
 #: Words of the items of one automaton.
@@ -39,12 +45,11 @@ def words_of(text: str | None) -> list[bytes]:
     return _WORD.findall((text or "").encode("utf-8", "replace").translate(LOWER))
 
 
-def word_hash(words: list[bytes]) -> np.ndarray:
+def word_hash(words: list[bytes], key: int) -> np.ndarray:
     """The hashes that ``textkit.chunks`` gives to the same words in a text."""
-    data = np.frombuffer(b" ".join(words), np.uint8)
     lengths = np.fromiter(map(len, words), np.int64, len(words))
-    ends = np.cumsum(lengths + 1) - 1
-    return spans_hash(prefix_sums(data.astype(np.uint64) + np.uint64(1), BYTE_POWERS), ends - lengths, ends, BYTE_POWERS)
+    ends = np.cumsum(lengths)
+    return hash_words(np.frombuffer(b"".join(words), np.uint8), ends - lengths, ends, key)
 
 
 class Automaton:
@@ -55,11 +60,12 @@ class Automaton:
     length); ``whole[v]`` lists (length, item) of shorter items that state v stands for.
     """
 
-    def __init__(self, items: list[tuple[int | None, list[bytes]]], window: int = WINDOW):
-        self.window = window
+    def __init__(self, items: list[tuple[object, list[bytes]]], window: int = WINDOW, key: int = 0):
+        self.window, self.key = window, key
         vocabulary: dict[bytes, int] = {}
         coded = [(i, [vocabulary.setdefault(w, len(vocabulary)) for w in words]) for i, words in items if words]
-        hashes = word_hash(list(vocabulary)) if vocabulary else np.zeros(0, np.uint64)
+        self.words = list(vocabulary)
+        hashes = word_hash(self.words, key) if vocabulary else np.zeros(0, np.uint64)
         order = np.argsort(hashes)
         self.known, self.ids = hashes[order], order.astype(np.int64)
         self.next: list[dict[int, int]] = [{}]
@@ -162,20 +168,74 @@ class Automaton:
         return spans, items
 
 
-def item_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[list]:
-    """The items with their words, in blocks of bounded size; the driver holds one block at a time."""
+    def checked(self, codes: np.ndarray, ch, at: int) -> tuple[list[tuple[int, int]], set]:
+        """``stream`` over the chunk's words from ``at`` on, with the words of all hits compared byte by byte."""
+        while True:
+            spans, items = self.stream(codes.tolist())
+            places = {i for a, b in spans for i in range(a, b)}
+            wrong = [i for i in places if ch.data[ch.starts[at + i] : ch.ends[at + i]].tobytes() != self.words[codes[i]]]
+            if not wrong:
+                return spans, items
+            codes[wrong] = -1
+
+
+def item_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS, window: int = WINDOW) -> Iterator[list]:
+    """The items with their words, in blocks of bounded size; the driver holds one block and one item at a time."""
     block, size = [], 0
+    step = max(block_words, 2 * window)
     for row in benchmark.select("item_id", "text").toLocalIterator():
         words = words_of(row["text"])
-        if size and size + len(words) > block_words:
-            yield block
-            block, size = [], 0
-        block.append((row["item_id"], words))
-        size += len(words)
+        # a long item is cut into pieces that share all but one word of a window
+        for at in range(0, max(1, len(words) - window + 1), step - window + 1):
+            piece = words[at : at + step]
+            if size and size + len(piece) > block_words:
+                yield block
+                block, size = [], 0
+            block.append((row["item_id"], piece))
+            size += len(piece)
     if block:
         yield block
 
 
+def _window_keys(items: DataFrame, window: int, key: int) -> DataFrame:
+    """(k, n): hashes and lengths of all windows of all items, whole items where these are shorter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ch in chunks(batch.column("text"), True, IS_WORD_ALNUM, key):
+                at = ch.starts_of(window)
+                sizes = np.diff(ch.first)
+                short = (sizes > 0) & (sizes < window)
+                keys = np.concatenate([ch.grams(at, at + window), ch.grams(ch.first[:-1][short], ch.first[1:][short])])
+                lengths = np.concatenate([np.full(len(at), window), sizes[short]])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(lengths.astype(np.int32))], ["k", "n"])
+
+    return items.select("text").mapInArrow(tidy(run), "k bigint, n int")
+
+
+def _suspects(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
+    """``docs`` with ``__maybe``: whether the text may hold a window of any item."""
+    key = run_key(docs.sparkSession)
+    windows = _window_keys(benchmark, window, key)
+    told = windows.groupBy("n").count().collect()  # a row for each length up to the window
+    lengths, n = sorted(r["n"] for r in told), sum(r["count"] for r in told)
+    bloom = docs.sparkSession.sparkContext.broadcast(build_bloom(windows.select("k"), n))
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema.fields) + "`__maybe` boolean"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ch in chunks(batch.column("text"), True, IS_WORD_ALNUM, key):
+                maybe = np.zeros(len(ch.first) - 1, bool)
+                for k in lengths:
+                    at = ch.starts_of(k)
+                    hit = bloom.value.maybe(ch.grams(at, at + k))
+                    maybe[np.searchsorted(ch.first, at[hit], "right") - 1] = True
+                own = batch.slice(ch.rows.start, len(maybe))
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(maybe)], [*own.schema.names, "__maybe"])
+
+    return docs.mapInArrow(tidy(run), schema)
+
+
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in sorted(spans):
@@ -209,39 +269,44 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
 
     ``clean_text`` is the text without the hit words; ``clean=False`` returns neither it nor (but
     with ``keep_text``) the text.
-    No shuffle; a benchmark of one block takes one pass, each further block another, between which the
-    documents and what was found so far are stored. Columns of ``docs`` that are named like a result give
-    way to it.
+    No shuffle. Columns of ``docs`` that are named like a result give way to it.
     """
-    out = docs.select(*[c for c in docs.columns if c not in (*RESULTS, "clean_text")])
-    blocks = item_blocks(benchmark, block_words)
-    block, first = next(blocks, []), True
-    while True:
-        following = next(blocks, None)
-        last = following is None
-        out = _pass(out, Automaton(block, window), first, with_text=clean or keep_text or not last, with_clean=clean and last)
-        if last:
-            return out
-        out, block, first = stored(out, "passes"), following, False
+    out = docs.select(*[f"`{c}`" for c in docs.columns if c not in (*RESULTS, "clean_text")])
+    kind = benchmark.schema["item_id"].dataType
+    key, spark = run_key(docs.sparkSession), docs.sparkSession
+    blocks = item_blocks(benchmark, block_words, window)
+    block, following = next(blocks, []), next(blocks, None)
+    if following is None:
+        return _pass(out, Automaton(block, window, key), kind, True, with_text=clean or keep_text, with_clean=clean)
+    marked = stored(_suspects(out, benchmark, window), "suspects")
+    plain, todo = marked.filter("not __maybe").drop("__maybe"), marked.filter("__maybe").drop("__maybe")
+    first = True
+    while following is not None:
+        todo = stored(_pass(todo, Automaton(block, window, key), kind, first, with_text=True, with_clean=False), "passes")
+        block, following, first = following, next(blocks, None), False
+    todo = _pass(todo, Automaton(block, window, key), kind, False, with_text=clean or keep_text, with_clean=clean)
+    plain = _pass(plain, Automaton([], window, key), kind, True, with_text=clean or keep_text, with_clean=clean)
+    return plain.unionByName(todo)
 
 
 RESULTS = ("n_words", "n_hit", "items", "spans")
-_ADDED = "n_words bigint, n_hit bigint, items array<bigint>, spans array<struct<start:bigint,stop:bigint>>"
+_ADDED = "n_words bigint, n_hit bigint, items array<{}>, spans array<struct<start:bigint,stop:bigint>>"
 
 
-def _pass(docs: DataFrame, automaton: Automaton, first: bool, with_text: bool, with_clean: bool) -> DataFrame:
+def _pass(docs: DataFrame, automaton: Automaton, kind, first: bool, with_text: bool, with_clean: bool) -> DataFrame:
     """Stream one automaton over all documents and add to what earlier passes found."""
     held = docs.sparkSession.sparkContext.broadcast(automaton)
     passed = [f for f in docs.schema.fields if f.name not in RESULTS and (with_text or f.name != "text")]
     names = [f.name for f in passed] + list(RESULTS) + ["clean_text"] * with_clean
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in passed) + _ADDED + ", clean_text string" * with_clean
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in passed) + _ADDED.format(kind.simpleString()) + ", clean_text string" * with_clean
+    ids = pa.list_(to_arrow_type(kind))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = held.value
         for batch in batches:
             col = batch.column("text")
             earlier = None if first else (batch.column("items"), batch.column("spans"))
-            for ch in chunks(col, True, IS_WORD_ALNUM):
+            for ch in chunks(col, True, IS_WORD_ALNUM, own.key):
                 n_words, n_hit, items, spans, cut = [], [], [], [], {}
                 at = ch.first.tolist()
                 found: dict[int, tuple[list, set]] = {}
@@ -251,7 +316,7 @@ def _pass(docs: DataFrame, automaton: Automaton, first: bool, with_text: bool, w
                     while lo < hi:  # a run ends where its text ends
                         to = min(hi, at[doc + 1])
                         if to - lo >= own.shortest:
-                            s, it = own.stream(codes[lo:to].tolist())
+                            s, it = own.checked(codes[lo:to], ch, lo)
                             if s:
                                 have = found.setdefault(doc, ([], set()))
                                 have[0].extend((x + lo - at[doc], y + lo - at[doc]) for x, y in s)
@@ -278,7 +343,7 @@ def _pass(docs: DataFrame, automaton: Automaton, first: bool, with_text: bool, w
                 columns = [own_rows.column(f.name) for f in passed] + [
                     pa.array(n_words, pa.int64()),
                     pa.array(n_hit, pa.int64()),
-                    pa.array(items, pa.list_(pa.int64())),
+                    pa.array(items, ids),
                     pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))),
                 ]
                 if with_clean:
@@ -317,9 +382,11 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, coverage_limit: float
     none is hit. The limit holds for all words that a document loses. ``n_chars`` of a cut document is that of its text.
     """
     cols = docs.columns
+    # all other columns travel in one, so none of them can clash with a result
+    rest = F.struct(*[F.col(f"`{c}`") for c in cols if c != "text"])
     if coverage_limit <= 0:  # what stays has no span to cut
-        return decontaminate(docs, benchmark, clean=False, keep_text=True).filter("n_hit = 0").select(*cols)
-    rest = F.struct(*[F.col(c) for c in cols if c != "text"])
+        found = decontaminate(docs.select("text", rest.alias("rest")), benchmark, clean=False, keep_text=True).filter("n_hit = 0")
+        return found.select(*[F.col("text") if c == "text" else F.col(f"rest.`{c}`").alias(c) for c in cols])
     none = F.struct(F.lit(0).cast("long").alias("lost"), F.lit(None).cast("long").alias("words"))
     taken = F.struct((F.col("cut.lost") + F.col("n_hit")).alias("lost"), F.coalesce("cut.words", "n_words").alias("words"))
     todo, clean = docs.select("text", rest.alias("rest"), none.alias("cut")), []

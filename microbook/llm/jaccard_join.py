@@ -4,20 +4,23 @@ A document's set holds the hashes of its distinct word shingles. Documents with
 class, which its smallest doc_id stands for. Two classes link when ``den * |A n B| >= num * |A u B|``.
 The join returns the connected components of all links; links inside a component need not be listed.
 
-1. Grouping. Similar documents share the smallest hash of their set with a probability that is their
-   similarity. For four hash orders, each class finds the smallest class with the same minimum; it is
-   verified against one that two orders name, and against a few pivots of those that found the same one.
-   The components of these links are the groups. A large family of near copies so becomes one group by a
-   number of comparisons that is linear in its size.
-2. Matrix. For each group the matrix holds the union of its members' probe tokens (of a set of n those
-   rarest n - ceil(t n) + 1) and marks the index tokens among them (the rarest n - ceil(2t/(1+t) n) + 1).
-   Of two linked sets the smaller one's index tokens and the larger one's probe tokens meet, so no link
-   between groups is lost. A matrix column that a single group fills is dropped. Rarity is counted over
-   all documents; frequent tokens come last. Prefix places bound the overlap of two single documents.
-3. Bound and open. For groups that meet in the matrix, the members of the smaller one are queries. A
-   query's overlap with the token union of a block of the other group's members bounds its overlap with
-   each of them; only where the bound qualifies is the block opened and the query compared with members.
-   One link joins a query with a whole group, so a query stops at its first link with it.
+1. Groups of similar documents. Similar documents share the smallest hash of their set with a probability
+   that is their similarity. For four hash orders, each class finds the smallest class with the same
+   minimum, and belongs to the family of the one that most orders name (two at least), linked or not. A
+   family's members are compared with a few pivots, so a large family of near copies becomes one component
+   by a number of comparisons that is linear in its size. Its members are then dealt into groups of bounded
+   size, those of its largest component apart from the others; a class without a family is its own group.
+2. Matrix. For each group the matrix holds the probe tokens of its members (of a set of n those rarest
+   n - ceil(t n) + 1) and marks the index tokens among them (the rarest n - ceil(2t/(1+t) n) + 1). Of two
+   linked sets the smaller one's index tokens and the larger one's probe tokens meet, so no link between
+   groups is lost. A column that a single group fills is dropped. The small groups of a column that over
+   HOT groups fill are merged into groups of that column, so a column has few rows however many documents
+   share its token. Rarity is counted over all documents; frequent tokens come last. For groups of one
+   document prefix places bound the overlap.
+3. Bound and open. For groups that meet in the matrix (and within groups of several components) the members
+   of the smaller one are queries. A query's overlap with the whole token union of the other group bounds
+   its overlap with each member; only where the bound qualifies is the group opened and the query compared
+   with its members. Members that are known to be in the query's component are passed over.
 
 Rows: null or wordless texts have an empty set, link with nothing and are their own component. Repeated
 rows share their class. Rows that share a doc_id count as one node of the graph; a row with a null doc_id
@@ -35,22 +38,25 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, lookup_left, parts, stored, table
-from .textkit import chunks, list_array, mix, tidy
+from .textkit import chunks, list_array, mix, run_key, tidy
 from .url_filter import build_bloom, split_by
 
 SIGNATURES = 4
-#: Signatures that two documents must share to be compared in step 1.
+#: Signatures that a document shares with the one whose family it joins.
 AGREE = 2
 #: A token of more documents than this is frequent and ordered last. Exact for tokens with hashes in the lowest
 #: quarter, where prefixes lie; a token with any hash counts as far as LOCAL documents of one stretch (of about
 #: STRETCH tokens) share it.
 WIDE, LOCAL, STRETCH = 16, 2, 3_000_000
 QUARTER = np.uint64(1 << 62)
-#: Frequent tokens whose order is broadcast: those with the most documents. Others keep their place in the hash order, which costs time but no link.
+#: Frequent tokens whose order is broadcast: those with the most documents. Others keep their place in the hash order;
+#: where that makes a column of many groups, these are merged.
 MAX_FREQUENT = 1_000_000
-#: Members of a group that share a token union; queries of a block that one task takes.
-BLOCK, QUERIES = 256, 1024
-#: Documents of a block that the others are compared with in step 1.
+#: Members of a group; queries that one task compares with it; tokens that either may hold (one document may hold more).
+BLOCK, QUERIES, TOKENS = 256, 512, 2_000_000
+#: Groups of a column of the matrix beyond which its small groups are merged.
+HOT = 64
+#: Documents of a family that its others are compared with in step 1.
 PIVOTS = 8
 
 
@@ -97,11 +103,12 @@ def _at_least(x: np.ndarray, num: int, den: int) -> np.ndarray:
 
 def described(docs: DataFrame, shingle: int) -> DataFrame:
     """(doc_id, n, d1, d2, sigs) of every document."""
+    key = run_key(docs.sparkSession)
     names = ["doc_id", "n", "d1", "d2", "sigs"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ch in chunks(batch.column("text"), True):
+            for ch in chunks(batch.column("text"), True, key=key):
                 values, sizes = doc_sets(ch, shingle)
                 d1, d2 = _digests(values, sizes)
                 full, k = np.flatnonzero(sizes), len(sizes)
@@ -117,6 +124,7 @@ def described(docs: DataFrame, shingle: int) -> DataFrame:
 
 def frequent_tokens(docs: DataFrame, shingle: int) -> DataFrame:
     """(token, freq) of the frequent tokens, over all documents; counts are combined by stretches before they move."""
+    key = run_key(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -127,7 +135,7 @@ def frequent_tokens(docs: DataFrame, shingle: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(tokens[told].view(np.int64)), pa.array(counts[told])], ["token", "freq"])
 
         for batch in batches:
-            for ch in chunks(batch.column("text"), True):
+            for ch in chunks(batch.column("text"), True, key=key):
                 values, _ = doc_sets(ch, shingle)
                 held.append(values)
                 n += len(values)
@@ -164,11 +172,11 @@ class Order:
 
 def prefixes(docs: DataFrame, order, shingle: int, num: int, den: int) -> DataFrame:
     """(doc_id, d1, n, probe, n_index) of every row; ``probe``: the keys of the rarest tokens in order, of which the first n_index are index tokens."""
-    names = ["doc_id", "d1", "n", "probe", "n_index"]
+    names, key = ["doc_id", "d1", "n", "probe", "n_index"], run_key(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ch in chunks(batch.column("text"), True):
+            for ch in chunks(batch.column("text"), True, key=key):
                 values, sizes = doc_sets(ch, shingle)
                 d1 = _digests(values, sizes)[0]
                 keys = order.value.keys(values)
@@ -184,13 +192,13 @@ def prefixes(docs: DataFrame, order, shingle: int, num: int, den: int) -> DataFr
 
 
 def _cells(members: DataFrame) -> DataFrame:
-    """(key, comp, pos, n, is_index) of ``members(comp, single, n, probe, n_index)``; pos and n are the place in the prefix and the
+    """(key, row, pos, n, is_index) of ``members(row, single, n, probe, n_index)``; pos and n are the place in the prefix and the
     size of a group's only member, else -1 and null.
 
     The rows of one batch that repeat a group's key are joined before anything moves, so a key of a large
     group makes few rows.
     """
-    names = ["key", "comp", "pos", "n", "is_index"]
+    names = ["key", "row", "pos", "n", "is_index"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -198,32 +206,32 @@ def _cells(members: DataFrame) -> DataFrame:
             sizes = np.diff(probe.offsets.to_numpy())
             key = probe.flatten().to_numpy()
             pos = (np.arange(len(key)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
-            comp, single, n, n_index = (np.repeat(batch.column(c).to_numpy(zero_copy_only=False), sizes) for c in ("comp", "single", "n", "n_index"))
+            row, single, n, n_index = (np.repeat(batch.column(c).to_numpy(zero_copy_only=False), sizes) for c in ("row", "single", "n", "n_index"))
             is_index = pos < n_index
             pos[~single] = -1
             many = np.flatnonzero(~single)
             if len(many):
-                by = many[np.lexsort((~is_index[many], comp[many], key[many]))]
+                by = many[np.lexsort((~is_index[many], row[many], key[many]))]
                 first = np.ones(len(by), bool)
-                first[1:] = (key[by[1:]] != key[by[:-1]]) | (comp[by[1:]] != comp[by[:-1]])
+                first[1:] = (key[by[1:]] != key[by[:-1]]) | (row[by[1:]] != row[by[:-1]])
                 at = np.concatenate([np.flatnonzero(single), by[first]])
-                key, comp, pos, n, is_index = key[at], comp[at], pos[at], n[at], is_index[at]
+                key, row, pos, n, is_index = key[at], row[at], pos[at], n[at], is_index[at]
             size = pa.array(n.astype(np.int32), mask=pos < 0)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(comp), pa.array(pos), size, pa.array(is_index)], names)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(row), pa.array(pos), size, pa.array(is_index)], names)
 
-    return members.select("comp", "single", "n", "probe", "n_index").mapInArrow(tidy(run), "key bigint, comp bigint, pos int, n int, is_index boolean")
+    return members.select("row", "single", "n", "probe", "n_index").mapInArrow(tidy(run), "key bigint, row bigint, pos int, n int, is_index boolean")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     """(doc_id, d1, tokens) of all rows that may be among the wanted (doc_id, d1): a Bloom filter drops nearly all others before anything moves."""
-    n = wanted.count()
+    n, key = wanted.count(), run_key(docs.sparkSession)
     bloom = docs.sparkSession.sparkContext.broadcast(build_bloom(wanted.select(F.col("doc_id").bitwiseXOR(F.col("d1")).alias("k")), n))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id")
             own = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            for ch in chunks(batch.column("text"), True):
+            for ch in chunks(batch.column("text"), True, key=key):
                 values, sizes = doc_sets(ch, shingle)
                 d1 = _digests(values, sizes)[0]
                 hit = bloom.value.maybe(own[ch.rows] ^ d1)
@@ -240,23 +248,47 @@ def _linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
     return den * both >= num * (len(a) + len(b) - both)
 
 
+class _Components:
+    """Components as far as one task knows them."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def root(self, c: int) -> int:
+        while (d := self.up.get(c, c)) != c:
+            self.up[c] = c = self.up.get(d, d)
+        return c
+
+    def join(self, a: int, b: int) -> bool:
+        """Whether the two were apart."""
+        a, b = self.root(a), self.root(b)
+        self.up[max(a, b)] = min(a, b)
+        return a != b
+
+
 def open_groups(queries: pd.DataFrame, members: pd.DataFrame, num: int, den: int) -> list[tuple[int, int]]:
-    """Links (query, member) of one block: at most one for each query."""
+    """Links (query, member) of one group that join components; both sides have doc_id, comp and tokens."""
     sets = [np.asarray(t, np.int64) for t in members["tokens"]]
-    ids = members["doc_id"].tolist()
-    union = np.sort(sets[0]) if len(sets) == 1 else np.unique(np.concatenate(sets))
-    out = []
-    for q, tokens in zip(queries["doc_id"].tolist(), queries["tokens"], strict=True):
+    ids, comps, sizes = members["doc_id"].tolist(), members["comp"].tolist(), np.array([len(t) for t in sets])
+    flat = np.concatenate(sets)
+    by = np.argsort(flat, kind="stable")
+    owner = np.repeat(np.arange(len(sets)), sizes)[by]
+    union, begin, count = np.unique(flat[by], return_index=True, return_counts=True)
+    known, kinds, out = _Components(), set(comps), []
+    for q, comp, tokens in zip(queries["doc_id"].tolist(), queries["comp"].tolist(), queries["tokens"], strict=True):
+        if all(known.root(c) == known.root(comp) for c in kinds):
+            continue
         own = np.asarray(tokens, np.int64)
-        # |q n m| >= t |q u m| >= t |q|: the overlap with the union bounds that with each member
         at = np.minimum(np.searchsorted(union, own), len(union) - 1)
-        if den * int((union[at] == own).sum()) < num * len(own):
+        at = at[union[at] == own]
+        # |q n m| >= t |q u m| >= t |q|: the overlap with the union bounds that with each member
+        if den * len(at) < num * len(own):
             continue
-        for m, theirs in zip(ids, sets, strict=True):
-            low, high = sorted((len(own), len(theirs)))
-            if m != q and den * low >= num * high and _linked(own, theirs, num, den):
-                out.append((q, m))
-                break
+        n = count[at]
+        both = np.bincount(owner[np.repeat(begin[at] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))], minlength=len(sets))
+        for m in np.flatnonzero(den * both >= num * (len(own) + sizes - both)).tolist():
+            if known.join(comp, comps[m]):
+                out.append((q, ids[m]))
     return out
 
 
@@ -286,52 +318,131 @@ def gather(block: pd.DataFrame, num: int, den: int) -> list[tuple[int, int]]:
     return out
 
 
-def verify(docs: DataFrame, queries: DataFrame, members: DataFrame, digests: DataFrame, shingle: int, num: int, den: int, among: bool = False) -> DataFrame:
-    """Links (u, v) for ``queries(g, doc_id)`` against ``members(g, doc_id)``: at most one for each query and group g.
+def _blocks(n, tokens, most: int):
+    """Groups into which n documents with that many tokens are dealt."""
+    return F.greatest(F.ceil(n / most), F.ceil(tokens / TOKENS), F.lit(1)).cast("long")
+
 
-    With ``among``, queries of a group may link with each other as well, by way of pivots.
+def verify(docs: DataFrame, queries: DataFrame, members: DataFrame, known: DataFrame, shingle: int, num: int, den: int, among: bool = False) -> DataFrame:
+    """Links (g, u, v) for ``queries(g, doc_id, n)`` against ``members(g, doc_id, n)``.
 
-    ``digests(doc_id, d1)`` tells the texts of the documents. A group with many queries is copied for each
-    QUERIES of them, so no task takes an unbounded number; a document's groups travel with its row, so a
-    full set moves once to meet its groups and once to each of them.
+    With ``among``, queries of a group may link with each other as well, by way of pivots. ``known(doc_id, d1,
+    comp)`` tells the texts of the documents. A group with many queries is copied for each QUERIES of them, so
+    no task takes an unbounded number; a document's groups travel with its row, so a full set moves once to
+    meet its groups and once to each of them. Tasks are dealt by the number of tokens.
     """
     spark = docs.sparkSession
-    sizes = queries.groupBy("g").agg(F.ceil(F.count("*") / QUERIES).alias("salts"), F.count("*").alias("n_rows"))
+    sizes = queries.groupBy("g").agg(_blocks(F.count("*"), F.sum("n"), QUERIES).alias("salts"), F.count("*").alias("n_rows"))
     sizes = stored(sizes, "asked")
     q = lookup_left(queries, sizes.select("g", "salts"), ["g"], sizes.select("g", "n_rows"))
-    q = q.select("doc_id", F.struct("g", F.pmod(F.xxhash64("doc_id", F.lit(3)), "salts").alias("salt"), F.lit(True).alias("q")).alias("a"))
+    q = q.select("doc_id", "n", F.struct("g", F.pmod(F.xxhash64("doc_id", F.lit(3)), "salts").alias("salt"), F.lit(True).alias("q")).alias("a"))
     m = members.join(sizes.select("g", "salts"), "g")
-    m = m.select("doc_id", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1), lambda k: F.struct(F.col("g"), k.alias("salt"), F.lit(False).alias("q")))).alias("a"))
-    places = stored(q.unionByName(m).join(digests, "doc_id"), "places")
+    m = m.select("doc_id", "n", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1), lambda k: F.struct(F.col("g"), k.alias("salt"), F.lit(False).alias("q")))).alias("a"))
+    places = stored(q.unionByName(m).join(known.select("doc_id", "d1", "comp"), "doc_id"), "places")
+    tokens = places.agg(F.sum("n")).first()[0] or 0
+    buckets = max(4 * parts(spark), -(-2 * tokens // TOKENS))
     sets = full_sets(docs, places.select("doc_id", "d1").distinct(), shingle)
-    rows = sets.join(places, ["doc_id", "d1"]).select("doc_id", "tokens", "a.*")
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("g", "salt"), F.lit(16 * parts(spark))).cast("int"))
+    rows = sets.join(places, ["doc_id", "d1"]).select("doc_id", "comp", "tokens", "a.*")
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("g", "salt"), F.lit(buckets)))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for _, block in pdf.groupby(["g", "salt"], sort=False):
+        for (g, _), block in pdf.groupby(["g", "salt"], sort=False):
             asks = block["q"].to_numpy(bool)
             if asks.any() and not asks.all():
-                out += gather(block, num, den) if among else open_groups(block[asks], block[~asks], num, den)
-        return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
+                found = gather(block, num, den) if among else open_groups(block[asks], block[~asks], num, den)
+                out += [(g, u, v) for u, v in found]
+        return pd.DataFrame(out, columns=["g", "u", "v"], dtype="int64")
+
+    return rows.groupBy("bucket").applyInPandas(run, "g bigint, u bigint, v bigint")
+
 
-    return rows.groupBy("bucket").applyInPandas(run, "u bigint, v bigint")
+def families(classes: DataFrame) -> DataFrame:
+    """(g, g_n, doc_id, n) of the classes that share AGREE signatures with the leader g of a family, each in one family only."""
+    signs = classes.select("node", "n", F.posexplode("sigs").alias("k", "sig"))
+    lead = stored(signs.groupBy("k", "sig").agg(F.min(F.struct("node", "n")).alias("g"), F.count("*").alias("n_rows")).filter("n_rows > 1"), "leaders")
+    asks = lookup_left(signs, lead.select("k", "sig", "g"), ["k", "sig"], lead.select("k", "sig", "n_rows"))
+    alike = (F.least("n", "g.n") * 2 >= F.greatest("n", "g.n")) & (F.col("g.node") < F.col("node"))
+    agree = asks.filter(alike).groupBy(F.col("g.node").alias("g"), F.col("node").alias("doc_id")).agg(F.count("*").alias("agree"), F.max("g.n").alias("g_n"), F.max("n").alias("n"))
+    best = agree.filter(F.col("agree") >= AGREE).groupBy("doc_id").agg(F.max_by(F.struct("g", "g_n", "n"), F.struct("agree", -F.col("g"))).alias("b"))
+    return best.select("b.g", "b.g_n", "doc_id", "b.n")
+
+
+def gathered(docs: DataFrame, asks: DataFrame, leaders: DataFrame, known: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
+    """Links (u, v) within families: by pivots of the parts of a family, then among the pivots of all its parts."""
+    out, level, size = None, asks, None
+    while True:
+        found = stored(verify(docs, level, leaders, known, shingle, num, den, among=True), "links")
+        out = found if out is None else out.unionByName(found)
+        crowded = level.groupBy("g").agg(_blocks(F.count("*"), F.sum("n"), QUERIES).alias("salts")).filter("salts > 1").select("g")
+        pivots = found.join(crowded, "g").filter("g <> v").select("g", F.col("v").alias("doc_id")).distinct()
+        pivots = stored(pivots.join(known.groupBy("doc_id").agg(F.max("n").alias("n")), "doc_id"), "pivots")
+        before, size = size, pivots.count()
+        if not size or (before is not None and 2 * size > before):
+            return out.select("u", "v")
+        level = pivots
+
+
+def dealt(classes: DataFrame, asks: DataFrame, comps: DataFrame) -> DataFrame:
+    """(doc_id, d1, n, comp, single, row): the group (row of the matrix) of every class."""
+    leaders = asks.select(F.col("g").alias("node"), F.col("g").alias("own")).distinct()
+    rows = classes.select("node", "d1", "n").join(asks.select(F.col("doc_id").alias("node"), "g"), "node", "left").join(leaders, "node", "left").join(comps, "node", "left")
+    rows = stored(rows.select(F.col("node").alias("doc_id"), "d1", "n", F.coalesce("comp", "node").alias("comp"), F.coalesce("g", "own").alias("g")), "family_members")
+    alone = rows.filter("g is null").select("doc_id", "d1", "n", "comp", F.lit(True).alias("single"), F.xxhash64(F.lit("one"), "doc_id").alias("row"))
+    own = rows.filter("g is not null")
+    held = stored(own.groupBy("g", "comp").agg(F.count("*").alias("docs"), F.sum("n").alias("tokens")), "family_parts")
+    largest = held.groupBy("g").agg(F.max_by("comp", F.struct("docs", -F.col("comp"))).alias("largest"), F.count("*").alias("n_rows"))
+    held = lookup_left(held, largest.drop("n_rows"), ["g"], largest.select("g", "n_rows")).withColumn("most", F.col("comp") == F.col("largest"))
+    blocks = [_blocks(F.sum(F.when(is_, F.col("docs")).otherwise(0)), F.sum(F.when(is_, F.col("tokens")).otherwise(0)), BLOCK).alias(c) for c, is_ in (("inner", F.col("most")), ("outer", ~F.col("most")))]
+    stats = stored(held.groupBy("g").agg(F.max("largest").alias("largest"), *blocks, F.sum("docs").alias("n_rows")), "families")
+    own = lookup_left(own, stats.drop("n_rows"), ["g"], stats.select("g", "n_rows"))
+    most = F.col("comp") == F.col("largest")
+    block = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.when(most, F.col("inner")).otherwise(F.col("outer")))
+    own = own.select("doc_id", "d1", "n", "comp", F.lit(False).alias("single"), F.xxhash64(F.lit("family"), "g", most, block).alias("row"))
+    return alone.unionByName(own)
+
+
+def _sizes(facts: DataFrame) -> DataFrame:
+    return facts.groupBy("row").agg(
+        F.count("*").alias("size"), F.sum("n").alias("tokens"), F.min("n").alias("low"), F.max("n").alias("high"), F.min("comp").alias("c_low"), F.max("comp").alias("c_high"), F.bool_and("single").alias("single")
+    )
 
 
-def matrix_pairs(docs: DataFrame, facts: DataFrame, often: pa.Table, shingle: int, num: int, den: int) -> DataFrame:
-    """(a, b), a < b: pairs of groups that meet in the matrix and that no bound rules out.
+def merged(shared: DataFrame, facts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The matrix and the groups after the small groups of crowded columns became groups of these columns."""
+    column = Window.partitionBy("key")
+    crowded = shared.withColumn("rows", F.count("*").over(column)).filter(F.col("rows") > HOT)
+    crowded = crowded.groupBy("row").agg(F.max(F.struct("rows", "key"))["key"].alias("into"))
+    crowded = stored(crowded.join(_sizes(facts).filter(F.col("size") * 2 <= BLOCK).select("row", "size", "tokens"), "row"), "crowded")
+    if not crowded.take(1):
+        return shared, facts
+    per = crowded.groupBy("into").agg(_blocks(F.sum("size"), F.sum("tokens"), BLOCK).alias("blocks"), F.count("*").alias("n_rows"))
+    moved = lookup_left(crowded, per.drop("n_rows"), ["into"], per.select("into", "n_rows"))
+    moved = stored(moved.select("row", F.xxhash64(F.lit("column"), "into", F.pmod(F.xxhash64("row", F.lit(9)), "blocks")).alias("new")), "moved")
+    stays = F.col("new").isNull()
+    facts = facts.join(moved, "row", "left").withColumns({"row": F.coalesce("new", "row"), "single": F.col("single") & stays}).drop("new")
+    shared = shared.join(moved, "row", "left").select(
+        "key", F.coalesce("new", "row").alias("row"), F.when(stays, F.col("pos")).otherwise(-1).alias("pos"), F.when(stays, F.col("n")).alias("n"), "is_index"
+    )
+    shared = shared.groupBy("key", "row").agg(F.min("pos").alias("pos"), F.max("n").alias("n"), F.max("is_index").alias("is_index"))
+    return stored(shared, "matrix"), stored(facts, "facts")
 
-    ``facts`` has doc_id, d1, comp, single of the class representatives. The key order is total, so keys of
-    one prefix that lie before a shared key and are not shared are missing in the other set; for two
-    single documents this bounds their overlap.
+
+def matrix_pairs(docs: DataFrame, facts: DataFrame, often: pa.Table, shingle: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """((a, b, a_size, b_size), facts): pairs of groups that meet in the matrix and that no bound rules out, and the groups.
+
+    A group whose members are in several components is a pair with itself. The key order is total, so keys of
+    one prefix that lie before a shared key and are not shared are missing in the other set; for two groups
+    of one document this bounds their overlap.
     """
     order = docs.sparkSession.sparkContext.broadcast(Order(often["token"].to_numpy().astype(np.int64).view(np.uint64), often["freq"].to_numpy()))
-    members = stored(prefixes(docs, order, shingle, num, den).join(facts.drop("n"), ["doc_id", "d1"]).select("comp", "single", "n", "probe", "n_index"), "members")
+    members = stored(prefixes(docs, order, shingle, num, den).join(facts.drop("n", "comp"), ["doc_id", "d1"]).select("row", "single", "n", "probe", "n_index"), "members")
     cells = _cells(members).repartition(parts(docs.sparkSession), "key")
     column = Window.partitionBy("key")
-    cells = cells.withColumns({"low": F.min("comp").over(column), "high": F.max("comp").over(column)})
-    shared = stored(cells.filter("low < high").drop("low", "high"), "matrix")
-    left, right = (shared.select("key", F.col("comp").alias(c), F.col("pos").alias(f"{c}_pos"), F.col("n").alias(f"{c}_n"), F.col("is_index").alias(f"{c}_index")) for c in "ab")
+    cells = cells.withColumns({"least": F.min("row").over(column), "most": F.max("row").over(column)}).filter("least < most")
+    cells = cells.groupBy("key", "row").agg(F.min("pos").alias("pos"), F.max("n").alias("n"), F.max("is_index").alias("is_index"))
+    shared, facts = merged(stored(cells, "matrix"), facts)
+    left, right = (shared.select("key", F.col("row").alias(c), F.col("pos").alias(f"{c}_pos"), F.col("n").alias(f"{c}_n"), F.col("is_index").alias(f"{c}_index")) for c in "ab")
     # two single documents need this overlap, and so a shared key among the first n - need + 1 of either; all shared
     # keys before the last such key are such keys as well, so counting those loses nothing
     need = F.ceil(num * (F.col("a_n") + F.col("b_n")) / (num + den))
@@ -341,15 +452,18 @@ def matrix_pairs(docs: DataFrame, facts: DataFrame, often: pa.Table, shingle: in
         F.count("*").alias("both"), F.max("a_pos").alias("a_pos"), F.max("b_pos").alias("b_pos"), F.max(F.col("a_index") | F.col("b_index")).alias("indexed")
     )
     met = met.filter("indexed")
-    sizes = facts.groupBy("comp").agg(F.max("single").alias("single"), F.min("n").alias("low"), F.max("n").alias("high"), F.count("*").alias("size"))
+    sizes = stored(_sizes(facts), "group_sizes")
     for c in "ab":
-        met = met.join(sizes.select(F.col("comp").alias(c), *[F.col(x).alias(f"{c}_{x}") for x in ("single", "low", "high", "size")]), c)
-    fits = (F.col("a_high") * den >= F.col("b_low") * num) & (F.col("b_high") * den >= F.col("a_low") * num)
+        met = met.join(sizes.select(F.col("row").alias(c), *[F.col(x).alias(f"{c}_{x}") for x in ("single", "low", "high", "size", "c_low", "c_high")]), c)
+    apart = ~((F.col("a_c_low") == F.col("a_c_high")) & (F.col("b_c_low") == F.col("b_c_high")) & (F.col("a_c_low") == F.col("b_c_low")))
+    fits = (F.col("a_high") * den >= F.col("b_low") * num) & (F.col("b_high") * den >= F.col("a_low") * num) & apart
     need = F.col("a_low") + F.col("b_low")  # of two single documents: overlap * (num + den) >= num * (n_a + n_b)
     most = F.least(*[F.col(f"{c}_low") - (F.col(f"{c}_pos") + 1 - F.col("both")) for c in "ab"])
-    both_single = F.col("a_single") & F.col("b_single")
-    met = stored(met.filter(fits & (~both_single | (most * (num + den) >= need * num))), "met")
-    return met.filter(~both_single).unionByName(_by_prefixes(met.filter(both_single), members, num, den)).select("a", "b", "a_size", "b_size")
+    both_single = F.col("a_single") & F.col("b_single") & (F.col("a_size") == 1) & (F.col("b_size") == 1)
+    met = stored(met.filter(fits & (~both_single | (most * (num + den) >= need * num))).withColumn("ones", both_single), "met")
+    within = sizes.filter("size > 1 and c_low < c_high").select(F.col("row").alias("a"), F.col("row").alias("b"), F.col("size").alias("a_size"), F.col("size").alias("b_size"))
+    names = within.columns
+    return met.filter("not ones").select(names).unionByName(_by_prefixes(met.filter("ones"), members, num, den).select(names)).unionByName(within), facts
 
 
 def _by_prefixes(met: DataFrame, members: DataFrame, num: int, den: int) -> DataFrame:
@@ -358,9 +472,9 @@ def _by_prefixes(met: DataFrame, members: DataFrame, num: int, den: int) -> Data
     Up to the smaller one of their last keys both prefixes are complete, so keys that are not shared there are
     missing; beyond, at most the rest of the smaller set can be shared.
     """
-    heads = members.filter("single").select("comp", "n", "probe")
+    heads = members.filter("single").select("row", "n", "probe")
     for c in "ab":
-        met = met.join(heads.select(F.col("comp").alias(c), F.col("n").alias(f"{c}_all"), F.col("probe").alias(f"{c}_probe")), c)
+        met = met.join(heads.select(F.col("row").alias(c), F.col("n").alias(f"{c}_all"), F.col("probe").alias(f"{c}_probe")), c)
     last = F.least(F.element_at("a_probe", -1), F.element_at("b_probe", -1))
     rest = [F.col(f"{c}_all") - F.size(F.filter(f"{c}_probe", lambda k: k <= last)) for c in "ab"]
     most = F.size(F.array_intersect("a_probe", "b_probe")) + F.least(*rest)
@@ -376,36 +490,23 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, num: int = 80, den: in
     some = rows.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
     classes = some.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("node"), F.count("*").alias("n_rows"), F.any_value("sigs").alias("sigs"))
     classes = stored(classes, "classes")
-    digests = classes.select(F.col("node").alias("doc_id"), "d1")
+    known = classes.select(F.col("node").alias("doc_id"), "d1", "n", F.col("node").alias("comp"))
     # 1. groups
-    signs = classes.select("node", "n", F.posexplode("sigs").alias("k", "sig"))
-    lead = stored(signs.groupBy("k", "sig").agg(F.min(F.struct("node", "n")).alias("g"), F.count("*").alias("n_rows")).filter("n_rows > 1"), "leaders")
-    asks = lookup_left(signs, lead.select("k", "sig", "g"), ["k", "sig"], lead.select("k", "sig", "n_rows"))
-    near = (F.least("n", "g.n") * den >= F.greatest("n", "g.n") * num) & (F.col("g.node") < F.col("node"))
-    asks = stored(asks.filter(near).groupBy(F.col("g.node").alias("g"), F.col("node").alias("doc_id")).agg(F.count("*").alias("agree")).filter(F.col("agree") >= AGREE).select("g", "doc_id"), "asks")
-    leaders = asks.select("g").distinct().select("g", F.col("g").alias("doc_id"))
-    links = stored(verify(docs, asks, leaders, digests, shingle, num, den, among=True), "links")
+    asks = stored(families(classes), "asks")
+    leaders = asks.groupBy("g").agg(F.max("g_n").alias("n")).select("g", F.col("g").alias("doc_id"), "n")
+    links = gathered(docs, asks.select("g", "doc_id", "n"), leaders, known, shingle, num, den)
     comps = stored(components(links), "groups")
     # 2. matrix
-    alone = classes.select("node", "d1", "n").join(comps, "node", "left")
-    # the bounds of single documents hold for one set; a doc_id with several texts stands for several
-    several = stored(classes.groupBy("node").agg(F.count("*").alias("n_rows")).filter("n_rows > 1"), "several")
-    alone = lookup_left(alone, several.select("node", F.lit(True).alias("several")), ["node"], several)
-    single = F.col("comp").isNull() & F.col("several").isNull()
-    facts = alone.select(F.col("node").alias("doc_id"), "d1", "n", F.coalesce("comp", "node").alias("comp"), single.alias("single"))
-    facts = stored(facts, "facts")
-    pairs = matrix_pairs(docs, facts, often, shingle, num, den)
+    facts = stored(dealt(classes, asks, comps), "facts")
+    pairs, facts = matrix_pairs(docs, facts, often, shingle, num, den)
     # 3. bound and open: the members of the smaller group are the queries
     swap = F.col("a_size") > F.col("b_size")
-    pairs = stored(pairs.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("small"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("large"), F.greatest("a_size", "b_size").alias("size")), "pairs")
+    pairs = stored(pairs.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("small"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("g")), "pairs")
     if pairs.take(1):
-        blocks = F.ceil(F.col("size") / BLOCK)
-        opened = pairs.groupBy("large").agg(F.max("size").alias("size"))
-        group = F.xxhash64("large", "block").alias("g")
-        members = facts.select("doc_id", "comp")
-        targets = members.withColumnRenamed("comp", "large").join(opened, "large").withColumn("block", F.pmod(F.xxhash64("doc_id"), blocks)).select(group, "doc_id")
-        asks = pairs.join(members.withColumnRenamed("comp", "small"), "small").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))).select(group, "doc_id")
-        more = stored(verify(docs, stored(asks, "asks"), stored(targets, "targets"), digests, shingle, num, den), "links")
+        members = facts.select("row", "doc_id", "n")
+        targets = members.withColumnRenamed("row", "g").join(pairs.select("g").distinct(), "g")
+        queries = members.withColumnRenamed("row", "small").join(pairs, "small").select("g", "doc_id", "n")
+        more = stored(verify(docs, stored(queries, "queries"), stored(targets, "targets"), facts, shingle, num, den).select("u", "v"), "links")
         if more.take(1):
             comps = stored(components(links.unionByName(more)), "groups")
     final = classes.select("d1", "d2", "n", "node", "n_rows").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import lookup_left, stored, table
-from .textkit import chunks, list_array, tidy
+from .textkit import chunks, list_array, run_key, tidy
 from .url_filter import BlockedBloom, build_bloom
 
 WINDOW = 50
@@ -64,12 +64,12 @@ def phrases(ch, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.nd
 
 def _phrase_rows(docs: DataFrame, window: int, anchor: int) -> DataFrame:
     """(anchor, digest, doc_id, row, first, n) of all phrases; row: digest of the text, for rows that share a doc_id."""
-    names = ["anchor", "digest", "doc_id", "row", "first", "n"]
+    names, key = ["anchor", "digest", "doc_id", "row", "first", "n"], run_key(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, rows = batch.column("doc_id"), batch.column("row")
-            for ch in chunks(batch.column("text"), False):
+            for ch in chunks(batch.column("text"), False, key=key):
                 text, first, n, a, d = phrases(ch, window, anchor)
                 take = pa.array(text + ch.rows.start)
                 yield pa.RecordBatch.from_arrays(
@@ -81,13 +81,13 @@ def _phrase_rows(docs: DataFrame, window: int, anchor: int) -> DataFrame:
 
 def _window_rows(docs: DataFrame, window: int, anchor: int, wanted) -> DataFrame:
     """(anchor, digest, doc_id, row, first, windows) of the phrases whose (anchor, digest, doc_id) may be ``wanted``; windows: their hashes."""
-    names = ["anchor", "digest", "doc_id", "row", "first", "windows"]
+    names, key = ["anchor", "digest", "doc_id", "row", "first", "windows"], run_key(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, rows = batch.column("doc_id"), batch.column("row")
             own_ids = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            for ch in chunks(batch.column("text"), False):
+            for ch in chunks(batch.column("text"), False, key=key):
                 text, first, n, a, d = phrases(ch, window, anchor)
                 hit = wanted.value.maybe(_filter_key(a, d, own_ids[text + ch.rows.start]))
                 text, first, n, a, d = text[hit], first[hit], n[hit], a[hit], d[hit]

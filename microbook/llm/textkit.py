@@ -1,21 +1,22 @@
 """Vectorised word hashing over Arrow string columns.
 
-Texts are handled as one UTF-8 byte array per chunk. A word's hash is a polynomial over its bytes
-(modulo 2**64, by prefix sums, so the cost does not depend on the number of words) that is then mixed;
-an n-gram's hash is the same over its words' hashes.
+Texts are handled as one UTF-8 byte array per chunk. A word's hash mixes its bytes, eight at a time, under
+a key of the run (words of over 64 bytes are hashed by keyed BLAKE2b), so texts cannot be made to collide.
+An n-gram's hash mixes those of the two longest power-of-two runs of words that cover it, and theirs are
+built by doubling: nothing in it is linear, so repetitive word sequences do not cancel out either.
 """
 
 from __future__ import annotations
 
 import ctypes
 import functools
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
 _SPACE = b" \t\n\x0b\x0c\r"
 
 #: Bytes of text that are hashed at once.
@@ -40,51 +41,64 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-class Powers:
-    """Powers of an odd base and of its inverse modulo 2**64, grown as needed."""
-
-    def __init__(self, base: int):
-        self.base, self.inverse = base, pow(base, -1, 1 << 64)
-        self.up = self.down = np.ones(1, U64)
-
-    def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        while len(self.up) < n:
-            k = len(self.up)
-            for name, b in (("up", self.base), ("down", self.inverse)):
-                old = getattr(self, name)
-                setattr(self, name, np.concatenate([old, old * U64(pow(b, k, 1 << 64))]))
-        return self.up, self.down
-
-
-BYTE_POWERS = Powers(_BASE)
-WORD_POWERS = Powers(0xD1342543DE82EF95)
-
-
-def prefix_sums(x: np.ndarray, powers: Powers) -> np.ndarray:
-    up, _ = powers.to(len(x) + 1)
-    out = np.zeros(len(x) + 1, U64)
-    np.cumsum(x * up[: len(x)], out=out[1:])
+def run_key(spark) -> int:
+    """The key of this run's word hashes: the same in all its tasks, not known to whoever wrote the texts."""
+    return int.from_bytes(hashlib.blake2b(spark.sparkContext.applicationId.encode(), digest_size=8).digest(), "little")
+
+
+#: Bytes of words that are mixed eight at a time.
+LANES = 8
+_MASKS = np.array([(1 << (8 * k)) - 1 for k in range(9)], U64)
+
+
+def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, key: int) -> np.ndarray:
+    """Hashes of the byte ranges of ``data``."""
+    lengths = ends - starts
+    held = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(held) - 7,), "<u8", held, strides=(1,))  # the eight bytes from each place on
+    out = mix(lengths.astype(U64) ^ U64(key))
+    live = np.arange(len(starts))
+    for lane in range(LANES):
+        if lane:
+            live = live[lengths[live] > 8 * lane]
+            if not len(live):
+                return out
+        bytes_ = eight[starts[live] + 8 * lane] & _MASKS[np.minimum(lengths[live] - 8 * lane, 8)]
+        out[live] = mix(out[live] ^ bytes_)
+    secret = key.to_bytes(8, "little")
+    for i in live[lengths[live] > 8 * LANES].tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8, key=secret).digest(), "little")
     return out
 
 
-def spans_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray, powers: Powers) -> np.ndarray:
-    """Hash of items start..end-1, the same wherever the sequence stands."""
-    _, down = powers.to(len(sums))
-    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(U64) * U64(0xA24BAED4963EE407))
-
-
 class Chunk:
     """Words of consecutive texts: ``hashes`` of all words, ``first[i]:first[i+1]`` those of text i of the chunk."""
 
     def __init__(self, rows: slice, hashes: np.ndarray, first: np.ndarray, starts: np.ndarray, ends: np.ndarray, data: np.ndarray):
         self.rows, self.hashes, self.first, self.starts, self.ends, self.data = rows, hashes, first, starts, ends, data
-        self._sums = None
+        self._runs = [hashes]
 
     def grams(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Hashes of word sequences start..end-1 (positions in ``hashes``)."""
-        if self._sums is None:
-            self._sums = prefix_sums(self.hashes, WORD_POWERS)
-        return spans_hash(self._sums, start, end, WORD_POWERS)
+        """Hashes of word sequences start..end-1 (positions in ``hashes``), none empty; the same wherever a sequence stands."""
+        n = (end - start).astype(np.int64)
+        if not len(n):
+            return np.zeros(0, U64)
+        level = np.frexp(n.astype(float))[1] - 1  # 2**level words, twice, cover the sequence
+        while len(self._runs) <= int(level.max()):
+            k = len(self._runs)
+            below, half = self._runs[-1], 1 << (k - 1)
+            own = np.zeros(len(below), U64)
+            own[: max(0, len(below) - half)] = mix(below[: max(0, len(below) - half)] * U64(0xD1342543DE82EF95) + below[half:] + U64(k))
+            self._runs.append(own)
+        if int(level.min()) == int(level.max()):
+            runs, wide = self._runs[int(level[0])], 1 << int(level[0])
+            left, right = runs[start], runs[end - wide]
+        else:
+            left, right = np.empty(len(n), U64), np.empty(len(n), U64)
+            for k in np.unique(level).tolist():
+                at = level == k
+                left[at], right[at] = self._runs[k][start[at]], self._runs[k][end[at] - (1 << k)]
+        return mix(mix(left + n.astype(U64)) * U64(0xA24BAED4963EE407) + right)
 
     def starts_of(self, n: int) -> np.ndarray:
         """Positions at which n words of one text start."""
@@ -105,7 +119,7 @@ def column_view(col: pa.Array) -> tuple[memoryview, np.ndarray]:
     return memoryview(buffers[2]) if buffers[2] is not None else memoryview(b""), offsets
 
 
-def chunks(col: pa.Array, lower: bool, is_word: np.ndarray = IS_WORD_SPACE) -> Iterator[Chunk]:
+def chunks(col: pa.Array, lower: bool, is_word: np.ndarray = IS_WORD_SPACE, key: int = 0) -> Iterator[Chunk]:
     """Hash the words of a string column, about CHUNK_BYTES at a time (a longer text makes a chunk of its own)."""
     view, offsets = column_view(col)
     n, at = len(offsets) - 1, 0
@@ -124,8 +138,7 @@ def chunks(col: pa.Array, lower: bool, is_word: np.ndarray = IS_WORD_SPACE) -> I
         border[offsets[at : to + 1] - lo] = True
         starts = np.flatnonzero(after & (~before | border))
         ends = np.flatnonzero(before & (~after | border))
-        sums = prefix_sums(own.astype(U64) + U64(1), BYTE_POWERS)
-        hashes = spans_hash(sums, starts, ends, BYTE_POWERS)
+        hashes = hash_words(own, starts, ends, key)
         first = np.searchsorted(starts, offsets[at : to + 1] - lo)
         yield Chunk(slice(at, to), hashes, first, starts, ends, own)
         at = to
