@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A key is hot when it holds more than this share of the rows; so at most 1/share keys are hot.
@@ -15,10 +15,13 @@ HOT_SHARE = 1 / 1000
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors and the driver share: ``spark.checkpoint.dir``.
 
-    Where the setting is absent (tests, local mode) a folder of this machine is made and set.
+    Where the setting is absent in local mode (tests) a folder of this machine is made and set; on a cluster
+    that is an error, as each executor would write to its own disk.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="shared_")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -33,14 +36,17 @@ def stored(df: DataFrame, name: str, partitions: int | None = None) -> DataFrame
     spark = df.sparkSession
     path = fresh_path(spark, name)
     (df.coalesce(partitions) if partitions else df).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
 
 
-def remove_path(spark: SparkSession, path: str) -> None:
-    """Delete a table of the shared folder through Spark's own file system layer."""
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+def forget(*tables: DataFrame) -> None:
+    """Delete ``stored`` tables that no plan reads any more: those of a loop's earlier rounds."""
+    for df in tables:
+        spark = df.sparkSession
+        p = spark._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -102,7 +108,8 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n_rows"))
         small = lookup_left(large, low.select("u", "m"), ["u"], low.select("u", "n_rows"))
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
-        e = stored(small.filter("u <> v").distinct(), "cc_small")
+        old, e = e, stored(small.filter("u <> v").distinct(), "cc_small")
+        forget(old, large)
         now = checksum(e)
         if now == before:
             break
@@ -110,7 +117,3 @@ def components(edges: DataFrame) -> DataFrame:
     members = e.select(F.col("u").alias("node"), F.col("v").alias("comp"))
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct()
     return members.unionByName(roots)
-
-
-def hex_sha256(c: Column) -> Column:
-    return F.sha2(F.encode(c, "UTF-8"), 256)

@@ -26,6 +26,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import stored, table
@@ -220,7 +221,7 @@ def _suspects(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
     told = windows.groupBy("n").count().collect()  # a row for each length up to the window
     lengths, n = sorted(r["n"] for r in told), sum(r["count"] for r in told)
     bloom = docs.sparkSession.sparkContext.broadcast(build_bloom(windows.select("k"), n))
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema.fields) + "`__maybe` boolean"
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in docs.schema.fields]).add("__maybe", "boolean")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -290,7 +291,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
 
 
 RESULTS = ("n_words", "n_hit", "items", "spans")
-_ADDED = "n_words bigint, n_hit bigint, items array<{}>, spans array<struct<start:bigint,stop:bigint>>"
 
 
 def _pass(docs: DataFrame, automaton: Automaton, kind, first: bool, with_text: bool, with_clean: bool) -> DataFrame:
@@ -298,7 +298,11 @@ def _pass(docs: DataFrame, automaton: Automaton, kind, first: bool, with_text: b
     held = docs.sparkSession.sparkContext.broadcast(automaton)
     passed = [f for f in docs.schema.fields if f.name not in RESULTS and (with_text or f.name != "text")]
     names = [f.name for f in passed] + list(RESULTS) + ["clean_text"] * with_clean
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in passed) + _ADDED.format(kind.simpleString()) + ", clean_text string" * with_clean
+    span = T.StructType().add("start", "long").add("stop", "long")
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in passed])
+    schema = schema.add("n_words", "long").add("n_hit", "long").add("items", T.ArrayType(kind)).add("spans", T.ArrayType(span))
+    if with_clean:
+        schema = schema.add("clean_text", "string")
     ids = pa.list_(to_arrow_type(kind))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -15,7 +15,7 @@ other; rows of one text with the same doc_id all carry it as ``keep_id`` and all
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +28,7 @@ DIGESTS_PER_SHARD = 50_000
 GAMMA = 2.0
 MAX_LEVELS = 40
 INDEX_SCHEMA = "shard int, n int, sizes array<int>, bits binary, digests binary, keep_ids array<bigint>, counts array<bigint>"
+INDEX = pa.schema([("shard", pa.int32()), ("n", pa.int32()), ("sizes", pa.list_(pa.int32())), ("bits", pa.binary()), ("digests", pa.binary()), ("keep_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64()))])
 
 
 def normalised(text="text"):
@@ -97,41 +98,39 @@ def _shard(n: int):
     return F.pmod(F.xxhash64("text_sha256"), F.lit(n)).cast("int")
 
 
-def _build(pdf: pd.DataFrame) -> pd.DataFrame:
-    words = _words(pdf["text_sha256"])
-    sizes, bits, slot = build_mph(words)
+def _build(rows: pa.Table) -> pa.Table:
+    """The index of one shard; ids stay in Arrow, where a null among them changes none."""
+    hexes = rows["text_sha256"].to_pylist()
+    sizes, bits, slot = build_mph(_words(hexes))
     order = np.argsort(slot)
-    body = "".join(pdf["text_sha256"].to_numpy()[order])
-    ids = [None if pd.isna(x) else int(x) for x in pdf["keep_id"].to_numpy()[order]]
-    counts = [int(x) for x in pdf["n_rows"].to_numpy()[order]]
-    row = (int(pdf["shard"].iloc[0]), len(pdf), sizes, np.packbits(bits).tobytes(), bytes.fromhex(body), ids, counts)
-    return pd.DataFrame([row], columns=["shard", "n", "sizes", "bits", "digests", "keep_ids", "counts"])
+    body = bytes.fromhex("".join(hexes[i] for i in order.tolist()))
+    row = {"shard": rows["shard"][0].as_py(), "n": len(hexes), "sizes": sizes, "bits": np.packbits(bits).tobytes(), "digests": body, "keep_ids": rows["keep_id"].take(order).to_pylist(), "counts": rows["n_rows"].take(order).to_pylist()}
+    return pa.Table.from_pylist([row], INDEX)
 
 
 def build_index(history: DataFrame, shards: int) -> DataFrame:
     """One row per shard from ``distinct_digests`` of the historical rows."""
-    return history.withColumn("shard", _shard(shards)).groupBy("shard").applyInPandas(_build, INDEX_SCHEMA)
+    return history.withColumn("shard", _shard(shards)).groupBy("shard").applyInArrow(_build, INDEX_SCHEMA)
 
 
-def _probe(_key, queries: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
-    out = queries.assign(seen_id=pd.Series([None] * len(queries), dtype="Int64"), seen_rows=pd.Series(0, index=queries.index, dtype="int64"))
+def _probe(queries: pa.Table, index: pa.Table) -> pa.Table:
+    seen_id, seen_rows = pa.nulls(len(queries), pa.int64()), pa.array(np.zeros(len(queries), np.int64))
     if len(queries) and len(index):
-        shard = index.iloc[0]
-        sizes, words = [int(x) for x in shard["sizes"]], _words(queries["text_sha256"])
-        bits = np.unpackbits(np.frombuffer(shard["bits"], np.uint8), count=sum(sizes)).astype(bool)
+        sizes, words = index["sizes"][0].as_py(), _words(queries["text_sha256"].to_pylist())
+        bits = np.unpackbits(np.frombuffer(index["bits"][0].as_py(), np.uint8), count=sum(sizes)).astype(bool)
         slot = mph_slots(words, sizes, bits)
-        held = np.frombuffer(shard["digests"], ">u8").reshape(-1, 4).astype(np.uint64)
+        held = np.frombuffer(index["digests"][0].as_py(), ">u8").reshape(-1, 4).astype(np.uint64)
         member = (slot >= 0) & (held[np.maximum(slot, 0)] == words).all(axis=1)
-        ids, counts = list(shard["keep_ids"]), np.asarray(shard["counts"])
-        out["seen_id"] = pd.array([None if not m or ids[s] is None or pd.isna(ids[s]) else int(ids[s]) for m, s in zip(member, slot, strict=True)], dtype="Int64")
-        out["seen_rows"] = np.where(member, counts[np.maximum(slot, 0)], 0)
-    return out[["text_sha256", "keep_id", "n_rows", "seen_id", "seen_rows"]]
+        at = pa.array(slot, mask=~member)  # a null takes nothing
+        seen_id = index["keep_ids"][0].values.take(at)
+        seen_rows = index["counts"][0].values.take(at).fill_null(0)
+    return queries.select(["text_sha256", "keep_id", "n_rows"]).append_column("seen_id", seen_id).append_column("seen_rows", seen_rows)
 
 
 def probe_index(queries: DataFrame, index: DataFrame, shards: int) -> DataFrame:
     """Look ``distinct_digests`` up: adds ``seen_id`` (the winner's locator) and ``seen_rows`` (0: no member)."""
     schema = "text_sha256 string, keep_id bigint, n_rows bigint, seen_id bigint, seen_rows bigint"
-    return queries.withColumn("shard", _shard(shards)).groupBy("shard").cogroup(index.groupBy("shard")).applyInPandas(_probe, schema)
+    return queries.withColumn("shard", _shard(shards)).groupBy("shard").cogroup(index.groupBy("shard")).applyInArrow(_probe, schema)
 
 
 def exact_dedup(docs: DataFrame, history_share: float = 0.5) -> DataFrame:
@@ -176,7 +175,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     marked = docs.withColumn("__sha", F.sha2(F.encode(normalised(), "UTF-8"), 256))
     stay, asks = split_by(marked, [F.col("doc_id"), F.col("__sha")], gone.unionByName(again))
     asks = asks.alias("a").join(gone.alias("g"), F.col("a.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("a.__sha") == F.col("g.text_sha256")), "left_anti")
-    return stay.unionByName(asks.dropDuplicates(["doc_id", "__sha"])).select(*cols)
+    return stay.unionByName(asks.dropDuplicates(["doc_id", "__sha"])).select(*[f"`{c}`" for c in cols])
 
 
 def op9_exact_dedup(spark, sf_dir):

@@ -1,23 +1,30 @@
 """Main-text extraction by line-block distribution.
 
-Markup is stripped to lines, one per block element; inline elements and line breaks do not end a line.
-Menus, headers, footers, sidebars, notices, adverts, forms and reader comments (by element, role, class
-or id) give no lines; lines that are mostly links count as empty. Over the lines, the text lengths of
-sliding windows of three lines are summed. The text surges where a window holds more than a threshold
-and dives where one holds nothing; all stretches that surge, from their first to their last line that is
-not mostly links, are the main text, in page order. Where nothing surges all stretches are. Where the page marks
-articles, the distribution is taken within each, and the article in which the most text surges (or else
-which has the most text) is the main text, widened to its first and last line, so its short lines stay.
-
-Rows: a null or empty html, or one without text, gives an empty text. Unclosed and stray tags are
-tolerated; a ``<`` that opens no tag is text; an unclosed script, style or comment ends with the page.
-Repeated pages each get their row.
+Markup is stripped to lines, one per block element; inline elements and line breaks do not end a line. Over
+the lines, the text lengths of sliding windows of three lines are summed; lines that are mostly links count
+as empty. The text surges where a window holds more than a threshold and dives where one holds nothing. The
+stretches between dives that surge, from their first to their last line that is not mostly links, are the
+main text, in page order; where nothing surges all stretches are.
+
+What the page says of its parts is a prior. Menus, footers, asides, dialogs, hidden parts and those with an
+unmistakable class or id (``sidebar``, ``ad``, ``comments``) give no lines; a header gives none outside of an
+article. Names that text may carry as well (``related``, ``form``, ``share``, parts of longer names) and forms
+only make a container doubtful: it stays if its own lines surge beyond a higher threshold, inside an article
+and outside alike. Where the page marks articles, the distribution is taken within each: those in which text
+surges (or all, if none does) are the main text, from their first line to their last, so short lines stay.
+
+Rows: a null or empty html, or one without text, gives an empty text. Attributes follow the rules of HTML
+(a quote inside an unquoted value is part of it). Unclosed and stray tags are tolerated, at linear cost; a
+``<`` that opens no tag is text; an unclosed script, style or comment ends with the page. Repeated pages each
+get their row.
 """
 
 from __future__ import annotations
 
 import html
+import itertools
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -30,67 +37,97 @@ from .textkit import give_back
 WINDOW = 3
 #: Characters of a window at which the text surges.
 SURGE = 86
+#: The same for the lines of a container of doubtful name.
+DOUBTFUL = 300
 #: Share of a line's characters that may be links.
 LINKS = 0.5
 
+_VALUE = r"\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*+))"
 _TOKEN = re.compile(
-    r"<!--(?s:.*?)(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<close>/)?(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*?)/?(?:>|\Z)|(?P<text>[^<]+|<)"
+    r"<!--(?:-?>|(?s:.*?)(?:--!?>|\Z))|<[!?][^>]*+(?:>|\Z)"
+    rf"|<(?P<close>/)?(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[\s/]++|=?[^\s/>=]++(?:{_VALUE})?+|=)*+)(?:>|\Z)|(?P<text>[^<]++|<)"
 )
 _END_OF = {t: re.compile(rf"</{t}\s*>|\Z", re.I) for t in ("script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "select", "object")}
-_ATTR = re.compile(r"(class|id|role|hidden|style|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
-_SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])")
+_ATTR = re.compile(rf"([^\s/>=]++)(?:{_VALUE})?+")
+_TOLD = re.compile(r"class|id|role|hidden|style", re.I)
+_PART = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])")
 
 # fixed values: names of elements, roles, classes and ids
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br img".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_BOILER = frozenset("nav footer aside form menu dialog button".split())
-_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
-_NAMES = frozenset(
-    "nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar aside footer ad ads advert adverts advertisement advertising banner promo promotion"
-    " sponsor sponsored cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login share sharing social comment comments"
-    " disqus reply replies respond related recommended recommendations widget pagination pager toolbar form search".split()
+_BOILER = frozenset("nav footer aside menu dialog button".split())
+_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
+#: Names that no text carries, as one name of a class or id.
+_SURE = frozenset(
+    "nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar footer ad ads advert adverts advertisement advertising banner promo sponsored cookie cookies gdpr"
+    " popup modal newsletter comment comments disqus pagination pager".split()
 )
-_KEEP = frozenset("html body article main".split())
+#: Names that no text carries even as a part of a longer name, outside of articles.
+_SURE_PART = frozenset("navbar menubar breadcrumb breadcrumbs sidebar footer advert adverts advertisement cookie cookies gdpr newsletter comments disqus pagination".split())
+_MAYBE = _SURE | frozenset(
+    "aside promotion sponsor consent notice alert overlay subscribe subscription signup login share sharing social reply replies respond related recommended"
+    " recommendations widget toolbar form search".split()
+)
+#: Elements of text itself, of which no name makes a container.
+_TEXT = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th blockquote pre figcaption caption html body article main".split())
 _AUTO_CLOSE = frozenset(("p", "li", "dt", "dd", "tr", "td", "th", "option"))
 
+#: What an element's tag and attributes say: text, doubtful, or no part of the main text.
+_KEEP, _DOUBT, _DROP = range(3)
+
 
-def _drops(tag: str, attrs: str, in_article: bool) -> bool:
-    """Whether the element is no part of the main text."""
+def _prior(tag: str, attrs: str, in_article: bool) -> int:
     if tag in _BOILER or (tag == "header" and not in_article):
-        return True
-    if not attrs or tag in ("html", "body"):
-        return False
+        return _DROP
+    found = _DOUBT if tag == "form" else _KEEP
+    if not attrs or tag in ("html", "body") or not _TOLD.search(attrs):
+        return found
     for m in _ATTR.finditer(attrs):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if name == "role":
             if value in _ROLES:
-                return True
-        elif name in ("class", "id"):
-            words = set(_SPLIT.split(value))
-            if words & _NAMES and not (tag in _KEEP and not words & {"comment", "comments", "ad", "ads"}):
-                return True
-            if "header" in words and not in_article and tag not in _KEEP:
-                return True
+                return _DROP
+            if value == "form":
+                found = _DOUBT
         elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and "display:none" in value.replace(" ", "")):
-            return True
-    return False
-
-
-def lines(page: str) -> list[tuple[str, int, float]]:
-    """(text, article, share of links) of each line in page order; article 0 is outside of any; dropped elements give no lines."""
-    out: list[tuple[str, int, float]] = []
-    stack: list[tuple[str, bool, int]] = []  # element, dropped, article
+            return _DROP
+        elif name in ("class", "id"):
+            names = value.split()
+            parts = {p for n in names for p in _PART.split(n)}
+            if tag in ("article", "main"):  # an article may be a reader's comment or an advert
+                if not {"comment", "comments", "ad", "ads"}.isdisjoint(parts):
+                    return _DROP
+            elif tag not in _TEXT:
+                if not _SURE.isdisjoint(names) or (not in_article and ("header" in parts or not _SURE_PART.isdisjoint(parts))):
+                    return _DROP
+                if not _MAYBE.isdisjoint(parts):
+                    found = _DOUBT
+            elif not _SURE.isdisjoint(names) and not in_article:
+                return _DROP
+    return found
+
+
+def lines(page: str) -> list[tuple[str, int, float, int]]:
+    """(text, article, share of links, doubtful container) of each line in page order; 0 is outside of any; dropped elements give no lines."""
+    out: list[tuple[str, int, float, int]] = []
+    stack: list[tuple[str, bool, int, int]] = []  # element, dropped, article, doubtful container
+    depth: Counter = Counter()  # open elements by name
     text: list[str] = []
-    linked = dropped = article = articles = in_link = 0
+    linked = dropped = article = articles = doubt = doubts = in_link = 0
 
     def end_line() -> None:
         nonlocal linked
         s = " ".join(html.unescape("".join(text)).split())
         if s:
-            out.append((s, article, linked / len(s)))
+            out.append((s, article, linked / len(s), doubt))
         text.clear()
         linked = 0
 
+    def pop() -> None:
+        nonlocal dropped, article, doubt
+        depth[stack.pop()[0]] -= 1
+        dropped, article, doubt = stack[-1][1:] if stack else (False, 0, 0)
+
     at = 0
     while at < len(page):
         m = _TOKEN.match(page, at)
@@ -111,10 +148,10 @@ def lines(page: str) -> list[tuple[str, int, float]]:
         if m["close"]:
             if tag == "a":
                 in_link = 0
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if depth is not None:
-                del stack[depth:]
-                dropped, article = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
+            if depth[tag]:
+                while stack[-1][0] != tag:
+                    pop()
+                pop()
             continue
         if tag in _END_OF:
             at = _END_OF[tag].search(page, at).end()
@@ -125,45 +162,55 @@ def lines(page: str) -> list[tuple[str, int, float]]:
             in_link = 1
             continue
         if tag in _AUTO_CLOSE and stack and stack[-1][0] == tag:
-            stack.pop()
-            dropped, article = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
-        if tag in ("article", "main") and not dropped and not _drops(tag, m["attrs"], bool(article)) and not article:
+            pop()
+        prior = _DROP if dropped else _prior(tag, m["attrs"], bool(article))
+        dropped = prior == _DROP
+        if tag in ("article", "main") and not dropped and not article:
             articles += 1
-            article = articles
-        dropped = bool(dropped) or _drops(tag, m["attrs"], bool(article))
-        stack.append((tag, dropped, article))
+            article, doubt = articles, 0
+        if prior == _DOUBT and not doubt:
+            doubts += 1
+            doubt = doubts
+        stack.append((tag, dropped, article, doubt))
+        depth[tag] += 1
     end_line()
     return out
 
 
-def main_lines(found: list[tuple[str, int, float]]) -> list[str]:
-    """The lines of the stretches that surge, or of the article in which the most text surges."""
+def main_lines(found: list[tuple[str, int, float, int]]) -> list[str]:
+    """The lines of the stretches that surge, or of the articles in which text surges."""
+    doubtful: dict[int, list] = {}
+    for line in found:
+        if line[3]:
+            doubtful.setdefault(line[3], []).append(line)
+    stay = {0} | {k for k, own in doubtful.items() if max(window_sums(_sizes(own))) > DOUBTFUL}
+    found = [line for line in found if line[3] in stay]
     articles: dict[int, list] = {}
     for line in found:
         if line[1]:
             articles.setdefault(line[1], []).append(line)
-    best, most = [], (0, 0)
-    for own in articles.values():
-        sizes = _sizes(own)
-        weight = sum(sum(sizes[a:b]) for surged, a, b in stretches(sizes) if surged), sum(len(s) for s, _, _ in own)
-        if weight > most:
-            best, most = own, weight
-    if best:  # short lines at or between the stretches of an article are its text
-        return [s for s, _, _ in best]
+    if articles:  # short lines at or between the stretches of an article are its text
+        surging = [own for own in articles.values() if any(surged for surged, _, _ in stretches(_sizes(own)))]
+        return [line[0] for own in surging or articles.values() for line in own]
     spans = stretches(_sizes(found))
     surging = [x for x in spans if x[0]]
-    return [s for _, a, b in surging or spans for s, _, _ in found[a:b]]
+    return [line[0] for _, a, b in surging or spans for line in found[a:b]]
+
+
+def _sizes(found: list[tuple[str, int, float, int]]) -> list[int]:
+    return [0 if share > LINKS else len(s) for s, _, share, _ in found]
 
 
-def _sizes(found: list[tuple[str, int, float]]) -> list[int]:
-    return [0 if share > LINKS else len(s) for s, _, share in found]
+def window_sums(sizes: list[int]) -> list[int]:
+    """Sums of the windows that start at each line."""
+    whole = [0, *itertools.accumulate(sizes)]
+    return [whole[min(i + WINDOW, len(sizes))] - whole[i] for i in range(len(sizes))]
 
 
 def stretches(sizes: list[int]) -> list[tuple[bool, int, int]]:
     """(surges, first, end) of the stretches between dives, without empty lines at their edges."""
-    sums = [sum(sizes[i : i + WINDOW]) for i in range(len(sizes))]
     out, start, surged = [], None, False
-    for i, n in enumerate([*sums, 0]):
+    for i, n in enumerate([*window_sums(sizes), 0]):
         if n and start is None:
             start, surged = i, False
         surged |= n > SURGE

@@ -11,8 +11,8 @@ nearest to the target.
 
 Rows: a null text has no words; documents without words are taken 0 words. A null source is a source of
 its own, the last. The choice depends on the seed, source, doc_id and text alone, so reruns and other
-partitionings agree; fully equal rows are interchangeable. An empty table gives an empty result. The
-source names with their sizes are held by the driver; more than ``MAX_SOURCES`` sources are refused.
+partitionings agree; fully equal rows are interchangeable. An empty table gives an empty result. Any number
+of sources is mixed; their targets are computed where they lie.
 """
 
 from __future__ import annotations
@@ -20,43 +20,49 @@ from __future__ import annotations
 import itertools
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import lookup_left, stored, table
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 LIMIT = 2.0
 BLOCK = 2048
-MAX_SOURCES = 100_000
 SEED = 20
 EPS = 1e-9
 
 _SCHEMA = "source string, doc_id long, size long, source_size long, target double, base long, p double, ord long"
 
 
-def targets(sizes: list[tuple[str | None, int]], weights=WEIGHTS, share: float = SHARE, limit: float = LIMIT) -> list[tuple]:
-    """(source, size, target) by code point of the source, null last. A target stops at ``limit`` times its source's
-    size; what is over goes to the others by weight, until none is above."""
-    ordered = sorted(sizes, key=lambda x: (x[0] is None, x[0] or ""))
-    weight = [weights[i % len(weights)] for i in range(len(ordered))]
-    out = [0.0] * len(ordered)
-    left = share * sum(s for _, s in ordered)
-    free = list(range(len(ordered)))
-    while free:
-        total = sum(weight[i] for i in free)
-        over = [i for i in free if left * weight[i] / total > limit * ordered[i][1]]
-        if not over:
-            for i in free:
-                out[i] = left * weight[i] / total
+def targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, limit: float = LIMIT) -> DataFrame:
+    """``sources(source, size, n)`` with ``target``, by code point of the source, null last.
+
+    A target stops at ``limit`` times its source's size; what is over goes to the others by weight, until
+    none is above. A source once above stays so, as the others' shares only grow; each round is one sum over
+    the sources, and the driver holds only that.
+    """
+    placed = sources.orderBy(F.col("source").asc_nulls_last()).select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("no"))
+    placed = stored(placed, "sources")
+    before = [0]
+    sizes = {r["part"]: r["count"] for r in placed.groupBy("part").count().collect()}  # a row for each task of the sort
+    for part in range(max(sizes, default=-1) + 1):
+        before.append(before[-1] + sizes.get(part, 0))
+    held = Window.partitionBy("part").orderBy("no")
+    shift = F.get(F.array(*[F.lit(x) for x in before]), F.col("part"))
+    place = F.pmod(shift + F.row_number().over(held) - 1, F.lit(len(weights)))
+    weighed = stored(placed.select("source", "size", "n", F.get(F.array(*[F.lit(w) for w in weights]), place.cast("int")).alias("weight")), "weights")
+    whole = weighed.agg(F.sum("size")).first()[0] or 0
+    rate, over = 0.0, -1
+    while True:
+        above = F.lit(rate) * F.col("weight") > limit * F.col("size")
+        sums = weighed.agg(F.count_if(above), F.sum(F.when(above, F.col("size")).otherwise(0)), F.sum(F.when(above, 0).otherwise(F.col("weight")))).first()
+        if sums[0] == over or not sums[2]:
             break
-        for i in over:
-            out[i] = limit * ordered[i][1]
-        left -= sum(out[i] for i in over)
-        free = [i for i in free if i not in set(over)]
-    return [(name, size, out[i]) for i, (name, size) in enumerate(ordered)]
+        over, rate = sums[0], (share * whole - limit * sums[1]) / sums[2]
+    above = F.lit(rate) * F.col("weight") > limit * F.col("size")
+    return weighed.select("source", "size", "n", F.when(above, limit * F.col("size")).otherwise(F.lit(rate) * F.col("weight")).alias("target"))
 
 
 def flight(size: np.ndarray, p: np.ndarray) -> np.ndarray:
@@ -102,14 +108,19 @@ def landing(size: np.ndarray, p: np.ndarray) -> np.ndarray:
     return p
 
 
-def _fly(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values(["ord", "doc_id", "size"], kind="stable")
-    return pdf.assign(p=flight(pdf["size"].to_numpy(), pdf["p"].to_numpy()))
+def _decided(rows: pa.Table, land: bool) -> pa.Table:
+    """The flight (and landing) of one block; ids stay in Arrow, where a null among them changes none."""
+    rows = rows.sort_by([("ord", "ascending"), ("doc_id", "ascending"), ("size", "ascending")])
+    size, p = rows["size"].to_numpy(), flight(rows["size"].to_numpy(), rows["p"].to_numpy())
+    return rows.set_column(rows.schema.get_field_index("p"), "p", pa.array(landing(size, p) if land else p))
+
 
+def _fly(rows: pa.Table) -> pa.Table:
+    return _decided(rows, land=False)
 
-def _land(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = _fly(pdf)
-    return pdf.assign(p=landing(pdf["size"].to_numpy(), pdf["p"].to_numpy()))
+
+def _land(rows: pa.Table) -> pa.Table:
+    return _decided(rows, land=True)
 
 
 def word_count(text="text"):
@@ -118,33 +129,32 @@ def word_count(text="text"):
 
 def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, limit: float = LIMIT, seed: int = SEED, block: int = BLOCK) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies, taken) of every row of ``docs``."""
-    spark = docs.sparkSession
     rows = docs.select("doc_id", "source", word_count().alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("ord"))
-    rows = stored(rows, "sizes")
-    by_source = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
-    totals = by_source.limit(MAX_SOURCES + 1).collect()
-    if len(totals) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    counts = {r["source"]: r["n"] for r in totals}
-    aims = [(s, n, t, float(t / n) if n else 0.0, -(-counts[s] // block)) for s, n, t in targets([(r["source"], r["size"]) for r in totals], weights, share, limit)]
-    facts = spark.createDataFrame(aims, "s string, source_size long, target double, ratio double, blocks long")
-    rows = rows.join(F.broadcast(facts), F.col("source").eqNullSafe(F.col("s")))
+    rows = stored(rows.withColumn("key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit(""))), "sizes")
+    sources = targets(rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")), weights, share, limit)
+    facts = stored(
+        sources.select(
+            F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")).alias("key"), F.col("size").alias("source_size"), F.col("target").cast("double").alias("target"),
+            F.coalesce(F.try_divide("target", "size"), F.lit(0.0)).cast("double").alias("ratio"), F.ceil(F.col("n") / block).alias("blocks"), F.col("n").alias("n_rows"),
+        ), "targets",
+    )
+    rows = lookup_left(rows, facts.drop("n_rows"), ["key"], facts.select("key", "n_rows"))
     base = F.floor(F.col("ratio") + EPS)
     rows = rows.select(
         "source", "doc_id", "size", "source_size", "target", base.alias("base"),
         F.when(F.col("size") == 0, 0.0).otherwise(F.greatest(F.col("ratio") - base, F.lit(0.0))).alias("p"), "ord", F.pmod("ord", "blocks").alias("block"),
     )
     done = None
-    most = max(counts.values(), default=0)
+    most = facts.agg(F.max("n_rows")).first()[0] or 0
     undecided = (F.col("p") > EPS) & (F.col("p") < 1 - EPS)
     while most > block:
-        flown = stored(rows.groupBy("source", "block").applyInPandas(_fly, _SCHEMA + ", block long"), "flight")
+        flown = stored(rows.groupBy("source", "block").applyInArrow(_fly, _SCHEMA + ", block long"), "flight")
         settled = flown.filter(~undecided)
         done = settled if done is None else done.unionByName(settled)
         # each block leaves two documents at most
         rows = flown.filter(undecided).withColumn("block", F.floor(F.col("block") / (block // 4)))
-        most = max([r["count"] for r in rows.groupBy("source", "block").count().groupBy("source").agg(F.sum("count").alias("count")).collect()], default=0)
-    landed = rows.groupBy("source").applyInPandas(_land, _SCHEMA + ", block long")
+        most = rows.groupBy("source").count().agg(F.max("count")).first()[0] or 0
+    landed = rows.groupBy("source").applyInArrow(_land, _SCHEMA + ", block long")
     out = landed if done is None else done.unionByName(landed)
     copies = (F.col("base") + F.round("p").cast("long")).alias("copies")
     return out.select("doc_id", "source", "size", "source_size", "target", copies).withColumn("taken", F.col("copies") * F.col("size"))

@@ -9,6 +9,8 @@ of the bytes). Bytes outside of all sections belong to no section.
 
 The vocabulary is a file of token ranks (path as a parameter); its bytes, of fixed size, are broadcast.
 
+Very long texts, such as a million spaces, are encoded whole as well.
+
 Rows: a null or empty text is one empty section with 0 tokens. By default a section is a line with its
 line end, so sections cover the text and their counts add up to those of the document. Repeated rows each
 get theirs. Special tokens' names in a text are ordinary text.
@@ -18,10 +20,11 @@ from __future__ import annotations
 
 import base64
 import itertools
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +34,10 @@ from .textkit import tidy
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # fixed value: the pre-tokenisation pattern of this vocabulary
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# fixed value: the characters that \s matches in it
+LONG_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{2000,}")
+#: Rows that leave a task at once.
+ROWS = 100_000
 RULES = ("start", "end", "majority", "split")
 
 
@@ -41,14 +48,31 @@ class Tokens:
         import tiktoken
 
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks_file.splitlines()) if a}
+        self.cuts = pattern == PATTERN
         self.encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.bytes_of = np.zeros(max(ranks.values()) + 1, np.int64)
         for token, rank in ranks.items():
             self.bytes_of[rank] = len(token)
 
+    def encode(self, text: str) -> list[int]:
+        """The tokens of the text.
+
+        The pattern matches white space with a look-ahead whose stack grows with the run. A long run is one
+        piece of the pattern up to its last character (which may open the next piece) or the text's end, and
+        nothing before a run reaches into it, so the run is cut out there and encoded as that piece.
+        """
+        out, at = [], 0
+        if self.cuts:
+            for m in LONG_SPACE.finditer(text):
+                end = m.end() if m.end() == len(text) else m.end() - 1
+                out += self.encoding.encode_ordinary(text[at : m.start()])
+                out += self.encoding._encode_single_piece(text[m.start() : end])
+                at = end
+        return out + self.encoding.encode_ordinary(text[at:]) if at else self.encoding.encode_ordinary(text)
+
     def ends(self, text: str) -> np.ndarray:
         """Byte offset behind each token of the text."""
-        return np.cumsum(self.bytes_of[np.asarray(self.encoding.encode_ordinary(text), np.int64)])
+        return np.cumsum(self.bytes_of[np.asarray(self.encode(text), np.int64)])
 
 
 def byte_offsets(text: str, chars: np.ndarray) -> np.ndarray:
@@ -101,26 +125,39 @@ def count_tokens(docs: DataFrame, key: str = "doc_id", rule: str = "start", voca
     with open(vocabulary, "rb") as f:
         held = spark.sparkContext.broadcast(f.read())
     kind = docs.schema[key].dataType.simpleString()
+    names = [key, "section", "start", "stop", "n_tokens"]
     # for counts that may be fractions
     number = "double" if rule == "split" else "bigint"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Tokens(held.value, pattern)
-        for pdf in batches:
-            rows: list[tuple] = []
-            counts: list[np.ndarray] = []
-            for name, text in zip(pdf[key], pdf["text"], strict=True):
-                text = text or ""
-                spans = np.asarray(sections(text), np.int64).reshape(-1, 2)
-                edges = byte_offsets(text, spans)
+
+        def told(batch: pa.RecordBatch, owner: list, spans: list, counts: list) -> pa.RecordBatch:
+            sizes = np.array([len(s) for s in spans])
+            edges, n = np.concatenate(spans), np.concatenate(counts)
+            section = np.arange(len(edges)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            # ids stay in Arrow, where a null among them changes none
+            keys = batch.column(key).take(pa.array(np.repeat(owner, sizes)))
+            return pa.RecordBatch.from_arrays([keys, pa.array(section.astype(np.int32)), pa.array(edges[:, 0]), pa.array(edges[:, 1]), pa.array(n if rule == "split" else n.astype(np.int64))], names)
+
+        for batch in batches:
+            owner, spans, counts, size = [], [], [], 0
+            for i, text in enumerate(batch.column("text")):
+                text = text.as_py() or ""
+                own = np.asarray(sections(text), np.int64).reshape(-1, 2)
+                edges = byte_offsets(text, own)
+                owner.append(i)
+                spans.append(own)
                 counts.append(attribute(tokens.ends(text), edges[:, 0], edges[:, 1], rule))
-                rows += [(name, i, a, b) for i, (a, b) in enumerate(spans.tolist())]
-            out = pd.DataFrame(rows, columns=[key, "section", "start", "stop"])
-            out["n_tokens"] = np.concatenate(counts) if counts else np.zeros(0)
-            yield out if rule == "split" else out.astype({"n_tokens": "int64"})
+                size += len(own)
+                if size >= ROWS:
+                    yield told(batch, owner, spans, counts)
+                    owner, spans, counts, size = [], [], [], 0
+            if owner:
+                yield told(batch, owner, spans, counts)
 
     schema = f"`{key}` {kind}, section int, start bigint, stop bigint, n_tokens {number}"
-    return docs.select(key, "text").mapInPandas(tidy(run), schema)
+    return docs.select(key, "text").mapInArrow(tidy(run), schema)
 
 
 def count_field_tokens(rows: DataFrame, key: str, fields: list[str], joint: str = "\n", rule: str = "start", vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
@@ -132,18 +169,20 @@ def count_field_tokens(rows: DataFrame, key: str, fields: list[str], joint: str
         held = packed.sparkSession.sparkContext.broadcast(f.read())
     kind = packed.schema[key].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Tokens(held.value, pattern)
-        for pdf in batches:
-            out = []
-            for name, sizes, text in zip(pdf[key], pdf["sizes"], pdf["text"], strict=True):
+        for batch in batches:
+            counts = []
+            for sizes, text in zip(batch.column("sizes").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 stops = np.cumsum(np.asarray(sizes, np.int64) + wide)
                 stops[-1] -= wide
                 edges = byte_offsets(text, np.concatenate([[0], stops]))
-                out += [(name, f, n) for f, n in zip(fields, attribute(tokens.ends(text), edges[:-1], edges[1:], rule).tolist(), strict=True)]
-            yield pd.DataFrame(out, columns=[key, "field", "n_tokens"])
+                counts.append(attribute(tokens.ends(text), edges[:-1], edges[1:], rule))
+            if counts:
+                keys = batch.column(key).take(pa.array(np.repeat(np.arange(len(counts)), len(fields))))
+                yield pa.RecordBatch.from_arrays([keys, pa.array(fields * len(counts)), pa.array(np.concatenate(counts))], [key, "field", "n_tokens"])
 
-    return packed.mapInPandas(tidy(run), f"`{key}` {kind}, field string, n_tokens double")
+    return packed.mapInArrow(tidy(run), f"`{key}` {kind}, field string, n_tokens double")
 
 
 def op10_token_counts(spark, sf_dir):

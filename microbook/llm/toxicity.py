@@ -6,7 +6,7 @@ of the ratio of its smoothed frequencies in toxic and in other texts; a logistic
 trained on the presences scaled by these ratios.
 
 The fit uses a bounded sample of labelled rows (``max_toxic`` and ``max_clean``: those with the smallest
-hashes of their doc_id and text digest), which the driver holds; the weights that are broadcast have a
+hashes of their doc_id and text digest, up to ``max_bytes`` of text), which the driver holds; the weights that are broadcast have a
 fixed size. Scoring is one pass over whole texts without a shuffle.
 
 Rows: a null or empty text has no features and gets the score of the bias. A document without a label,
@@ -24,12 +24,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import stored, table
 from .textkit import give_back
 
 GRAMS = (4, 5, 6)
 BITS = 20
 MAX_TOXIC, MAX_CLEAN = 1_500, 2_500
+#: Bytes of text of the sample: rows beyond them, in the sample's order, are left out.
+MAX_BYTES = 128 << 20
 #: Slots whose log-count ratio is nearer to 0 tell nothing and get no weight.
 LEAST_RATIO = 1.5
 #: A text's features are divided by this power of their number, so long texts do not outweigh short ones.
@@ -127,7 +129,7 @@ def held_out(doc_id="doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> pd.DataFrame:
+def training_rows(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN, max_bytes: int = MAX_BYTES) -> pd.DataFrame:
     """The bounded sample (text, toxic): the ids are chosen among the labels, so only chosen texts move."""
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64(F.col("doc_id"), F.lit(7))
@@ -135,8 +137,13 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC
     # at most max_toxic + max_clean ids: broadcast
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic")
     # a doc_id that is repeated does not widen the sample
-    rows = rows.orderBy(order, "doc_id", F.xxhash64("text")).limit(max_toxic + max_clean)
-    return rows.select("text", "toxic").toArrow().to_pandas()
+    rows = stored(rows.select("text", "toxic", order.alias("o"), "doc_id", F.xxhash64("text").alias("h"), F.octet_length("text").alias("bytes")), "labelled")
+    place = ["o", "doc_id", "h"]
+    sizes = rows.orderBy(*place).limit(max_toxic + max_clean).select(*place, "bytes").toArrow().to_pandas()
+    fit_in = sizes[sizes["bytes"].fillna(0).cumsum() <= max_bytes]
+    if fit_in.empty:
+        return pd.DataFrame({"text": [], "toxic": []})
+    return rows.orderBy(*place).limit(len(fit_in)).select("text", "toxic").toArrow().to_pandas()
 
 
 def train(docs: DataFrame, labels: DataFrame, **bounds) -> tuple[np.ndarray, float]:
@@ -144,8 +151,8 @@ def train(docs: DataFrame, labels: DataFrame, **bounds) -> tuple[np.ndarray, flo
     return fit(rows["text"].tolist(), rows["toxic"].to_numpy())
 
 
-def scored(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
-    """``docs`` with ``score``."""
+def scored(docs: DataFrame, model: tuple[np.ndarray, float], name: str = "score") -> DataFrame:
+    """``docs`` with the score in the column ``name``."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
@@ -158,7 +165,7 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
         finally:
             give_back()
 
-    return docs.withColumn("score", score("text"))
+    return docs.withColumn(name, score("text"))
 
 
 def op7_toxicity(spark, sf_dir):
@@ -170,4 +177,4 @@ def op7_toxicity(spark, sf_dir):
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that score below 0.5."""
     cols = docs.columns
-    return scored(docs, train(docs, labels)).filter("score < 0.5").select(*cols)
+    return scored(docs, train(docs, labels), "__toxicity").filter("__toxicity < 0.5").select(*[f"`{c}`" for c in cols])

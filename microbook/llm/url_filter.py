@@ -14,10 +14,9 @@ nothing.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +25,8 @@ from .textkit import mix
 
 BITS_PER_KEY = 12
 BLOCK_WORDS = 8
+#: A power of two.
+SLICES = 64
 MAX_BYTES = 32 << 20
 #: A list of up to this many rules (of bounded length) is broadcast for the exact join; a longer one is shuffled.
 BROADCAST_RULES = 10_000
@@ -38,13 +39,17 @@ class BlockedBloom:
     """512-bit blocks; keys are 64-bit hashes."""
 
     def __init__(self, n_keys: int, max_bytes: int = MAX_BYTES):
-        wanted = -(-n_keys * BITS_PER_KEY // 512)
-        self.blocks = max(1, min(wanted, max_bytes // 64))
-        self.words = np.zeros((self.blocks, BLOCK_WORDS), np.uint64)
+        blocks = max(1, min(-(-n_keys * BITS_PER_KEY // 512), max_bytes // 64))
+        #: A key's last bits choose one of the slices, which are filled independently.
+        self.slices = SLICES if blocks >= SLICES else 1
+        self.each = -(-blocks // self.slices)
+        self.words = np.zeros((self.slices * self.each, BLOCK_WORDS), np.uint64)
 
     def _places(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         h = mix(keys.astype(np.uint64))
-        block = (h % np.uint64(self.blocks)).astype(np.int64)
+        block = (h % np.uint64(self.each)).astype(np.int64)
+        if self.slices > 1:
+            block += (keys.astype(np.uint64) & np.uint64(SLICES - 1)).astype(np.int64) * self.each
         g = mix(h ^ np.uint64(0x9E3779B97F4A7C15))
         # six bits for each of the eight words of the block
         shift = (g[:, None] >> (np.arange(BLOCK_WORDS, dtype=np.uint64) * np.uint64(6))) & np.uint64(63)
@@ -63,24 +68,23 @@ class BlockedBloom:
 
 
 def build_bloom(keys: DataFrame, n: int, max_bytes: int = MAX_BYTES) -> BlockedBloom:
-    """Filter of a DataFrame's only column (64-bit hashes). Tasks fill partial filters of the final size,
-    which meet two by two on the executors; the driver gets one of at most ``max_bytes``."""
+    """Filter of a DataFrame's only column (64-bit hashes). Each task fills one slice of the filter, so the
+    driver gets slices that add up to ``max_bytes`` at most."""
     out = BlockedBloom(n, max_bytes)
     if not n:
         return out
+    k = F.col(keys.columns[0])
+    part = k.bitwiseAND(SLICES - 1).cast("int") if out.slices > 1 else F.lit(0)
 
-    def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def fill(rows: pa.Table) -> pa.Table:
         own = BlockedBloom(n, max_bytes)
-        for pdf in batches:
-            own.add(pdf.iloc[:, 0].to_numpy(np.int64).view(np.uint64))
-        yield pd.DataFrame({"words": [own.words.tobytes()]})
-
-    def join(a: bytes, b: bytes) -> bytes:
-        return (np.frombuffer(a, np.uint64) | np.frombuffer(b, np.uint64)).tobytes()
+        own.add(rows["k"].to_numpy().view(np.uint64))
+        at = rows["part"][0].as_py()
+        return pa.table({"part": pa.array([at], pa.int32()), "words": pa.array([own.words[at * own.each : (at + 1) * own.each].tobytes()], pa.binary())})
 
-    tasks = max(1, min(64, -(-n // 500_000)))
-    partial = keys.repartition(tasks).mapInPandas(fill, "words binary").rdd.map(lambda r: bytes(r[0]))
-    out.words = np.frombuffer(partial.treeReduce(join), np.uint64).reshape(-1, BLOCK_WORDS).copy()
+    filled = keys.select(k.alias("k"), part.alias("part")).filter("k is not null").groupBy("part").applyInArrow(fill, "part int, words binary")
+    for row in filled.collect():
+        out.words[row["part"] * out.each : (row["part"] + 1) * out.each] = np.frombuffer(row["words"], np.uint64).reshape(-1, BLOCK_WORDS)
     return out
 
 
@@ -121,8 +125,9 @@ def url_filter(pages: DataFrame, rules: DataFrame, max_bytes: int = MAX_BYTES) -
     """(page_id, host, path, rule, verdict) of every page; ``rules`` has host, path, verdict."""
     rules = rules.filter(F.coalesce(F.col("host"), F.lit("")) != "").select("host", F.coalesce("path", F.lit("")).alias("path"), "verdict")
     rules = rules.groupBy("host", "path").agg(F.max("verdict").alias("verdict")).select(F.col("host").alias("r_host"), F.col("path").alias("r_path"), "verdict")
-    stats = rules.agg(F.count("*"), F.collect_set(F.length("r_path"))).first()
-    n, lengths = stats[0], sorted(stats[1])
+    labels = F.length("r_host") - F.length(F.replace(F.col("r_host"), F.lit("."))) + 1
+    stats = rules.agg(F.count("*"), F.collect_set(F.length("r_path")), F.collect_set(labels)).first()
+    n, lengths, depths = stats[0], sorted(stats[1]), sorted(stats[2])
     pages = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     if not n:
         return pages.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit("allow").alias("verdict"))
@@ -137,10 +142,10 @@ def url_filter(pages: DataFrame, rules: DataFrame, max_bytes: int = MAX_BYTES) -
         place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         return pd.Series(np.split(place[hit].astype(np.int32), np.cumsum(np.bincount(owner[hit], minlength=len(sizes)))[:-1]) if len(sizes) else [])
 
-    labels = F.split("host", r"\.")
-    suffixes = F.when(F.col("host") == "", F.array().cast("array<string>")).otherwise(
-        F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    )
+    # only suffixes with as many labels as some rule's host can fit it
+    depth = F.length("host") - F.length(F.replace(F.col("host"), F.lit("."))) + 1
+    own = F.filter(F.array(*[F.lit(x) for x in depths]), lambda c: (c <= depth) & (F.col("host") != ""))
+    suffixes = F.transform(own, lambda c: F.call_function("substring_index", F.col("host"), F.lit("."), -c))
     cuts = F.filter(F.array(*[F.lit(x) for x in lengths]), lambda x: x <= F.length("path"))
     heads = F.transform(cuts, lambda x: F.substring(F.col("path"), F.lit(1), x))
     pairs = F.flatten(F.transform(suffixes, lambda h: F.transform(heads, lambda p: F.struct(h.alias("r_host"), p.alias("r_path")))))

@@ -5,8 +5,8 @@ lines that end a record between records, so files are committed by Spark and sur
 Of pages with equal payloads of at least ``min_bytes`` bytes the one with the largest page_id becomes a
 response, the others revisits of it.
 
-Reading. The text reader cuts the files, split by split, wherever the magic ``WARC/1.1`` and a line end
-stand; each piece is a candidate record. Its place in the file follows from the lengths before it. A
+Reading. The text reader cuts the files, split by split, wherever the magic ``WARC/1.`` stands; each piece
+that goes on with the rest of a version line (``WARC/1.0`` or ``WARC/1.1``) is a candidate record. Its place in the file follows from the lengths before it. A
 candidate's header names its content's length, and so the offset of its successor. From the start of
 each file the chain of successors is followed by pointer jumping (each round doubles the distance), one
 join on (file, offset) per round, so a long file is no single task's work. Candidates that no chain
@@ -22,10 +22,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_path, lookup_left, stored, table
+from .common import forget, fresh_path, lookup_left, stored, table
 from .url_filter import split_by
 
-MAGIC = "WARC/1.1\r\n"
+#: What records are found by; a version's last digit and a line end follow it.
+MAGIC = "WARC/1."
+VERSION = r"^[01]\r\n"
 END = "\r\n\r\n"
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _DATE = "2024-01-01T00:00:00Z"
@@ -43,14 +45,14 @@ def base32_sha1(payload: Column) -> Column:
 
 
 def record_types(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """(page_id, digest, bytes, record_type, refers_to) of every page, without its html."""
+    """(page_id, same, bytes, record_type, refers_to) of every page, without its html. Payloads are equal by ``same``, their SHA-256."""
     body = F.coalesce("html", F.lit("")).cast("binary")
-    rows = stored(pages.select("page_id", base32_sha1(body).alias("digest"), F.octet_length(F.coalesce("html", F.lit(""))).cast("long").alias("bytes")), "payloads")
-    kept = rows.groupBy("digest", "bytes").agg(F.max("page_id").alias("winner"), F.count("*").alias("n_rows"))
+    rows = stored(pages.select("page_id", F.unhex(F.sha2(body, 256)).alias("same"), F.octet_length(F.coalesce("html", F.lit(""))).cast("long").alias("bytes")), "payloads")
+    kept = rows.groupBy("same", "bytes").agg(F.max("page_id").alias("winner"), F.count("*").alias("n_rows"))
     kept = stored(kept.filter(F.col("bytes") >= min_bytes), "winners")
-    out = lookup_left(rows, kept.drop("n_rows"), ["digest", "bytes"], kept.select("digest", "bytes", "n_rows"))
+    out = lookup_left(rows, kept.drop("n_rows"), ["same", "bytes"], kept.select("same", "bytes", "n_rows"))
     revisit = F.col("winner").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("winner"))
-    return out.select("page_id", "digest", "bytes", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("winner")).alias("refers_to"))
+    return out.select("page_id", "same", "bytes", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("winner")).alias("refers_to"))
 
 
 def _text(c: str) -> Column:
@@ -65,17 +67,18 @@ def write_warc(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
     """
     html = F.coalesce("html", F.lit(""))
     rows = pages.select("page_id", "url", html.alias("html"), base32_sha1(html.cast("binary")).alias("digest"), F.octet_length(html).alias("bytes"))
-    revisits = stored(record_types(pages, min_bytes).filter("record_type = 'revisit'").select("page_id", "digest", "refers_to").distinct(), "revisits")
-    plain, asks = split_by(rows, [F.col("page_id"), F.col("digest")], revisits.select("page_id", "digest"))
-    same = F.col("a.page_id").eqNullSafe(F.col("r.page_id")) & (F.col("a.digest") == F.col("r.digest"))
-    asks = asks.alias("a").join(revisits.alias("r"), same, "left").select("a.*", "r.refers_to", F.col("r.digest").isNotNull().alias("again"))
+    same = F.unhex(F.sha2(F.col("html").cast("binary"), 256))
+    revisits = stored(record_types(pages, min_bytes).filter("record_type = 'revisit'").select("page_id", "same", "refers_to").distinct(), "revisits")
+    plain, asks = split_by(rows, [F.col("page_id"), same], revisits.select("page_id", "same"))
+    equal = F.col("a.page_id").eqNullSafe(F.col("r.page_id")) & (F.col("a.same") == F.col("r.same"))
+    asks = asks.withColumn("same", same).alias("a").join(revisits.alias("r"), equal, "left").select("a.*", "r.refers_to", F.col("r.same").isNotNull().alias("again")).drop("same")
     rows = plain.withColumns({"refers_to": F.lit(None).cast("long"), "again": F.lit(False)}).unionByName(asks)
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\nContent-Length: "), F.col("bytes").cast("string"), F.lit(END))
     block = F.concat(http, F.when(F.col("again"), "").otherwise(F.col("html")))
     url = F.replace(F.replace(_text("url"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     refers = F.concat(F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nWARC-Refers-To: <urn:page:"), _text("refers_to"), F.lit(">\r\n"))
     header = F.concat(
-        F.lit(MAGIC + "WARC-Type: "), F.when(F.col("again"), "revisit").otherwise("response"),
+        F.lit(MAGIC + "1\r\nWARC-Type: "), F.when(F.col("again"), "revisit").otherwise("response"),
         F.lit("\r\nWARC-Record-ID: <urn:page:"), _text("page_id"),
         F.lit(f">\r\nWARC-Date: {_DATE}\r\nWARC-Target-URI: "), url,
         F.lit("\r\nWARC-Payload-Digest: sha1:"), "digest", F.lit("\r\n"), F.when(F.col("again"), refers).otherwise(""),
@@ -109,6 +112,8 @@ def verified(found: DataFrame, *carried: str) -> DataFrame:
     the offset of its magic, and ``pieces`` is their number."""
     bytes_ = (F.octet_length("piece") + len(MAGIC)).cast("long")
     span = F.octet_length(_head()) + len(MAGIC) + len(END) + _content_length() + len(END)
+    # a piece without a version line is no candidate: its start is no record's, and no chain goes on from it
+    span = F.when(F.col("piece").rlike(VERSION), F.coalesce(span, F.lit(0)))
     cells = stored(found.select("file", "block", "no", "h", bytes_.alias("bytes"), span.alias("span"), *carried), "pieces")
     # offsets: inside a split by a running sum, and the splits of a file one after the other
     splits = cells.groupBy("file", "block").agg(F.sum("bytes").alias("all"))
@@ -119,7 +124,8 @@ def verified(found: DataFrame, *carried: str) -> DataFrame:
     # a file's first piece stands before its first magic
     placed = placed.withColumn("start", F.col("start") + F.col("base")).filter("start >= 0")
     placed = stored(placed.select("file", "start", "span", "h", *carried), "places")
-    reached = reachable(placed.select("file", "start", (F.col("start") + F.col("span")).alias("next")))
+    ahead = F.when(F.col("span") > 0, F.col("start") + F.col("span")).alias("next")
+    reached = reachable(placed.filter("span is not null").select("file", "start", ahead))
     owned = placed.join(reached.withColumn("real", F.lit(True)), ["file", "start"], "left")
     owned = stored(owned.drop("span"), "owned")
     # nearly all files hold no magic but that of records: there each piece is a record
@@ -134,7 +140,7 @@ def verified(found: DataFrame, *carried: str) -> DataFrame:
 def _records(texts: DataFrame) -> DataFrame:
     """(file, start, header, body) from (file, start, piece): body has exactly the content's bytes."""
     body = F.substring(F.col("piece").cast("binary"), F.octet_length(_head()) + len(END) + 1, _content_length().cast("int"))
-    return texts.select("file", "start", _head().alias("header"), body.alias("body"))
+    return texts.select("file", "start", F.regexp_replace(_head(), VERSION, "").alias("header"), body.alias("body"))
 
 
 def _glued(found: DataFrame, owners: DataFrame) -> DataFrame:
@@ -158,18 +164,21 @@ def reachable(nodes: DataFrame) -> DataFrame:
     round k the jump of a node leads 2**k records on, and all records up to that distance are reached.
     """
     here = nodes.select("file", F.col("start").alias("next"))
-    jump = stored(nodes.filter("next is not null").join(here, ["file", "next"], "left_semi").select("file", "start", "next"), "jump")
+    # all joins shuffle: neither the jumps nor what they reach has a bounded size
+    jump = stored(nodes.filter("next is not null").join(here.hint("shuffle_merge"), ["file", "next"], "left_semi").select("file", "start", "next"), "jump")
     reached = stored(nodes.filter("start = 0").select("file", "start"), "reached_0")
     n = reached.count()
     while True:
-        further = reached.join(jump, ["file", "start"]).select("file", F.col("next").alias("start"))
-        reached = stored(reached.unionByName(further).distinct(), "reached_k")
+        further = reached.join(jump.hint("shuffle_merge"), ["file", "start"]).select("file", F.col("next").alias("start"))
+        old, reached = reached, stored(reached.unionByName(further).distinct(), "reached_k")
+        forget(old)
         now = reached.count()
         if now == n:
             return reached
         n = now
         on = jump.select("file", F.col("start").alias("next"), F.col("next").alias("far"))
-        jump = stored(jump.join(on, ["file", "next"]).select("file", "start", F.col("far").alias("next")), "jump_k")
+        old, jump = jump, stored(jump.join(on.hint("shuffle_merge"), ["file", "next"]).select("file", "start", F.col("far").alias("next")), "jump_k")
+        forget(old)
 
 
 def _described() -> list[Column]:

@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -71,9 +72,41 @@ def test_hashes_follow_words_not_places():
     assert len(set(by.values())) == len(by)
 
 
+def thue_morse(n, a, b):
+    return "".join((a, b)[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_hashes_of_repetitive_words_and_sequences_differ():
+    import pyarrow as pa
+
+    for n in (1024, 2048, 8192):
+        texts = [f"{thue_morse(n, 'a', 'b')} {thue_morse(n, 'b', 'a')}", thue_morse(n, "a ", "b "), thue_morse(n, "b ", "a ")]
+        (ch,) = textkit.chunks(pa.array(texts), True, key=3)
+        assert len(set(ch.hashes[:2].tolist())) == 2 and len(set(ch.grams(ch.first[1:-1], ch.first[2:]).tolist())) == 2
+    (ch,) = textkit.chunks(pa.array(["a b c d e f g h", "x a b c d e f g h"]), True, key=3)
+    for n in range(1, 9):
+        assert ch.grams(np.array([0]), np.array([n])) == ch.grams(np.array([9]), np.array([9 + n]))
+
+
 # 1
 
 
+def test_collisions_that_were_planted_hit_nothing(spark):
+    a, b = thue_morse(8192, "a", "b"), thue_morse(8192, "b", "a")
+    bench = spark.createDataFrame([("item a", f"{a}")], "item_id string, text string")
+    d = docs(spark, [a, b, f"x {a} y"])
+    assert {r.doc_id: (r.n_hit, list(r["items"])) for r in decontaminate.decontaminate(d, bench).collect()} == {0: (1, ["item a"]), 1: (0, []), 2: (1, ["item a"])}
+    # an automaton whose words collide still compares them
+    own = decontaminate.Automaton([(1, [b"one"])])
+    import pyarrow as pa
+
+    (ch,) = textkit.chunks(pa.array(["two"]), True)
+    assert own.checked(np.array([0]), ch, 0) == ([], set())
+    assert {r.component_id for r in jaccard_join.jaccard_components(docs(spark, [a, b, f"{a} z", f"{b} z"]), 1, 85, 100).collect()} == {0, 1, 2, 3}
+    one, two = f"{a} " * 61, f"{b} " * 61
+    assert [r.n_removed for r in substring_dedup.substring_dedup(docs(spark, [one, two])).collect()] == [0, 0]
+
+
 def brute_windows(texts, items, k=10):
     pattern = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     lower = {i: i + 32 for i in range(65, 91)}
@@ -108,6 +141,26 @@ def test_decontamination_finds_every_window(spark):
         assert got == brute_windows(texts, items)
 
 
+def test_decontamination_by_names_and_long_items(spark):
+    rng = random.Random(14)
+    long = " ".join(f"v{rng.randrange(50)}" for _ in range(300))
+    items = [("b", long), ("a", "k1 k2 k3 k4"), ("a", "k9"), (None, "k7 k8")]
+    texts = [" ".join(long.split()[i : i + 25]) for i in range(0, 280, 7)] + ["k1 k2 k3 k4", "k9 k7 k8", "k1 k2"]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    for block in (10**6, 30):
+        found = decontaminate.decontaminate(docs(spark, texts), bench, block_words=block, clean=False).collect()
+        got = [(r.n_words, r.n_hit, len(r["items"]), hashlib.sha256(",".join(r["items"]).encode()).hexdigest(), r.n_hit > 0) for r in sorted(found, key=lambda r: r.doc_id)]
+        assert got == brute_windows(texts, items)
+
+
+def test_cleaning_keeps_columns_that_are_named_like_results(spark):
+    d = docs(spark, ["a b c", "bad words"]).withColumns({c: F.lit(f"own {c}") for c in ("n_hit", "items", "spans", "clean_text", "cut", "hit", "rest", "lost", "a.b")})
+    bench = spark.createDataFrame([(1, "bad words")], "item_id long, text string")
+    for limit in (0.0, 0.1):
+        (row,) = decontaminate.clean_documents(d, bench, limit).collect()
+        assert row.asDict() == {r.doc_id: r.asDict() for r in d.collect()}[0]
+
+
 def test_decontamination_cuts_spans_and_keeps_the_rest(spark):
     passage = "one two three four five six seven eight nine ten"
     bench = spark.createDataFrame([(1, passage)], "item_id long, text string")
@@ -189,6 +242,32 @@ def test_the_order_of_tokens_decides_no_link(spark, monkeypatch, wide):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == brute_components(texts, 4, 85, 100)
 
 
+def test_families_below_the_threshold_and_crowded_columns(spark, monkeypatch):
+    """Many documents that share most of their words but link with few others, in small groups and crowded columns."""
+    for name, value in (("BLOCK", 8), ("QUERIES", 8), ("HOT", 2), ("WIDE", 10**9)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    rng, texts = random.Random(21), []
+    for f in range(3):
+        base = [f"f{f}_{i}" for i in range(60)]
+        for k in range(24):
+            own = list(base)
+            for at in rng.sample(range(60), rng.choice((1, 3, 6, 9))):
+                own[at] = f"u{f}_{k}_{at}"
+            texts.append(" ".join(own))
+    for shingle, num in ((1, 85), (2, 80)):
+        got = jaccard_join.jaccard_components(docs(spark, texts), shingle, num, 100).collect()
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(texts, shingle, num, 100)
+
+
+def test_groups_are_opened_by_their_bound():
+    import pandas as pd
+
+    side = lambda rows: pd.DataFrame(rows, columns=["doc_id", "comp", "tokens"])
+    members = side([(1, 1, range(10)), (2, 2, range(5, 15)), (3, 3, range(100, 110)), (4, 1, range(10))])
+    queries = side([(7, 7, range(10)), (8, 3, range(100, 110)), (9, 9, range(0, 20, 2)), (5, 5, range(9))])
+    assert jaccard_join.open_groups(queries, members, 80, 100) == [(7, 1), (5, 1)]
+
+
 def test_components_of_a_long_path_and_a_hub(spark):
     path = [(i, i + 1) for i in range(40)]
     hub = [(100, i) for i in range(101, 400)]
@@ -273,7 +352,8 @@ def test_main_text_is_the_article_that_surges():
     teasers = "".join(f"<p><a href=t{i}>{long} {i}</a></p>" for i in range(5))
     page = f"<body><article>{teasers}</article><article><p>Short.</p><p>{long}</p><ul><li><a>x</a></li><li><a>y</a></li><li><a>z</a></li></ul><p>End.</p></article></body>"
     assert html_text.main_text(page) == f"Short.\n\n{long}\n\nx\n\ny\n\nz\n\nEnd."
-    assert html_text.main_text("<article><p>a</p></article><article><p>bc</p></article>") == "bc"
+    assert html_text.main_text("<article><p>a</p></article><article><p>bc</p></article>") == "a\n\nbc"
+    assert html_text.main_text(f"<article><p>{long}</p></article><p>{long}</p><main><p>{long} b</p></main>") == f"{long}\n\n{long} b"
 
 
 @pytest.mark.parametrize("page,want", [(None, ""), ("", ""), ("plain", "plain"), ("<p>a < b</p>", "a < b"), ("<script>x", ""), ("<p>a<!-- b", "a"), ("<p", ""), ("</p></div>x<p>y", "x\n\ny"), ("<nav>x</nav>", "")])
@@ -281,6 +361,42 @@ def test_main_text_of_odd_pages(page, want):
     assert html_text.main_text(page) == want
 
 
+def test_what_a_page_says_of_its_parts_is_a_prior():
+    long = "A paragraph that is long enough to let the sum of the window surge, with words to spare. " * 4
+    text = long.strip()
+    for outer in ("<article>{}</article>", "{}"):
+        page = f"<div class='related-work'><h2 id='search-methods'>Search</h2><p class=form>{long}</p></div><div class='share price'><p>{long}</p></div><form><p>{long}</p></form>"
+        short = "<div class='share'>tell a friend</div><form>Name <input> Mail <input></form><div class='ad'>buy</div><aside>more</aside>"
+        assert html_text.main_text(outer.format(short + page + short)) == f"Search\n\n{text}\n\n{text}\n\n{text}"
+    assert html_text.main_text(f"<p>{long}</p><div class='sidebar-left'><p>{long}</p></div><div id=comments><p>{long}</p></div>") == text
+
+
+def test_attributes_follow_the_rules_of_html():
+    assert html_text.main_text("<article><p data-x=it's>one</p></article>") == "one"
+    assert html_text.main_text("<article><p title=\"5\" wide\">one</p><p a='x>y' b=\">\">two</p><p =c>three</p></article>") == "one\n\ntwo\n\nthree"
+    assert html_text.main_text("a<!-->b<!-- > -->c") == "abc"
+
+
+@pytest.mark.parametrize("page", ["<div>" * 40_000 + "</x>" * 40_000 + "a", "<a x='" * 40_000, "<p " + "a=" * 200_000, "<!--" * 40_000, "<p>a" * 40_000, "<b class=x>" * 40_000])
+def test_long_and_hostile_pages_take_linear_time(page):
+    began = time.process_time()
+    html_text.main_text(page)
+    assert time.process_time() - began < 5
+
+
+def test_window_sums_against_loops():
+    rng = random.Random(2)
+    for _ in range(50):
+        sizes = [rng.choice((0, 0, 5, 40, 200)) for _ in range(rng.randrange(30))]
+        sums = [sum(sizes[i : i + 3]) for i in range(len(sizes))]
+        assert html_text.window_sums(sizes) == sums
+        # a dive is a window without text; between dives every line with text is in one stretch
+        held = [k for _, a, b in html_text.stretches(sizes) for k in range(a, b) if sizes[k]]
+        assert held == [k for k, n in enumerate(sizes) if n]
+        for surged, a, b in html_text.stretches(sizes):
+            assert sizes[a] and sizes[b - 1] and all(sums[a:b]) and surged == any(n > html_text.SURGE for n in sums[max(0, a - 2) : b])
+
+
 def test_pages_keep_their_rows(spark):
     p = spark.createDataFrame([(1, "u", PAGE, "old"), (1, "u", PAGE, "old"), (2, None, None, "old")], "page_id long, url string, html string, text string")
     got = html_text.extract_text(p).collect()
@@ -290,11 +406,30 @@ def test_pages_keep_their_rows(spark):
 # 5
 
 
-def test_targets_reshare_what_is_over():
-    got = mixing.targets([("b", 1000), ("a", 10), (None, 30)])
-    assert got == [("a", 10, 20.0), ("b", 1000, 1480.0), (None, 30, 60.0)]
-    assert mixing.targets([]) == [] and mixing.targets([("a", 0)]) == [("a", 0, 0.0)]
-    assert sum(t for *_, t in mixing.targets([(str(i), 7 * i + 1) for i in range(9)])) == pytest.approx(1.5 * sum(7 * i + 1 for i in range(9)))
+def brute_targets(sizes, weights=(3, 1, 2), share=1.5, limit=2.0):
+    ordered = sorted(sizes, key=lambda x: (x[0] is None, x[0] or ""))
+    free, out, left = {n: weights[i % 3] for i, (n, _) in enumerate(ordered)}, {}, share * sum(s for _, s in ordered)
+    size = dict(ordered)
+    while over := [n for n, w in free.items() if left * w / sum(free.values()) > limit * size[n]]:
+        for n in over:
+            out[n] = limit * size[n]
+        left -= sum(out[n] for n in over)
+        free = {n: w for n, w in free.items() if n not in over}
+    return out | {n: left * w / sum(free.values()) for n, w in free.items()}
+
+
+def targets(spark, sizes):
+    rows = spark.createDataFrame([(n, s, 1) for n, s in sizes], "source string, size long, n long").repartition(3)
+    return {r.source: r.target for r in mixing.targets(rows).collect()}
+
+
+def test_targets_reshare_what_is_over(spark):
+    assert targets(spark, [("b", 1000), ("a", 10), (None, 30)]) == {"a": 20.0, "b": 1480.0, None: 60.0}
+    assert targets(spark, []) == {} and targets(spark, [("a", 0)]) == {"a": 0.0}
+    rng = random.Random(5)
+    many = [("é", 5), ("Z", 7), ("", 3), ("\U0001f600", 9), ("\uffff", 2), (None, 50)] + [(f"s{i}", int(10 ** rng.uniform(0, 6))) for i in range(200)]
+    got = targets(spark, many)
+    assert got == pytest.approx(brute_targets(many)) and sum(got.values()) == pytest.approx(1.5 * sum(n for _, n in many))
 
 
 def test_flight_keeps_both_sums():
@@ -320,7 +455,7 @@ def test_mix_meets_its_targets(spark):
             by.setdefault(r.source, [0, r.target, r.source_size, 0])
             by[r.source][0] += r.taken
             by[r.source][3] += r.size
-        assert {s: t for s, (_, t, *_) in by.items()} == pytest.approx({s: t for s, _, t in mixing.targets([(s, x[2]) for s, x in by.items()])})
+        assert {s: t for s, (_, t, *_) in by.items()} == pytest.approx(brute_targets([(s, x[2]) for s, x in by.items()]))
         for taken, target, size, own in by.values():
             assert own == size and abs(taken - target) <= 300
         again = mixing.mix_sources(d.repartition(7).orderBy(F.rand(3)), block=block).collect()
@@ -328,6 +463,24 @@ def test_mix_meets_its_targets(spark):
     assert mixing.mix_sources(d.limit(0)).count() == 0
 
 
+def test_ids_beyond_the_doubles_stay_themselves(spark):
+    big = 2**53
+    texts, ids = ["a b", "c d e", "f", "f", "g h", None], [big + 1, big + 3, big + 5, big + 7, None, big + 9]
+    mixed = mixing.mix_sources(docs(spark, texts, ids=ids, sources=["s"] * 6)).collect()
+    assert sorted(map(str, (r.doc_id for r in mixed))) == sorted(map(str, ids))
+    got = exact_dedup.exact_dedup(docs(spark, texts * 2, ids=ids + [big + 21, None, big + 25, None, None, None])).collect()
+    want = {"a b": big + 1, "c d e": big + 3, "f": big + 5, "g h": None, "": big + 9}
+    digest = {hashlib.sha256(t.encode()).hexdigest(): i for t, i in want.items()}
+    assert len(got) == 12 and all(r.keep_id == digest[r.text_sha256] and r.kept == (r.doc_id == r.keep_id) for r in got)
+    components = jaccard_join.jaccard_components(docs(spark, texts, ids=ids), 1, 85, 100).collect()
+    assert {(r.doc_id, r.component_id) for r in components} == {(i, big + 5 if i == big + 7 else i) for i in ids}
+    cut = substring_dedup.substring_dedup(docs(spark, [" ".join(map(str, range(60)))] * 3, ids=[big + 1, None, big + 3])).collect()
+    assert {(r.doc_id, r.n_removed) for r in cut} == {(big + 1, 0), (None, 0), (big + 3, 60)}
+    assert {r.doc_id for r in decontaminate.decontaminate(docs(spark, texts, ids=ids), spark.createDataFrame([(1, "f")], "item_id long, text string")).collect()} == set(ids)
+    counts = token_counts.count_tokens(docs(spark, texts, ids=ids)).collect()
+    assert {None if r.doc_id is None else int(r.doc_id) for r in counts} == set(ids)
+
+
 # 6
 
 
@@ -355,6 +508,14 @@ def test_url_rules(spark):
     assert {r.verdict for r in none} == {"allow"} and len(none) == len(want)
 
 
+def test_hosts_of_very_many_labels(spark):
+    urls = ["http://" + "a." * 16_000 + "com/en/", "http://" + "b" * 30_000 + "/", "http://" + "." * 9_000 + "/en/"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    began = time.time()
+    got = {r.page_id: r.verdict for r in url_filter.url_filter(pages, spark.createDataFrame(url_filter.RULES, "host string, path string, verdict string")).collect()}
+    assert got == {0: "block", 1: "allow", 2: "allow"} and time.time() - began < 20
+
+
 def test_url_rules_survive_a_full_filter(spark):
     """A filter that is far too small passes nearly all keys; the join still decides."""
     rng = random.Random(8)
@@ -373,6 +534,14 @@ def test_bloom_has_no_false_negatives_and_few_positives():
     assert b.maybe(keys).all() and b.maybe(others).mean() < 0.02
 
 
+def test_bloom_slices_are_those_of_one_filter(spark):
+    rows = spark.range(40_000).select(F.xxhash64("id").alias("k"))
+    keys = rows.toPandas()["k"].to_numpy().view(np.uint64)
+    built, own = url_filter.build_bloom(rows, 40_000), url_filter.BlockedBloom(40_000)
+    own.add(keys)
+    assert own.slices > 1 and (built.words == own.words).all()
+
+
 # 7
 
 
@@ -397,6 +566,17 @@ def test_toxicity_generalises_to_held_out_texts(spark):
     assert kept.columns == d.columns and kept.filter("doc_id % 4 <> 0").count() >= 0.95 * 300
 
 
+def test_the_stage_keeps_a_column_named_score(spark):
+    d = docs(spark, ["a clean text", "another one"])
+    labels = spark.createDataFrame([], "doc_id long, toxic int, quality int")
+    assert sorted(map(str, toxicity.without_toxic(d, labels).collect())) == sorted(map(str, d.collect()))
+
+
+def test_the_sample_is_bounded_in_bytes(spark):
+    rows = spark.createDataFrame([(i, "x" * 1000, i % 2) for i in range(300)], "doc_id long, text string, toxic int")
+    assert len(toxicity.training_rows(rows, rows, max_bytes=5_500)) == 5
+
+
 def test_toxicity_without_labels_scores_zero(spark):
     d = docs(spark, ["a", None])
     none = spark.createDataFrame([], "doc_id long, toxic int, quality int")
@@ -454,6 +634,16 @@ def test_archives_round_trip(spark, tmp_path, split):
     assert payloads == {h or "" for h in htmls}
 
 
+def test_archives_of_both_versions(spark, tmp_path):
+    def record(version, body):
+        return f"WARC/1.{version}\r\nWARC-Type: response\r\nContent-Length: {len(body)}\r\n\r\n{body}\r\n\r\n"
+
+    bodies = ["x WARC/1.0 y", "WARC/1.1", "WARC/1.7\r\nz", "WARC/1.0\r\nContent-Length: 1\r\n\r\na\r\n\r\n"]
+    (tmp_path / "a.warc").write_bytes("".join(record(i % 2, b) for i, b in enumerate(bodies)).encode())
+    got = warc.read_warc(spark, str(tmp_path)).orderBy("start").collect()
+    assert [bytes(r.body).decode() for r in got] == bodies and all(r.header.startswith("WARC-Type: response") for r in got)
+
+
 def test_archives_min_bytes_and_edge_rows(spark, tmp_path):
     pages = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab"), (2, "u", "ab"), (None, "u", "ab"), (3, "u", "a"), (4, "u", "a"), (4, "v", "other")], "page_id long, url string, html string")
     warc.write_warc(pages, str(tmp_path / "w"), min_bytes=2)
@@ -513,6 +703,40 @@ def test_token_counts_add_up(spark):
             assert enc.encoding.decode(enc.encoding.encode_ordinary(t or "")) == (t or "")
 
 
+@pytest.mark.parametrize("space", [" ", "\n", "\t \n", "\u3000", "\xa0"])
+def test_long_white_space_is_encoded_as_by_the_encoder(space):
+    enc = token_counts.Tokens(open(token_counts.VOCABULARY, "rb").read())
+    for before, behind in itertools.product(("", "x", "!", "ab c "), ("", "y", "1", "!", "'s", "é")):
+        text = before + space * 2500 + behind + " tail" + space * 2001
+        assert enc.encode(text) == enc.encoding.encode_ordinary(text)
+
+
+def test_very_long_texts_are_counted_line_by_line(spark):
+    texts = [" " * 1_000_000, "a\n" * 20_000, "é" * 300_000 + "\n" + " " * 100_000 + "b"]
+    got = token_counts.count_tokens(docs(spark, texts)).groupBy("doc_id").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("lines")).collect()
+    enc = token_counts.Tokens(open(token_counts.VOCABULARY, "rb").read())
+    assert {r.doc_id: (r.n, r.lines) for r in got} == {i: (len(enc.encode(t)), n) for i, (t, n) in enumerate(zip(texts, (1, 20_000, 2)))}
+
+
+def test_counts_of_lines_against_loops(spark):
+    rng = random.Random(12)
+    texts = ["".join(rng.choice(("word ", "é", "漢字", "\n", "  ", "🙂", "don't")) for _ in range(rng.randrange(60))) for _ in range(40)] + [None]
+    enc = token_counts.Tokens(open(token_counts.VOCABULARY, "rb").read())
+    got = {(r.doc_id, r.section): (r.start, r.stop, r.n_tokens) for r in token_counts.count_tokens(docs(spark, texts)).collect()}
+    want = {}
+    for i, t in enumerate(texts):
+        t, at = t or "", 0
+        rows = t.splitlines(keepends=True) or [""]
+        ends = np.cumsum([len(enc.encoding.decode_single_token_bytes(x)) for x in enc.encoding.encode_ordinary(t)]).tolist()
+        starts = [0, *ends[:-1]] if ends else []
+        for k, line in enumerate(rows):
+            low = len(t[:at].encode())
+            high = low + len(line.encode())
+            want[i, k] = (at, at + len(line), sum(low <= x < high for x in starts))
+            at += len(line)
+    assert got == want
+
+
 def brute_attribute(ends, sections, rule):
     out = [0.0] * len(sections)
     a = 0
