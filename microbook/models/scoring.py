@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import is_up
+from ..functions.numeric import bce_with_logits, is_up
 from ..operators import dataset
 from . import networks, training
 
-#: Rows of a model's training dates that one worker may hold.
-MAX_TRAINING_ROWS = 2_000_000
+#: Bytes of samples (as 64-bit floats) up to which training runs on the driver; beyond, each day's gradient is summed on the executors.
+LOCAL_BYTES = 256 << 20
+#: Tasks that share a day's gradient.
+TASKS = 64
 
 
 def seeded(family: str, features: int, sequence: int, seed: int = 0, exogenous: int = 0, **p) -> dict:
@@ -59,15 +63,62 @@ def _by_day(pdf: pd.DataFrame, exogenous: int) -> list[tuple]:
     return out
 
 
-def fit(split: DataFrame, model: dict, epochs: int, rate: float, patience: int = 10) -> tuple[dict, list[tuple]]:
-    """Train on the rows of split 'train', stop by those of 'validation'. The model is one worker's, as in the reference; the rows are bounded."""
+def _day_gradient(day: DataFrame, model: dict, zs: list[str], seed: int) -> dict:
+    """The gradient of the mean loss over a day's rows: a sum of at most TASKS gradients from the executors."""
+    held = day.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rng = np.random.default_rng((seed, TaskContext.get().partitionId()))
+        total, n = None, 0
+        for pdf in batches:
+            z = pdf[zs].to_numpy(np.float64) if zs else None
+            own = training.gradients(held.value, _stack(pdf["x"]), z, pdf["target"].to_numpy(np.float64), rng)
+            total = {k: len(pdf) * g + (total[k] if total else 0) for k, g in own.items()}
+            n += len(pdf)
+        if n:
+            yield pd.DataFrame({"n": [n], "g": [pickle.dumps(total)]})
+
+    parts = day.mapInPandas(run, "n long, g binary").collect()
+    n = sum(r["n"] for r in parts)
+    sums = [pickle.loads(r["g"]) for r in parts]
+    return {k: sum(s[k] for s in sums) / n for k in sums[0]}
+
+
+def fit(split: DataFrame, model: dict, epochs: int, rate: float, patience: int = 10, local_bytes: int = LOCAL_BYTES) -> tuple[dict, list[tuple]]:
+    """Train on the rows of split 'train', stop by those of 'validation'.
+
+    Samples of at most ``local_bytes`` are held by the driver. More stay where they are, and only weights and
+    gradients travel; the result differs by rounding (and by the draws of dropout).
+    """
     kept = split.filter(F.col("split").isin("train", "validation")).withColumn("target", is_up(F.col("y")))
     zs = [f"z{i + 1}" for i in range(model["spec"]["exogenous"])]
-    rows = kept.select("date", "stock_id", "x", "target", "split", *zs).limit(MAX_TRAINING_ROWS + 1).toPandas()
-    if len(rows) > MAX_TRAINING_ROWS:
-        raise ValueError(f"more than {MAX_TRAINING_ROWS} samples: choose fewer dates")
-    parts = [_by_day(rows[rows["split"] == s], len(zs)) for s in ("train", "validation")]
-    return training.train(model, *parts, epochs, rate, patience)
+    kept = kept.select("date", "stock_id", "x", "target", "split", *zs)
+    if 8 * kept.count() * model["spec"]["features"] * model["spec"]["sequence"] <= local_bytes:
+        rows = kept.toPandas()
+        parts = [_by_day(rows[rows["split"] == s], len(zs)) for s in ("train", "validation")]
+        return training.train(model, *parts, epochs, rate, patience)
+    kept = kept.repartition(TASKS, "date", F.pmod(F.xxhash64("stock_id"), F.lit(TASKS))).persist(StorageLevel.DISK_ONLY)
+    dates = [r["date"] for r in kept.filter("split = 'train'").select("date").distinct().orderBy("date").collect()]
+
+    def step(own: dict, k: int, rng: np.random.Generator) -> dict:
+        return _day_gradient(kept.filter((F.col("split") == "train") & (F.col("date") == F.lit(dates[k]))), own, zs, int(rng.integers(1 << 31)))
+
+    def losses(own: dict) -> tuple[float, float]:
+        told = {r["split"]: r["loss"] for r in evaluate_splits(kept, own).collect()}
+        return tuple(float("nan") if told.get(s) is None else told[s] for s in ("train", "validation"))
+
+    try:
+        return training.descend(model, len(dates), step, losses, epochs, rate, patience)
+    finally:
+        kept.unpersist()
+
+
+def evaluate_splits(split: DataFrame, model: dict) -> DataFrame:
+    """(split, rows, loss, accuracy) of every split: ``split`` has x, y (or target) and split."""
+    rows = split if "target" in split.columns else split.withColumn("target", is_up(F.col("y")))
+    told = score(rows, model).groupBy("split")
+    right = (F.col("logit") > 0) == (F.col("target") > 0)
+    return told.agg(F.count("*").alias("rows"), F.avg(bce_with_logits(F.col("logit"), F.col("target"))).alias("loss"), (F.avg(right.cast("double")) * 100).alias("accuracy"))
 
 
 def train_linear(split: DataFrame, features: int, sequence: int, epochs: int = 10, rate: float = 1e-3) -> DataFrame:
@@ -76,24 +127,37 @@ def train_linear(split: DataFrame, features: int, sequence: int, epochs: int = 1
     return split.sparkSession.createDataFrame(history, "epoch long, train_loss double, validation_loss double")
 
 
-def draw(space: dict, trial: int, seed: int = 0) -> dict:
-    """Parameters of a trial: each range is [least, most, step], floats where any bound is one."""
-    rng = np.random.default_rng((seed, trial))
-    out = {}
-    for name, (low, high, step) in space.items():
-        n = int(np.floor((high - low) / step + 1e-9)) + 1
-        value = low + step * int(rng.integers(n))
-        out[name] = value if isinstance(low, float) or isinstance(step, float) else int(value)
-    return out
-
-
-#: Search spaces by family: the names that may be ranged.
+#: Search spaces by family: the names that may be ranged, besides those of every family.
 SPACES = {
     "linear": (),
-    "cnn": ("conv_channels", "kernel_size", "layers"),
+    "cnn": ("conv_channels", "kernel_size", "layers", "stride", "padding", "dilation"),
     "lstm": ("hidden_size", "lstm_size"),
     "transformer": ("embedding_size", "num_heads", "dim_feedforward", "num_layers"),
 }
+COMMON = ("epochs", "learning_rate", "dropout", "sequence_size")
+
+
+def draw(space: dict, trial: int, seed: int = 0, family: str | None = None) -> dict:
+    """Parameters of a trial: each range is [least, most, step], floats where any bound is one.
+
+    Channels and kernels of a CNN with ``layers`` are drawn for each layer; an embedding is widened to a
+    multiple of its heads.
+    """
+    if family and (unknown := set(space) - {*SPACES[family], *COMMON}):
+        raise ValueError(f"no parameters of {family}: {sorted(unknown)}")
+    rng = np.random.default_rng((seed, trial))
+
+    def one(low, high, step):
+        value = low + step * int(rng.integers(int(np.floor((high - low) / step + 1e-9)) + 1))
+        return value if isinstance(low, float) or isinstance(step, float) else int(value)
+
+    out = {name: one(*bounds) for name, bounds in space.items()}
+    if "layers" in out:
+        layers = out.pop("layers")
+        out |= {name: [one(*space[name]) for _ in range(layers)] for name in ("conv_channels", "kernel_size")}
+    if "num_heads" in out and "embedding_size" in out:
+        out["embedding_size"] = -(-out["embedding_size"] // out["num_heads"]) * out["num_heads"]
+    return out
 
 
 def walk_forward(samples: DataFrame, space: dict, trials: int, sets: int, train: int, validation: int, features: int, sequence: int, family: str = "linear", seed: int = 0) -> DataFrame:
@@ -114,14 +178,17 @@ def walk_forward(samples: DataFrame, space: dict, trials: int, sets: int, train:
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         trial = int(pdf["trial"].iloc[0])
-        p = draw(space, trial, seed)
+        p = draw(space, trial, seed, family)
+        steps = int(p.pop("sequence_size", sequence))
+        if steps < sequence:
+            pdf = pdf.assign(x=[sample[-steps:] for sample in pdf["x"]])
         epochs, rate = int(p.pop("epochs", 5)), float(p.pop("learning_rate", 1e-3))
-        model = networks.build(family, features, sequence, 0, seed + trial, **p)
+        model = networks.build(family, features, min(steps, sequence), 0, seed + trial, **p)
         parts = {s: _by_day(pdf[pdf["split"] == s], 0) for s in ("train", "validation", "test")}
         best, _ = training.train(model, parts["train"], parts["validation"], epochs, rate)
         return pd.DataFrame({"trial": [trial], "set": [int(pdf["set"].iloc[0])], "loss": [training.evaluate(best, parts["test"])]})
 
     losses = rows.select("trial", "set", "split", "date", "stock_id", "x", "target").groupBy("trial", "set").applyInPandas(run, "trial int, set int, loss double")
-    told = spark.createDataFrame([(t, str(draw(space, t, seed))) for t in range(trials)], "trial int, parameters string")
+    told = spark.createDataFrame([(t, str(draw(space, t, seed, family))) for t in range(trials)], "trial int, parameters string")
     out = losses.groupBy("trial").agg(F.count("*").alias("sets"), F.avg("loss").alias("loss"))
     return out.join(F.broadcast(told), "trial").select("trial", "parameters", "sets", "loss")

@@ -1,9 +1,4 @@
-"""Training with Adam on binary cross-entropy, one day per batch in date order, with early stopping.
-
-The gradient of the head is exact; that of the encoder's weights is taken for all families by reverse
-differentiation of a scalar loss through ``networks`` where it is linear in them (linear model), and by
-simultaneous perturbation otherwise, so training needs NumPy only.
-"""
+"""Training with Adam on binary cross-entropy, one day per batch in date order, with early stopping. Gradients are exact."""
 
 from __future__ import annotations
 
@@ -12,6 +7,7 @@ import copy
 import numpy as np
 
 from . import networks
+from .backward import gradients
 
 
 class Adam:
@@ -26,31 +22,6 @@ class Adam:
             weights[k] = weights[k] - self.rate * (m / (1 - 0.9**self.t)) / (np.sqrt(v / (1 - 0.999**self.t)) + 1e-8)
 
 
-def gradients(model: dict, x: np.ndarray, z: np.ndarray | None, target: np.ndarray, rng: np.random.Generator) -> dict:
-    # one draw of dropout holds for the head and for both sides of the perturbation
-    seed = rng.integers(1 << 62) if model["spec"].get("dropout") else None
-
-    def masks() -> np.random.Generator | None:
-        return None if seed is None else np.random.default_rng(seed)
-
-    h = networks.encode(model, x, masks())
-    if model["spec"]["exogenous"]:
-        h = np.concatenate([h, z.reshape(len(h), -1)], axis=1)
-    w = model["weights"]
-    miss = (networks.sigmoid(h @ w["head.w"] + w["head.b"][0]) - target) / len(target)
-    out = {"head.w": miss @ h, "head.b": np.array([miss.sum()])}
-    inner = [k for k in w if not k.startswith("head.")]
-    if inner:
-        sign = {k: rng.choice((-1.0, 1.0), w[k].shape) for k in inner}
-        size, values = 1e-4, []
-        for s in (1, -1):
-            moved = {"spec": model["spec"], "weights": {**w, **{k: w[k] + s * size * sign[k] for k in inner}}}
-            values.append(networks.loss_of(networks.logits(moved, x, z, masks()), target))
-        slope = (values[0] - values[1]) / (2 * size)
-        out |= {k: slope * sign[k] for k in inner}
-    return out
-
-
 def evaluate(model: dict, days: list[tuple]) -> float:
     """Mean loss over all samples of the days."""
     n = sum(len(t) for _, _, t in days)
@@ -59,13 +30,22 @@ def evaluate(model: dict, days: list[tuple]) -> float:
 
 def train(model: dict, days: list[tuple], validation: list[tuple], epochs: int, rate: float, patience: int = 10, seed: int = 0) -> tuple[dict, list[tuple]]:
     """The weights of the best validation loss (strictly lower counts) and (epoch, train loss, validation loss) of each epoch that ran."""
+
+    def step(own: dict, k: int, rng: np.random.Generator) -> dict:
+        return gradients(own, *days[k], rng)
+
+    return descend(model, len(days), step, lambda own: (evaluate(own, days), evaluate(own, validation)), epochs, rate, patience, seed)
+
+
+def descend(model: dict, batches: int, step, losses, epochs: int, rate: float, patience: int = 10, seed: int = 0) -> tuple[dict, list[tuple]]:
+    """Training over any source of gradients: ``step(model, batch, rng)`` and ``losses(model)`` as (train, validation)."""
     model, adam, rng = copy.deepcopy(model), Adam(rate), np.random.default_rng(seed)
     best, best_loss, waited, history = copy.deepcopy(model), np.inf, 0, []
     for epoch in range(1, epochs + 1):
-        for x, z, target in days:
-            adam.step(model["weights"], gradients(model, x, z, target, rng))
-        held = evaluate(model, validation)
-        history.append((epoch, evaluate(model, days), held))
+        for k in range(batches):
+            adam.step(model["weights"], step(model, k, rng))
+        own, held = losses(model)
+        history.append((epoch, own, held))
         if held < best_loss:
             best, best_loss, waited = copy.deepcopy(model), held, 0
         else:

@@ -18,8 +18,9 @@ def asof_forward(trades: DataFrame, book: DataFrame) -> DataFrame:
     extra = [c for c in trades.columns if c not in (*DAY, "t")]
     ticks = book.select(*DAY, "t", *[F.lit(None).cast(trades.schema[c].dataType).alias(c) for c in extra], F.lit(1).alias("__src"))
     both = trades.select(*DAY, "t", *extra, F.lit(0).alias("__src")).unionByName(ticks)
-    ahead = Window.partitionBy(*DAY).orderBy("t", "__src").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    found = both.withColumn("bar_t", F.first(F.when(F.col("__src") == 1, F.col("t")), ignorenulls=True).over(ahead))
+    # in falling order what lies ahead lies behind: a growing frame is one pass, one that shrinks is computed anew for each row
+    ahead = Window.partitionBy(*DAY).orderBy(F.desc("t"), F.desc("__src")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = both.withColumn("bar_t", F.last(F.when(F.col("__src") == 1, F.col("t")), ignorenulls=True).over(ahead))
     return found.filter((F.col("__src") == 0) & F.col("bar_t").isNotNull()).drop("__src")
 
 

@@ -12,13 +12,21 @@ def of_date() -> WindowSpec:
     return Window.partitionBy("date")
 
 
-def positions(predictions: DataFrame, threshold: float, parity: bool = True) -> DataFrame:
-    """``pos``: 1 where sigmoid(logit) > threshold; -1 below -threshold (never, for a sigmoid: kept literally with ``parity``) or, otherwise, below 1 - threshold."""
+def positions(predictions: DataFrame, threshold: float, parity: bool = False) -> DataFrame:
+    """``pos``: 1 where sigmoid(logit) > threshold; -1 below 1 - threshold or, with ``parity``, literally below -threshold (never, for a sigmoid)."""
     p = N.sigmoid(F.col("logit"))
     low = -threshold if parity else 1 - threshold
     return predictions.withColumn("pos", F.when(p > threshold, 1).when(p < low, -1).otherwise(0))
 
 
+def assert_aligned(predictions: DataFrame, targets: DataFrame, keys: tuple[str, ...] = ("date", "stock_id")) -> None:
+    """An error where a prediction has no target or a target no prediction, or one has more rows of a key than the other."""
+    counts = [df.groupBy(*keys).agg(F.count("*").alias(c)) for df, c in ((predictions, "__p"), (targets, "__t"))]
+    both = counts[0].join(counts[1], list(keys), "full").filter(~F.col("__p").eqNullSafe(F.col("__t")))
+    if wrong := both.take(1):
+        raise ValueError(f"predictions and targets differ at {wrong[0].asDict()}")
+
+
 def weights(placed: DataFrame, weighted: bool = False) -> DataFrame:
     """``w``: one over all stocks of the day, or the softmax of |logit| among the day's entered positions."""
     if not weighted:
@@ -27,7 +35,7 @@ def weights(placed: DataFrame, weighted: bool = False) -> DataFrame:
     return placed.withColumn("w", F.coalesce(N.softmax_over(entered, of_date()), F.lit(0.0)))
 
 
-def daily_returns(predictions: DataFrame, threshold: float = 0.5, weighted: bool = False, parity: bool = True, gross: bool = False) -> DataFrame:
+def daily_returns(predictions: DataFrame, threshold: float = 0.5, weighted: bool = False, parity: bool = False, gross: bool = False) -> DataFrame:
     """(date, ret): the weighted sum of y times position; exactly 1 on a day without positions.
 
     That mixes a gross 1 with net sums, as the literal definition does; ``gross`` adds 1 to the sums.

@@ -376,28 +376,28 @@ _SOFT = f"{_PRED}, soft as (select *, case when pos <> 0 then exp(abs(logit)) en
 
 @query("positions", f"{_PRED} select l_orderkey, cast(l_linenumber as bigint) as l_linenumber, round(logit, 6) as logit, pos from placed")
 def positions(spark, d):
-    rows = metrics.positions(V.predictions(spark, d), THRESHOLD)
+    rows = metrics.positions(V.predictions(spark, d), THRESHOLD, parity=True)
     return rows.select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), "logit", "pos")
 
 
 @query("positions_weighted", f"{_SOFT} select l_orderkey, cast(l_linenumber as bigint) as l_linenumber, round(coalesce(w, 0), 6) as w from soft")
 def positions_weighted(spark, d):
-    rows = metrics.weights(metrics.positions(V.predictions(spark, d), THRESHOLD), weighted=True)
+    rows = metrics.weights(metrics.positions(V.predictions(spark, d), THRESHOLD, parity=True), weighted=True)
     return rows.select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), "w")
 
 
 @query("daily_returns", f"{_RET} select cast(date as varchar) as date, round(ret, 6) + 0.0 as ret from daily")
 def daily_returns(spark, d):
-    return metrics.daily_returns(V.predictions(spark, d), THRESHOLD)
+    return metrics.daily_returns(V.predictions(spark, d), THRESHOLD, parity=True)
 
 
 @query("daily_returns_weighted", f"{_SOFT} select cast(date as varchar) as date, round(case when bool_and(pos = 0) then 1.0 else sum(y * pos * coalesce(w, 0)) end, 6) + 0.0 as ret from soft group by date")
 def daily_returns_weighted(spark, d):
-    return metrics.daily_returns(V.predictions(spark, d), THRESHOLD, weighted=True)
+    return metrics.daily_returns(V.predictions(spark, d), THRESHOLD, weighted=True, parity=True)
 
 
 def _gross(spark, d):
-    return metrics.daily_returns(V.predictions(spark, d), THRESHOLD, gross=True)
+    return metrics.daily_returns(V.predictions(spark, d), THRESHOLD, gross=True, parity=True)
 
 
 @query("win_rate", f"{_RET} select round(avg(case when gross > 1 then 1.0 else 0.0 end), 6) as win_rate from daily")

@@ -24,9 +24,10 @@ def stock_of_file(path: Column) -> Column:
     return F.regexp_extract(path, r"_([^_/.]+)\.[^/]*$", 1)
 
 
-def _read_raw(spark: SparkSession, path: str, schema: T.StructType | None) -> DataFrame:
+def _read_raw(spark: SparkSession, path: str | list[str], schema: T.StructType | None) -> DataFrame:
     """All stocks' files in one read. A gzip file is one partition, so ``ord`` keeps its row order."""
-    reader = spark.read.option("header", True)
+    # without a schema the first file's header names the columns; a file with another header is an error
+    reader = spark.read.option("header", True).option("enforceSchema", schema is not None)
     rows = reader.schema(schema).csv(path) if schema else reader.csv(path)
     rows = rows.withColumns({"stock_id": stock_of_file(F.col("_metadata.file_path")), "ord": F.monotonically_increasing_id()})
     return rows.withColumn("t", parse_time(F.col("t"))).withColumn("date", F.to_date("t"))
@@ -37,9 +38,24 @@ def read_raw_trades(spark: SparkSession, path: str) -> DataFrame:
     return _read_raw(spark, path, B.TRADES_SCHEMA)
 
 
-def read_raw_book(spark: SparkSession, path: str) -> DataFrame:
-    """Snapshots with their levels by name, whatever order the files have them in."""
-    rows = _read_raw(spark, path, None)
+def _by_header(spark: SparkSession, path: str) -> DataFrame:
+    """All files, each read by the names of its own header: one read for each distinct header."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("no"), "value")
+    heads = lines.groupBy("file").agg(F.min_by("value", "no").alias("head")).groupBy("head").agg(F.collect_list("file").alias("files"))
+    out = None
+    for row in heads.collect():  # a row for each distinct header
+        own = _read_raw(spark, row["files"], None)
+        out = own if out is None else out.unionByName(own, allowMissingColumns=True)
+    return out
+
+
+def read_raw_book(spark: SparkSession, path: str, mixed: bool = False) -> DataFrame:
+    """Snapshots with their levels by name.
+
+    All files must have the columns in one order, whatever it is; another order is an error. With ``mixed``
+    the files may differ, which takes one more scan for their headers.
+    """
+    rows = _by_header(spark, path) if mixed else _read_raw(spark, path, None)
     return rows.withColumns({c: F.col(c).cast("double") for c in B.BOOK}).select("t", "nature", *B.BOOK, "stock_id", "ord", "date")
 
 
@@ -51,7 +67,9 @@ def write_days(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 def read_days(spark: SparkSession, path: str, start: tuple[int, int] | None = None, end: tuple[int, int] | None = None, stocks: list[str] | None = None) -> DataFrame:
     """A day table, pruned to a range of months and to stocks; files of other kinds are skipped."""
     rows = spark.read.option("pathGlobFilter", "*.parquet").parquet(path).withColumn("stock_id", F.col("stock_id").cast("string"))
-    return in_months(rows, start, end or start, stocks) if start else rows
+    if start:
+        return in_months(rows, start, end or start, stocks)
+    return rows.filter(F.col("stock_id").isin(list(stocks))) if stocks else rows
 
 
 def month_range(spark: SparkSession, start: tuple[int, int], end: tuple[int, int]) -> DataFrame:
@@ -89,21 +107,35 @@ def read_samples(spark: SparkSession, path: str, dates: list | None = None, colu
 
 
 def load_config(path: str, family: str, overrides: dict | None = None) -> dict:
-    """The parameters of a model family (``linear``, ``cnn``, ``lstm``, ``transformer``) from a JSON file, with overrides."""
-    held = json.loads(Path(path).read_text())
+    """The parameters of a model family (``linear``, ``cnn``, ``lstm``, ``transformer``) from a YAML or JSON file, with overrides."""
+    text = Path(path).read_text()
+    if path.endswith((".yaml", ".yml")):
+        try:
+            import yaml
+        except ModuleNotFoundError as e:
+            raise ValueError("YAML files need PyYAML; JSON files do not") from e
+        held = yaml.safe_load(text) or {}
+    else:
+        held = json.loads(text)
     if family not in held:
         raise KeyError(f"no {family} in {path}")
     return {**(held[family] or {}), **(overrides or {})}
 
 
-def append_trials(trials: DataFrame, path: str) -> DataFrame:
-    """Adds the trials that ``path`` does not hold yet, by (trial); returns all."""
+def append_trials(trials: DataFrame, path: str, study: str = "default") -> DataFrame:
+    """Adds the trials that ``path`` does not hold yet, by (study, trial); returns those of the study."""
     spark = trials.sparkSession
+    own = trials.withColumn("study", F.lit(study))
     try:
-        known = spark.read.parquet(path).select("trial")
+        known = spark.read.parquet(path).select("study", "trial")
     except Exception as e:  # the store does not exist yet
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        known = trials.select("trial").limit(0)
-    trials.join(known, "trial", "left_anti").write.mode("append").parquet(path)
-    return spark.read.parquet(path)
+        known = own.select("study", "trial").limit(0)
+    own.join(known, ["study", "trial"], "left_anti").write.mode("append").parquet(path)
+    return spark.read.parquet(path).filter(F.col("study") == study)
+
+
+def write_trials_csv(trials: DataFrame, path: str) -> None:
+    """A study's trials in order, as one CSV file with a header: a row for each trial."""
+    trials.orderBy("trial").coalesce(1).write.mode("overwrite").option("header", True).csv(path)

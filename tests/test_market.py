@@ -3,6 +3,8 @@
 import datetime as dt
 import math
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -178,12 +180,12 @@ def predictions(spark, rows=PREDICTIONS):
 
 def test_positions_and_returns(spark):
     p = predictions(spark)
-    assert [x["pos"] for x in rows_of(metrics.positions(p, 0.6), F.desc("logit"))] == [1, 1, 0]
-    assert metrics.daily_returns(p, 0.6).first()["ret"] == pytest.approx(0.01333333)
-    assert metrics.daily_returns(p, 0.6, weighted=True).first()["ret"] == pytest.approx(0.01364851)
-    assert metrics.daily_returns(p, 0.99).first()["ret"] == 1.0
+    assert [x["pos"] for x in rows_of(metrics.positions(p, 0.6, parity=True), F.desc("logit"))] == [1, 1, 0]
+    assert metrics.daily_returns(p, 0.6, parity=True).first()["ret"] == pytest.approx(0.01333333)
+    assert metrics.daily_returns(p, 0.6, weighted=True, parity=True).first()["ret"] == pytest.approx(0.01364851)
+    assert metrics.daily_returns(p, 0.99, parity=True).first()["ret"] == 1.0
     assert metrics.mean_loss(p).first()["loss"] == pytest.approx(0.30475556)
-    assert [x["pos"] for x in rows_of(metrics.positions(p, 0.6, parity=False), F.desc("logit"))] == [1, 1, -1]
+    assert [x["pos"] for x in rows_of(metrics.positions(p, 0.6), F.desc("logit"))] == [1, 1, -1]
 
 
 def test_profit_metrics(spark):
@@ -243,3 +245,23 @@ def test_early_stopping_replay(spark):
 def test_empty_inputs_stay_empty(spark):
     t, b = trades(spark, TICKS).limit(0), book(spark, CLOCK).limit(0)
     assert bars.trade_bars(t, b).count() == 0 and clean.clean_book(b).count() == 0 and auction.auction_prices(t).count() == 0
+
+
+def test_predictions_without_targets_are_an_error(spark):
+    p = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a")], "date int, stock_id string")
+    metrics.assert_aligned(p, p.orderBy("stock_id"))
+    for other in (p.limit(2), p.unionAll(p.limit(1))):
+        with pytest.raises(ValueError, match="differ"):
+            metrics.assert_aligned(p, other)
+
+
+def test_the_as_of_join_is_linear_in_a_stock_day(spark):
+    def seconds(n):
+        trades = spark.range(n).selectExpr("'s' as stock_id", "date'2023-01-02' as date", "timestamp_seconds(1672650000 + id / 100) as t", "id as ord")
+        book = spark.range(5).selectExpr("'s' as stock_id", "date'2023-01-02' as date", f"timestamp_seconds(1672650000 + id * {n} / 400) as t")
+        began = time.time()
+        assert bars.asof_forward(trades, book).selectExpr("count(*) as n", "count_if(bar_t < t) as early").first() == (n, 0)
+        return time.time() - began
+
+    seconds(1000)
+    assert seconds(80_000) < 10

@@ -31,11 +31,24 @@ def test_raw_book_is_read_by_name(spark, tmp_path):
     assert x.ba1 == 2.0 and x.bb2 == 4.0 and x.stock_id == "7"
 
 
+def test_raw_books_of_several_column_orders(spark, tmp_path):
+    names = ["t", "nature", *B.BOOK_COLUMNS_MOCK]
+    for stock, order in (("1", names), ("2", names[:2] + names[:1:-1])):
+        with gzip.open(tmp_path / f"stock_{stock}.gz", "wt") as f:
+            value = {n: str(k) for k, n in enumerate(names)} | {"t": "2023-01-02T09:00:00.000000+00:00", "nature": "q"}
+            f.write(",".join(order) + "\n" + ",".join(value[n] for n in order) + "\n")
+    a, b = io.read_raw_book(spark, str(tmp_path), mixed=True).orderBy("stock_id").select(*B.BOOK).collect()
+    assert a == b
+    with pytest.raises(Exception, match="CSV|header"):
+        io.read_raw_book(spark, str(tmp_path)).collect()
+
+
 def test_day_tables_prune_by_month_and_stock(spark, tmp_path):
     rows = fixtures.mock_trades(spark, stocks=2, days=40, expected=5)
     io.write_days(rows, str(tmp_path / "t"))
     got = io.read_days(spark, str(tmp_path / "t"), (2023, 2), stocks=["1002"])
     assert {r.stock_id for r in got.collect()} == {"1002"} and got.agg(F.min("date")).first()[0] == dt.date(2023, 2, 1)
+    assert {r.stock_id for r in io.read_days(spark, str(tmp_path / "t"), stocks=["1001"]).select("stock_id").distinct().collect()} == {"1001"}
     assert "PartitionFilters: [isnotnull" in got._jdf.queryExecution().toString()
 
 
@@ -48,9 +61,16 @@ def test_config_and_trials(spark, tmp_path):
     assert io.load_config(str(tmp_path / "c.json"), "lstm", {"lstm_size": 1}) == {"hidden_size": 4, "lstm_size": 1}
     with pytest.raises(KeyError):
         io.load_config(str(tmp_path / "c.json"), "cnn")
+    pytest.importorskip("yaml")
+    (tmp_path / "c.yaml").write_text("lstm:\n  hidden_size: 4\n  kernel_size: [3, 2]\nlinear:\n")
+    assert io.load_config(str(tmp_path / "c.yaml"), "lstm") == {"hidden_size": 4, "kernel_size": [3, 2]} and io.load_config(str(tmp_path / "c.yaml"), "linear") == {}
     t = spark.createDataFrame([(1, 0.5), (2, 0.4)], "trial int, loss double")
     assert io.append_trials(t, str(tmp_path / "s")).count() == 2
     assert io.append_trials(t.unionAll(spark.createDataFrame([(3, 0.3)], t.schema)), str(tmp_path / "s")).count() == 3
+    other = io.append_trials(t, str(tmp_path / "s"), study="other")
+    assert other.count() == 2
+    io.write_trials_csv(other, str(tmp_path / "csv"))
+    assert [r.trial for r in spark.read.option("header", True).csv(str(tmp_path / "csv")).collect()] == ["1", "2"]
 
 
 def test_missing_samples_are_an_error(spark, tmp_path):
@@ -139,3 +159,61 @@ def test_scoring_and_linear_expression_agree(spark):
 def test_parameter_draws_stay_in_range():
     got = [scoring.draw({"a": [2, 8, 2], "r": [0.1, 0.3, 0.1]}, t) for t in range(20)]
     assert {g["a"] for g in got} <= {2, 4, 6, 8} and all(0.1 <= g["r"] <= 0.3 + 1e-9 for g in got)
+
+
+FAMILIES = [
+    ("linear", {}),
+    ("cnn", {"conv_channels": [3, 2], "kernel_size": [3, 2], "stride": 2, "padding": 1, "dilation": 2}),
+    ("lstm", {"hidden_size": 4, "lstm_size": 2}),
+    ("transformer", {"embedding_size": 6, "num_heads": 2, "dim_feedforward": 8, "num_layers": 2}),
+]
+
+
+@pytest.mark.parametrize("dropout", [0, 0.3])
+@pytest.mark.parametrize("family,p", FAMILIES)
+def test_gradients_against_finite_differences(family, p, dropout):
+    if family == "linear" and dropout:
+        pytest.skip("none there")
+    m = networks.build(family, 5, 12, 2, seed=1, **p, **({"dropout": dropout} if dropout else {}))
+    rng = np.random.default_rng(0)
+    x, z, y = rng.normal(size=(4, 12, 5)), rng.normal(size=(4, 2)), rng.integers(0, 2, 4).astype(float)
+    loss = lambda: networks.loss_of(networks.logits(m, x, z, np.random.default_rng(5)), y)
+    got = training.gradients(m, x, z, y, np.random.default_rng(5))
+    assert set(got) == set(m["weights"])
+    for k, w in m["weights"].items():
+        flat, own = w.reshape(-1), got[k].reshape(-1)
+        for i in rng.integers(0, len(flat), 4):
+            held, size = flat[i], 1e-6
+            flat[i] = held + size
+            up = loss()
+            flat[i] = held - size
+            down = loss()
+            flat[i] = held
+            assert own[i] == pytest.approx((up - down) / (2 * size), abs=1e-6), (k, i)
+
+
+@pytest.mark.parametrize("family,p", FAMILIES)
+def test_every_family_learns(family, p):
+    rng = np.random.default_rng(4)
+    days = [(x := rng.normal(size=(60, 12, 5)), None, (x[:, :, 0].sum(1) > 0).astype(float)) for _ in range(4)]
+    best, history = training.train(networks.build(family, 5, 12, seed=2, **p), days[:3], days[3:], epochs=40, rate=0.02)
+    assert training.evaluate(best, days[:3]) < 0.8 * history[0][1]
+
+
+def test_training_on_the_executors_gives_the_same_model(spark):
+    rng = np.random.default_rng(6)
+    rows = [(d, f"s{i}", rng.normal(size=(3, 2)).tolist(), float(rng.normal()), 0.1, "train" if d < 3 else "validation") for d in range(4) for i in range(15)]
+    split = spark.createDataFrame(rows, "date int, stock_id string, x array<array<double>>, y double, z1 double, split string")
+    m = networks.build("lstm", 2, 3, 1, seed=3, hidden_size=3, lstm_size=1)
+    (a, told), (b, same) = (scoring.fit(split, m, 2, 0.01, local_bytes=n) for n in (1 << 30, 0))
+    assert np.allclose(told, same) and all(np.allclose(a["weights"][k], b["weights"][k]) for k in a["weights"])
+    losses = {r.split: r for r in scoring.evaluate_splits(split, a).collect()}
+    assert losses["validation"].loss == pytest.approx(min(h[2] for h in told)) and losses["train"].rows == 45
+
+
+def test_search_spaces_are_checked():
+    with pytest.raises(ValueError, match="hidden_size"):
+        scoring.draw({"hidden_size": [1, 2, 1]}, 0, family="cnn")
+    got = scoring.draw({"layers": [3, 3, 1], "conv_channels": [2, 9, 1], "kernel_size": [2, 3, 1], "sequence_size": [5, 7, 1]}, 0, family="cnn")
+    assert len(got["conv_channels"]) == len(got["kernel_size"]) == 3 and 5 <= got["sequence_size"] <= 7
+    assert scoring.draw({"embedding_size": [5, 5, 1], "num_heads": [2, 2, 1]}, 0, family="transformer")["embedding_size"] == 6
