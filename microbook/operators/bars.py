@@ -31,6 +31,8 @@ def aggregate_bars(binned: DataFrame) -> DataFrame:
     n - 1 in the denominator (1 at least), computed around the mean, not from raw squares. "First" and
     "last" follow (t, ord).
     """
+    # in time order, so sums do not depend on how rows arrived; the window needs no other sort
+    binned = binned.sortWithinPartitions(*DAY, "bar_t", "t", "ord")
     bar = Window.partitionBy(*DAY, "bar_t")
     p, q = F.col("price"), F.col("quantity")
     volume = F.sum(q).over(bar)
