@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import lookup_left, stored, table
 from .textkit import chunks, list_array, run_key, tidy
-from .url_filter import BlockedBloom, build_bloom
+from .url_filter import build_bloom, split_by
 
 WINDOW = 50
 ANCHOR = 12
@@ -144,10 +144,15 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_text) of every row; kept_text: the kept words joined by one space."""
-    spans = duplicate_spans(docs, window, anchor)
+    """(doc_id, n_words, n_removed, kept_text) of every row; kept_text: the kept words joined by one space.
+
+    Only rows that may lose words (a Bloom filter of fixed size tells) are shuffled to meet their spans.
+    """
+    spans = stored(duplicate_spans(docs, window, anchor), "spans")
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("row"))
-    rows = rows.join(spans, ["doc_id", "row"], "left").select("doc_id", "text", "firsts", "counts")
+    stay, asks = split_by(rows, [F.col("doc_id"), F.col("row")], spans.select("doc_id", "row"))
+    none = F.lit(None).cast("array<int>")
+    rows = stay.select("doc_id", "text", none.alias("firsts"), none.alias("counts")).unionByName(asks.join(spans, ["doc_id", "row"], "left").select("doc_id", "text", "firsts", "counts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
