@@ -206,10 +206,19 @@ def mid_change_closing(spark, d):
     return features.closing_rows(*_closing(spark, d)).select("stock_id", "date", "t", "mid_chg")
 
 
-@query("cum_volume_change", f"{_CLOSE} select {_KEY}, {_T}, {r('cumvol_chg')} from rows_ where isfinite(cumvol_chg)")
+#: Finite values are compared as numbers, all others by name.
+_KIND = "case when v is null then 'null' when isnan(v) then 'nan' when isinf(v) then case when v > 0 then '+inf' else '-inf' end else 'finite' end as kind, case when isfinite(v) then round(v, 6) + 0.0 end as cumvol_chg"
+
+
+@query("cum_volume_change", f"""{_CLOSE}, v_ as (select stock_id, date, t, case when total = 0 and total = quantity then 'nan'::double when total = quantity then 'infinity'::double when total = 0 then '-infinity'::double else ln(total::double / (total - quantity)::double) end as v
+  from (select stock_id, date, t, quantity, sum(quantity) over c + open_qty as total from joined window c as (partition by stock_id, date order by t rows between unbounded preceding and current row)))
+select {_KEY}, {_T}, {_KIND} from v_""")
 def cum_volume_change(spark, d):
-    rows = features.closing_rows(*_closing(spark, d)).select("stock_id", "date", "t", "cumvol_chg")
-    return rows.filter(~F.isnan("cumvol_chg") & (F.abs("cumvol_chg") < float("inf")))
+    rows = features.closing_rows(*_closing(spark, d)).select("stock_id", "date", "t", F.col("cumvol_chg").alias("v"))
+    v = F.col("v")
+    finite = v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
+    kind = F.when(v.isNull(), "null").when(F.isnan(v), "nan").when(finite, "finite").when(v > 0, "+inf").otherwise("-inf")
+    return rows.select("stock_id", "date", "t", kind.alias("kind"), F.when(finite, v).alias("cumvol_chg"))
 
 
 @query("volume_change", f"{_CLOSE} select {_KEY}, {_T}, {r('tvol_chg')} from rows_")
@@ -277,14 +286,26 @@ def exogenous(spark, d):
     return features.exogenous(features.closing_label(_clean(spark, d), auctions, HORIZON), auctions)
 
 
+def _steps(rows: DataFrame, names: list[str], *others: str) -> DataFrame:
+    """A row for each step of ``x``, its values by name."""
+    steps = rows.select(*others, F.posexplode("x").alias("step", "v"))
+    return steps.select(*others, F.col("step").cast("long").alias("step"), *[F.get("v", i).alias(c) for i, c in enumerate(names)])
+
+
+def _cells(names: list[str], of: str) -> str:
+    return ", ".join(f"round(cast(cast({of}.{c} as real) as double), 6) + 0.0 as {c}" for c in names)
+
+
 @query(
     "closing_samples",
-    f"{_LABEL}, kept as (select * from rows_ where n >= {SEQUENCE} and back <= {SEQUENCE}), gaps as (select distinct stock_id, date from kept where {_GAP}), whole as (select k.stock_id, k.date, count(*) as steps, avg(ret_bb1) as mean_ret from kept k where not exists (select 1 from gaps g where g.stock_id = k.stock_id and g.date = k.date) group by k.stock_id, k.date) select w.stock_id, cast(w.date as varchar) as date, steps, round(mean_ret, 4) as mean_ret, {r('y', 'z1', 'z2')} from whole w join label l on w.stock_id = l.stock_id and w.date = l.date join exo e on w.stock_id = e.stock_id and w.date = e.date",
+    f"""{_LABEL}, kept as (select * from rows_ where n >= {SEQUENCE} and back <= {SEQUENCE}), gaps as (select distinct stock_id, date from kept where {_GAP})
+select k.stock_id, cast(k.date as varchar) as date, {SEQUENCE} - k.back as step, {_cells(B.CLOSING_FEATURES, 'k')}, {r('y', 'z1', 'z2')} from kept k
+  join label l on k.stock_id = l.stock_id and k.date = l.date join exo e on k.stock_id = e.stock_id and k.date = e.date
+  where not exists (select 1 from gaps g where g.stock_id = k.stock_id and g.date = k.date)""",
 )
 def closing_samples(spark, d):
     rows = features.closing_samples(*_closing(spark, d), SEQUENCE, HORIZON)
-    mean = F.aggregate("x", F.lit(0.0), lambda a, v: a + F.get(v, 0).cast("double")) / F.size("x")
-    return rows.select("stock_id", "date", F.size("x").cast("long").alias("steps"), F.round(mean, 4).alias("mean_ret"), "y", "z1", "z2")
+    return _steps(rows, B.CLOSING_FEATURES, "stock_id", "date", "y", "z1", "z2")
 
 
 # intraday labels and sequences
@@ -307,10 +328,19 @@ def sliding_sequences(spark, d):
     return out.select("stock_id", "date", "anchor_t", mids.alias("mids"), "y")
 
 
-@query("intraday_samples", f"{_INTRA} select {_KEY}, {_TS.format('t', 'anchor_t')}, cast({SEQUENCE} as bigint) as steps, cast(22 as bigint) as width, round(y, 5) as y from labels where rn >= {SEQUENCE} and back > {HORIZON} and back <= {HORIZON + KEEP}")
+_INTRA_GAP = " or ".join(f"{c} is null or isnan({c})" for c in B.INTRADAY_FEATURES)
+
+
+@query(
+    "intraday_samples",
+    f"""{_INTRA}, cells as (select *, {', '.join(f'ln({p} / mid) as ret_{p}, {B.volume_of(p)} / tvol as rvol_{p}' for p in B.PRICES)} from labels),
+checked as (select *, max(case when {_INTRA_GAP} then 1 else 0 end) over (partition by stock_id, date order by t rows between {SEQUENCE - 1} preceding and current row) as gap from cells),
+ends as (select stock_id, date, t as anchor_t, rn as last_rn, y from checked where rn >= {SEQUENCE} and back > {HORIZON} and back <= {HORIZON + KEEP} and gap = 0 and y is not null and not isnan(y))
+select c.stock_id, cast(c.date as varchar) as date, {_TS.format('anchor_t', 'anchor_t')}, rn - last_rn + {SEQUENCE} - 1 as step, {_cells(B.INTRADAY_FEATURES, 'c')}, round(cast(cast(e.y as real) as double), 6) + 0.0 as y
+  from ends e join cells c on c.stock_id = e.stock_id and c.date = e.date and c.rn between last_rn - {SEQUENCE - 1} and last_rn""",
+)
 def intraday_samples(spark, d):
-    rows = intraday.intraday_samples(_clean(spark, d), SEQUENCE, HORIZON, KEEP)
-    return rows.select("stock_id", "date", "anchor_t", F.size("x").cast("long").alias("steps"), F.size(F.get("x", 0)).cast("long").alias("width"), F.round("y", 5).alias("y"))
+    return _steps(intraday.intraday_samples(_clean(spark, d), SEQUENCE, HORIZON, KEEP), B.INTRADAY_FEATURES, "stock_id", "date", "anchor_t", "y")
 
 
 # normalisation
@@ -337,15 +367,21 @@ def trailing_normalize_exog(spark, d):
     return normalize.trailing_normalize(V.samples(spark, d).select("date", "stock_id", F.col("z1").alias("value")), DAYS, [])
 
 
+def _z_moments(n: int) -> str:
+    """CTE st{n}: the trailing moments of z{n}."""
+    return f"st{n} as (select n.date, avg(l.z{n}) as mu, stddev_samp(l.z{n}) as sd from near n join zs l on n.past = l.date group by n.date)"
+
+
 @query(
     "normalize_samples",
-    f"{_LONG}, {_PAST}, st as (select n.date, feature, avg(value) as mu, stddev_samp(value) as sd from near n join long l on n.past = l.date group by n.date, feature), z as (select l.date, stock_id, (value - mu) / sd as v from long l join st on l.date = st.date and l.feature = st.feature) select date, stock_id, round(avg(v), 4) + 0.0 as mean_x, count(*) as cells from z group by date, stock_id",
+    f"""{_LONG}, {_PAST}, zs as (select date, stock_id, y, cast(e[1] as double) as z1, cast(e[2] as double) as z2 from samples), {_z_moments(1)}, {_z_moments(2)},
+st as (select n.date, feature, avg(value) as mu, stddev_samp(value) as sd from near n join long l on n.past = l.date group by n.date, feature)
+select l.date, l.stock_id, l.step, {', '.join(f"round(cast(cast(max(case when l.feature = {i} then (value - st.mu) / st.sd end) as real) as double), 6) + 0.0 as x{i}" for i in range(8))},
+  round(any_value(zs.y), 6) as y, round(any_value((zs.z1 - st1.mu) / st1.sd), 6) + 0.0 as z1, round(any_value((zs.z2 - st2.mu) / st2.sd), 6) + 0.0 as z2
+  from long l join st on l.date = st.date and l.feature = st.feature join zs on l.date = zs.date and l.stock_id = zs.stock_id join st1 on l.date = st1.date join st2 on l.date = st2.date group by l.date, l.stock_id, l.step""",
 )
 def normalize_samples(spark, d):
-    rows = normalize.normalize_samples(V.samples(spark, d), DAYS)
-    flat = F.flatten("x")
-    mean = F.aggregate(flat, F.lit(0.0), lambda a, v: a + v.cast("double")) / F.size(flat)
-    return rows.select("date", "stock_id", (F.round(mean, 4) + 0.0).alias("mean_x"), F.size(flat).cast("long").alias("cells"))
+    return _steps(normalize.normalize_samples(V.samples(spark, d), DAYS), [f"x{i}" for i in range(8)], "date", "stock_id", "y", "z1", "z2")
 
 
 # datasets
