@@ -81,6 +81,31 @@ def month_range(spark, d):
     return io.month_range(spark, (2023, 11), (2024, 3))
 
 
+@query("time_formats", f"select event_id, {_TS.format('case event_id % 5 when 0 then ts when 2 then ts when 4 then null else make_timestamp(epoch_us(ts) // 1000000 * 1000000) end', 't')} from events")
+def time_formats(spark, d):
+    rows = V.events(spark, d).select("event_id", F.col("ts").alias("s"))
+    patterns = ["yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'", "yyyy-MM-dd'T'HH:mm:ss'+00:00'", "yyyy-MM-dd HH:mm:ss.SSSSSS", "yyyy-MM-dd HH:mm:ss", "dd.MM.yyyy HH:mm"]
+    text = F.coalesce(*[F.when(F.col("event_id") % 5 == i, F.date_format("s", p)) for i, p in enumerate(patterns)])
+    return rows.select("event_id", io.parse_time(text).alias("t"))
+
+
+@query("stock_of_file", r"select event_id, user_id % 10 || case when event_id % 2 = 0 then 'x' else '-1' end as stock_id from events")
+def stock_of_file(spark, d):
+    stock = F.concat((F.col("user_id") % 10).cast("string"), F.when(F.col("event_id") % 2 == 0, "x").otherwise("-1"))
+    path = F.concat(F.lit("/raw_a/b.c/2024_stock_"), stock, F.when(F.col("event_id") % 3 == 0, ".csv.gz").otherwise(".gz"))
+    return V.events(spark, d).select("event_id", io.stock_of_file(path).alias("stock_id"))
+
+
+@query(
+    "day_table",
+    f"with {V.TRADES_SQL} select {_KEY}, {_T}, ord, round(price, 6) as price, quantity, flag from trades where strftime(date, '%Y-%m') in ('2024-01', '2024-02') and stock_id in ('1', '2', '7')",
+)
+def day_table(spark, d):
+    path = io.fresh_path(spark, "days")
+    io.write_days(V.trades(spark, d), path)
+    return io.read_days(spark, path, (2024, 1), (2024, 2), ["1", "2", "7"]).select("stock_id", "date", "t", "ord", "price", "quantity", "flag")
+
+
 # cleaning
 
 
@@ -384,6 +409,17 @@ def normalize_samples(spark, d):
     return _steps(normalize.normalize_samples(V.samples(spark, d), DAYS), [f"x{i}" for i in range(8)], "date", "stock_id", "y", "z1", "z2")
 
 
+@query(
+    "sample_store",
+    f"with {V.SAMPLES_SQL}, steps as (select *, unnest(range(6)) as step from samples where date in (1, 4, 7)) select date, stock_id, step, {', '.join(f'round(cast(e[step * 8 + {i + 1}] as double), 6) + 0.0 as x{i}' for i in range(8))}, y from steps",
+)
+def sample_store(spark, d):
+    path = io.fresh_path(spark, "samples")
+    io.write_samples(V.samples(spark, d), path)
+    rows = io.read_samples(spark, path, [1, 4, 7], ["date", "stock_id", "x", "y"], horizon=2)
+    return _steps(rows, [f"x{i}" for i in range(8)], "date", "stock_id", "y")
+
+
 # datasets
 
 

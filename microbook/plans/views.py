@@ -29,8 +29,12 @@ def _level(side: str, i: int) -> tuple[str, str]:
 BOOK_COLUMNS_SQL = ", ".join(f"{p} as {side}{i}, {v} as {side}vol{i}" for side in ("bb", "ba") for i in range(1, B.LEVELS + 1) for p, v in [_level(side, i)])
 
 
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/events.parquet")
+
+
 def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    e = events(spark, sf_dir)
     flag = F.when(F.col("event_type") == "signup", "AUCTION").when(F.col("event_type") == "error", "OTHER").otherwise("NORMAL")
     return e.select(
         (F.col("user_id") % 10).cast("string").alias("stock_id"), F.col("event_id").alias("ord"), F.col("ts").alias("t"), F.to_date("ts").alias("date"),

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -14,6 +16,26 @@ from ..functions import book as B
 TIME_FORMATS = ("yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd HH:mm:ss.SSSSSS", "yyyy-MM-dd HH:mm:ss")
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors and the driver share: ``spark.checkpoint.dir``.
+
+    Where the setting is absent in local mode (tests) a folder of this machine is made and set; on a cluster
+    that is an error, as each executor would write to its own disk.
+    """
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        path = "file://" + tempfile.mkdtemp(prefix="shared_")
+        spark.conf.set("spark.checkpoint.dir", path)
+    return path.rstrip("/")
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing has been written to."""
+    return f"{shared_dir(spark)}/{name}_{uuid.uuid4().hex}"
+
+
 def parse_time(text: Column) -> Column:
     """The first of the known formats that fits; NULL where none does. The session time zone should be UTC."""
     return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in TIME_FORMATS])
