@@ -597,6 +597,52 @@ def test_the_fit_reads_its_whole_sample(spark):
     assert rows["toxic"].value_counts().to_dict() == {1: 1_500, 0: 2_500}
 
 
+def brute_slots(text):
+    s = " " + re.sub(r"\s+", " ", text.lower()).strip() + " "
+    out = set()
+    for n in toxicity.GRAMS:
+        for i in range(len(s) - n + 1):
+            h = ord(s[i])
+            for c in s[i + 1 : i + n]:
+                h = (h * 0x01000193 + ord(c) * 0x9E3779B1) % 2**32
+            out.add((h ^ (h >> 15)) * 0x85EBCA6B % 2**32 >> (32 - toxicity.BITS))
+    return out if s.strip() else set()
+
+
+@pytest.mark.parametrize("piece", [5, 64, 1 << 18])
+def test_slots_are_those_of_all_grams(monkeypatch, piece):
+    monkeypatch.setattr(toxicity, "PIECE", piece)
+    for text in ("", "a", "ab", "abc", "Some  Words,\n\tand é ü 字 again " * 3, "x" * 200, " \n "):
+        assert set(toxicity.slots(text).tolist()) == brute_slots(text)
+
+
+def test_the_fit_against_dense_matrices():
+    rng = random.Random(11)
+    texts = [" ".join(words(rng, 12, 40)) + (" vile" if i % 3 == 0 else "") for i in range(60)]
+    y = np.array([float(i % 3 == 0) for i in range(60)])
+    weights, bias = toxicity.fit(texts, y, rounds=25)
+    own = [brute_slots(t) for t in texts]
+    names = sorted(set().union(*own))
+    x = np.array([[float(s in o) for s in names] for o in own])
+    width = 1 << toxicity.BITS
+    p, q = 1 + y @ x, 1 + (1 - y) @ x
+    ratio = np.log(p / (width + (y @ x).sum())) - np.log(q / (width + ((1 - y) @ x).sum()))
+    ratio[(x.sum(0) < 3) | (np.abs(ratio) < toxicity.LEAST_RATIO)] = 0
+    v = x * ratio / x.sum(1, keepdims=True) ** toxicity.LENGTH_POWER
+    costs = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())) / len(y)
+    theta = np.zeros(len(names) + 1)
+    m1 = m2 = np.zeros(len(names) + 1)
+    for t in range(1, 26):
+        miss = (1 / (1 + np.exp(-(v @ theta[:-1] + theta[-1]))) - y) * costs
+        g = np.append(v.T @ miss + 1e-4 * theta[:-1], miss.sum())
+        m1, m2 = 0.9 * m1 + 0.1 * g, 0.99 * m2 + 0.01 * g * g
+        theta = theta - 0.1 * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.99**t)) + 1e-8)
+    assert np.count_nonzero(ratio) > 5 and bias == pytest.approx(theta[-1], abs=1e-3)
+    assert weights[names] == pytest.approx(theta[:-1] * ratio, abs=1e-2)
+    scores = toxicity.score_texts(texts, weights, bias, toxicity._Distinct())
+    assert scores == pytest.approx(1 / (1 + np.exp(-(v @ theta[:-1] + theta[-1]))), abs=1e-3)
+
+
 # 8
 
 
