@@ -103,7 +103,7 @@ def bars_sql(source: str) -> str:
     return f"""binned as (select a.*, b.t as bar_t from (select * from {source} where flag = 'NORMAL') a asof join clean b on a.stock_id = b.stock_id and a.date = b.date and a.t <= b.t),
 vw as (select *, sum(price * quantity) over w / nullif(sum(quantity) over w, 0) as mean from binned window w as (partition by stock_id, date, bar_t)),
 agg as (select stock_id, date, bar_t as t, arg_min(price, (t, ord)) as open, arg_max(price, (t, ord)) as close, max(price) as high, min(price) as low,
-  sum(price * quantity) / nullif(sum(quantity), 0) as vwap, sqrt(sum(quantity * (price - mean) * (price - mean)) / greatest(sum(quantity) - 1, 1)) as vwps, cast(sum(quantity) as bigint) as quantity
+  sum(price * quantity order by t, ord) / nullif(sum(quantity), 0) as vwap, sqrt(sum(quantity * (price - mean) * (price - mean) order by t, ord) / greatest(sum(quantity) - 1, 1)) as vwps, cast(sum(quantity) as bigint) as quantity
   from vw group by stock_id, date, bar_t),
 traded as (select stock_id, date, t, quantity, {", ".join(f"case when quantity <> 0 then {c} end as {c}" for c in ("open", "close", "high", "low", "vwap", "vwps"))} from agg),
 bars as (select c.stock_id, c.date, c.t, open, close, high, low, vwap, vwps, coalesce(quantity, 0) as quantity from clean c left join traded a on c.stock_id = a.stock_id and c.date = a.date and c.t = a.t),
