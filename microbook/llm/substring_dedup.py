@@ -1,15 +1,19 @@
-"""Substring deduplication by content-defined phrases that are joined by hash (no Lempel-Ziv factoring).
+"""Substring deduplication by relative Lempel-Ziv parsing against reference blocks that are split by content.
 
 Reference. Every text is cut into phrases by its content: of the 12-word sequences of a 50-word window
 the one with the smallest hash is the window's anchor, and a phrase is a run of windows with the same
 anchor (41 at most). Equal windows have equal anchors wherever they stand, so the anchors split the
 whole corpus into reference blocks: the block of an anchor holds the distinct phrases around it, each
-with the smallest doc_id it occurs in. No document is left out of the reference.
+with the smallest doc_id it occurs in. No document is left out of the reference, and a factor of a whole
+window can only come from the blocks of the document's own anchors.
 
-Matching. A phrase that its anchor's block holds from an earlier document is duplicate as a whole. A
-window of another phrase may still be held, so where a block holds several phrases from several documents
-all their windows are joined by hash. Only one copy of each distinct phrase is checked by window; its other
-copies are duplicate as a whole. The covered words become duplicate spans.
+Parsing. A phrase that its anchor's block holds from an earlier document is one factor as a whole. Where a
+block holds several phrases from several documents, they are indexed by a suffix array and the first copy
+of each phrase is factored greedily, left to right, by the longest match with a phrase of an earlier
+document. Factors of a window or more become duplicate spans; windows across factor boundaries are checked
+by the longest match at their own start. Only one copy of each distinct phrase is parsed; its other copies
+are duplicate as a whole. Blocks of over BLOCK_ROWS phrases would be too large for one task: their windows
+are joined by hash instead, which finds the same ones. The covered words are removed.
 
 Rows: a null text has no words. A null doc_id is no reference and loses nothing. Rows that share a
 doc_id are no reference for each other. Order or repetition of rows changes nothing.
@@ -25,13 +29,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import lookup_left, stored, table
-from .textkit import chunks, list_array, run_key, tidy
+from .textkit import Chunk, chunks, list_array, run_key, tidy
 from .url_filter import build_bloom, split_by
 
 WINDOW = 50
 ANCHOR = 12
 #: Windows of one phrase at most.
 PHRASE = 41
+#: Phrases of one reference block that are indexed together; the windows of larger blocks are joined by hash.
+BLOCK_ROWS = 512
+#: Words that are indexed at once: as many whole blocks as fit.
+INDEX_WORDS = 1 << 18
 
 
 def phrases(ch, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -79,9 +87,9 @@ def _phrase_rows(docs: DataFrame, window: int, anchor: int) -> DataFrame:
     return docs.mapInArrow(tidy(run), "anchor bigint, digest bigint, doc_id bigint, row bigint, first int, n int")
 
 
-def _window_rows(docs: DataFrame, window: int, anchor: int, wanted) -> DataFrame:
-    """(anchor, digest, doc_id, row, first, windows) of the phrases whose (anchor, digest, doc_id) may be ``wanted``; windows: their hashes."""
-    names, key = ["anchor", "digest", "doc_id", "row", "first", "windows"], run_key(docs.sparkSession)
+def _word_rows(docs: DataFrame, window: int, anchor: int, wanted) -> DataFrame:
+    """(anchor, digest, doc_id, row, first, words) of the phrases whose (anchor, digest, doc_id) may be ``wanted``; words: their hashes."""
+    names, key = ["anchor", "digest", "doc_id", "row", "first", "words"], run_key(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -90,15 +98,139 @@ def _window_rows(docs: DataFrame, window: int, anchor: int, wanted) -> DataFrame
             for ch in chunks(batch.column("text"), False, key=key):
                 text, first, n, a, d = phrases(ch, window, anchor)
                 hit = wanted.value.maybe(_filter_key(a, d, own_ids[text + ch.rows.start]))
-                text, first, n, a, d = text[hit], first[hit], n[hit], a[hit], d[hit]
+                text, first, a, d, n = text[hit], first[hit], a[hit], d[hit], n[hit] + window - 1
                 at = np.repeat(first + ch.first[text] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))
                 take = pa.array(text + ch.rows.start)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(a.view(np.int64)), pa.array(d.view(np.int64)), ids.take(take), rows.take(take), pa.array(first.astype(np.int32)), list_array(ch.grams(at, at + window).view(np.int64), n, pa.int64())],
+                    [pa.array(a.view(np.int64)), pa.array(d.view(np.int64)), ids.take(take), rows.take(take), pa.array(first.astype(np.int32)), list_array(ch.hashes[at].view(np.int64), n, pa.int64())],
                     names,
                 )
 
-    return docs.mapInArrow(tidy(run), "anchor bigint, digest bigint, doc_id bigint, row bigint, first int, windows array<bigint>")
+    return docs.mapInArrow(tidy(run), "anchor bigint, digest bigint, doc_id bigint, row bigint, first int, words array<bigint>")
+
+
+def longest_earlier(words: np.ndarray, block: np.ndarray, doc: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """For each place the length of the longest match, within its phrase, with a phrase of the same block and a smaller ``doc``.
+
+    ``left``: words from each place to its phrase's end. The places are sorted as suffixes of their phrases,
+    by doubling; the longest match of a place is with the nearest suffix, on either side, of an earlier document.
+    """
+    n, at = len(words), np.arange(len(words))
+    levels = [np.unique(words, return_inverse=True)[1]]
+    levels[0] = np.unique(block * np.int64(n) + levels[0], return_inverse=True)[1]
+    width = 1
+    while width < int(left.max()):
+        rank = levels[-1]
+        beyond = np.where(left > width, rank[np.minimum(at + width, n - 1)] + 1, 0)
+        levels.append(np.unique(rank * np.int64(n + 1) + beyond, return_inverse=True)[1])
+        width *= 2
+    order = np.argsort(levels[-1], kind="stable")
+    b, d = block[order], doc[order]
+    best = np.zeros(n, np.int64)
+    for step in (-1, 1):
+        near = at + step
+        live = at
+        while True:
+            inside = (near[live] >= 0) & (near[live] < n)
+            live = live[inside]
+            live = live[(b[near[live]] == b[live]) & (d[near[live]] >= d[live])]
+            if not len(live):
+                break
+            near[live] = near[near[live]]  # what lies between is no earlier than the place passed over
+        known = (near >= 0) & (near < n)
+        known[known] = b[near[known]] == b[known]
+        i, j = order[known], order[near[known]]
+        most, length = np.minimum(left[i], left[j]), np.zeros(len(i), np.int64)
+        for k in range(len(levels) - 1, -1, -1):
+            same = (length < most) & (levels[k][np.minimum(i + length, n - 1)] == levels[k][np.minimum(j + length, n - 1)])
+            length += same.astype(np.int64) << k
+        best[i] = np.maximum(best[i], np.minimum(length, most))
+    return best
+
+
+def factored(words: np.ndarray, counts: np.ndarray, block: np.ndarray, doc: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Parse phrases (``counts`` words each) against the earlier ones of their block: (phrase, first window, windows) of their duplicate runs."""
+    start = np.concatenate([[0], np.cumsum(counts)[:-1]])
+    phrase = np.repeat(np.arange(len(counts)), counts)
+    at = np.arange(len(words))
+    left = start[phrase] + counts[phrase] - at
+    longest = longest_earlier(words, block[phrase], doc[phrase], left)
+    # greedy factors: the longest match, or one word; all phrases advance together
+    ends = np.zeros(len(words), np.int64)
+    place = start.copy()
+    live = np.flatnonzero(counts > 0)
+    while len(live):
+        p = place[live]
+        place[live] = p + np.maximum(longest[p], 1)
+        ends[p] = place[live]
+        live = live[place[live] < start[live] + counts[live]]
+    ends = np.maximum.accumulate(ends)  # of the factor that holds each word
+    held = ends >= at + window
+    across = (left >= window) & ~held
+    held |= across & (longest >= window)
+    # runs of held windows
+    new = held.copy()
+    new[1:] &= ~(held[:-1] & (phrase[1:] == phrase[:-1]))
+    first = np.flatnonzero(new)
+    run = np.cumsum(new)[held] - 1
+    return phrase[first], first - start[phrase[first]], np.bincount(run, minlength=len(first))
+
+
+def _factored_rows(rows: DataFrame, window: int) -> DataFrame:
+    """(doc_id, row, first, count): duplicate runs of windows of ``rows``, whose blocks are small."""
+    names = ["doc_id", "row", "first", "count"]
+
+    def parse(batch: pa.Table) -> pa.RecordBatch:
+        batch = batch.combine_chunks()
+        anchor, doc = (batch.column(c).to_numpy() for c in ("anchor", "doc_id"))
+        lists = batch.column("words").combine_chunks()
+        counts = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+        block = np.cumsum(np.concatenate([[0], anchor[1:] != anchor[:-1]]))
+        at, first, n = factored(lists.flatten().to_numpy().view(np.uint64), counts, block, doc, window)
+        own = batch.select(["doc_id", "row"]).take(pa.array(at)).combine_chunks()
+        begin = batch.column("first").to_numpy()[at] + first
+        return pa.RecordBatch.from_arrays([own.column(0).combine_chunks(), own.column(1).combine_chunks(), pa.array(begin.astype(np.int32)), pa.array(n.astype(np.int32))], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, held = [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            waiting.append(batch)
+            held += len(batch.column("words").flatten())
+            if held < INDEX_WORDS:
+                continue
+            whole = pa.Table.from_batches(waiting)
+            anchor = whole.column("anchor").to_numpy()
+            last = int(np.searchsorted(anchor, anchor[-1]))  # the last block may go on
+            if last:
+                yield parse(whole.slice(0, last))
+            waiting = whole.slice(last).combine_chunks().to_batches()
+            held = sum(len(w.column("words").flatten()) for w in waiting)
+        if waiting:
+            yield parse(pa.Table.from_batches(waiting))
+
+    return rows.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(tidy(run), "doc_id bigint, row bigint, first int, count int")
+
+
+def _window_rows(rows: DataFrame, window: int) -> DataFrame:
+    """(anchor, w, doc_id, row, first): one row per window of ``rows``; w: its hash."""
+    names = ["anchor", "w", "doc_id", "row", "first"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("words")
+            offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            none = np.zeros(0, np.int64)
+            ch = Chunk(slice(0, len(lists)), lists.flatten().to_numpy().view(np.uint64), offsets.astype(np.int64), none, none, none)
+            at = ch.starts_of(window)
+            of = np.searchsorted(ch.first, at, "right") - 1
+            take = pa.array(of)
+            first = batch.column("first").to_numpy()[of] + at - ch.first[of]
+            anchor, ids, own = (batch.column(c).take(take) for c in ("anchor", "doc_id", "row"))
+            yield pa.RecordBatch.from_arrays([anchor, pa.array(ch.grams(at, at + window).view(np.int64)), ids, own, pa.array(first.astype(np.int32))], names)
+
+    return rows.mapInArrow(tidy(run), "anchor bigint, w bigint, doc_id bigint, row bigint, first int")
 
 
 def _filter_key(anchor: np.ndarray, digest: np.ndarray, doc_id: np.ndarray) -> np.ndarray:
@@ -125,20 +257,21 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     repeated = shared.filter("last > origin").select("anchor", "digest", "origin", "n_rows")
     whole = lookup_left(found, repeated.drop("n_rows"), ["anchor", "digest"], held.select("anchor", "digest", "n_rows"))
     whole = whole.filter("origin < doc_id").select("doc_id", "row", "first", F.col("n").alias("count"))
-    # 2. the first copy of each phrase whose block holds other phrases, window by window
+    # 2. the first copy of each phrase whose block holds other phrases, parsed
     edges = shared.filter("held > 1").select("anchor", "digest", F.col("origin").alias("doc_id"))
     n_edges = edges.count()
     if n_edges:
         keys = edges.select(_filter_key_column().alias("key"))
         wanted = docs.sparkSession.sparkContext.broadcast(build_bloom(keys, n_edges))
-        rows = _window_rows(docs, window, anchor, wanted).join(edges, ["anchor", "digest", "doc_id"], "left_semi")
-        rows = stored(rows, "edges").select("anchor", "doc_id", "row", F.posexplode("windows").alias("k", "w"), "first")
-        rows = rows.select("anchor", "w", "doc_id", "row", (F.col("first") + F.col("k")).alias("first"))
-        first_of = rows.groupBy("anchor", "w").agg(F.min("doc_id").alias("origin"), F.max("doc_id").alias("last"), F.count("*").alias("n_rows"))
-        first_of = stored(first_of.filter("last > origin"), "windows")
-        checked = lookup_left(rows, first_of.select("anchor", "w", "origin"), ["anchor", "w"], first_of.select("anchor", "w", "n_rows"))
-        checked = checked.filter("origin < doc_id").select("doc_id", "row", "first", F.lit(1).alias("count"))
-        whole = whole.unionByName(checked)
+        rows = stored(_word_rows(docs, window, anchor, wanted).join(edges, ["anchor", "digest", "doc_id"], "left_semi"), "edges")
+        large = stored(rows.groupBy("anchor").count().filter(F.col("count") > BLOCK_ROWS).select("anchor"), "large")
+        whole = whole.unionByName(_factored_rows(rows.join(large, ["anchor"], "left_anti"), window))
+        if large.take(1):
+            rows = _window_rows(rows.join(large, ["anchor"], "left_semi"), window)
+            first_of = rows.groupBy("anchor", "w").agg(F.min("doc_id").alias("origin"), F.max("doc_id").alias("last"), F.count("*").alias("n_rows"))
+            first_of = stored(first_of.filter("last > origin"), "windows")
+            checked = lookup_left(rows, first_of.select("anchor", "w", "origin"), ["anchor", "w"], first_of.select("anchor", "w", "n_rows"))
+            whole = whole.unionByName(checked.filter("origin < doc_id").select("doc_id", "row", "first", F.lit(1).alias("count")))
     spans = whole.groupBy("doc_id", "row").agg(F.sort_array(F.collect_set(F.struct("first", "count"))).alias("s"))
     return spans.select("doc_id", "row", F.col("s.first").alias("firsts"), F.col("s.count").alias("counts"))
 

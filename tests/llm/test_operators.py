@@ -301,17 +301,44 @@ def brute_removed(texts, n=50):
     return out
 
 
-def test_substring_dedup(spark):
+def test_substring_dedup(spark, monkeypatch):
     texts = corpus(3)
     rng = random.Random(5)
     a, b = words(rng, 150), words(rng, 150)
     # windows that run from one reference into another, and passages met in several places
     texts += [" ".join(a), " ".join(b), " ".join(a[60:130] + b[10:90]), " ".join(a[100:150] + b[:50]), " ".join(a[:75] + b[75:]), " ".join(b + a), " ".join(a[80:140] + a[20:75])]
-    got = substring_dedup.substring_dedup(docs(spark, texts).repartition(4)).collect()
-    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in got} == brute_removed(texts)
+    expected = brute_removed(texts)
+    # all blocks parsed; all blocks joined by window; some of each
+    for rows in (substring_dedup.BLOCK_ROWS, 0, 2):
+        monkeypatch.setattr(substring_dedup, "BLOCK_ROWS", rows)
+        got = substring_dedup.substring_dedup(docs(spark, texts).repartition(4)).collect()
+        assert {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in got} == expected
     assert sum(r.n_removed > 0 for r in got) > 15
 
 
+@pytest.mark.parametrize("seed", range(12))
+def test_factors_against_brute_force(seed):
+    """Longest earlier matches, and duplicate runs, of phrases over a small alphabet in several blocks."""
+    rng = np.random.default_rng(seed)
+    counts = rng.integers(1, 40, 30)
+    block, doc = np.sort(rng.integers(0, 4, 30)), rng.integers(0, 12, 30)
+    held = [rng.integers(0, 2 + seed % 3, n) for n in counts]
+    held[3] = held[7][: counts[3]]
+    counts = np.array([len(h) for h in held])
+    sets = [{(block[j], doc[j], tuple(h[a:b])) for a in range(len(h)) for b in range(a + 1, len(h) + 1)} for j, h in enumerate(held)]
+
+    def known(i, part):
+        return any((block[i], doc[j], part) in sets[j] for j in range(30) if doc[j] < doc[i] and block[j] == block[i])
+
+    longest = [max([k for k in range(1, len(h) - a + 1) if known(i, tuple(h[a : a + k]))], default=0) for i, h in enumerate(held) for a in range(len(h))]
+    flat, phrase = np.concatenate(held).astype(np.uint64), np.repeat(np.arange(30), counts)
+    left = np.concatenate([np.arange(n, 0, -1) for n in counts])
+    assert substring_dedup.longest_earlier(flat, block[phrase], doc[phrase], left).tolist() == longest
+    window = 5
+    got = {(p, f + k) for p, f, n in zip(*substring_dedup.factored(flat, counts, block, doc, window)) for k in range(n)}
+    assert got == {(i, a) for i, h in enumerate(held) for a in range(len(h) - window + 1) if known(i, tuple(h[a : a + window]))}
+
+
 def test_substring_dedup_edge_rows(spark):
     t = " ".join(f"w{i}" for i in range(60))
     got = substring_dedup.substring_dedup(docs(spark, [t, t, t, t, None, ""], ids=[4, 4, 9, None, 3, 1])).collect()
