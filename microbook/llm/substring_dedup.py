@@ -38,8 +38,8 @@ ANCHOR = 12
 PHRASE = 41
 #: Phrases of one reference block that are indexed together; the windows of larger blocks are joined by hash.
 BLOCK_ROWS = 512
-#: Words that are indexed at once: as many whole blocks as fit.
-INDEX_WORDS = 1 << 18
+#: Phrases that are indexed at once, in whole blocks.
+INDEX_ROWS = 2048
 
 
 def phrases(ch, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -192,23 +192,18 @@ def _factored_rows(rows: DataFrame, window: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([own.column(0).combine_chunks(), own.column(1).combine_chunks(), pa.array(begin.astype(np.int32)), pa.array(n.astype(np.int32))], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting, held = [], 0
+        waiting = None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            waiting.append(batch)
-            held += len(batch.column("words").flatten())
-            if held < INDEX_WORDS:
-                continue
-            whole = pa.Table.from_batches(waiting)
-            anchor = whole.column("anchor").to_numpy()
-            last = int(np.searchsorted(anchor, anchor[-1]))  # the last block may go on
-            if last:
-                yield parse(whole.slice(0, last))
-            waiting = whole.slice(last).combine_chunks().to_batches()
-            held = sum(len(w.column("words").flatten()) for w in waiting)
+            for at in range(0, batch.num_rows, INDEX_ROWS):
+                piece = pa.Table.from_batches([batch.slice(at, INDEX_ROWS)])
+                waiting = pa.concat_tables([waiting, piece]) if waiting else piece
+                anchor = waiting.column("anchor").to_numpy()
+                last = int(np.flatnonzero(anchor == anchor[-1])[0])  # the last block may go on
+                if last:
+                    yield parse(waiting.slice(0, last))
+                    waiting = waiting.slice(last).combine_chunks()
         if waiting:
-            yield parse(pa.Table.from_batches(waiting))
+            yield parse(waiting)
 
     return rows.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(tidy(run), "doc_id bigint, row bigint, first int, count int")
 
