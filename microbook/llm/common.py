@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.io import fresh_path
@@ -97,3 +97,26 @@ def components(edges: DataFrame) -> DataFrame:
     members = e.select(F.col("u").alias("node"), F.col("v").alias("comp"))
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct()
     return members.unionByName(roots)
+
+
+def ranked(df: DataFrame, by: list[str], order: list[str], name: str) -> DataFrame:
+    """``df`` with ``__at``, a row's place from 0 among those of equal ``by`` in ``order`` (nulls first), and ``__n``, how many these are.
+
+    One range sort over all rows, so no group meets in one task, however large; then each partition's rows of a
+    group are counted, and the places go on from those of the partitions before. The sorted rows are stored, and
+    so are the counts: a row per partition and group in it, which are joined back by broadcast only where they are
+    small. ``df`` is read twice and should be a stored table. Equal rows are told apart by where they stand.
+    """
+    keys = [*by, *order, "__tie"]
+    tied = df.withColumn("__tie", F.monotonically_increasing_id())
+    rows = stored(tied.repartitionByRange(*keys).sortWithinPartitions(*keys).drop("__tie").withColumn("__gid", F.monotonically_increasing_id()), f"{name}_sorted")
+    rows = rows.withColumn("__part", F.shiftright("__gid", 33))
+    counted = rows.groupBy("__part", *by).agg(F.count("*").alias("__rows"), F.min("__gid").alias("__first"))
+    group = Window.partitionBy(*by)
+    before = F.coalesce(F.sum("__rows").over(group.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counted = stored(counted.select(F.col("__part").alias("__p"), *[F.col(c).alias(f"__by_{c}") for c in by], "__first", before.alias("__before"), F.sum("__rows").over(group).alias("__n")), f"{name}_counts")
+    same = F.col("__part") == F.col("__p")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"__by_{c}"))
+    out = rows.join(counted, same)
+    return out.withColumn("__at", F.col("__before") + F.col("__gid") - F.col("__first")).select(*df.columns, "__gid", "__at", "__n")
