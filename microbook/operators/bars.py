@@ -7,20 +7,21 @@ from pyspark.sql import functions as F
 
 from ..functions import book as B
 from .clean import DAY, assert_unique_times
+from .scan import HOT_ROWS, Hot, find_hot, running
 
 
-def asof_forward(trades: DataFrame, book: DataFrame) -> DataFrame:
+def asof_forward(trades: DataFrame, book: DataFrame, hot: Hot | None = None) -> DataFrame:
     """Each trade with ``bar_t``, the time of the earliest snapshot of its stock-day at or after it; without one it is dropped.
 
-    Both sides are unioned and one window looks ahead, so there is one shuffle by stock-day and one sort
-    instead of a range join; trades come before a snapshot of the same time.
+    Both sides are unioned and scanned once, in falling order, so what lies ahead lies behind; trades come before a
+    snapshot of the same time. There is one shuffle and one sort instead of a range join, and stock-days of any size
+    spread over the tasks (``hot``; see ``scan``).
     """
     extra = [c for c in trades.columns if c not in (*DAY, "t")]
     ticks = book.select(*DAY, "t", *[F.lit(None).cast(trades.schema[c].dataType).alias(c) for c in extra], F.lit(1).alias("__src"))
     both = trades.select(*DAY, "t", *extra, F.lit(0).alias("__src")).unionByName(ticks)
-    # in falling order what lies ahead lies behind: a growing frame is one pass, one that shrinks is computed anew for each row
-    ahead = Window.partitionBy(*DAY).orderBy(F.desc("t"), F.desc("__src")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    found = both.withColumn("bar_t", F.last(F.when(F.col("__src") == 1, F.col("t")), ignorenulls=True).over(ahead))
+    next_tick = ("last", F.when(F.col("__src") == 1, F.col("t")))
+    found = running(both, DAY, [F.desc("t"), F.desc("__src"), *([F.desc("ord")] if "ord" in extra else [])], {"bar_t": next_tick}, hot or find_hot([trades, book], DAY))
     return found.filter((F.col("__src") == 0) & F.col("bar_t").isNotNull()).drop("__src")
 
 
@@ -60,22 +61,22 @@ def aggregate_bars(binned: DataFrame) -> DataFrame:
     )
 
 
-def bars_on_clock(trades: DataFrame, book: DataFrame) -> DataFrame:
+def bars_on_clock(trades: DataFrame, book: DataFrame, hot: Hot | None = None) -> DataFrame:
     """A bar for every snapshot; snapshots without trades have NULL prices and quantity 0."""
     ticks = book.select(*DAY, "t")
-    bars = aggregate_bars(asof_forward(trades, book))
+    bars = aggregate_bars(asof_forward(trades, book, hot))
     return ticks.join(bars, [*DAY, "t"], "left").withColumn("quantity", F.coalesce("quantity", F.lit(0)))
 
 
-def fill_bars(bars: DataFrame) -> DataFrame:
+def fill_bars(bars: DataFrame, hot: Hot | None = None) -> DataFrame:
     """Empty bars take the last known VWAP for all prices, and 0 for VWPS and quantity; leading ones stay without prices."""
-    upto = Window.partitionBy(*DAY).orderBy("t").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    filled = bars.withColumn("vwap", F.last("vwap", ignorenulls=True).over(upto))
+    filled = running(bars, DAY, [F.col("t")], {"vwap": ("last", F.col("vwap"))}, hot or find_hot([bars], DAY))
     prices = {c: F.coalesce(F.col(c), F.col("vwap")) for c in ("open", "close", "high", "low")}
     return filled.withColumns({**prices, "vwps": F.coalesce("vwps", F.lit(0.0)), "quantity": F.coalesce("quantity", F.lit(0))})
 
 
-def trade_bars(trades: DataFrame, book: DataFrame, check_unique: bool = False) -> DataFrame:
-    """From NORMAL trades to repaired bars on the book's clock."""
-    out = fill_bars(bars_on_clock(trades, book)).select(*DAY, "t", *B.BARS)
+def trade_bars(trades: DataFrame, book: DataFrame, check_unique: bool = False, most: int = HOT_ROWS) -> DataFrame:
+    """From NORMAL trades to repaired bars on the book's clock; stock-days of over ``most`` rows are scanned by several tasks."""
+    hot = find_hot([trades, book], DAY, most)
+    out = fill_bars(bars_on_clock(trades, book, hot), hot).select(*DAY, "t", *B.BARS)
     return assert_unique_times(out) if check_unique else out

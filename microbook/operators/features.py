@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import book as B
 from ..functions import numeric as N
 from .clean import DAY
+from .scan import HOT_ROWS, Hot, find_hot, running
 
 
 def clock() -> WindowSpec:
@@ -34,35 +35,39 @@ def fill_from_open(rows: DataFrame, columns: list[str] | None = None) -> DataFra
     return rows.withColumns({c: F.coalesce(F.col(c), F.col("open_price")) for c in columns or B.BARS})
 
 
-def mid_change(first: Column) -> Column:
-    """ln(mid / mid before); ``first``: what the day's first row compares with (the opening price), or NULL for a change of 0."""
-    before = F.lag("mid").over(clock())
-    is_first = F.row_number().over(clock()) == 1
-    return F.when(is_first, F.when(first.isNull(), F.lit(0.0)).otherwise(N.log_return(F.col("mid"), first))).otherwise(N.log_return(F.col("mid"), before))
-
-
-def total_volume_change() -> Column:
-    """ln of the change of the book's total volume; 0 on the day's first row."""
-    is_first = F.row_number().over(clock()) == 1
-    return F.when(is_first, F.lit(0.0)).otherwise(N.log_return(F.col("tvol"), F.lag("tvol").over(clock())))
-
-
-def cumulative_volume_change() -> Column:
-    """ln of the change of traded volume so far plus the opening auction's; the first row compares with the auction alone."""
-    upto = clock().rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    now = F.sum("quantity").over(upto) + F.col("open_qty")
-    before = now - F.col("quantity")
-    return N.log_return(now.cast("double"), before.cast("double"))
-
-
-def closing_rows(book: DataFrame, bars: DataFrame, auctions: DataFrame) -> DataFrame:
-    """All 29 closing features of every snapshot, by name; book, bars and auctions meet on one partitioning by stock-day."""
+def with_changes(rows: DataFrame, hot: Hot, first: Column | None = None, traded: bool = False) -> DataFrame:
+    """Adds the log changes of a stock-day's rows in time order, from one scan over them.
+
+    ``mid_chg``: ln(mid / mid before); the day's first row compares with ``first`` (the opening price), and is 0
+    without one. ``tvol_chg``: of the book's total volume, 0 on the first row. With ``traded``, ``cumvol_chg``: of the
+    volume traded so far plus the opening auction's; the first row compares with the auction alone.
+    """
+    values = {"__no": ("number", None), "__mid": ("lag", F.col("mid")), "__tvol": ("lag", F.col("tvol"))}
+    if traded:
+        values["__traded"] = ("sum", F.col("quantity"))
+    is_first = F.col("__no") == 1
+    opening = F.lit(0.0) if first is None else F.when(first.isNull(), F.lit(0.0)).otherwise(N.log_return(F.col("mid"), first))
+    out = {
+        "mid_chg": F.when(is_first, opening).otherwise(N.log_return(F.col("mid"), F.col("__mid"))),
+        "tvol_chg": F.when(is_first, F.lit(0.0)).otherwise(N.log_return(F.col("tvol"), F.col("__tvol"))),
+    }
+    if traded:
+        now = F.col("__traded") + F.col("open_qty")
+        out["cumvol_chg"] = N.log_return(now.cast("double"), (now - F.col("quantity")).cast("double"))
+    return running(rows, DAY, [F.col("t")], values, hot).withColumns(out).drop(*values)
+
+
+def closing_rows(book: DataFrame, bars: DataFrame, auctions: DataFrame, most: int = HOT_ROWS) -> DataFrame:
+    """All 29 closing features of every snapshot, by name; book, bars and auctions meet on one partitioning by stock-day.
+
+    Stock-days of over ``most`` snapshots are scanned by several tasks.
+    """
     rows = fill_from_open(with_auctions(join_book_bars(book, bars), auctions))
     rows = rows.withColumns({"mid": B.mid_price(), "tvol": B.total_volume()})
     returns = {f"ret_{p}": N.log_return(F.col(p), F.col("mid")) for p in [*B.PRICES, *B.BAR_PRICES]}
     shares = {f"rvol_{p}": N.ieee_div(F.col(B.volume_of(p)), F.col("tvol")) for p in B.PRICES}
-    changes = {"mid_chg": mid_change(F.col("open_price")), "tvol_chg": total_volume_change(), "cumvol_chg": cumulative_volume_change()}
-    return rows.withColumns({**returns, **shares, **changes}).select(*DAY, "t", *B.CLOSING_FEATURES)
+    changed = with_changes(rows, find_hot([book], DAY, most), F.col("open_price"), traded=True)
+    return changed.withColumns({**returns, **shares}).select(*DAY, "t", *B.CLOSING_FEATURES)
 
 
 def last_rows(rows: DataFrame, n: int) -> DataFrame:

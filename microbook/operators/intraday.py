@@ -8,15 +8,15 @@ from pyspark.sql import functions as F
 from ..functions import book as B
 from ..functions import numeric as N
 from .clean import DAY
-from .features import backwards, clock, has_gap, mid_change, total_volume_change
+from .features import backwards, clock, has_gap, with_changes
+from .scan import HOT_ROWS, find_hot
 
 
-def intraday_rows(book: DataFrame) -> DataFrame:
+def intraday_rows(book: DataFrame, most: int = HOT_ROWS) -> DataFrame:
     """The 22 intraday features of every snapshot; changes are 0 on a day's first row. Prices stay untouched for the labels."""
     rows = book.withColumns({"mid": B.mid_price(), "tvol": B.total_volume()})
     level = {f"ret_{p}": N.log_return(F.col(p), F.col("mid")) for p in B.PRICES} | {f"rvol_{p}": N.ieee_div(F.col(B.volume_of(p)), F.col("tvol")) for p in B.PRICES}
-    change = {"mid_chg": mid_change(F.lit(None).cast("double")), "tvol_chg": total_volume_change()}
-    return rows.withColumns({**level, **change}).select(*DAY, "t", "mid", *B.INTRADAY_FEATURES)
+    return with_changes(rows, find_hot([book], DAY, most)).withColumns(level).select(*DAY, "t", "mid", *B.INTRADAY_FEATURES)
 
 
 def rolling_mid(rows: DataFrame, horizon: int) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import book as B
 from ..functions import numeric as N
 from ..models import scoring
-from ..operators import auction, bars, clean, dataset, features, intraday, metrics, normalize
+from ..operators import auction, bars, clean, dataset, features, intraday, metrics, normalize, scan
 from ..sources import fixtures, io
 from . import views as V
 
@@ -168,6 +168,21 @@ def vwap_bars_filled(spark, d):
     return bars.trade_bars(clean.normal_trades(V.trades(spark, d)), _clean(spark, d), check_unique=True)
 
 
+#: Rows of a stock-day above which the queries named ``split`` scan it in parts; most stock-days have more.
+_SPLIT = 30
+
+
+@query("asof_forward_split", f"{_BARS} select {_KEY}, ord, {_TS.format('bar_t', 'bar_t')} from binned")
+def asof_forward_split(spark, d):
+    trades, book = clean.normal_trades(V.trades(spark, d)), _clean(spark, d)
+    return bars.asof_forward(trades, book, scan.find_hot([trades, book], clean.DAY, _SPLIT)).select("stock_id", "date", "ord", "bar_t")
+
+
+@query("vwap_bars_split", f"{_BARS} select {_bar_columns()} from filled")
+def vwap_bars_split(spark, d):
+    return bars.trade_bars(clean.normal_trades(V.trades(spark, d)), _clean(spark, d), check_unique=True, most=_SPLIT)
+
+
 # auctions
 
 
@@ -246,6 +261,13 @@ def cum_volume_change(spark, d):
     return rows.select("stock_id", "date", "t", kind.alias("kind"), F.when(finite, v).alias("cumvol_chg"))
 
 
+@query("changes_split", f"{_CLOSE} select {_KEY}, {_T}, {r('mid_chg', 'tvol_chg')}, case when isfinite(cumvol_chg) then round(cumvol_chg, 6) + 0.0 end as cumvol_chg from (select * replace (case when total - quantity > 0 and total > 0 then cumvol_chg end as cumvol_chg) from rows_ join (select stock_id as s_, date as d_, t as t_, quantity, sum(quantity) over c + open_qty as total from joined window c as (partition by stock_id, date order by t rows between unbounded preceding and current row)) on stock_id = s_ and date = d_ and t = t_)")
+def changes_split(spark, d):
+    rows = features.closing_rows(*_closing(spark, d), most=_SPLIT // 2)
+    finite = F.col("cumvol_chg").isNotNull() & ~F.isnan("cumvol_chg") & (F.abs("cumvol_chg") < float("inf"))
+    return rows.select("stock_id", "date", "t", "mid_chg", "tvol_chg", F.when(finite, F.col("cumvol_chg")).alias("cumvol_chg"))
+
+
 @query("volume_change", f"{_CLOSE} select {_KEY}, {_T}, {r('tvol_chg')} from rows_")
 def volume_change(spark, d):
     return features.closing_rows(*_closing(spark, d)).select("stock_id", "date", "t", "tvol_chg")

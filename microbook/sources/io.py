@@ -36,6 +36,13 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}_{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df``, written to the shared folder and read back: cuts the lineage and survives lost executors."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def parse_time(text: Column) -> Column:
     """The first of the known formats that fits; NULL where none does. The session time zone should be UTC."""
     return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in TIME_FORMATS])
