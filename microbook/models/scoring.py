@@ -1,32 +1,47 @@
-"""Models over DataFrames: scoring in Arrow batches, training a model, walk-forward trials."""
+"""Models over DataFrames: scoring from Arrow buffers, training in one job, losses of splits."""
 
 from __future__ import annotations
 
+import os
 import pickle
 from collections.abc import Iterator
+from multiprocessing.connection import Client, Listener
 
 import numpy as np
-import pandas as pd
-from pyspark import StorageLevel, TaskContext
+import pyarrow as pa
+from pyspark import BarrierTaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import bce_with_logits, is_up
-from ..operators import dataset
 from . import networks, training
 
-#: Bytes of samples (as 64-bit floats) up to which training runs on the driver; beyond, each day's gradient is summed on the executors.
-LOCAL_BYTES = 256 << 20
-#: Tasks that share a day's gradient.
-TASKS = 64
+#: Epochs of one job of ``fit``: what a lost executor costs at most.
+SEGMENT = 50
 
 
 def seeded(family: str, features: int, sequence: int, seed: int = 0, exogenous: int = 0, **p) -> dict:
     return networks.build(family, features, sequence, exogenous, seed, **p)
 
 
-def _stack(x: pd.Series) -> np.ndarray:
-    return np.stack([np.stack([np.asarray(step, np.float64) for step in sample]) for sample in x]) if len(x) else np.zeros((0, 1, 1))
+def tensor(x: pa.Array) -> np.ndarray:
+    """Nested lists as (samples, steps, features), a view of Arrow's buffer of values; NULL values are NaN.
+
+    All samples must have as many steps, and all steps as many features; a NULL sample or step is an error.
+    """
+    if isinstance(x, pa.ChunkedArray):
+        x = x.combine_chunks()
+    if not len(x):
+        return np.zeros((0, 1, 1))
+    steps = x.flatten()
+    if x.null_count or steps.null_count:
+        raise ValueError("a sample or one of its steps is NULL")
+    shape = []
+    for lengths in (x.value_lengths().to_numpy(), steps.value_lengths().to_numpy()):
+        if len(lengths) and (lengths != lengths[0]).any():
+            raise ValueError("samples must have equal numbers of steps and features")
+        shape.append(int(lengths[0]) if len(lengths) else 0)
+    return steps.flatten().to_numpy(zero_copy_only=False).reshape(len(x), *shape)
 
 
 def score(samples: DataFrame, model: dict) -> DataFrame:
@@ -34,10 +49,11 @@ def score(samples: DataFrame, model: dict) -> DataFrame:
     held = samples.sparkSession.sparkContext.broadcast(model)
     zs = [f"z{i + 1}" for i in range(model["spec"]["exogenous"])]
 
-    @F.pandas_udf("double")
-    def logit(cols: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for x, z in cols:
-            yield pd.Series(networks.logits(held.value, _stack(x), np.stack(z) if zs else None)) if len(x) else pd.Series([], dtype=float)
+    @F.arrow_udf("double")
+    def logit(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for x, z in columns:
+            own = z.flatten().to_numpy(zero_copy_only=False).reshape(len(z), -1) if zs else None
+            yield pa.array(networks.logits(held.value, tensor(x), own) if len(x) else np.zeros(0))
 
     return samples.withColumn("logit", logit("x", F.array(*[F.col(z).cast("double") for z in zs])))
 
@@ -55,62 +71,113 @@ def predict(samples: DataFrame, model: dict) -> DataFrame:
     return score(samples, model).select("date", "stock_id", "logit", "y", p.alias("probability"))
 
 
-def _by_day(pdf: pd.DataFrame, exogenous: int) -> list[tuple]:
-    out = []
-    for _, day in pdf.sort_values(["date", "stock_id"]).groupby("date"):
-        z = day[[f"z{i + 1}" for i in range(exogenous)]].to_numpy(np.float64) if exogenous else None
-        out.append((_stack(day["x"]), z, day["target"].to_numpy(np.float64)))
-    return out
-
+def row_key():
+    """What a row's dropout is drawn by."""
+    return F.xxhash64(F.col("date").cast("string"), F.col("stock_id").cast("string"))
 
-def _day_gradient(day: DataFrame, model: dict, zs: list[str], seed: int) -> dict:
-    """The gradient of the mean loss over a day's rows: a sum of at most TASKS gradients from the executors."""
-    held = day.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rng = np.random.default_rng((seed, TaskContext.get().partitionId()))
-        total, n = None, 0
-        for pdf in batches:
-            z = pdf[zs].to_numpy(np.float64) if zs else None
-            own = training.gradients(held.value, _stack(pdf["x"]), z, pdf["target"].to_numpy(np.float64), rng)
-            total = {k: len(pdf) * g + (total[k] if total else 0) for k, g in own.items()}
-            n += len(pdf)
-        if n:
-            yield pd.DataFrame({"n": [n], "g": [pickle.dumps(total)]})
+class Gathered:
+    """Sums over the tasks of a barrier stage: task 0 adds what the others send it, in their order, and sends it back.
 
-    parts = day.mapInPandas(run, "n long, g binary").collect()
-    n = sum(r["n"] for r in parts)
-    sums = [pickle.loads(r["g"]) for r in parts]
-    return {k: sum(s[k] for s in sums) / n for k in sums[0]}
-
-
-def fit(split: DataFrame, model: dict, epochs: int, rate: float, patience: int = 10, local_bytes: int = LOCAL_BYTES) -> tuple[dict, list[tuple]]:
-    """Train on the rows of split 'train', stop by those of 'validation'.
+    The tasks meet once through Spark, to learn where task 0 listens (its barrier takes about a second each time,
+    too long for every step), and then speak over sockets under a secret of the job. A task that ends breaks its
+    connection, which fails the others, and Spark runs the stage again as a whole.
+    """
 
-    Samples of at most ``local_bytes`` are held by the driver. More stay where they are, and only weights and
-    gradients travel; the result differs by rounding (and by the draws of dropout).
+    def __init__(self, ctx: BarrierTaskContext, secret: bytes):
+        self.me, tasks = ctx.partitionId(), ctx.getTaskInfos()
+        listener = Listener(("", 0), backlog=max(1, len(tasks)), authkey=secret) if self.me == 0 else None
+        port = ctx.allGather(str(listener.address[1] if listener else 0))[0]
+        if listener:
+            met = {int(c.recv_bytes()): c for c in (listener.accept() for _ in tasks[1:])}
+            self.others = [met[i] for i in sorted(met)]
+            listener.close()
+        else:
+            self.others = [Client((tasks[0].address.rpartition(":")[0], int(port)), authkey=secret)]
+            self.others[0].send_bytes(str(self.me).encode())
+
+    def sums(self, n: int, arrays: dict) -> tuple[int, dict]:
+        """The sums of all tasks' counts and arrays, the same in all; a task without rows has no arrays."""
+        if self.me:
+            self.others[0].send_bytes(pickle.dumps((n, arrays)))
+            return pickle.loads(self.others[0].recv_bytes())
+        for other in self.others:
+            m, more = pickle.loads(other.recv_bytes())
+            n, arrays = n + m, {k: arrays[k] + v for k, v in more.items()} if arrays and more else arrays or more
+        told = pickle.dumps((n, arrays))
+        for other in self.others:
+            other.send_bytes(told)
+        return n, arrays
+
+    def close(self) -> None:
+        for other in self.others:
+            other.close()
+
+
+def _segment(rows: DataFrame, state: training.State, days: int, zs: list[str], epochs: int, patience: int, seed: int) -> training.State:
+    """One job that trains up to epoch ``epochs``: each task holds its rows and its copy of the state; gradients are gathered day by day."""
+    held, secret = rows.sparkSession.sparkContext.broadcast(pickle.dumps(state)), os.urandom(32)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ctx, own = BarrierTaskContext.get(), pickle.loads(held.value)
+        batches = [b for b in batches if b.num_rows]
+        parts: dict[tuple[bool, int], list] = {}
+        for b in batches:
+            x, target, key = tensor(b.column("x")), b.column("target").to_numpy(), b.column("key").to_numpy()
+            z = np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in zs], 1).astype(float) if zs else None
+            day, learns = b.column("day").to_numpy(), b.column("learns").to_numpy(zero_copy_only=False).astype(bool)
+            for kind, d in sorted({(bool(t), int(d)) for t, d in zip(learns, day, strict=True)}):
+                at = np.flatnonzero((learns == kind) & (day == d))
+                parts.setdefault((kind, d), []).append((x[at], None if z is None else z[at], target[at], key[at]))
+        batches.clear()
+
+        def joined(held: list) -> training.Day:
+            """A day's rows in the order of their keys, however they arrived."""
+            order = np.argsort(np.concatenate([p[3] for p in held]), kind="stable")
+            return tuple(None if held[0][i] is None else np.concatenate([p[i] for p in held])[order] for i in range(4))
+
+        mine = {k: joined(v) for k, v in parts.items()}
+        parts.clear()
+        tasks = Gathered(ctx, secret)
+        while not own.ended(epochs, patience):
+            for d in range(days):
+                n, grad = 0, {}
+                if day := mine.get((True, d)):
+                    n = len(day[2])
+                    grad = {k: n * g for k, g in training.gradients(own.model, *day[:3], training.draws(own.model, seed, own.epoch, day)).items()}
+                n, grad = tasks.sums(n, grad)
+                own.learn({k: g / n for k, g in grad.items()})
+            sums = [training.losses(own.model, [day for (learns, _), day in sorted(mine.items()) if learns == kind]) for kind in (True, False)]
+            _, told = tasks.sums(1, {"loss": np.array([s for s, _ in sums]), "n": np.array([n for _, n in sums])})
+            own.close(*[float(s / n) if n else float("nan") for s, n in zip(told["loss"], told["n"], strict=True)])
+        tasks.close()
+        if ctx.partitionId() == 0:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(own)])], ["state"])
+
+    return pickle.loads(rows.mapInArrow(run, "state binary", barrier=True).collect()[0]["state"])
+
+
+def fit(split: DataFrame, model: dict, epochs: int, rate: float, patience: int = 10, seed: int = 0, tasks: int | None = None, segment: int = SEGMENT) -> tuple[dict, list[tuple]]:
+    """Train on the rows of split 'train', stop by those of 'validation': the best weights, and each epoch's losses.
+
+    The rows stay on the executors, dealt once to ``tasks`` tasks that run side by side (barrier mode; as many as the
+    cluster's cores at most, the default). A task adds up the gradient of its rows of a day, the tasks gather each
+    other's sums, and each takes the same step; so weights and gradients travel, rows do not, and the result is that
+    of ``training.train`` to rounding, whatever the size. Should an executor be lost, Spark runs the job of up to
+    ``segment`` epochs again. The rows must fit into the executors' memory together.
     """
-    kept = split.filter(F.col("split").isin("train", "validation")).withColumn("target", is_up(F.col("y")))
+    kept = split.filter(F.col("split").isin("train", "validation")).withColumn("learns", F.col("split") == "train")
     zs = [f"z{i + 1}" for i in range(model["spec"]["exogenous"])]
-    kept = kept.select("date", "stock_id", "x", "target", "split", *zs)
-    if 8 * kept.count() * model["spec"]["features"] * model["spec"]["sequence"] <= local_bytes:
-        rows = kept.toPandas()
-        parts = [_by_day(rows[rows["split"] == s], len(zs)) for s in ("train", "validation")]
-        return training.train(model, *parts, epochs, rate, patience)
-    kept = kept.repartition(TASKS, "date", F.pmod(F.xxhash64("stock_id"), F.lit(TASKS))).persist(StorageLevel.DISK_ONLY)
-    dates = [r["date"] for r in kept.filter("split = 'train'").select("date").distinct().orderBy("date").collect()]
-
-    def step(own: dict, k: int, rng: np.random.Generator) -> dict:
-        return _day_gradient(kept.filter((F.col("split") == "train") & (F.col("date") == F.lit(dates[k]))), own, zs, int(rng.integers(1 << 31)))
-
-    def losses(own: dict) -> tuple[float, float]:
-        told = {r["split"]: r["loss"] for r in evaluate_splits(kept, own).collect()}
-        return tuple(float("nan") if told.get(s) is None else told[s] for s in ("train", "validation"))
-
-    try:
-        return training.descend(model, len(dates), step, losses, epochs, rate, patience)
-    finally:
-        kept.unpersist()
+    dates = kept.filter("learns").select("date").distinct().orderBy("date").collect()  # a row for each date
+    spark = split.sparkSession
+    days = spark.createDataFrame([(r["date"], i) for i, r in enumerate(dates)], kept.select("date", F.lit(0).alias("day")).schema)
+    placed = kept.join(F.broadcast(days), "date", "left").withColumn("day", F.coalesce("day", F.lit(-1)))
+    rows = placed.select("day", "learns", "x", is_up(F.col("y")).alias("target"), row_key().alias("key"), *[F.col(z).cast("double").alias(z) for z in zs])
+    rows = rows.repartition(tasks or spark.sparkContext.defaultParallelism, "key")
+    state = training.State.of(model, rate)
+    while not state.ended(epochs, patience):
+        state = _segment(rows, state, len(dates), zs, min(epochs, state.epoch + segment), patience, seed)
+    return state.best, state.history
 
 
 def evaluate_splits(split: DataFrame, model: dict) -> DataFrame:
@@ -125,70 +192,3 @@ def train_linear(split: DataFrame, features: int, sequence: int, epochs: int = 1
     """(epoch, train_loss, validation_loss) of a linear model."""
     _, history = fit(split, seeded("linear", features, sequence), epochs, rate)
     return split.sparkSession.createDataFrame(history, "epoch long, train_loss double, validation_loss double")
-
-
-#: Search spaces by family: the names that may be ranged, besides those of every family.
-SPACES = {
-    "linear": (),
-    "cnn": ("conv_channels", "kernel_size", "layers", "stride", "padding", "dilation"),
-    "lstm": ("hidden_size", "lstm_size"),
-    "transformer": ("embedding_size", "num_heads", "dim_feedforward", "num_layers"),
-}
-COMMON = ("epochs", "learning_rate", "dropout", "sequence_size")
-
-
-def draw(space: dict, trial: int, seed: int = 0, family: str | None = None) -> dict:
-    """Parameters of a trial: each range is [least, most, step], floats where any bound is one.
-
-    Channels and kernels of a CNN with ``layers`` are drawn for each layer; an embedding is widened to a
-    multiple of its heads.
-    """
-    if family and (unknown := set(space) - {*SPACES[family], *COMMON}):
-        raise ValueError(f"no parameters of {family}: {sorted(unknown)}")
-    rng = np.random.default_rng((seed, trial))
-
-    def one(low, high, step):
-        value = low + step * int(rng.integers(int(np.floor((high - low) / step + 1e-9)) + 1))
-        return value if isinstance(low, float) or isinstance(step, float) else int(value)
-
-    out = {name: one(*bounds) for name, bounds in space.items()}
-    if "layers" in out:
-        layers = out.pop("layers")
-        out |= {name: [one(*space[name]) for _ in range(layers)] for name in ("conv_channels", "kernel_size")}
-    if "num_heads" in out and "embedding_size" in out:
-        out["embedding_size"] = -(-out["embedding_size"] // out["num_heads"]) * out["num_heads"]
-    return out
-
-
-def walk_forward(samples: DataFrame, space: dict, trials: int, sets: int, train: int, validation: int, features: int, sequence: int, family: str = "linear", seed: int = 0) -> DataFrame:
-    """(trial, parameters, sets, loss): each trial's mean loss over ``sets`` consecutive splits, each with fresh weights.
-
-    Trials run side by side on the executors; each reads the dates of one split, so a worker holds one
-    split's rows. The test date of a split follows its validation dates.
-    """
-    dates = samples.select("date").distinct()
-    ranked = dataset.date_split(samples, train + validation + sets, 0, 0).drop("split") if dates.count() >= train + validation + sets else samples
-    order = [r["date"] for r in ranked.select("date").distinct().orderBy("date").collect()]
-    if len(order) < train + validation + sets:
-        raise ValueError("too few dates")
-    plan = [(t, s, str(order[s + i]), "train" if i < train else "validation" if i < train + validation else "test") for t in range(trials) for s in range(sets) for i in range(train + validation + 1)]
-    spark = samples.sparkSession
-    jobs = spark.createDataFrame(plan, "trial int, set int, day string, split string")
-    rows = ranked.withColumn("day", F.col("date").cast("string")).withColumn("target", is_up(F.col("y"))).join(F.broadcast(jobs), "day")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        trial = int(pdf["trial"].iloc[0])
-        p = draw(space, trial, seed, family)
-        steps = int(p.pop("sequence_size", sequence))
-        if steps < sequence:
-            pdf = pdf.assign(x=[sample[-steps:] for sample in pdf["x"]])
-        epochs, rate = int(p.pop("epochs", 5)), float(p.pop("learning_rate", 1e-3))
-        model = networks.build(family, features, min(steps, sequence), 0, seed + trial, **p)
-        parts = {s: _by_day(pdf[pdf["split"] == s], 0) for s in ("train", "validation", "test")}
-        best, _ = training.train(model, parts["train"], parts["validation"], epochs, rate)
-        return pd.DataFrame({"trial": [trial], "set": [int(pdf["set"].iloc[0])], "loss": [training.evaluate(best, parts["test"])]})
-
-    losses = rows.select("trial", "set", "split", "date", "stock_id", "x", "target").groupBy("trial", "set").applyInPandas(run, "trial int, set int, loss double")
-    told = spark.createDataFrame([(t, str(draw(space, t, seed, family))) for t in range(trials)], "trial int, parameters string")
-    out = losses.groupBy("trial").agg(F.count("*").alias("sets"), F.avg("loss").alias("loss"))
-    return out.join(F.broadcast(told), "trial").select("trial", "parameters", "sets", "loss")

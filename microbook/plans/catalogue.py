@@ -5,14 +5,16 @@ Times and dates are returned as text, floating-point results are rounded to six
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import book as B
 from ..functions import numeric as N
-from ..models import scoring
+from ..models import scoring, search
 from ..operators import auction, bars, clean, dataset, features, intraday, metrics, normalize, scan
 from ..sources import fixtures, io
+from ..sources.studies import Study
 from . import views as V
 
 SEQUENCE, HORIZON, KEEP, DAYS = 10, 3, 2, 3
@@ -480,6 +482,26 @@ def positions_weighted(spark, d):
     return rows.select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), "w")
 
 
+# the default, intended positions: short below 1 - threshold
+_SHORT = f"with {V.PREDICTIONS_SQL}, placed as (select *, case when 1 / (1 + exp(-logit)) > {THRESHOLD} then 1 when 1 / (1 + exp(-logit)) < {1 - THRESHOLD} then -1 else 0 end as pos from predictions), soft as (select *, case when pos <> 0 then exp(abs(logit)) end / sum(case when pos <> 0 then exp(abs(logit)) end) over (partition by date) as w from placed)"
+
+
+@query("positions_short", f"{_SHORT} select l_orderkey, cast(l_linenumber as bigint) as l_linenumber, round(logit, 6) as logit, pos from placed")
+def positions_short(spark, d):
+    rows = metrics.positions(V.predictions(spark, d), THRESHOLD)
+    return rows.select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), "logit", "pos")
+
+
+@query("daily_returns_short", f"{_SHORT} select cast(date as varchar) as date, round(case when bool_and(pos = 0) then 1.0 else sum(y * pos / n) end, 6) + 0.0 as ret from (select *, count(*) over (partition by date) as n from placed) group by date")
+def daily_returns_short(spark, d):
+    return metrics.daily_returns(V.predictions(spark, d), THRESHOLD)
+
+
+@query("daily_returns_short_weighted", f"{_SHORT} select cast(date as varchar) as date, round(case when bool_and(pos = 0) then 1.0 else sum(y * pos * coalesce(w, 0)) end, 6) + 0.0 as ret from soft group by date")
+def daily_returns_short_weighted(spark, d):
+    return metrics.daily_returns(V.predictions(spark, d), THRESHOLD, weighted=True)
+
+
 @query("daily_returns", f"{_RET} select cast(date as varchar) as date, round(ret, 6) + 0.0 as ret from daily")
 def daily_returns(spark, d):
     return metrics.daily_returns(V.predictions(spark, d), THRESHOLD, parity=True)
@@ -581,6 +603,62 @@ def cnn_score(spark, d):
     return scoring.score(V.samples(spark, d), scoring.seeded("cnn", features=8, sequence=8, seed=2, conv_channels=[4, 3], kernel_size=[3, 2])).select("stock_id", "logit")
 
 
+def _ruled(model: dict) -> dict:
+    """A model whose weights follow a rule, for which its SQL is written out."""
+    for k, w in sorted(model["weights"].items()):
+        model["weights"][k] = (((np.arange(w.size) * 7 + len(k)) % 11 - 5) / 10).reshape(w.shape)
+    return model
+
+
+_CNN = _ruled(scoring.seeded("cnn", features=8, sequence=8, conv_channels=[2, 2], kernel_size=[3, 2], stride=1, dilation=2))
+
+
+def _sum(terms: list[str]) -> str:
+    return "(" + " + ".join(terms) + ")"
+
+
+def _cnn_sql() -> str:
+    """Two layers of convolutions, written out: every second step, two channels, then the head."""
+    w = _CNN["weights"]
+    inputs, names, ctes, source = 8, [[f"cast(embedding[{t * 8 + f + 1}] as double)" for t in range(8)] for f in range(8)], [], "embeddings"
+    for i, k in enumerate((3, 2)):
+        steps = len(names[0]) - 2 * (k - 1)
+        cells = {f"c{i}_{o}_{t}": _sum([repr(float(w[f"conv{i}.b"][o]))] + [f"{float(w[f'conv{i}.w'][o, f, j])!r} * {names[f][t + 2 * j]}" for f in range(inputs) for j in range(k)]) for o in range(2) for t in range(steps)}
+        ctes.append(f"layer{i} as (select vec_id, {', '.join(f'greatest({e}, 0.0) as {n}' for n, e in cells.items())} from {source})")
+        names, inputs, source = [[f"c{i}_{o}_{t}" for t in range(steps)] for o in range(2)], 2, f"layer{i}"
+    flat = [n for row in names for n in row]
+    head = _sum([repr(float(w["head.b"][0]))] + [f"{float(v)!r} * {n}" for v, n in zip(w["head.w"], flat, strict=True)])
+    return f"with {', '.join(ctes)} select vec_id as stock_id, round({head}, 6) + 0.0 as logit from {source}"
+
+
+@query("cnn_small", _cnn_sql())
+def cnn_small(spark, d):
+    return scoring.score(V.samples(spark, d), _CNN).select("stock_id", "logit")
+
+
+_LSTM = _ruled(scoring.seeded("lstm", features=8, sequence=8, exogenous=2, hidden_size=2, lstm_size=1))
+
+
+def _lstm_sql() -> str:
+    """Eight steps of a layer with two cells, a common table each: gates in the order input, forget, cell, output."""
+    w = _LSTM["weights"]
+    logistic = "1 / (1 + exp(-{0}))".format
+    ctes = ["s0 as (select vec_id, embedding, 0.0::double as h0, 0.0::double as h1, 0.0::double as c0, 0.0::double as c1 from embeddings)"]
+    for t in range(8):
+        gates = [_sum([repr(float(w["lstm0.b"][g]))] + [f"{float(w['lstm0.x'][g, f])!r} * cast(embedding[{t * 8 + f + 1}] as double)" for f in range(8)] + [f"{float(w['lstm0.h'][g, j])!r} * h{j}" for j in range(2)]) for g in range(8)]
+        ctes.append(f"g{t} as (select vec_id, embedding, c0, c1, {', '.join(f'{e} as g{i}' for i, e in enumerate(gates))} from s{t})")
+        ctes.append(f"n{t} as (select *, {', '.join(f'{logistic(f'g{2 + j}')} * c{j} + {logistic(f'g{j}')} * tanh(g{4 + j}) as d{j}' for j in range(2))} from g{t})")
+        ctes.append(f"s{t + 1} as (select vec_id, embedding, {', '.join(f'{logistic(f'g{6 + j}')} * tanh(d{j}) as h{j}' for j in range(2))}, d0 as c0, d1 as c1 from n{t})")
+    inputs = ["h0", "h1", "cast(embedding[1] as double)", "cast(embedding[2] as double)"]
+    head = _sum([repr(float(w["head.b"][0]))] + [f"{float(v)!r} * {n}" for v, n in zip(w["head.w"], inputs, strict=True)])
+    return f"with {', '.join(ctes)} select vec_id as stock_id, round({head}, 6) + 0.0 as logit from s8"
+
+
+@query("lstm_small", _lstm_sql())
+def lstm_small(spark, d):
+    return scoring.score(V.samples(spark, d), _LSTM).select("stock_id", "logit")
+
+
 @query("lstm_score")
 def lstm_score(spark, d):
     return scoring.score(V.samples(spark, d), scoring.seeded("lstm", features=8, sequence=8, seed=3, exogenous=2, hidden_size=6, lstm_size=2)).select("stock_id", "logit")
@@ -600,7 +678,15 @@ def linear_train(spark, d):
 @query("walk_forward_trials")
 def walk_forward_trials(spark, d):
     space = {"learning_rate": [0.001, 0.01, 0.003], "epochs": [2, 4, 2]}
-    return scoring.walk_forward(V.samples(spark, d), space, trials=4, sets=2, train=3, validation=1, features=8, sequence=8)
+    return search.walk_forward(V.samples(spark, d), space, trials=4, sets=2, train=3, validation=1, features=8, sequence=8)
+
+
+@query("study_trials")
+def study_trials(spark, d):
+    """A search over a study of its own, by the Parzen estimator."""
+    space = {"learning_rate": [0.001, 0.05, 0.007], "epochs": [1, 3, 1]}
+    study = Study(spark, io.fresh_path(spark, "study"))
+    return search.optimize(V.samples(spark, d), study, space, trials=6, sets=2, train=3, validation=1, features=8, sequence=8, batch=3).drop("owner")
 
 
 @query("mock_trades")

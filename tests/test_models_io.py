@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from microbook.functions import book as B
-from microbook.models import networks, scoring, training
+from microbook.models import networks, sampler, scoring, training
 from microbook.operators import auction, bars, clean, features, normalize
 from microbook.sources import fixtures, io
 
@@ -157,7 +157,7 @@ def test_scoring_and_linear_expression_agree(spark):
 
 
 def test_parameter_draws_stay_in_range():
-    got = [scoring.draw({"a": [2, 8, 2], "r": [0.1, 0.3, 0.1]}, t) for t in range(20)]
+    got = [sampler.draw({"a": [2, 8, 2], "r": [0.1, 0.3, 0.1]}, t) for t in range(20)]
     assert {g["a"] for g in got} <= {2, 4, 6, 8} and all(0.1 <= g["r"] <= 0.3 + 1e-9 for g in got)
 
 
@@ -200,20 +200,29 @@ def test_every_family_learns(family, p):
     assert training.evaluate(best, days[:3]) < 0.8 * history[0][1]
 
 
-def test_training_on_the_executors_gives_the_same_model(spark):
+@pytest.mark.parametrize("dropout", [0, 0.3])
+def test_training_on_the_executors_gives_the_same_model(spark, dropout):
+    """One job over rows dealt to several tasks, against plain training over whole days; dropout is drawn by row."""
     rng = np.random.default_rng(6)
     rows = [(d, f"s{i}", rng.normal(size=(3, 2)).tolist(), float(rng.normal()), 0.1, "train" if d < 3 else "validation") for d in range(4) for i in range(15)]
     split = spark.createDataFrame(rows, "date int, stock_id string, x array<array<double>>, y double, z1 double, split string")
-    m = networks.build("lstm", 2, 3, 1, seed=3, hidden_size=3, lstm_size=1)
-    (a, told), (b, same) = (scoring.fit(split, m, 2, 0.01, local_bytes=n) for n in (1 << 30, 0))
-    assert np.allclose(told, same) and all(np.allclose(a["weights"][k], b["weights"][k]) for k in a["weights"])
-    losses = {r.split: r for r in scoring.evaluate_splits(split, a).collect()}
+    m = networks.build("lstm", 2, 3, 1, seed=3, hidden_size=3, lstm_size=1, dropout=dropout)
+    keys = {(r["date"], r["stock_id"]): r["key"] for r in split.select("date", "stock_id", scoring.row_key().alias("key")).collect()}
+    days = []
+    for d in range(4):
+        own = [r for r in rows if r[0] == d]
+        days.append((np.array([r[2] for r in own]), np.full((15, 1), 0.1), np.array([float(r[3] > 0) for r in own]), np.array([keys[d, r[1]] for r in own])))
+    want, history = training.train(m, days[:3], days[3:], 4, 0.01, seed=5)
+    for tasks, segment in ((1, 50), (4, 3)):
+        got, told = scoring.fit(split, m, 4, 0.01, seed=5, tasks=tasks, segment=segment)
+        assert np.allclose(told, history) and all(np.allclose(got["weights"][k], want["weights"][k]) for k in want["weights"])
+    losses = {r.split: r for r in scoring.evaluate_splits(split, got).collect()}
     assert losses["validation"].loss == pytest.approx(min(h[2] for h in told)) and losses["train"].rows == 45
 
 
 def test_search_spaces_are_checked():
     with pytest.raises(ValueError, match="hidden_size"):
-        scoring.draw({"hidden_size": [1, 2, 1]}, 0, family="cnn")
-    got = scoring.draw({"layers": [3, 3, 1], "conv_channels": [2, 9, 1], "kernel_size": [2, 3, 1], "sequence_size": [5, 7, 1]}, 0, family="cnn")
+        sampler.draw({"hidden_size": [1, 2, 1]}, 0, family="cnn")
+    got = sampler.draw({"layers": [3, 3, 1], "conv_channels": [2, 9, 1], "kernel_size": [2, 3, 1], "sequence_size": [5, 7, 1]}, 0, family="cnn")
     assert len(got["conv_channels"]) == len(got["kernel_size"]) == 3 and 5 <= got["sequence_size"] <= 7
-    assert scoring.draw({"embedding_size": [5, 5, 1], "num_heads": [2, 2, 1]}, 0, family="transformer")["embedding_size"] == 6
+    assert sampler.draw({"embedding_size": [5, 5, 1], "num_heads": [2, 2, 1]}, 0, family="transformer")["embedding_size"] == 6
