@@ -40,19 +40,27 @@ def anchors(rows: DataFrame, horizon: int, sequence: int, keep: int) -> DataFram
 def sliding_sequences(rows: DataFrame, columns: list[str], horizon: int, sequence: int, keep: int) -> DataFrame:
     """One row per anchor with ``x``: the ``sequence`` rows up to it, float32.
 
-    Rows that no kept sequence reaches are dropped first, so the frames that are collected are few.
+    Rows that no kept sequence reaches are dropped; the others of a stock-day make one ordered list, which is sliced
+    at each anchor, so a stock-day needs ``sequence + keep + horizon`` rows of memory and each anchor its own sequence.
     """
     back = F.row_number().over(backwards())
     near = anchors(rows, horizon, sequence, keep).withColumn("__near", back).filter(F.col("__near") <= horizon + keep + sequence).drop("__near")
-    frame = clock().rowsBetween(-(sequence - 1), Window.currentRow)
-    x = F.collect_list(F.array(*[F.col(c).cast("float") for c in columns])).over(frame)
-    return near.withColumn("x", x).filter("is_anchor").select(*DAY, F.col("t").alias("anchor_t"), "x", *[c for c in rows.columns if c == "y"])
+    others = [c for c in rows.columns if c == "y"]
+    step = F.struct("t", "is_anchor", *others, F.array(*[F.col(c).cast("float") for c in columns]).alias("v"))
+    tail = near.groupBy(*DAY).agg(F.array_sort(F.collect_list(step)).alias("__tail"))
+    at = F.filter(F.sequence(F.lit(1), F.size("__tail")), lambda i: F.get("__tail", i - 1)["is_anchor"])
+    ends = tail.withColumn("__end", F.explode(at))
+    own = F.element_at("__tail", F.col("__end"))
+    return ends.select(*DAY, own["t"].alias("anchor_t"), F.slice(F.col("__tail.v"), F.col("__end") - sequence + 1, F.lit(sequence)).alias("x"), *[own[c].alias(c) for c in others])
 
 
 def intraday_samples(book: DataFrame, sequence: int = 360, horizon: int = 5, keep: int = 1) -> DataFrame:
     """(stock_id, date, anchor_t, x, y) of all anchors without a missing value in x or y."""
     rows = rolling_label(intraday_rows(book), horizon)
-    gap = F.max(has_gap(B.INTRADAY_FEATURES).cast("int")).over(clock().rowsBetween(-(sequence - 1), Window.currentRow))
-    rows = rows.withColumn("y", F.when(gap == 0, F.col("y")))
+    upto = clock().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("__no", F.row_number().over(clock()))
+    last_gap = F.last(F.when(has_gap(B.INTRADAY_FEATURES), F.col("__no")), ignorenulls=True).over(upto)
+    whole = F.col("__no") - F.coalesce(last_gap, F.lit(0)) >= sequence
+    rows = rows.withColumn("y", F.when(whole, F.col("y"))).drop("__no")
     out = sliding_sequences(rows, B.INTRADAY_FEATURES, horizon, sequence, keep)
     return out.filter(~has_gap(["y"])).withColumn("y", F.col("y").cast("float").cast("double"))

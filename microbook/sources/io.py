@@ -88,9 +88,18 @@ def read_raw_book(spark: SparkSession, path: str, mixed: bool = False) -> DataFr
     return rows.withColumns({c: F.col(c).cast("double") for c in B.BOOK}).select("t", "nature", *B.BOOK, "stock_id", "ord", "date")
 
 
+def _replace(df: DataFrame, path: str, by: list[str], mode: str) -> None:
+    """Write ``df`` partitioned by ``by``; with ``overwrite`` only the partitions it holds are replaced, so a rewrite is idempotent.
+
+    Rows are rebalanced by those columns: small partitions share a task, and adaptive execution splits a large one
+    into files of the advisory size, each written by a task of its own, so no date or stock-day is a single task's.
+    """
+    df.hint("rebalance", *by).write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+
+
 def write_days(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """A table partitioned by stock and date; rows of one stock-day go to one file."""
-    df.repartition("stock_id", "date").write.mode(mode).partitionBy("stock_id", "date").parquet(path)
+    """A table partitioned by stock and date; the stock-days in ``df`` replace those in the table, others stay."""
+    _replace(df, path, ["stock_id", "date"], mode)
 
 
 def read_days(spark: SparkSession, path: str, start: tuple[int, int] | None = None, end: tuple[int, int] | None = None, stocks: list[str] | None = None) -> DataFrame:
@@ -121,8 +130,8 @@ def ordered_dates(df: DataFrame) -> DataFrame:
 
 
 def write_samples(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Samples with array columns, by date."""
-    df.repartition("date").write.mode(mode).partitionBy("date").parquet(path)
+    """Samples with array columns, by date; the dates in ``df`` replace those in the table, others stay."""
+    _replace(df, path, ["date"], mode)
 
 
 def read_samples(spark: SparkSession, path: str, dates: list | None = None, columns: list[str] | None = None, horizon: int = 0) -> DataFrame:
