@@ -6,21 +6,25 @@ as empty. The text surges where a window holds more than a threshold and dives w
 stretches between dives that surge, from their first to their last line that is not mostly links, are the
 main text, in page order; where nothing surges all stretches are.
 
-What the page says of its parts is a prior. Menus, footers, asides, dialogs, hidden parts and those with an
-unmistakable class or id (``sidebar``, ``ad``, ``comments``) give no lines; a header gives none outside of an
-article. Names that text may carry as well (``related``, ``form``, ``share``, parts of longer names) and forms
-only make a container doubtful: it stays if its own lines surge beyond a higher threshold, inside an article
-and outside alike. Where the page marks articles, the distribution is taken within each: those in which text
+What the page says of its parts is a prior. Menus, footers, asides, dialogs, hidden parts, embedded parts and
+those whose class or id names them (``sidebar``, ``ad``, ``comment-list``, ``user-comments``) give no lines,
+however long they are; a header gives none outside of an ``article`` element. A name counts where all its words
+belong to such parts (``related-posts``, ``cookie-notice``); a word of another kind makes it a name of text
+(``related-work``, ``share-price``), and words that text carries as well (``related``, ``form``, ``share``) count
+only where no other name of the container has such a word. A form goes, unless it has no control that is seen,
+encloses an article, or holds several paragraphs for each control (a page wrapped in a form). No rule of these
+asks for a length. Where the page marks articles, the distribution is taken within each: those in which text
 surges (or all, if none does) are the main text, from their first line to their last, so short lines stay.
 
 Rows: a null or empty html, or one without text, gives an empty text. Attributes follow the rules of HTML
 (a quote inside an unquoted value is part of it). Unclosed and stray tags are tolerated, at linear cost; a
-``<`` that opens no tag is text; an unclosed script, style or comment ends with the page. Repeated pages each
-get their row.
+``<`` that opens no tag is text; an unclosed script, style, title, textarea or comment ends with the page, any
+other unclosed element with its parent. Repeated pages each get their row.
 """
 
 from __future__ import annotations
 
+import functools
 import html
 import itertools
 import re
@@ -37,8 +41,8 @@ from .textkit import give_back
 WINDOW = 3
 #: Characters of a window at which the text surges.
 SURGE = 86
-#: The same for the lines of a container of doubtful name.
-DOUBTFUL = 300
+#: Paragraphs for each control that make a form a wrapper of text.
+PARAGRAPHS = 3
 #: Share of a line's characters that may be links.
 LINKS = 0.5
 
@@ -47,7 +51,7 @@ _TOKEN = re.compile(
     r"<!--(?:-?>|(?s:.*?)(?:--!?>|\Z))|<[!?][^>]*+(?:>|\Z)"
     rf"|<(?P<close>/)?(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[\s/]++|=?[^\s/>=]++(?:{_VALUE})?+|=)*+)(?:>|\Z)|(?P<text>[^<]++|<)"
 )
-_END_OF = {t: re.compile(rf"</{t}\s*>|\Z", re.I) for t in ("script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "select", "object")}
+_END_OF = {t: re.compile(rf"</{t}\s*>|\Z", re.I) for t in ("script", "style", "textarea", "title")}
 _ATTR = re.compile(rf"([^\s/>=]++)(?:{_VALUE})?+")
 _TOLD = re.compile(r"class|id|role|hidden|style", re.I)
 _PART = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])")
@@ -57,76 +61,104 @@ _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BOILER = frozenset("nav footer aside menu dialog button".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
-#: Names that no text carries, as one name of a class or id.
+#: Elements whose contents are no lines.
+_UNSEEN = frozenset("noscript template iframe svg select object datalist".split())
+_CONTROLS = frozenset("input select textarea button".split())
+#: Words that name a part which is no text.
 _SURE = frozenset(
-    "nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar footer ad ads advert adverts advertisement advertising banner promo sponsored cookie cookies gdpr"
-    " popup modal newsletter comment comments disqus pagination pager".split()
+    "nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar footer ad ads advert adverts advertisement advertising banner promo sponsor sponsored cookie cookies gdpr"
+    " popup modal newsletter comment comments commentlist disqus pagination pager".split()
 )
-#: Names that no text carries even as a part of a longer name, outside of articles.
+#: Words that no text carries even as a part of a longer name, outside of articles.
 _SURE_PART = frozenset("navbar menubar breadcrumb breadcrumbs sidebar footer advert adverts advertisement cookie cookies gdpr newsletter comments disqus pagination".split())
-_MAYBE = _SURE | frozenset(
-    "aside promotion sponsor consent notice alert overlay subscribe subscription signup login share sharing social reply replies respond related recommended"
+#: Words that text carries as well.
+_MAYBE = frozenset(
+    "aside promotion consent notice alert overlay subscribe subscription signup login share sharing social reply replies respond related recommended"
     " recommendations widget toolbar form search".split()
 )
+#: Words that go with either kind.
+_HELPERS = frozenset(
+    "list section box area wrap wrapper container inner outer block item items bar row col column group panel holder slot unit space zone region user users reader readers left right top"
+    " bottom upper lower side main primary secondary site page post posts entry story stories article articles news more link links button buttons icon icons count counter thread feed"
+    " policy message text body content title head header heading label wp js google dfp the and by of to our your us".split()
+)
 #: Elements of text itself, of which no name makes a container.
 _TEXT = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th blockquote pre figcaption caption html body article main".split())
 _AUTO_CLOSE = frozenset(("p", "li", "dt", "dd", "tr", "td", "th", "option"))
 
-#: What an element's tag and attributes say: text, doubtful, or no part of the main text.
-_KEEP, _DOUBT, _DROP = range(3)
+#: What an element's tag and attributes say: text, a form (see ``lines``), or no part of the main text.
+_KEEP, _FORM, _DROP = range(3)
+
 
+@functools.lru_cache(maxsize=4096)
+def _named(names: tuple[str, ...]) -> bool:
+    """Whether the names of a container are those of a part that is no text."""
+    of_text = maybe = False
+    for name in names:
+        parts = [p for p in _PART.split(name) if p and not p[0].isdigit() and len(p) > 1]
+        known = all(p in _SURE or p in _MAYBE or p in _HELPERS for p in parts)
+        if known and not _SURE.isdisjoint(parts):
+            return True
+        of_text |= not known
+        maybe |= not _MAYBE.isdisjoint(parts)
+    return maybe and not of_text
 
-def _prior(tag: str, attrs: str, in_article: bool) -> int:
-    if tag in _BOILER or (tag == "header" and not in_article):
+
+def _prior(tag: str, attrs: str, in_article: bool, in_element: bool) -> int:
+    """``in_article``: inside of an article or main part; ``in_element``: inside of an ``article`` element."""
+    if tag in _BOILER or tag in _UNSEEN or (tag == "header" and not in_element):
         return _DROP
-    found = _DOUBT if tag == "form" else _KEEP
+    found = _FORM if tag == "form" else _KEEP
     if not attrs or tag in ("html", "body") or not _TOLD.search(attrs):
         return found
+    held: list[str] = []
     for m in _ATTR.finditer(attrs):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if name == "role":
             if value in _ROLES:
                 return _DROP
             if value == "form":
-                found = _DOUBT
+                found = _FORM
         elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and "display:none" in value.replace(" ", "")):
             return _DROP
         elif name in ("class", "id"):
-            names = value.split()
-            parts = {p for n in names for p in _PART.split(n)}
-            if tag in ("article", "main"):  # an article may be a reader's comment or an advert
-                if not {"comment", "comments", "ad", "ads"}.isdisjoint(parts):
-                    return _DROP
-            elif tag not in _TEXT:
-                if not _SURE.isdisjoint(names) or (not in_article and ("header" in parts or not _SURE_PART.isdisjoint(parts))):
-                    return _DROP
-                if not _MAYBE.isdisjoint(parts):
-                    found = _DOUBT
-            elif not _SURE.isdisjoint(names) and not in_article:
-                return _DROP
+            held += value.split()
+    parts = {p for n in held for p in _PART.split(n)}
+    if tag in ("article", "main"):  # an article may be a reader's comment or an advert
+        return found if {"comment", "comments", "ad", "ads"}.isdisjoint(parts) else _DROP
+    if tag in _TEXT:
+        return _DROP if not _SURE.isdisjoint(held) and not in_article else found
+    if not _SURE.isdisjoint(held) or (not in_article and ("header" in parts or not _SURE_PART.isdisjoint(parts))) or _named(tuple(held)):
+        return _DROP
     return found
 
 
-def lines(page: str) -> list[tuple[str, int, float, int]]:
-    """(text, article, share of links, doubtful container) of each line in page order; 0 is outside of any; dropped elements give no lines."""
+def lines(page: str) -> tuple[list[tuple[str, int, float, int]], set[int]]:
+    """(text, article, share of links, form) of each line in page order, and the forms that are none; 0 is outside of any.
+
+    Dropped elements give no lines.
+    """
     out: list[tuple[str, int, float, int]] = []
-    stack: list[tuple[str, bool, int, int]] = []  # element, dropped, article, doubtful container
+    stack: list[tuple[str, bool, int, int]] = []  # element, dropped, article, form
     depth: Counter = Counter()  # open elements by name
+    controls, paragraphs, wraps = Counter(), Counter(), set()  # of forms
     text: list[str] = []
-    linked = dropped = article = articles = doubt = doubts = in_link = 0
+    linked = dropped = article = articles = form = forms = in_link = 0
 
     def end_line() -> None:
         nonlocal linked
         s = " ".join(html.unescape("".join(text)).split())
         if s:
-            out.append((s, article, linked / len(s), doubt))
+            out.append((s, article, linked / len(s), form))
+            if form and stack and stack[-1][0] in ("p", "blockquote", "pre"):
+                paragraphs[form] += 1
         text.clear()
         linked = 0
 
     def pop() -> None:
-        nonlocal dropped, article, doubt
+        nonlocal dropped, article, form
         depth[stack.pop()[0]] -= 1
-        dropped, article, doubt = stack[-1][1:] if stack else (False, 0, 0)
+        dropped, article, form = stack[-1][1:] if stack else (False, 0, 0)
 
     at = 0
     while at < len(page):
@@ -153,38 +185,38 @@ def lines(page: str) -> list[tuple[str, int, float, int]]:
                     pop()
                 pop()
             continue
+        if form and tag in _CONTROLS and not (tag == "input" and "hidden" in m["attrs"].lower()):
+            controls[form] += 1
         if tag in _END_OF:
             at = _END_OF[tag].search(page, at).end()
             continue
-        if tag in _VOID or (tag in _INLINE and tag != "a" and not m["attrs"].strip()):
+        if tag in _VOID or (tag in _INLINE and tag != "a" and not m["attrs"].strip()) or (tag in _UNSEEN and m["attrs"].rstrip().endswith("/")):
             continue
         if tag == "a":
             in_link = 1
             continue
         if tag in _AUTO_CLOSE and stack and stack[-1][0] == tag:
             pop()
-        prior = _DROP if dropped else _prior(tag, m["attrs"], bool(article))
+        prior = _DROP if dropped else _prior(tag, m["attrs"], bool(article), depth["article"] > 0)
         dropped = prior == _DROP
         if tag in ("article", "main") and not dropped and not article:
             articles += 1
-            article, doubt = articles, 0
-        if prior == _DOUBT and not doubt:
-            doubts += 1
-            doubt = doubts
-        stack.append((tag, dropped, article, doubt))
+            article = articles
+            if form:
+                wraps.add(form)
+                form = 0
+        if prior == _FORM and not form:
+            forms += 1
+            form = forms
+        stack.append((tag, dropped, article, form))
         depth[tag] += 1
     end_line()
-    return out
+    return out, {f for f in range(1, forms + 1) if f in wraps or paragraphs[f] >= PARAGRAPHS * controls[f]}
 
 
-def main_lines(found: list[tuple[str, int, float, int]]) -> list[str]:
+def main_lines(found: list[tuple[str, int, float, int]], no_forms: set[int]) -> list[str]:
     """The lines of the stretches that surge, or of the articles in which text surges."""
-    doubtful: dict[int, list] = {}
-    for line in found:
-        if line[3]:
-            doubtful.setdefault(line[3], []).append(line)
-    stay = {0} | {k for k, own in doubtful.items() if max(window_sums(_sizes(own))) > DOUBTFUL}
-    found = [line for line in found if line[3] in stay]
+    found = [line for line in found if not line[3] or line[3] in no_forms]
     articles: dict[int, list] = {}
     for line in found:
         if line[1]:
@@ -222,7 +254,7 @@ def stretches(sizes: list[int]) -> list[tuple[bool, int, int]]:
 
 
 def main_text(page: str | None) -> str:
-    return "\n\n".join(main_lines(lines(page))) if page else ""
+    return "\n\n".join(main_lines(*lines(page))) if page else ""
 
 
 def extract_text(pages: DataFrame, html_column: str = "html") -> DataFrame:
