@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import io
 import json
 import tempfile
 import uuid
+from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
+from pyarrow import csv as pacsv
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -67,24 +72,56 @@ def read_raw_trades(spark: SparkSession, path: str) -> DataFrame:
     return _read_raw(spark, path, B.TRADES_SCHEMA)
 
 
-def _by_header(spark: SparkSession, path: str) -> DataFrame:
-    """All files, each read by the names of its own header: one read for each distinct header."""
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("no"), "value")
-    heads = lines.groupBy("file").agg(F.min_by("value", "no").alias("head")).groupBy("head").agg(F.collect_list("file").alias("files"))
-    out = None
-    for row in heads.collect():  # a row for each distinct header
-        own = _read_raw(spark, row["files"], None)
-        out = own if out is None else out.unionByName(own, allowMissingColumns=True)
-    return out
+def _by_header(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """The lines of all files, each read by the names of its own header, in one scan.
+
+    A gzip file is read by one task from its first line on, so its header is at hand when its rows come; ``ord``
+    counts the lines, file by file. Columns that a file lacks are NULL, others are left out. Files that are not
+    compressed could be split behind their header and are an error.
+    """
+    columns = ["t", "nature", *B.BOOK]
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), "value")
+
+    def parsed(rows: list[str], head: str, file: str, first: int) -> pa.RecordBatch:
+        kinds = {c: pa.float64() for c in B.BOOK} | {"t": pa.string(), "nature": pa.string()}
+        options = pacsv.ConvertOptions(column_types=kinds, include_columns=columns, include_missing_columns=True, strings_can_be_null=True)
+        own = pacsv.read_csv(io.BytesIO("\n".join([head, *rows]).encode()), convert_options=options).combine_chunks()
+        ords = pa.array(range(first, first + own.num_rows))
+        return pa.RecordBatch.from_arrays([*[own.column(c).combine_chunks() for c in columns], pa.array([file] * own.num_rows), ords], [*columns, "file", "ord"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file = head = None
+        at = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            files, values, starts = (batch.column(c).to_pylist() for c in ("file", "value", "start"))
+            lo = 0
+            while lo < len(files):
+                hi = lo
+                while hi < len(files) and files[hi] == files[lo]:
+                    hi += 1
+                if files[lo] != file:
+                    if starts[lo]:
+                        raise ValueError(f"{files[lo]} is read in parts, and not all hold its header; compress it with gzip")
+                    file, head, lo = files[lo], values[lo], lo + 1
+                rows = [v for v in values[lo:hi] if v]
+                if rows:
+                    yield parsed(rows, head, file, at)
+                at, lo = at + len(rows), hi
+
+    kinds = ", ".join(f"{c} {'string' if c in ('t', 'nature') else 'double'}" for c in columns)
+    rows = lines.mapInArrow(run, f"{kinds}, file string, ord long").withColumn("stock_id", stock_of_file(F.col("file"))).drop("file")
+    return rows.withColumn("t", parse_time(F.col("t"))).withColumn("date", F.to_date("t"))
 
 
-def read_raw_book(spark: SparkSession, path: str, mixed: bool = False) -> DataFrame:
+def read_raw_book(spark: SparkSession, path: str, mixed: bool = False, stocks: list[str] | None = None) -> DataFrame:
     """Snapshots with their levels by name.
 
-    All files must have the columns in one order, whatever it is; another order is an error. With ``mixed``
-    the files may differ, which takes one more scan for their headers.
+    All files must have the columns in one order, whatever it is; another order is an error. With ``mixed`` each
+    file is read by its own header, in the same single scan. With ``stocks`` only their files are listed and opened;
+    a folder without any of them is an error.
     """
-    rows = _by_header(spark, path) if mixed else _read_raw(spark, path, None)
+    where = f"{path.rstrip('/')}/*_{{{','.join(stocks)}}}.*" if stocks else path
+    rows = _by_header(spark, where) if mixed else _read_raw(spark, where, None)
     return rows.withColumns({c: F.col(c).cast("double") for c in B.BOOK}).select("t", "nature", *B.BOOK, "stock_id", "ord", "date")
 
 
