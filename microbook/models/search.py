@@ -21,15 +21,24 @@ PATIENCE = 10
 STATE = "task int, trial long, set int, done boolean, loss double, state binary"
 
 
+#: Weights that a literal reset leaves as they are, by the beginnings of their names: those of the head always, and of layers that have no reset of their own.
+NOT_RESET = {"linear": ("head",), "cnn": ("head",), "lstm": ("head",), "transformer": ("head", "place", "enc")}
+
+
 class Walk:
-    """A trial on one set: days stream by in order; those of training are learnt, the others add up its losses."""
+    """A trial on one set: days stream by in order; those of training are learnt, the others add up its losses.
 
-    def __init__(self, trial: int, number: int, flat: sampler.Flat, family: str, features: int, sequence: int, seed: int):
+    ``before``: the weights that the trial ended its last set with, of which the literal reset keeps some.
+    """
+
+    def __init__(self, trial: int, number: int, flat: sampler.Flat, family: str, features: int, sequence: int, seed: int, before: dict | None = None):
         p = sampler.parameters(flat)
         self.steps = min(int(p.pop("sequence_size", sequence)), sequence)
         self.epochs, rate = int(p.pop("epochs", 5)), float(p.pop("learning_rate", 1e-3))
         self.trial, self.set, self.seed, self.loss = trial, number, seed, float("nan")
-        self.state = training.State.of(networks.build(family, features, self.steps, 0, seed + trial, **p), rate)
+        model = networks.build(family, features, self.steps, 0, seed + trial, **p)
+        model["weights"] |= {k: w for k, w in (before or {}).items() if k.startswith(NOT_RESET[family])}
+        self.state = training.State.of(model, rate)
         self.sums: dict[str, list] = {}
 
     def see(self, role: str, day: training.Day) -> None:
@@ -116,9 +125,12 @@ def deal(samples: DataFrame, sets: int, train: int, validation: int, groups: int
     return rows.select("task", F.col("day").cast("int").alias("day"), (F.col("day") - F.col("set")).cast("int").alias("role_at"), F.col("stock_id").cast("string").alias("stock_id"), "x", is_up(F.col("y")).alias("target"), row_key().alias("key"))
 
 
-def validate(samples: DataFrame, jobs: dict[int, sampler.Flat], sets: int, train: int, validation: int, features: int, sequence: int, family: str = "linear", seed: int = 0, groups: int | None = None) -> DataFrame:
+def validate(samples: DataFrame, jobs: dict[int, sampler.Flat], sets: int, train: int, validation: int, features: int, sequence: int, family: str = "linear", seed: int = 0, groups: int | None = None, parity: bool = False) -> DataFrame:
     """(trial, set, loss) of each trial of ``jobs`` on ``sets`` consecutive splits, each with fresh weights.
 
+    With ``parity`` the splits come one after the other, and between them only the layers that can be reset are: heads
+    (and a transformer's encoder and positions) go on with the best weights of the split before.
+
     A split is ``train`` and ``validation`` dates and the test date behind them. The samples are dealt to the splits,
     each to ``groups`` tasks (as many as give every core one, by default) that share its trials, and stream by in
     date order, once an epoch; a task holds one day and its trials' states. So what is shuffled grows with the splits,
@@ -126,17 +138,30 @@ def validate(samples: DataFrame, jobs: dict[int, sampler.Flat], sets: int, train
     """
     spark = samples.sparkSession
     groups = max(1, min(len(jobs), groups or -(-spark.sparkContext.defaultParallelism // sets)))
-    tasks = sets * groups
     rows = deal(samples, sets, train, validation, groups)
-    begun = []
-    for i, (trial, flat) in enumerate(sorted(jobs.items())):
-        for s in range(sets):
-            begun.append((s * groups + i % groups, trial, s, False, float("nan"), bytearray(pickle.dumps(Walk(trial, s, flat, family, features, sequence, seed)))))
+    walks = [[Walk(trial, s, flat, family, features, sequence, seed) for trial, flat in sorted(jobs.items())] for s in range(sets)]
+    if not parity:
+        return _walked(rows, [w for own in walks for w in own], groups, sets * groups, train, validation).select("trial", "set", "loss")
+    told, ended = [], None
+    for s in range(sets):
+        if told:  # a row for each trial
+            before = {r["trial"]: pickle.loads(r["state"]).state.best["weights"] for r in told}
+            walks[s] = [Walk(trial, s, flat, family, features, sequence, seed, before[trial]) for trial, flat in sorted(jobs.items())]
+        own = _walked(rows.filter(F.col("task").between(s * groups, s * groups + groups - 1)), walks[s], groups, sets * groups, train, validation)
+        told = own.select("trial", "state").collect() if s + 1 < sets else []
+        ended = own if ended is None else ended.unionByName(own)
+    return ended.select("trial", "set", "loss")
+
+
+def _walked(rows: DataFrame, walks: list[Walk], groups: int, tasks: int, train: int, validation: int) -> DataFrame:
+    """The states at the end of all epochs; a set's walks share ``groups`` tasks."""
+    spark, place = rows.sparkSession, {t: i for i, t in enumerate(sorted({w.trial for w in walks}))}
+    begun = [(w.set * groups + place[w.trial] % groups, w.trial, w.set, False, float("nan"), bytearray(pickle.dumps(w))) for w in walks]
     states = spark.createDataFrame(begun, STATE)
     ended = None
     while True:
         states = stored(_epoch(rows, states, tasks, train, validation), "walk_states")
-        now = states.filter("done").select("trial", "set", "loss")
+        now = states.filter("done")
         ended = now if ended is None else ended.unionByName(now)
         live = [r["task"] for r in states.filter("not done").select("task").distinct().collect()]  # at most one row a task
         if not live:

@@ -15,6 +15,7 @@ from ..models import scoring, search
 from ..operators import auction, bars, clean, dataset, features, intraday, metrics, normalize, scan
 from ..sources import fixtures, io
 from ..sources.studies import Study
+from ..streaming import sessions
 from . import views as V
 
 SEQUENCE, HORIZON, KEEP, DAYS = 10, 3, 2, 3
@@ -185,6 +186,25 @@ def vwap_bars_split(spark, d):
     return bars.trade_bars(clean.normal_trades(V.trades(spark, d)), _clean(spark, d), check_unique=True, most=_SPLIT)
 
 
+_STEP, _END = 7200, 79_200
+
+
+@query(
+    "session_bars",
+    f"""with {V.TRADES_SQL}, placed as (select *, make_timestamp(cast(ceil(epoch_us(t) / {_STEP}000000.0) as bigint) * {_STEP}000000) as bar_t, date + to_seconds({_END}) as until from trades where flag = 'NORMAL'),
+kept as (select * from placed where bar_t <= until),
+vw as (select *, sum(price * quantity) over w / nullif(sum(quantity) over w, 0) as mean from kept window w as (partition by stock_id, date, bar_t)),
+agg as (select stock_id, date, bar_t as t, arg_min(price, (t, ord)) as open, arg_max(price, (t, ord)) as close, max(price) as high, min(price) as low, sum(price * quantity order by t, ord) / nullif(sum(quantity), 0) as vwap,
+  sqrt(sum(quantity * (price - mean) * (price - mean) order by t, ord) / greatest(sum(quantity) - 1, 1)) as vwps, cast(sum(quantity) as bigint) as quantity from vw group by stock_id, date, bar_t),
+clock as (select stock_id, date, unnest(generate_series(min(bar_t), any_value(until), to_seconds({_STEP}))) as t from kept group by stock_id, date),
+bars as (select c.stock_id, c.date, c.t, coalesce(a.quantity, 0) as quantity, {', '.join(f"case when a.quantity <> 0 then a.{c} end as {c}" for c in ('open', 'close', 'high', 'low', 'vwap', 'vwps'))} from clock c left join agg a on c.stock_id = a.stock_id and c.date = a.date and c.t = a.t),
+ffill as (select *, last_value(vwap ignore nulls) over (partition by stock_id, date order by t rows between unbounded preceding and current row) as fv from bars)
+select {_KEY}, {_T}, {', '.join(f"round(coalesce({c}, fv), 6) as {c}" for c in ('open', 'close', 'high', 'low'))}, round(fv, 6) as vwap, round(coalesce(vwps, 0), 6) as vwps, quantity from ffill""",
+)
+def session_bars(spark, d):
+    return sessions.session_bars(V.trades(spark, d).withColumn("t", F.col("t").cast("timestamp")), _STEP, _END)
+
+
 # auctions
 
 

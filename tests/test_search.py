@@ -136,6 +136,30 @@ def test_streamed_trials_equal_plain_training(spark, family, space):
             assert loss == pytest.approx(by_loops(rows, keys, jobs[trial], trial, family, number, 3, 1, 4, 3))
 
 
+@pytest.mark.parametrize(("family", "space"), [("linear", {"learning_rate": [0.1, 0.1, 0.1], "epochs": [2, 2, 1]}), ("lstm", {"hidden_size": [2, 2, 1], "lstm_size": [1, 1, 1], "epochs": [2, 2, 1]}), ("transformer", {"embedding_size": [4, 4, 1], "num_heads": [2, 2, 1], "dim_feedforward": [4, 4, 1], "num_layers": [1, 1, 1], "epochs": [1, 1, 1]})])
+def test_a_literal_reset_keeps_what_cannot_be_reset(spark, family, space):
+    """Split after split by hand: fresh weights, but the head (and more of a transformer) of the split before."""
+    rows, df = samples(spark, dates=5)
+    flat = sampler.propose(space, [], [], 0, 3, family)
+    got = {r["set"]: r["loss"] for r in search.validate(df, {0: flat}, 3, 1, 1, 2, 4, family, 3, parity=True).collect()}
+    p = sampler.parameters(flat)
+    epochs, rate = p.pop("epochs"), p.pop("learning_rate", 1e-3)
+
+    def day(d):
+        own = sorted((r for r in rows if r[0] == d), key=lambda r: r[1])
+        return np.array([r[2] for r in own]), None, np.array([float(r[3] > 0) for r in own])
+
+    kept = {"linear": ["head.w", "head.b"], "lstm": ["head.w", "head.b"]}.get(family)
+    before: dict = {}
+    for s in range(3):
+        model = networks.build(family, 2, 4, 0, 3, **p)
+        names = kept or [k for k in model["weights"] if not k.startswith("embed")]
+        model["weights"] |= {k: before[k] for k in names if before}
+        best, _ = training.train(model, [day(s)], [day(s + 1)], epochs, rate, seed=3)
+        before = best["weights"]
+        assert got[s] == pytest.approx(training.evaluate(best, [day(s + 2)])), s
+
+
 def test_rows_are_dealt_by_splits_and_tasks_not_by_trials(spark):
     """Four days in three splits of two dates and a test date: the inner days are in more splits."""
     rows, df = samples(spark, dates=6)
