@@ -10,9 +10,9 @@ window can only come from the blocks of the document's own anchors.
 Parsing. A phrase that its anchor's block holds from an earlier document is one factor as a whole. Where a
 block holds several phrases from several documents, they are indexed by a suffix array and the first copy
 of each phrase is factored greedily, left to right, by the longest match with a phrase of an earlier
-document. Factors of a window or more become duplicate spans; windows across factor boundaries are checked
-by the longest match at their own start. Only one copy of each distinct phrase is parsed; its other copies
-are duplicate as a whole. Blocks of over BLOCK_ROWS phrases would be too large for one task: their windows
+document. Factors of a window or more become duplicate spans; at a boundary, windows that lie in the two factors
+around it are checked by the longest match at their own start, and no others can be duplicates. Only one copy of
+each distinct phrase is parsed; its other copies are duplicate as a whole. Blocks of over BLOCK_ROWS phrases would be too large for one task: their windows
 are joined by hash instead, which finds the same ones. The covered words are removed.
 
 Rows: a null text has no words. A null doc_id is no reference and loses nothing. Rows that share a
@@ -109,65 +109,91 @@ def _word_rows(docs: DataFrame, window: int, anchor: int, wanted) -> DataFrame:
     return docs.mapInArrow(tidy(run), "anchor bigint, digest bigint, doc_id bigint, row bigint, first int, words array<bigint>")
 
 
-def longest_earlier(words: np.ndarray, block: np.ndarray, doc: np.ndarray, left: np.ndarray) -> np.ndarray:
-    """For each place the length of the longest match, within its phrase, with a phrase of the same block and a smaller ``doc``.
+class Index:
+    """The places of phrases, sorted as suffixes of their phrases by doubling.
 
-    ``left``: words from each place to its phrase's end. The places are sorted as suffixes of their phrases,
-    by doubling; the longest match of a place is with the nearest suffix, on either side, of an earlier document.
+    ``longest(places)``: for each place the length of the longest match, within its phrase, with a phrase of the same
+    block and a smaller ``doc``; it is with the nearest suffix, on either side, of an earlier document. ``left``: words
+    from each place to its phrase's end.
     """
-    n, at = len(words), np.arange(len(words))
-    levels = [np.unique(words, return_inverse=True)[1]]
-    levels[0] = np.unique(block * np.int64(n) + levels[0], return_inverse=True)[1]
-    width = 1
-    while width < int(left.max()):
-        rank = levels[-1]
-        beyond = np.where(left > width, rank[np.minimum(at + width, n - 1)] + 1, 0)
-        levels.append(np.unique(rank * np.int64(n + 1) + beyond, return_inverse=True)[1])
-        width *= 2
-    order = np.argsort(levels[-1], kind="stable")
-    b, d = block[order], doc[order]
-    best = np.zeros(n, np.int64)
-    for step in (-1, 1):
-        near = at + step
-        live = at
-        while True:
-            inside = (near[live] >= 0) & (near[live] < n)
-            live = live[inside]
-            live = live[(b[near[live]] == b[live]) & (d[near[live]] >= d[live])]
-            if not len(live):
-                break
-            near[live] = near[near[live]]  # what lies between is no earlier than the place passed over
-        known = (near >= 0) & (near < n)
-        known[known] = b[near[known]] == b[known]
-        i, j = order[known], order[near[known]]
-        most, length = np.minimum(left[i], left[j]), np.zeros(len(i), np.int64)
-        for k in range(len(levels) - 1, -1, -1):
-            same = (length < most) & (levels[k][np.minimum(i + length, n - 1)] == levels[k][np.minimum(j + length, n - 1)])
-            length += same.astype(np.int64) << k
-        best[i] = np.maximum(best[i], np.minimum(length, most))
-    return best
+
+    def __init__(self, words: np.ndarray, block: np.ndarray, doc: np.ndarray, left: np.ndarray):
+        n, at = len(words), np.arange(len(words))
+        self.left, self.last = left, n - 1
+        levels = [np.unique(words, return_inverse=True)[1]]
+        levels[0] = np.unique(block * np.int64(n) + levels[0], return_inverse=True)[1]
+        width = 1
+        while width < int(left.max()):
+            rank = levels[-1]
+            beyond = np.where(left > width, rank[np.minimum(at + width, n - 1)] + 1, 0)
+            levels.append(np.unique(rank * np.int64(n + 1) + beyond, return_inverse=True)[1])
+            width *= 2
+        self.levels = levels
+        order = np.argsort(levels[-1], kind="stable")
+        b, d = block[order], doc[order]
+        self.partners = []  # the nearest earlier suffix on either side, -1 where there is none
+        for step in (-1, 1):
+            near = at + step
+            live = at
+            while True:
+                inside = (near[live] >= 0) & (near[live] < n)
+                live = live[inside]
+                live = live[(b[near[live]] == b[live]) & (d[near[live]] >= d[live])]
+                if not len(live):
+                    break
+                near[live] = near[near[live]]  # what lies between is no earlier than the place passed over
+            known = (near >= 0) & (near < n)
+            known[known] = b[near[known]] == b[known]
+            partner = np.full(n, -1)
+            partner[order[known]] = order[near[known]]
+            self.partners.append(partner)
+
+    def longest(self, places: np.ndarray) -> np.ndarray:
+        best = np.zeros(len(places), np.int64)
+        for partner in self.partners:
+            of = np.flatnonzero(partner[places] >= 0)
+            i, j = places[of], partner[places[of]]
+            most, length = np.minimum(self.left[i], self.left[j]), np.zeros(len(i), np.int64)
+            for k in range(len(self.levels) - 1, -1, -1):
+                same = (length < most) & (self.levels[k][np.minimum(i + length, self.last)] == self.levels[k][np.minimum(j + length, self.last)])
+                length += same.astype(np.int64) << k
+            best[of] = np.maximum(best[of], np.minimum(length, most))
+        return best
+
+
+def greedy_factors(index: Index, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, end) of the factors of all phrases, in order: the longest match, or one word; all phrases advance together."""
+    place, live, found = start.copy(), np.flatnonzero(end > start), []
+    while len(live):
+        p = place[live]
+        place[live] = p + np.maximum(index.longest(p), 1)
+        found.append((p, place[live]))
+        live = live[place[live] < end[live]]
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    starts, ends = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.argsort(starts)
+    return starts[order], ends[order]
 
 
 def factored(words: np.ndarray, counts: np.ndarray, block: np.ndarray, doc: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Parse phrases (``counts`` words each) against the earlier ones of their block: (phrase, first window, windows) of their duplicate runs."""
+    """Parse phrases (``counts`` words each) against the earlier ones of their block: (phrase, first window, windows) of their duplicate runs.
+
+    A window inside a factor is a duplicate. One that an earlier phrase holds and that begins in a factor without
+    ending in it lies in that factor and the next: from the boundary on its words are a match as well, and the next
+    factor is the longest. So matches are looked up where factors begin, and for windows over a single boundary.
+    """
     start = np.concatenate([[0], np.cumsum(counts)[:-1]])
     phrase = np.repeat(np.arange(len(counts)), counts)
     at = np.arange(len(words))
-    left = start[phrase] + counts[phrase] - at
-    longest = longest_earlier(words, block[phrase], doc[phrase], left)
-    # greedy factors: the longest match, or one word; all phrases advance together
-    ends = np.zeros(len(words), np.int64)
-    place = start.copy()
-    live = np.flatnonzero(counts > 0)
-    while len(live):
-        p = place[live]
-        place[live] = p + np.maximum(longest[p], 1)
-        ends[p] = place[live]
-        live = live[place[live] < start[live] + counts[live]]
-    ends = np.maximum.accumulate(ends)  # of the factor that holds each word
-    held = ends >= at + window
-    across = (left >= window) & ~held
-    held |= across & (longest >= window)
+    index = Index(words, block[phrase], doc[phrase], start[phrase] + counts[phrase] - at)
+    begins, ends = greedy_factors(index, start, start + counts)
+    of = np.searchsorted(begins, at, "right") - 1
+    following = np.minimum(of + 1, len(begins) - 1)
+    over_next = np.where(phrase[begins[following]] == phrase, ends[following], ends[of])
+    held = ends[of] >= at + window
+    across = np.flatnonzero(~held & (over_next >= at + window))
+    held[across] = index.longest(across) >= window
     # runs of held windows
     new = held.copy()
     new[1:] &= ~(held[:-1] & (phrase[1:] == phrase[:-1]))

@@ -333,7 +333,7 @@ def test_factors_against_brute_force(seed):
     longest = [max([k for k in range(1, len(h) - a + 1) if known(i, tuple(h[a : a + k]))], default=0) for i, h in enumerate(held) for a in range(len(h))]
     flat, phrase = np.concatenate(held).astype(np.uint64), np.repeat(np.arange(30), counts)
     left = np.concatenate([np.arange(n, 0, -1) for n in counts])
-    assert substring_dedup.longest_earlier(flat, block[phrase], doc[phrase], left).tolist() == longest
+    assert substring_dedup.Index(flat, block[phrase], doc[phrase], left).longest(np.arange(len(flat))).tolist() == longest
     window = 5
     got = {(p, f + k) for p, f, n in zip(*substring_dedup.factored(flat, counts, block, doc, window)) for k in range(n)}
     assert got == {(i, a) for i, h in enumerate(held) for a in range(len(h) - window + 1) if known(i, tuple(h[a : a + window]))}
