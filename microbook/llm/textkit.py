@@ -11,6 +11,7 @@ from __future__ import annotations
 import ctypes
 import functools
 import hashlib
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,9 +42,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
+_KEYS: dict[str, int] = {}
+
+
 def run_key(spark) -> int:
-    """The key of this run's word hashes: the same in all its tasks, not known to whoever wrote the texts."""
-    return int.from_bytes(hashlib.blake2b(spark.sparkContext.applicationId.encode(), digest_size=8).digest(), "little")
+    """The key of this run's word hashes: drawn at random on the driver, the same in all its tasks, not to be guessed from outside."""
+    return _KEYS.setdefault(spark.sparkContext.applicationId, int.from_bytes(os.urandom(8), "little"))
 
 
 #: Bytes of words that are mixed eight at a time.

@@ -7,7 +7,7 @@ import random
 import numpy as np
 import pytest
 
-from microbook.llm import substring_dedup
+from microbook.llm import substring_dedup, textkit
 
 
 def made(rng, window):
@@ -67,3 +67,14 @@ def test_matches_are_looked_up_at_factors_and_boundaries_only(monkeypatch):
     first, own = list(range(100)), list(range(1000, 1060))
     assert by_factors([(0, 1, first), (0, 2, first[10:90]), (0, 3, own)], 50) == {(1, i) for i in range(31)}
     assert sum(asked) == 100 + 1 + 60
+
+
+def test_the_key_of_hashes_is_one_a_run_and_not_its_name(spark):
+    key = textkit.run_key(spark)
+    assert key == textkit.run_key(spark) and 0 <= key < 1 << 64
+    held = dict(textkit._KEYS)
+    textkit._KEYS.clear()
+    try:
+        assert textkit.run_key(spark) != key
+    finally:
+        textkit._KEYS.update(held)
