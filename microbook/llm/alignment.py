@@ -49,7 +49,7 @@ B_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LONG_SPACE = re.compile(r"\s{2000}")
 #: Bytes of text, and tokens of A, that are aligned at once.
-SLICE, TOKENS = 1 << 21, 1 << 19
+SLICE, TOKENS = 1 << 20, 1 << 18
 #: Counted pairs that a worker holds, and distinct pairs that a task sums before it sends them.
 PAIRS_HELD = 2_000_000
 
@@ -192,6 +192,25 @@ def decimals(most: int) -> tuple[np.ndarray, np.ndarray]:
     return _decimals(1 << max(10, (most - 1).bit_length()))
 
 
+def id_type(ids: int) -> np.dtype:
+    """What the ids of a vocabulary are stored as."""
+    return np.dtype("<u2" if ids <= 1 << 16 else "<u4")
+
+
+def packed(ids: np.ndarray, counts: np.ndarray, kind: np.dtype) -> pa.Array:
+    """Lists of ids as binary values: a few bytes an id, and no list for the JVM to take apart."""
+    offsets = np.concatenate([[0], np.cumsum(counts * kind.itemsize)]).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(offsets), pa.py_buffer(ids.astype(kind))]).cast(pa.binary())
+
+
+def unpacked(column: pa.Array, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all values of a binary column, and how many each has."""
+    buffers = column.buffers()
+    offsets = np.frombuffer(buffers[1], np.int64 if pa.types.is_large_binary(column.type) else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    raw = np.frombuffer(buffers[2], np.uint8)[offsets[0] : offsets[-1]] if buffers[2] is not None and len(column) else np.zeros(0, np.uint8)
+    return np.frombuffer(raw.tobytes(), kind).astype(np.int32), np.diff(offsets) // kind.itemsize
+
+
 def _pieces(weights: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
     """Consecutive rows whose weights add up to about ``most``; a heavier row stands alone."""
     upto, at = np.cumsum(weights), 0
@@ -202,7 +221,7 @@ def _pieces(weights: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
 
 
 def encoded(docs: DataFrame, key: str = "doc_id", a_file: str = A_FILE, b_file: str = B_FILE) -> DataFrame:
-    """(row, key, n_a, n_b, n_groups, n_links, groups_sha256, a, b) of every text; a and b list its ids. One pass."""
+    """(row, key, n_a, n_b, n_groups, n_links, groups_sha256, a, b) of every text; a and b hold its ids (``unpacked``). One pass."""
     sc = docs.sparkSession.sparkContext
     with open(a_file, "rb") as f, open(b_file, "rb") as g:
         held = sc.broadcast((f.read(), g.read()))
@@ -234,7 +253,7 @@ def encoded(docs: DataFrame, key: str = "doc_id", a_file: str = A_FILE, b_file:
         ids_a, ids_b = np.concatenate(a).astype(np.int32), np.concatenate(b).astype(np.int32)
         told = Aligned(ids_a, n_a, ids_b, n_b, size_a, size_b)
         columns = [pa.array(x.astype(np.int64)) for x in (n_a, n_b, told.n_groups, told.n_links)]
-        columns += [pa.array(told.digests(), pa.string()), list_array(ids_a, n_a, pa.int32()), list_array(ids_b, n_b, pa.int32())]
+        columns += [pa.array(told.digests(), pa.string()), packed(ids_a, n_a, id_type(len(size_a))), packed(ids_b, n_b, id_type(len(size_b)))]
         own = [batch.column(c).slice(lo, hi - lo) for c in ("row", key)]
         return pa.RecordBatch.from_arrays(own + columns, ["row", key, *counts, "groups_sha256", "a", "b"])
 
@@ -246,7 +265,7 @@ def encoded(docs: DataFrame, key: str = "doc_id", a_file: str = A_FILE, b_file:
             for lo, hi in _pieces(np.diff(offsets) + 1, SLICE):
                 yield tell(batch, lo, hi, left, right, size_a, size_b)
 
-    schema = f"row bigint, `{key}` {kind}, {', '.join(f'{c} bigint' for c in counts)}, groups_sha256 string, a array<int>, b array<int>"
+    schema = f"row bigint, `{key}` {kind}, {', '.join(f'{c} bigint' for c in counts)}, groups_sha256 string, a binary, b binary"
     return docs.select(F.monotonically_increasing_id().alias("row"), key, "text").mapInArrow(tidy(run), schema)
 
 
@@ -258,8 +277,9 @@ def token_sizes(spark, a_file: str = A_FILE, b_file: str = B_FILE):
 
 def _aligned(batch: pa.RecordBatch, sizes) -> Iterator[tuple[int, int, Aligned]]:
     """Alignment of the stored ids, about TOKENS of A at a time."""
-    count = {c: batch.column(c).value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for c in "ab"}
-    flat = {c: batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in "ab"}
+    flat, count = {}, {}
+    for c, size in zip("ab", sizes, strict=True):
+        flat[c], count[c] = unpacked(batch.column(c), id_type(len(size)))
     first = {c: np.concatenate([[0], np.cumsum(count[c])]) for c in "ab"}
     for lo, hi in _pieces(count["a"] + 1, TOKENS):
         own = {c: flat[c][first[c][lo] : first[c][hi]] for c in "ab"}
