@@ -10,10 +10,16 @@ window can only come from the blocks of the document's own anchors.
 Parsing. A phrase that its anchor's block holds from an earlier document is one factor as a whole. Where a
 block holds several phrases from several documents, they are indexed by a suffix array and the first copy
 of each phrase is factored greedily, left to right, by the longest match with a phrase of an earlier
-document. Factors of a window or more become duplicate spans; at a boundary, windows that lie in the two factors
-around it are checked by the longest match at their own start, and no others can be duplicates. Only one copy of
-each distinct phrase is parsed; its other copies are duplicate as a whole. Blocks of over BLOCK_ROWS phrases would be too large for one task: their windows
-are joined by hash instead, which finds the same ones. The covered words are removed.
+document. Factors of a window or more become duplicate spans; at a boundary, windows that lie in the two
+factors around it are checked by the longest match at their own start, and no others can be duplicates. Only
+one copy of each distinct phrase is parsed; its other copies are duplicate as a whole. The covered words are
+removed.
+
+Large blocks. A block of over BLOCK_ROWS phrases would be too large for one task, and dealing it to several would hold
+each part against each other. It is split by content once more: its phrases are cut anew by longer sequences (31
+words, then 41, 46, 48, 49, 50), so that equal windows still meet in one block, and a window lies in one piece only.
+Copies of a piece are one factor, blocks of several pieces are parsed, and those that are still large are split again.
+Sequences of the whole window leave one piece in each block, so this ends, and pieces are never more than windows.
 
 Rows: a null text has no words. A null doc_id is no reference and loses nothing. Rows that share a
 doc_id are no reference for each other. Order or repetition of rows changes nothing.
@@ -29,22 +35,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import lookup_left, stored, table
-from .textkit import Chunk, chunks, list_array, run_key, tidy
+from .textkit import Chunk, chunks, list_array, mix, run_key, tidy
 from .url_filter import build_bloom, split_by
 
 WINDOW = 50
 ANCHOR = 12
 #: Windows of one phrase at most.
 PHRASE = 41
-#: Phrases of one reference block that are indexed together; the windows of larger blocks are joined by hash.
+#: Phrases of one reference block that are indexed together; larger blocks are split by longer sequences.
 BLOCK_ROWS = 512
 #: Phrases that are indexed at once, in whole blocks.
 INDEX_ROWS = 2048
 
 
-def phrases(ch, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a chunk's texts: (text, first window from the text's start, number of windows, anchor, digest) of every phrase,
-    ordered by text and place."""
+def phrases(ch, window: int, anchor: int, most: int = PHRASE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a chunk's texts: (text, first window from the text's start, number of windows, anchor, digest) of every phrase
+    of at most ``most`` windows, ordered by text and place."""
     starts = ch.starts_of(window)
     if not len(starts):
         z = np.zeros(0, np.int64)
@@ -63,50 +69,58 @@ def phrases(ch, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.nd
     new[1:] = (least[1:] != least[:-1]) | (text[1:] != text[:-1])
     run = np.flatnonzero(new)
     place = np.arange(len(starts)) - np.repeat(run, np.diff(np.append(run, len(starts))))
-    head = np.flatnonzero(place % PHRASE == 0)
+    head = np.flatnonzero(place % most == 0)
     count = np.diff(np.append(head, len(starts)))
     first = starts[head]
     digest = ch.grams(first, first + count + window - 1)
     return text[head], first - ch.first[text[head]], count, least[head], digest
 
 
-def _phrase_rows(docs: DataFrame, window: int, anchor: int) -> DataFrame:
+def _cut(batch: pa.RecordBatch, window: int, anchor: int, key: int) -> Iterator[tuple]:
+    """Of a batch of texts, or of phrases of large blocks (``words``), chunk by chunk: the chunk and, for each phrase that is
+    cut, its first word in the chunk, its row in the batch, its first window in its text, windows, anchor and digest."""
+    if "text" in batch.schema.names:
+        for ch in chunks(batch.column("text"), False, key=key):
+            of, first, n, a, d = phrases(ch, window, anchor)
+            yield ch, first + ch.first[of], of + ch.rows.start, first, n, a, d
+        return
+    lists = batch.column("words")
+    offsets, none = lists.offsets.to_numpy().astype(np.int64), np.zeros(0, np.int64)
+    ch = Chunk(slice(0, len(lists)), lists.flatten().to_numpy().view(np.uint64), offsets - offsets[0], none, none, none)
+    of, first, n, a, d = phrases(ch, window, anchor, window - anchor + 1)
+    block = batch.column("anchor").to_numpy().view(np.uint64)
+    yield ch, first + ch.first[of], of, first + batch.column("first").to_numpy()[of], n, mix(a ^ mix(block[of])), d
+
+
+def _phrase_rows(rows: DataFrame, window: int, anchor: int) -> DataFrame:
     """(anchor, digest, doc_id, row, first, n) of all phrases; row: digest of the text, for rows that share a doc_id."""
-    names, key = ["anchor", "digest", "doc_id", "row", "first", "n"], run_key(docs.sparkSession)
+    names, key = ["anchor", "digest", "doc_id", "row", "first", "n"], run_key(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, rows = batch.column("doc_id"), batch.column("row")
-            for ch in chunks(batch.column("text"), False, key=key):
-                text, first, n, a, d = phrases(ch, window, anchor)
-                take = pa.array(text + ch.rows.start)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(a.view(np.int64)), pa.array(d.view(np.int64)), ids.take(take), rows.take(take), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32))], names
-                )
+            for _, _, of, first, n, a, d in _cut(batch, window, anchor, key):
+                ids, own = (batch.column(c).take(pa.array(of)) for c in ("doc_id", "row"))
+                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(d.view(np.int64)), ids, own, pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32))], names)
 
-    return docs.mapInArrow(tidy(run), "anchor bigint, digest bigint, doc_id bigint, row bigint, first int, n int")
+    return rows.mapInArrow(tidy(run), "anchor bigint, digest bigint, doc_id bigint, row bigint, first int, n int")
 
 
-def _word_rows(docs: DataFrame, window: int, anchor: int, wanted) -> DataFrame:
+def _word_rows(rows: DataFrame, window: int, anchor: int, wanted) -> DataFrame:
     """(anchor, digest, doc_id, row, first, words) of the phrases whose (anchor, digest, doc_id) may be ``wanted``; words: their hashes."""
-    names, key = ["anchor", "digest", "doc_id", "row", "first", "words"], run_key(docs.sparkSession)
+    names, key = ["anchor", "digest", "doc_id", "row", "first", "words"], run_key(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, rows = batch.column("doc_id"), batch.column("row")
-            own_ids = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            for ch in chunks(batch.column("text"), False, key=key):
-                text, first, n, a, d = phrases(ch, window, anchor)
-                hit = wanted.value.maybe(_filter_key(a, d, own_ids[text + ch.rows.start]))
-                text, first, a, d, n = text[hit], first[hit], a[hit], d[hit], n[hit] + window - 1
-                at = np.repeat(first + ch.first[text] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))
-                take = pa.array(text + ch.rows.start)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(a.view(np.int64)), pa.array(d.view(np.int64)), ids.take(take), rows.take(take), pa.array(first.astype(np.int32)), list_array(ch.hashes[at].view(np.int64), n, pa.int64())],
-                    names,
-                )
-
-    return docs.mapInArrow(tidy(run), "anchor bigint, digest bigint, doc_id bigint, row bigint, first int, words array<bigint>")
+            own_ids = batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            for ch, begin, of, first, n, a, d in _cut(batch, window, anchor, key):
+                hit = wanted.value.maybe(_filter_key(a, d, own_ids[of]))
+                begin, of, first, a, d, n = begin[hit], of[hit], first[hit], a[hit], d[hit], n[hit] + window - 1
+                at = np.repeat(begin - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))
+                ids, own = (batch.column(c).take(pa.array(of)) for c in ("doc_id", "row"))
+                words = list_array(ch.hashes[at].view(np.int64), n, pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(d.view(np.int64)), ids, own, pa.array(first.astype(np.int32)), words], names)
+
+    return rows.mapInArrow(tidy(run), "anchor bigint, digest bigint, doc_id bigint, row bigint, first int, words array<bigint>")
 
 
 class Index:
@@ -234,26 +248,6 @@ def _factored_rows(rows: DataFrame, window: int) -> DataFrame:
     return rows.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(tidy(run), "doc_id bigint, row bigint, first int, count int")
 
 
-def _window_rows(rows: DataFrame, window: int) -> DataFrame:
-    """(anchor, w, doc_id, row, first): one row per window of ``rows``; w: its hash."""
-    names = ["anchor", "w", "doc_id", "row", "first"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column("words")
-            offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-            none = np.zeros(0, np.int64)
-            ch = Chunk(slice(0, len(lists)), lists.flatten().to_numpy().view(np.uint64), offsets.astype(np.int64), none, none, none)
-            at = ch.starts_of(window)
-            of = np.searchsorted(ch.first, at, "right") - 1
-            take = pa.array(of)
-            first = batch.column("first").to_numpy()[of] + at - ch.first[of]
-            anchor, ids, own = (batch.column(c).take(take) for c in ("anchor", "doc_id", "row"))
-            yield pa.RecordBatch.from_arrays([anchor, pa.array(ch.grams(at, at + window).view(np.int64)), ids, own, pa.array(first.astype(np.int32))], names)
-
-    return rows.mapInArrow(tidy(run), "anchor bigint, w bigint, doc_id bigint, row bigint, first int")
-
-
 def _filter_key(anchor: np.ndarray, digest: np.ndarray, doc_id: np.ndarray) -> np.ndarray:
     return anchor ^ digest ^ doc_id
 
@@ -263,10 +257,10 @@ def _filter_key_column():
     return F.col("anchor").bitwiseXOR(F.col("digest")).bitwiseXOR(F.col("doc_id"))
 
 
-def duplicate_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """(doc_id, row, firsts, counts) of the documents with duplicates: runs of windows that an earlier document holds."""
-    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("row"))
-    found = stored(_phrase_rows(docs, window, anchor), "phrases")
+def _level(rows: DataFrame, window: int, anchor: int) -> tuple[DataFrame, DataFrame | None]:
+    """(runs of duplicate windows (doc_id, row, first, count), the phrases of large blocks, if any) of texts, or of the
+    phrases of large blocks that are cut by longer sequences."""
+    found = stored(_phrase_rows(rows, window, anchor), "phrases")
     known = found.filter(F.col("doc_id").isNotNull())
     # the reference: each distinct phrase with its first document; combined before the shuffle
     held = known.groupBy("anchor", "digest").agg(F.min("doc_id").alias("origin"), F.max("doc_id").alias("last"), F.count("*").alias("n_rows"))
@@ -281,18 +275,26 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     # 2. the first copy of each phrase whose block holds other phrases, parsed
     edges = shared.filter("held > 1").select("anchor", "digest", F.col("origin").alias("doc_id"))
     n_edges = edges.count()
-    if n_edges:
-        keys = edges.select(_filter_key_column().alias("key"))
-        wanted = docs.sparkSession.sparkContext.broadcast(build_bloom(keys, n_edges))
-        rows = stored(_word_rows(docs, window, anchor, wanted).join(edges, ["anchor", "digest", "doc_id"], "left_semi"), "edges")
-        large = stored(rows.groupBy("anchor").count().filter(F.col("count") > BLOCK_ROWS).select("anchor"), "large")
-        whole = whole.unionByName(_factored_rows(rows.join(large, ["anchor"], "left_anti"), window))
-        if large.take(1):
-            rows = _window_rows(rows.join(large, ["anchor"], "left_semi"), window)
-            first_of = rows.groupBy("anchor", "w").agg(F.min("doc_id").alias("origin"), F.max("doc_id").alias("last"), F.count("*").alias("n_rows"))
-            first_of = stored(first_of.filter("last > origin"), "windows")
-            checked = lookup_left(rows, first_of.select("anchor", "w", "origin"), ["anchor", "w"], first_of.select("anchor", "w", "n_rows"))
-            whole = whole.unionByName(checked.filter("origin < doc_id").select("doc_id", "row", "first", F.lit(1).alias("count")))
+    if not n_edges:
+        return whole, None
+    keys = edges.select(_filter_key_column().alias("key"))
+    wanted = rows.sparkSession.sparkContext.broadcast(build_bloom(keys, n_edges))
+    words = stored(_word_rows(rows, window, anchor, wanted).join(edges, ["anchor", "digest", "doc_id"], "left_semi"), "edges")
+    large = stored(words.groupBy("anchor").count().filter(F.col("count") > BLOCK_ROWS).select("anchor"), "large")
+    if not large.take(1):
+        return whole.unionByName(_factored_rows(words, window)), None
+    # the rows of a large block must not meet in one task; a small block that the filter takes for a large one is split as well
+    small, rest = split_by(words, [F.col("anchor")], large)
+    return whole.unionByName(_factored_rows(small, window)), rest
+
+
+def duplicate_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
+    """(doc_id, row, firsts, counts) of the documents with duplicates: runs of windows that an earlier document holds."""
+    whole, rest = _level(docs.select("doc_id", "text", F.xxhash64("text").alias("row")), window, anchor)
+    while rest is not None:
+        anchor += -(-(window - anchor) // 2)
+        more, rest = _level(rest, window, anchor)
+        whole = whole.unionByName(more)
     spans = whole.groupBy("doc_id", "row").agg(F.sort_array(F.collect_set(F.struct("first", "count"))).alias("s"))
     return spans.select("doc_id", "row", F.col("s.first").alias("firsts"), F.col("s.count").alias("counts"))
 

@@ -308,7 +308,7 @@ def test_substring_dedup(spark, monkeypatch):
     # windows that run from one reference into another, and passages met in several places
     texts += [" ".join(a), " ".join(b), " ".join(a[60:130] + b[10:90]), " ".join(a[100:150] + b[:50]), " ".join(a[:75] + b[75:]), " ".join(b + a), " ".join(a[80:140] + a[20:75])]
     expected = brute_removed(texts)
-    # all blocks parsed; all blocks joined by window; some of each
+    # all blocks parsed; all blocks split down to whole windows; some of each
     for rows in (substring_dedup.BLOCK_ROWS, 0, 2):
         monkeypatch.setattr(substring_dedup, "BLOCK_ROWS", rows)
         got = substring_dedup.substring_dedup(docs(spark, texts).repartition(4)).collect()
