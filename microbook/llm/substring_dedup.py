@@ -280,11 +280,12 @@ def _level(rows: DataFrame, window: int, anchor: int) -> tuple[DataFrame, DataFr
     keys = edges.select(_filter_key_column().alias("key"))
     wanted = rows.sparkSession.sparkContext.broadcast(build_bloom(keys, n_edges))
     words = stored(_word_rows(rows, window, anchor, wanted).join(edges, ["anchor", "digest", "doc_id"], "left_semi"), "edges")
-    large = stored(words.groupBy("anchor").count().filter(F.col("count") > BLOCK_ROWS).select("anchor"), "large")
+    counts = stored(words.groupBy("anchor").agg(F.count("*").alias("n_rows")), "counts")
+    large = stored(counts.filter(F.col("n_rows") > BLOCK_ROWS).select("anchor", F.lit(True).alias("large")), "large")
     if not large.take(1):
         return whole.unionByName(_factored_rows(words, window)), None
-    # the rows of a large block must not meet in one task; a small block that the filter takes for a large one is split as well
-    small, rest = split_by(words, [F.col("anchor")], large)
+    words = lookup_left(words, large, ["anchor"], counts)  # the rows of a large block must not meet in one task
+    small, rest = words.filter("large is null").drop("large"), words.filter("large").drop("large")
     return whole.unionByName(_factored_rows(small, window)), rest
 
 
