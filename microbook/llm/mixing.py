@@ -4,7 +4,8 @@ Each source has a target number of words; every document is taken floor(r) times
 words, and once more with inclusion probability r - floor(r). Which documents get that extra copy is
 decided by the cube method. The flight phase moves the probabilities of three documents at a time along
 the null-space of the two balancing constraints (words taken and documents taken), until one of them is
-0 or 1. Documents are dealt into blocks of bounded size (source and hash); each block leaves at most two
+0 or 1. Of the two ways along it a coin takes the nearer end the more often, so that each probability is kept
+on average: a document's chance of an extra copy does not depend on its length. Documents are dealt into blocks of bounded size (source and hash); each block leaves at most two
 undecided documents, which meet again in the next round of blocks, so the sums of the whole source stay
 exact until at most two documents of a source are left. These land on the rounding whose words come
 nearest to the target.
@@ -25,6 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import lookup_left, stored, table
+from .textkit import mix
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -65,13 +67,15 @@ def targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, limit: fl
     return weighed.select("source", "size", "n", F.when(above, limit * F.col("size")).otherwise(F.lit(rate) * F.col("weight")).alias("target"))
 
 
-def flight(size: np.ndarray, p: np.ndarray) -> np.ndarray:
+def flight(size: np.ndarray, p: np.ndarray, ord_: np.ndarray) -> np.ndarray:
     """Probabilities after the flight phase: all but two at most are 0 or 1, and sum(p) and sum(p * size) are as before.
 
-    Units are taken in the given order; the sign of a move is free as both directions keep the sums, so
-    the one is chosen that decides a unit sooner.
+    Units are taken in the given order. A move of ``up`` along the null-space is made with probability
+    down / (up + down), else one of ``down`` against it, so it is zero on average. The coin is drawn from the
+    hashes ``ord_`` of the three units, so reruns agree.
     """
     p = p.astype(float).copy()
+    drawn = mix(ord_.astype(np.int64).view(np.uint64)).tolist()
     live: list[int] = []
     for i in range(len(p)):
         if not EPS < p[i] < 1 - EPS:
@@ -87,7 +91,8 @@ def flight(size: np.ndarray, p: np.ndarray) -> np.ndarray:
             u = (1.0, -1.0, 0.0)
         up = min((1 - p[k]) / v if v > 0 else p[k] / -v for k, v in zip(live, u, strict=True) if v)
         down = min(p[k] / v if v > 0 else (1 - p[k]) / -v for k, v in zip(live, u, strict=True) if v)
-        step = up if up <= down else -down
+        coin = ((drawn[a] + 3 * drawn[b] + 5 * drawn[c]) * 0x9E3779B97F4A7C15 & (1 << 64) - 1) / (1 << 64)
+        step = up if coin * (up + down) < down else -down
         for k, v in zip(live, u, strict=True):
             p[k] += step * v
         for k in list(live):
@@ -111,7 +116,7 @@ def landing(size: np.ndarray, p: np.ndarray) -> np.ndarray:
 def _decided(rows: pa.Table, land: bool) -> pa.Table:
     """The flight (and landing) of one block; ids stay in Arrow, where a null among them changes none."""
     rows = rows.sort_by([("ord", "ascending"), ("doc_id", "ascending"), ("size", "ascending")])
-    size, p = rows["size"].to_numpy(), flight(rows["size"].to_numpy(), rows["p"].to_numpy())
+    size, p = rows["size"].to_numpy(), flight(rows["size"].to_numpy(), rows["p"].to_numpy(), rows["ord"].to_numpy())
     return rows.set_column(rows.schema.get_field_index("p"), "p", pa.array(landing(size, p) if land else p))
 
 

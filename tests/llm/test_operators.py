@@ -462,12 +462,39 @@ def test_targets_reshare_what_is_over(spark):
 def test_flight_keeps_both_sums():
     rng = np.random.default_rng(3)
     size, p = rng.integers(1, 5000, 999), rng.uniform(0, 1, 999)
-    q = mixing.flight(size, p)
+    q = mixing.flight(size, p, rng.integers(-(2**63), 2**63, 999))
     assert ((q > 1e-9) & (q < 1 - 1e-9)).sum() <= 2 and q.sum() == pytest.approx(p.sum()) and (q * size).sum() == pytest.approx((p * size).sum())
-    same = mixing.flight(np.full(50, 7), np.full(50, 0.3))
+    same = mixing.flight(np.full(50, 7), np.full(50, 0.3), np.arange(50))
     assert same.sum() == pytest.approx(15)
 
 
+def test_flight_keeps_every_probability_on_average():
+    """Short, middling and long documents alike; a rule that always goes to the nearer end takes the middling ones less often."""
+    rng = np.random.default_rng(8)
+    n, runs, chance = 60, 1500, 0.3
+    size = np.sort(rng.integers(1, 5000, n))
+    total = np.zeros(n)
+    for _ in range(runs):
+        by = rng.permutation(n)
+        total[by] += mixing.landing(size[by], mixing.flight(size[by], np.full(n, chance), rng.integers(-(2**63), 2**63, n)))
+    mean, sigma = total / runs, (chance * (1 - chance) / runs) ** 0.5
+    assert abs(mean - chance).max() < 5 * sigma
+    for third in (mean[:20], mean[20:40], mean[40:]):
+        assert abs(third.mean() - chance) < 0.02
+
+
+def test_landing_against_every_rounding():
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        size, p = rng.integers(0, 60, 6), rng.choice([0.0, 1.0], 6)
+        at = rng.choice(6, 2, replace=False)
+        p[at] = rng.uniform(0.05, 0.95, 2)
+        q = mixing.landing(size, p)
+        assert set(q) <= {0.0, 1.0} and (np.delete(q, at) == np.delete(p, at)).all()
+        best = min(abs(i * size[at[0]] + j * size[at[1]] - (p[at] * size[at]).sum()) for i in (0, 1) for j in (0, 1))
+        assert abs((q * size).sum() - (p * size).sum()) == pytest.approx(best)
+
+
 def test_mix_meets_its_targets(spark):
     rng = random.Random(6)
     texts = [" ".join(["w"] * rng.randrange(1, 300)) for _ in range(900)] + [None, "", " "]
