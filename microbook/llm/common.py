@@ -9,6 +9,8 @@ from ..sources.io import fresh_path
 
 #: A key is hot when it holds more than this share of the rows; so at most 1/share keys are hot.
 HOT_SHARE = 1 / 1000
+#: Edges of a graph that one task may hold; rounds over more are shuffled.
+FEW_EDGES = 100_000
 
 
 def stored(df: DataFrame, name: str, partitions: int | None = None) -> DataFrame:
@@ -46,14 +48,14 @@ def lookup_left(rows: DataFrame, facts: DataFrame, keys: list[str], counts: Data
     """
     if counts is None:
         counts = rows.groupBy(*keys).agg(F.count("*").alias("n_rows"))
-    total = counts.agg(F.sum("n_rows")).first()[0] or 0
-    least = max(64, int(total * HOT_SHARE))
     known = F.lit(True)
     for k in keys:
         known = known & F.col(k).isNotNull()
-    hot = counts.filter((F.col("n_rows") > least) & known).select(*keys)
-    if not hot.take(1):
+    total, most = counts.agg(F.sum("n_rows"), F.max(F.when(known, F.col("n_rows")))).first()
+    least = max(64, int((total or 0) * HOT_SHARE))
+    if (most or 0) <= least:
         return rows.join(facts, keys, "left")
+    hot = counts.filter((F.col("n_rows") > least) & known).select(*keys)
     value_cols = [c for c in facts.columns if c not in keys]
     hot_facts = hot.join(facts, keys).withColumn("__hot", F.lit(True))
     marked = rows.join(F.broadcast(hot_facts), keys, "left")
@@ -73,21 +75,30 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternating large-star and small-star steps. Each step is a grouped minimum (combined before the
     shuffle) and a look-up that treats hubs apart, and is stored in the shared folder, so neither a hub
-    nor a long lineage ends in one task. Nodes without an edge do not occur.
+    nor a long lineage ends in one task. The steps over up to FEW_EDGES edges are a task each, without a shuffle:
+    a step never adds edges, and dealing so few to all partitions costs the driver more than the step itself.
+    Nodes without an edge do not occur.
     """
-    spark = edges.sparkSession
     e = stored(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc_edges")
-    before = None
+    before = checksum(e)
+    few = before[0] <= FEW_EDGES
+
+    def held(df: DataFrame) -> DataFrame:
+        return df.coalesce(1) if few else df
+
+    def lowest(rows: DataFrame, low: DataFrame, facts: DataFrame) -> DataFrame:
+        return rows.join(facts.hint("merge"), ["u"], "left") if few else lookup_left(rows, facts, ["u"], low.select("u", "n_rows"))
+
     while True:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = held(e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))))
         low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n_rows"))
-        facts = low.select("u", F.least("u", "m").alias("m"))
-        large = lookup_left(both, facts, ["u"], low.select("u", "n_rows")).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = lowest(both, low, low.select("u", F.least("u", "m").alias("m"))).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = stored(large.filter("u <> v").distinct(), "cc_large")
         # every edge now points from the larger node u to a smaller node v
-        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n_rows"))
-        small = lookup_left(large, low.select("u", "m"), ["u"], low.select("u", "n_rows"))
-        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
+        rows = held(large)
+        low = rows.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n_rows"))
+        small = lowest(rows, low, low.select("u", "m"))
+        small = held(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))))
         old, e = e, stored(small.filter("u <> v").distinct(), "cc_small")
         forget(old, large)
         now = checksum(e)
@@ -95,7 +106,7 @@ def components(edges: DataFrame) -> DataFrame:
             break
         before = now
     members = e.select(F.col("u").alias("node"), F.col("v").alias("comp"))
-    roots = e.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct()
+    roots = held(e.select(F.col("v").alias("node"), F.col("v").alias("comp"))).distinct()
     return members.unionByName(roots)
 
 

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, lookup_left, parts, stored, table
-from .textkit import chunks, list_array, mix, run_key, tidy
+from .textkit import chunks, give_back, list_array, mix, run_key, tidy
 from .url_filter import build_bloom, split_by
 
 SIGNATURES = 4
@@ -499,6 +499,8 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, num: int = 80, den: in
     # 2. matrix
     facts = stored(dealt(classes, asks, comps), "facts")
     pairs, facts = matrix_pairs(docs, facts, often, shingle, num, den)
+    del often
+    give_back()
     # 3. bound and open: the members of the smaller group are the queries
     swap = F.col("a_size") > F.col("b_size")
     pairs = stored(pairs.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("small"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("g")), "pairs")

@@ -38,6 +38,8 @@ LEAST_RATIO = 1.5
 LENGTH_POWER = 0.25
 #: Code points whose n-grams are hashed at once.
 PIECE = 1 << 18
+#: Features whose products a round of the fit holds at once.
+SLICE = 1 << 16
 _SPACES = re.compile(r"\s+")
 
 
@@ -96,23 +98,44 @@ def fit(texts: list[str | None], labels: np.ndarray, rounds: int = 80, l2: float
     for text in texts:
         idx = distinct(slots(text))
         rows.append(idx[ratio[idx] != 0])
-    row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
-    col = np.concatenate(rows)
-    value = (ratio[col] * (np.maximum(size, 1.0) ** -LENGTH_POWER)[row]).astype(np.float32)
+    first = np.cumsum([0, *map(len, rows)])
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), np.diff(first))
+    # only telling slots get a weight: they are numbered anew, so what a round holds follows their number
+    used = np.flatnonzero(ratio)
+    place = np.zeros(width, np.int32)
+    place[used] = np.arange(len(used))
+    col, ratio = place[np.concatenate(rows)], ratio[used]
+    del rows, place, count, toxic, p, q
+    # a round takes some texts at a time, so little is held beside the features
+    slices, at = [], 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(first, first[at] + SLICE, "right")) - 1)
+        slices.append((at, to, slice(first[at], first[to])))
+        at = to
+    value, scale = np.empty(len(col), np.float32), np.maximum(size, 1.0) ** -LENGTH_POWER
+    for _, _, own in slices:
+        value[own] = ratio[col[own]] * scale[row[own]]
     weight_of = np.where(labels == 1, 0.5 / labels.mean(), 0.5 / (1 - labels.mean()))
-    w, bias = np.zeros(width), 0.0
-    m, v, mb, vb = np.zeros(width), np.zeros(width), 0.0, 0.0
+    w, bias = np.zeros(len(used)), 0.0
+    m, v, mb, vb = np.zeros(len(used)), np.zeros(len(used)), 0.0, 0.0
+    z = np.empty(len(texts))
     for t in range(1, rounds + 1):
-        z = np.bincount(row, weights=w[col] * value, minlength=len(labels)) + bias
+        for at, to, own in slices:
+            z[at:to] = np.bincount(row[own] - at, weights=w[col[own]] * value[own], minlength=to - at) + bias
         miss = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels) * weight_of / len(labels)
-        g = np.bincount(col, weights=miss[row] * value, minlength=width) + l2 * w
+        g = np.zeros(len(used))
+        for _, _, own in slices:
+            np.add.at(g, col[own], miss[row[own]] * value[own])
+        g += l2 * w
         gb = miss.sum()
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         step = 0.1 / (1 - 0.9**t)
         w -= step * m / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
         bias -= step * mb / (np.sqrt(vb / (1 - 0.99**t)) + 1e-8)
-    return (w * ratio).astype(np.float32), float(bias)
+    weights = np.zeros(width, np.float32)
+    weights[used] = w * ratio
+    return weights, float(bias)
 
 
 def score_texts(texts, weights: np.ndarray, bias: float, distinct: _Distinct) -> np.ndarray:
@@ -148,7 +171,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC
 
 def train(docs: DataFrame, labels: DataFrame, **bounds) -> tuple[np.ndarray, float]:
     rows = training_rows(docs, labels, **bounds)
-    return fit(rows["text"].tolist(), rows["toxic"].to_numpy())
+    model = fit(rows["text"].tolist(), rows["toxic"].to_numpy())
+    del rows
+    give_back()
+    return model
 
 
 def scored(docs: DataFrame, model: tuple[np.ndarray, float], name: str = "score") -> DataFrame:

@@ -6,13 +6,14 @@ import itertools
 import random
 import re
 import time
+import tracemalloc
 import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from microbook.llm import decontaminate, exact_dedup, html_text, jaccard_join, mixing, substring_dedup, textkit, token_counts, toxicity, url_filter, warc
+from microbook.llm import common, decontaminate, exact_dedup, html_text, jaccard_join, mixing, substring_dedup, textkit, token_counts, toxicity, url_filter, warc
 from microbook.llm.common import components, lookup_left
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_words string, score string, row string, size string"
@@ -275,6 +276,47 @@ def test_components_of_a_long_path_and_a_hub(spark):
     assert {got[i]["comp"] for i in range(41)} == {0} and {got[i]["comp"] for i in range(100, 400)} == {100} and 500 not in got
 
 
+@pytest.mark.parametrize("most", [0, 100_000])
+def test_components_of_any_size_agree(spark, monkeypatch, most):
+    monkeypatch.setattr(common, "FEW_EDGES", most)
+    rng = random.Random(4)
+    pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000, i) for i in range(1001, 1100)]
+    up: dict = {}
+
+    def root(x):
+        while up.get(x, x) != x:
+            x = up[x]
+        return x
+
+    for u, v in pairs:
+        a, b = sorted((root(u), root(v)))
+        up[b] = a
+    nodes = {x for u, v in pairs if u != v for x in (u, v)}
+    got = components(spark.createDataFrame(pairs, "u long, v long")).collect()
+    assert len(got) == len(nodes) and {r.node: r.comp for r in got} == {x: root(x) for x in nodes}
+    assert components(spark.createDataFrame([(1, 1)], "u long, v long")).count() == 0
+
+
+def test_rounds_over_few_edges_are_not_dealt_to_all_partitions(spark):
+    """The driver keeps a record of each task: hundreds of partitions a round took it 1,500 MB."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    conf = {"spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 300)]
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    spark.sparkContext.setJobGroup("few_edges", "components")
+    try:
+        found = components(spark.createDataFrame(edges, "u long, v long").coalesce(1)).collect()
+        told = spark.sparkContext.statusTracker()
+        stages = [told.getStageInfo(s) for j in told.getJobIdsForGroup("few_edges") for s in told.getJobInfo(j).stageIds]
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert {r.comp for r in found} == {0, 100} and len(found) == 261
+    assert stages and sum(s.numCompletedTasks for s in stages if s) <= 300
+
+
 def test_lookups_of_hot_keys(spark):
     rows = spark.createDataFrame([(1, i) for i in range(900)] + [(i, i) for i in range(2, 50)] + [(None, 7)], "k long, x long")
     facts = spark.createDataFrame([(i, str(i)) for i in range(1, 30)], "k long, name string")
@@ -670,6 +712,18 @@ def test_slots_are_those_of_all_grams(monkeypatch, piece):
         assert set(toxicity.slots(text).tolist()) == brute_slots(text)
 
 
+def test_the_fit_holds_little_beside_the_features():
+    rng = random.Random(12)
+    texts = [" ".join(words(rng, 12, 40)) + (" vile" if i % 3 == 0 else "") for i in range(60)]
+    tracemalloc.start()
+    try:
+        toxicity.fit(texts, np.array([float(i % 3 == 0) for i in range(60)]), rounds=2)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 8 * 8 * (1 << toxicity.BITS)
+
+
 def test_the_fit_against_dense_matrices():
     rng = random.Random(11)
     texts = [" ".join(words(rng, 12, 40)) + (" vile" if i % 3 == 0 else "") for i in range(60)]
