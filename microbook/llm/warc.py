@@ -30,18 +30,18 @@ MAGIC = "WARC/1."
 VERSION = r"^[01]\r\n"
 END = "\r\n\r\n"
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+_DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
 _DATE = "2024-01-01T00:00:00Z"
 
 
-def base32_sha1(payload: Column) -> Column:
-    """Bare upper-case base32 of a binary column's SHA-1: 40 hexadecimal digits are 32 letters, five digits four of them."""
-    digits = F.sha1(payload)
+def with_digest(df: DataFrame, payload: Column, name: str) -> DataFrame:
+    """``df`` with the bare upper-case base32 of a binary column's SHA-1 as ``name``: 40 hexadecimal digits are 32 letters, ten digits eight of them.
 
-    def four(i: Column) -> Column:
-        bits = F.conv(F.substring(digits, i * 5 + 1, F.lit(5)), 16, 10).cast("int")
-        return F.concat(*[F.substring(F.lit(_ALPHABET), F.shiftright(bits, 5 * k).bitwiseAND(31) + 1, F.lit(1)) for k in (3, 2, 1, 0)])
-
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), four), "")
+    The hash is a column of its own that the letters are read from, so each payload is hashed once: an
+    expression that names the hash for every letter hashes again for each inside a lambda or a branch.
+    """
+    eights = [F.lpad(F.conv(F.substring(name, i, 10), 16, 32), 8, "0") for i in (1, 11, 21, 31)]
+    return df.withColumn(name, F.sha1(payload)).withColumn(name, F.translate(F.concat(*eights), _DIGITS, _ALPHABET))
 
 
 def record_types(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
@@ -66,13 +66,14 @@ def write_warc(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
     refer to; all others are written where they are read.
     """
     html = F.coalesce("html", F.lit(""))
-    rows = pages.select("page_id", "url", html.alias("html"), base32_sha1(html.cast("binary")).alias("digest"), F.octet_length(html).alias("bytes"))
+    rows = pages.select("page_id", "url", html.alias("html"), F.octet_length(html).alias("bytes"))
     same = F.unhex(F.sha2(F.col("html").cast("binary"), 256))
     revisits = stored(record_types(pages, min_bytes).filter("record_type = 'revisit'").select("page_id", "same", "refers_to").distinct(), "revisits")
     plain, asks = split_by(rows, [F.col("page_id"), same], revisits.select("page_id", "same"))
     equal = F.col("a.page_id").eqNullSafe(F.col("r.page_id")) & (F.col("a.same") == F.col("r.same"))
     asks = asks.withColumn("same", same).alias("a").join(revisits.alias("r"), equal, "left").select("a.*", "r.refers_to", F.col("r.same").isNotNull().alias("again")).drop("same")
     rows = plain.withColumns({"refers_to": F.lit(None).cast("long"), "again": F.lit(False)}).unionByName(asks)
+    rows = with_digest(rows, F.col("html").cast("binary"), "digest")
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\nContent-Length: "), F.col("bytes").cast("string"), F.lit(END))
     block = F.concat(http, F.when(F.col("again"), "").otherwise(F.col("html")))
     url = F.replace(F.replace(_text("url"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
@@ -181,8 +182,8 @@ def reachable(nodes: DataFrame) -> DataFrame:
         forget(old)
 
 
-def _described() -> list[Column]:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to from ``header`` and ``body``.
+def _described(records: DataFrame, *kept: str) -> DataFrame:
+    """The columns ``kept``, and page_id, payload_bytes, payload_digest, record_type, refers_to from ``header`` and ``body``.
 
     A response's payload is measured; a revisit holds none: its header tells the full payload's digest
     and, in its HTTP header, length.
@@ -195,13 +196,14 @@ def _described() -> list[Column]:
     http = F.substring_index(F.col("body").cast("string"), END, 1)
     stated_bytes = F.regexp_extract(http, r"(?im)^Content-Length:[ \t]*(\d{1,18})", 1).try_cast("long")
     payload = F.substring(F.col("body"), F.octet_length(http) + len(END) + 1, F.octet_length("body"))
-    return [
+    return with_digest(records.withColumn("payload", payload), F.col("payload"), "digest").select(
+        *kept,
         page.try_cast("long").alias("page_id"),
-        F.when(kind == "revisit", stated_bytes).otherwise(F.octet_length(payload).cast("long")).alias("payload_bytes"),
-        F.when(kind == "revisit", stated).otherwise(base32_sha1(payload)).alias("payload_digest"),
+        F.when(kind == "revisit", stated_bytes).otherwise(F.octet_length("payload").cast("long")).alias("payload_bytes"),
+        F.when(kind == "revisit", stated).otherwise(F.col("digest")).alias("payload_digest"),
         kind.alias("record_type"),
         refers.try_cast("long").alias("refers_to"),
-    ]
+    )
 
 
 def describe_warc(spark: SparkSession, path: str) -> DataFrame:
@@ -212,14 +214,14 @@ def describe_warc(spark: SparkSession, path: str) -> DataFrame:
     """
     found = pieces(spark, path)
     body = F.substring(F.col("piece").cast("binary"), F.octet_length(_head()) + len(END) + 1, _content_length().cast("int"))
-    told = found.withColumns({"header": _head(), "body": body}).select("file", "block", "no", "h", "piece", *_described())
+    told = _described(found.withColumns({"header": _head(), "body": body}), "file", "block", "no", "h", "piece")
     names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     owners = stored(verified(told, *names), "owners")
     single = owners.filter("pieces = 1").select(*names)
     several = owners.filter("pieces > 1")
     if not several.take(1):
         return single
-    return single.unionByName(_records(_glued(found, several)).select(*_described()))
+    return single.unionByName(_described(_records(_glued(found, several))))
 
 
 def op8_warc(spark, sf_dir):

@@ -11,6 +11,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from microbook.llm import common, decontaminate, exact_dedup, html_text, jaccard_join, mixing, substring_dedup, textkit, token_counts, toxicity, url_filter, warc
@@ -807,6 +808,37 @@ def test_archives_min_bytes_and_edge_rows(spark, tmp_path):
     assert warc.describe_warc(spark, str(tmp_path / "e")).count() == 0
 
 
+@pytest.mark.parametrize("copies", [False, True])
+def test_archives_hash_each_payload_once(spark, tmp_path, monkeypatch, copies):
+    def hashes(df):
+        return df._jdf.queryExecution().optimizedPlan().toString().count("sha1(")
+
+    pages = spark.createDataFrame([(i, "u", f"page {i % 9 if copies else i}") for i in range(20)], "page_id long, url string, html string").repartition(2)
+    warc.write_warc(pages, str(tmp_path / "w"))
+    plans = []
+    with monkeypatch.context() as m:
+        m.setattr(DataFrameWriter, "text", lambda self, path: plans.append(hashes(self._df)))
+        warc.write_warc(pages, str(tmp_path / "unwritten"))
+    # pages that may be revisits and all others are two branches; no row is in both
+    assert plans == [2 if copies else 1]
+    read, verified = [], warc.verified
+    monkeypatch.setattr(warc, "verified", lambda found, *carried: read.append(hashes(found)) or verified(found, *carried))
+    got = rows_of(warc.describe_warc(spark, str(tmp_path / "w")), "page_id")
+    assert read == [1] and {i: r["payload_digest"] for i, r in got.items()} == {r.page_id: sha1(r.html) for r in pages.collect()}
+
+
+def test_archives_digests(spark, tmp_path):
+    htmls = [f"page {i}" for i in range(3000)]
+    # each group of eight letters has leading zeros in some digest
+    assert all(any(sha1(h)[i:].startswith("AA") for h in htmls) for i in (0, 8, 16, 24))
+    pages = spark.createDataFrame([(i, "u", h) for i, h in enumerate(htmls)], "page_id long, url string, html string")
+    warc.write_warc(pages, str(tmp_path / "w"))
+    headers = {h.split("urn:page:")[1].split(">")[0]: h for h in (r.header for r in warc.read_warc(spark, str(tmp_path / "w")).select("header").collect())}
+    assert all(f"WARC-Payload-Digest: sha1:{sha1(h)}\r\n" in headers[str(i)] for i, h in enumerate(htmls))
+    got = rows_of(warc.describe_warc(spark, str(tmp_path / "w")), "page_id")
+    assert [got[i]["payload_digest"] for i in range(len(htmls))] == [sha1(h) for h in htmls]
+
+
 # 9
 
 
